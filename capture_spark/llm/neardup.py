@@ -18,6 +18,7 @@ SHINGLE = 4
 PERCENT = 80
 COORDINATES = 64
 MATCHES = 35
+SHARED = 5
 CROWD = 64
 BAND = math.log(1.02)
 
@@ -54,7 +55,7 @@ def _binary16(a: np.ndarray, b: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, key, seq, n_shingles, sig) per row: text digest, word sequence digest, set size, sorted coordinate-value pairs."""
+    """(doc_id, key, seq, n_shingles, sig) per row: text digest, word sequence digest, set size, minimum per coordinate."""
     odd = np.random.default_rng(7).integers(1, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     source = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
 
@@ -65,59 +66,81 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINA
             _, first = np.unique(unique, return_index=True)
             counts = np.bincount(owner[first], minlength=w.n)
             full = np.flatnonzero(counts)
-            pairs = np.zeros((len(full), coordinates), np.uint64)
+            least = np.zeros((len(full), coordinates), np.int32)
             if len(full):
                 starts = np.searchsorted(owner, full)
                 scratch = np.empty_like(values)
                 for k, a in enumerate(odd):
                     np.multiply(values, a, out=scratch)
-                    pairs[:, k] = tx.mix(np.minimum.reduceat(scratch, starts) ^ (a << np.uint64(1)))
-                pairs.sort(axis=1)
+                    least[:, k] = (tx.mix(np.minimum.reduceat(scratch, starts) ^ (a << np.uint64(1))) >> np.uint64(33)).astype(np.int32)
             ends = np.cumsum(np.where(counts > 0, coordinates, 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), _binary16(one, two), pa.array(counts, pa.int64()), tx.list_array(pairs.view(np.int64).ravel(), ends, pa.int64())],
+                [b.column(0), b.column(1), _binary16(one, two), pa.array(counts, pa.int64()), tx.list_array(least.ravel(), ends, pa.int32())],
                 names=["doc_id", "key", "seq", "n_shingles", "sig"],
             )
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, seq binary, n_shingles long, sig array<long>")
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, seq binary, n_shingles long, sig array<int>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(seq, shingles) of (seq, text) rows."""
+    """(node, shingles) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
             w, values, owner, _, _ = _shingles(b.column(1), size)
             values, ends = _distinct(values, owner, w.n)
-            yield pa.RecordBatch.from_arrays([b.column(0), tx.list_array(values.view(np.int64), ends, pa.int64())], names=["seq", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), tx.list_array(values.view(np.int64), ends, pa.int64())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "seq binary, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _matched(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough and whose set sizes allow a link."""
-    a = nodes.select(F.col("seq").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    b = nodes.select(F.col("seq").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("sa", "sb")) >= least))
-    return near.select("a", "b")
+    a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(a, "a").join(b, "b").filter(sized & (equal >= least)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets overlap enough."""
-    a = sets.select(F.col("seq").alias("a"), F.col("shingles").alias("xa"))
-    b = sets.select(F.col("seq").alias("b"), F.col("shingles").alias("xb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("common"), (F.size("xa") + F.size("xb")).alias("total"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs whose full shingle sets overlap enough."""
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
-
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, crowd: int = CROWD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices([batch], "ta"):
+                for c in tx.slices([part], "tb"):
+                    sets = []
+                    for column in (2, 3):
+                        w, values, owner, _, _ = _shingles(c.column(column), size)
+                        flat, ends = _distinct(values, owner, w.n)
+                        counts = np.diff(np.concatenate([[0], ends]))
+                        sets.append((flat, np.repeat(np.arange(w.n), counts), counts))
+                    (va, oa, na), (vb, ob, nb) = sets
+                    values, owner = np.concatenate([va, vb]), np.concatenate([oa, ob])
+                    order = np.lexsort((values, owner))
+                    values, owner = values[order], owner[order]
+                    common = np.bincount(owner[1:][(values[1:] == values[:-1]) & (owner[1:] == owner[:-1])], minlength=c.num_rows)
+                    good = pa.array(100 * common >= percent * (na + nb - common))
+                    yield pa.RecordBatch.from_arrays([c.column(0).filter(good), c.column(1).filter(good)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, shared: int = SHARED, crowd: int = CROWD
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
-    Texts with the same word sequence are one node.  Each node posts under its
-    ``coordinates`` pairs of coordinate and minimum; two nodes that agree in
-    ``matches`` of them share one of their first coordinates - matches + 1 in
-    any fixed order, so only that prefix is posted.  At the default figures two
-    sets of Jaccard similarity 0.8 miss the threshold once in a million pairs.
+    Texts with the same word sequence are one node.  Each node posts under pairs
+    of coordinate and minimum.  With the pairs of every node in one fixed order,
+    two nodes that agree in ``matches`` of ``coordinates`` share ``shared`` of
+    their first coordinates - matches + shared, so only that prefix is posted,
+    and a node with fewer of its posts in lists of two or more is skipped.  At
+    the default figures two sets of Jaccard similarity 0.8 miss the threshold of
+    matches once in a million pairs.
 
     A list is not expanded into all its pairs.  First every node is tried
     against the list's most connected node (the one whose lists are longest):
@@ -135,36 +158,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     table = stored(signatures(docs, size, coordinates), "signatures")
     full = table.filter("n_shingles > 0")
-    nodes = stored(full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low")), "nodes")
-    prefix = coordinates - matches + 1
-    posts = nodes.select("seq", F.col("n_shingles").alias("n"), F.explode(F.slice("sig", 1, prefix)).alias("pair"))
+    nodes = full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prefix = coordinates - matches + shared
+    pairs = F.array_sort(F.transform("sig", lambda v, k: v.cast("long") * coordinates + k))
+    posts = nodes.select("node", F.explode(F.slice(pairs, 1, prefix)).alias("pair"))
     lists = posts.groupBy("pair").agg(F.count("*").alias("length")).filter("length > 1")
-    live = stored(posts.join(lists, "pair"), "posts")
-
-    weights = live.groupBy("seq").agg(F.sum("length").alias("weight"))
-    heads = live.join(weights, "seq").groupBy("pair").agg(F.max(F.struct("weight", "seq")).alias("top")).select("pair", F.col("top.seq").alias("head"))
+    live = stored(posts.join(lists, "pair").select("node", "pair"), "posts")
+    able = live.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select("node")
+    live = live.join(able, "node", "left_semi")
+    lists = live.groupBy("pair").agg(F.count("*").alias("length")).filter("length > 1")
+    live = stored(live.join(lists, "pair"), "live")
+
+    weights = live.groupBy("node").agg(F.sum("length").alias("weight"))
+    heads = live.join(weights, "node").groupBy("pair").agg(F.max(F.struct("weight", "node")).alias("top")).select("pair", F.col("top.node").alias("head"))
     heads = stored(heads, "heads")
-    tried = live.join(heads, "pair").filter("seq <> head").select(F.col("seq").alias("a"), F.col("head").alias("b")).distinct()
+    tried = live.join(heads, "pair").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     star = stored(_matched(tried, nodes, matches, percent), "star")
 
-    # Sets only of nodes that are in a list, from the texts themselves.
-    needed = live.select("seq").distinct().join(nodes.select("seq", "key"), "seq").select("seq", F.col("key").alias("of_key"))
-    body = F.coalesce("text", F.lit(""))
-    texts = docs.select(body.alias("text"), F.unhex(F.md5(body)).alias("key"))
-    texts = texts.join(needed, F.col("key") == F.col("of_key")).groupBy("seq").agg(F.first("text").alias("text"))
-    sets = stored(_sets(texts, size), "sets")
-    links = stored(_confirmed(star, sets, percent), "star-links")
+    # Full texts of the nodes that a pair or a crowded list has, once each.
+    wanted = star.select(F.col("a").alias("node")).union(star.select("b")).union(live.filter(F.col("length") >= crowd).select("node")).distinct()
+    texts = stored(_texts(docs, nodes, wanted), "texts")
+    links = stored(_confirmed(star, texts, percent, size), "star-links")
     labels = components(links)
 
-    placed = live.join(labels, live["seq"] == labels["node"], "left").select("pair", "length", "seq", "n", F.coalesce("comp", "seq").alias("comp"))
+    placed = live.join(labels, "node", "left").select("pair", "length", "node", F.coalesce("comp", "node").alias("comp"))
     mains = heads.join(labels, heads["head"] == labels["node"], "left").select("pair", F.coalesce("comp", "head").alias("main"))
     placed = placed.join(mains, "pair")
     mixed = placed.filter("comp <> main").select("pair").distinct()
-    placed = stored(placed.join(mixed, "pair", "left_semi"), "mixed-posts")
-    crowded = placed.filter(F.col("length") >= crowd).select("seq").distinct()
-    words = sets.join(crowded, "seq", "left_semi").select("seq", F.explode("shingles").alias("shingle"))
-    alone = words.groupBy("shingle").agg(F.count("*").alias("k"), F.min("seq").alias("seq")).filter("k = 1").groupBy("seq").agg(F.count("*").alias("own"))
-    bounded = placed.join(alone, "seq", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    placed = stored(placed.join(mixed, "pair", "left_semi").join(nodes.select("node", F.col("n_shingles").alias("n")), "node"), "mixed")
+    crowded = placed.filter(F.col("length") >= crowd).select("node").distinct()
+    shingles = _sets(texts.join(crowded, "node", "left_semi").select("node", "text"), size).select("node", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    bounded = placed.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
 
     def enough(overlap, n, m):
         return 100 * overlap >= percent * (n + m - overlap)
@@ -175,15 +201,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     low = F.ceil(F.col("n") * percent / 100)
     high = F.floor(F.col("most") * (100 + percent) / percent - F.col("n"))
     x = bounded.filter("comp <> main").withColumns({"low": low, "high": high}).filter((F.col("high") >= F.col("low")) & (F.col("low") > 0))
-    x = x.select("pair", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("seq").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
-    y = bounded.select("pair", band(F.col("n")).alias("band"), F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
+    x = x.select("pair", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
+    y = bounded.select("pair", band(F.col("n")).alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
     cross = x.join(y, ["pair", "band"]).filter((F.col("ca") != F.col("cb")) & enough(F.least("ma", "mb"), F.col("na"), F.col("nb")))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(_matched(cross, nodes, matches, percent), sets, percent)
-    links = stored(links.union(more), "links-all")
-    labels = components(links)
-
-    classes = nodes.join(labels, nodes["seq"] == labels["node"], "left").select("seq", "low", F.coalesce("comp", "seq").alias("comp"))
+    cross = stored(_matched(cross, nodes, matches, percent), "cross")
+    if cross.limit(1).count():
+        wanted = cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct().join(texts, "node", "left_anti")
+        if wanted.limit(1).count():
+            texts = texts.union(stored(_texts(docs, nodes, wanted), "texts"))
+        links = stored(links.union(_confirmed(cross, texts, percent, size)), "links-all")
+        labels = components(links)
+
+    classes = nodes.join(labels, "node", "left").select("seq", "low", F.coalesce("comp", "node").alias("comp"))
     lows = classes.groupBy("comp").agg(F.min("low").alias("component_low"))
     classes = classes.join(lows, "comp").select(F.col("seq").alias("of_seq"), "component_low")
     out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("seq")).alias("seq"))
@@ -192,6 +222,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; copies of a text meet before they move."""
+    needed = nodes.select("node", F.col("key").alias("of_key")).join(wanted, "node", "left_semi")
+    body = F.coalesce("text", F.lit(""))
+    found = docs.select(body.alias("text"), F.unhex(F.md5(body)).alias("key")).join(needed, F.col("key") == F.col("of_key"))
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one for each component, and all without an id."""
     kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
