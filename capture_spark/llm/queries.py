@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, quality, sharding
+from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, quality, sharding, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_top_k": neighbours.query,
     "op6_source_mixing": mixing.query,
     "op7_license_scan": licenses.query,
+    "op8_substring_dedup": substrings.query,
     "op9_sharding": sharding.query,
 }
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op4_exact_top_k": neighbours.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op7_license_scan": licenses.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
 }
