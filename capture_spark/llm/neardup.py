@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ COORDINATES = 64
 MATCHES = 35
 SHARED = 5
 CROWD = 64
-BAND = math.log(1.02)
+BLOCK = 256
+COLUMNS = 4096
 
 
 def _shingles(texts: pa.Array, size: int) -> tuple[tx.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +147,9 @@ def near_duplicates(
     against the list's most connected node (the one whose lists are longest):
     collisions are counted on the whole signatures, and pairs at the threshold
     are confirmed on full shingle sets.  Then only nodes outside the component
-    of that node are tried against the list, in bands of set size.  In lists of
-    ``crowd`` nodes or more that are still mixed, the shingles that no other
-    node there has bound a node's largest possible overlap, which rules out
-    most pairs before they are made; no pair that could link is left out.
+    of that node are tried against the list: pair by pair in lists of under
+    ``crowd`` nodes, and by blocks of nodes in longer ones, where a task compares
+    the full sets of two blocks and returns no more links than join them up.
 
     A null or blank text is linked with nothing, not even its like.  Rows
     without an id take the component of a row with an id and an equal or near
@@ -187,31 +187,24 @@ def near_duplicates(
     placed = placed.join(mains, "pair")
     mixed = placed.filter("comp <> main").select("pair").distinct()
     placed = stored(placed.join(mixed, "pair", "left_semi").join(nodes.select("node", F.col("n_shingles").alias("n")), "node"), "mixed")
-    crowded = placed.filter(F.col("length") >= crowd).select("node").distinct()
-    shingles = _sets(texts.join(crowded, "node", "left_semi").select("node", "text"), size).select("node", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    bounded = placed.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-
-    def enough(overlap, n, m):
-        return 100 * overlap >= percent * (n + m - overlap)
-
-    def band(x):
-        return F.floor(F.log(x.cast("double")) / BAND)
-
-    low = F.ceil(F.col("n") * percent / 100)
-    high = F.floor(F.col("most") * (100 + percent) / percent - F.col("n"))
-    x = bounded.filter("comp <> main").withColumns({"low": low, "high": high}).filter((F.col("high") >= F.col("low")) & (F.col("low") > 0))
-    x = x.select("pair", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
-    y = bounded.select("pair", band(F.col("n")).alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
-    cross = x.join(y, ["pair", "band"]).filter((F.col("ca") != F.col("cb")) & enough(F.least("ma", "mb"), F.col("na"), F.col("nb")))
+    few = placed.filter(F.col("length") < crowd)
+    x = few.filter("comp <> main").select("pair", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = few.select("pair", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    cross = x.join(y, "pair").filter((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = stored(_matched(cross, nodes, matches, percent), "cross")
+    crowded = placed.filter(F.col("length") >= crowd)
+    blocks = stored(_block_links(crowded, texts, percent, size), "block-links")
+    if blocks.limit(1).count():
+        links = links.union(blocks)
+        labels = None
     if cross.limit(1).count():
         wanted = cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct().join(texts, "node", "left_anti")
         if wanted.limit(1).count():
             texts = texts.union(stored(_texts(docs, nodes, wanted), "texts"))
         links = stored(links.union(_confirmed(cross, texts, percent, size)), "links-all")
-        labels = components(links)
+        labels = None
+    labels = labels or components(links)
 
     classes = nodes.join(labels, "node", "left").select("seq", "low", F.coalesce("comp", "node").alias("comp"))
     lows = classes.groupBy("comp").agg(F.min("low").alias("component_low"))
@@ -222,6 +215,62 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def _block_links(crowded: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links between nodes outside a main component and nodes of its lists.
+
+    (a, b) rows that connect what the links of each pair of blocks connect.
+    """
+    ys = crowded.select("main", "node").distinct()
+    xs = crowded.filter("comp <> main").select("main", "node").distinct()
+    counts = ys.groupBy("main").agg(F.count("*").alias("ny")).join(xs.groupBy("main").agg(F.count("*").alias("nx")), "main")
+    counts = counts.select("main", F.ceil(F.col("nx") / BLOCK).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK).cast("int").alias("by"))
+    sets = _sets(texts.join(ys.select("node").distinct(), "node", "left_semi").select("node", "text"), size)
+    sets = stored(sets, "crowd-sets")
+
+    def dealt(rows: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        rows = rows.join(counts, "main").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        return rows.join(sets, "node").select("main", "xb", "yb", "node", "shingles")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.concatenate([x["node"].to_numpy(np.int64), y["node"].to_numpy(np.int64)])
+        lists = [np.asarray(v, np.int64) for v in [*x["shingles"], *y["shingles"]]]
+        counts = np.array([len(v) for v in lists])
+        owner = np.repeat(np.arange(len(lists)), counts)
+        ids, column, times = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        common = np.zeros((len(x), len(y)), np.float32)
+        for start in range(0, int((times > 1).sum()), COLUMNS):
+            here = (column >= start) & (column < start + COLUMNS)
+            dense = np.zeros((len(lists), COLUMNS), np.float32)
+            dense[owner[here], column[here] - start] = 1
+            common += dense[: len(x)] @ dense[len(x) :].T
+        linked = 100 * common >= percent * (counts[: len(x), None] + counts[None, len(x) :] - common)
+        a, b, seen_y = [], [], np.zeros(len(y), bool)
+        left = set(range(len(x)))
+        while left:  # a spanning forest of the links
+            todo = [left.pop()]
+            while todo:
+                i = todo.pop()
+                for j in np.flatnonzero(linked[i] & ~seen_y):
+                    seen_y[j] = True
+                    a.append(nodes[i])
+                    b.append(nodes[len(x) + j])
+                    for k in np.flatnonzero(linked[:, j]):
+                        if k in left:
+                            left.discard(k)
+                            todo.append(k)
+                            a.append(nodes[k])
+                            b.append(nodes[len(x) + j])
+        found = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return found[found["a"] != found["b"]]
+
+    keys = ["main", "xb", "yb"]
+    x, y = dealt(xs, "xb", "yb", "bx", "by"), dealt(ys, "yb", "xb", "by", "bx")
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes; copies of a text meet before they move."""
     needed = nodes.select("node", F.col("key").alias("of_key")).join(wanted, "node", "left_semi")
