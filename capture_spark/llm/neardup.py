@@ -230,7 +230,7 @@ def _block_links(crowded: DataFrame, texts: DataFrame, percent: int, size: int)
     def dealt(rows: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
         rows = rows.join(counts, "main").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
         rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-        return rows.join(sets, "node").select("main", "xb", "yb", "node", "shingles")
+        return rows.join(sets, "node").select(*[F.col(c).alias(c) for c in ("main", "xb", "yb", "node", "shingles")])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         nodes = np.concatenate([x["node"].to_numpy(np.int64), y["node"].to_numpy(np.int64)])
