@@ -12,6 +12,7 @@ from capture_spark.llm.tables import positions, stored
 SHARDS = 16
 CELLS = 4096
 HEAVY = 1024
+PIECE_ROWS = 64
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -42,7 +43,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, h
     Equal texts make a group, and a group stays in one shard unless it has over
     1/``heavy`` of all bytes, tokens or rows.  Such groups, of which there are
     three times ``heavy`` at most, are packed one by one; one with more bytes
-    than half a shard is first cut into pieces of 1/(4 shards) of all bytes.
+    than half a shard is first cut into pieces of 1/(4 shards) of all bytes, by a
+    digest of the id, as long as a piece has ``PIECE_ROWS`` rows or more.
     All other groups are hashed into ``cells`` cells, which are packed as the
     items that they sum up to.  So the driver holds cells + 3 heavy + 4 shards
     vectors, whatever the input, and each group's size is summed in Spark before
@@ -71,7 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, h
 
     items, names = [], []
     for r in large:
-        cut = 1 if r["bytes"] * 2 * shards <= total["bytes"] else -(-r["bytes"] * 4 * shards // total["bytes"])
+        cut = 1 if r["bytes"] * 2 * shards <= total["bytes"] else min(-(-r["bytes"] * 4 * shards // total["bytes"]), max(1, r["rows"] // PIECE_ROWS))
         for k in range(cut):
             items.append([r["bytes"] / cut, r["tokens"] / cut, r["rows"] / cut])
             names.append((r["group"], k, cut))
