@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, quality, sharding, substrings
+from pyspark.sql import DataFrame, SparkSession
+
+from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, pieces, quality, scoring, sharding, substrings
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_minhash_near_dedup": neardup.query,
     "op3_html_extraction": pages.query,
     "op4_exact_top_k": neighbours.query,
+    "op5_lm_scoring": scoring.query,
     "op6_source_mixing": mixing.query,
     "op7_license_scan": licenses.query,
     "op8_substring_dedup": substrings.query,
     "op9_sharding": sharding.query,
+    "op10_sentencepiece": pieces.query,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
