@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_spark.shared import written
+
 XYZ = ("x", "y", "z")
 
 
@@ -76,7 +78,7 @@ def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
 
     Points meet the points of the 27 cells around theirs; what they find is exact
     within one cell's width.  A point with fewer than k others that near asks
-    again with cells twice as wide, until every point of a scene is in reach.
+    again with cells eight times as wide, until every point of a scene is in reach.
     """
     ids = points.select("scene_id", "point3d_id", *XYZ)
     todo, done = ids, None
@@ -91,12 +93,14 @@ def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
         ranked = pairs.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("scene_id", "point3d_id", "rank", "other_id", "distance")
         last = cell > widest
         sure = ranked.groupBy("scene_id", "point3d_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= cell)))
+        sure = written(sure, "knn-sure")
         found = ranked.join(sure.select("scene_id", "point3d_id"), ["scene_id", "point3d_id"], "left_semi")
+        found = written(found, "knn")
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        todo = todo.join(sure, ["scene_id", "point3d_id"], "left_anti")
-        cell *= 4
+        todo = written(todo.join(sure, ["scene_id", "point3d_id"], "left_anti"), "knn-todo")
+        cell *= 8
 
 
 def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> DataFrame:

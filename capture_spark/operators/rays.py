@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-_RAY = Window.partitionBy("ray_id").orderBy("sample_idx")
-_BEFORE = _RAY.rowsBetween(Window.unboundedPreceding, -1)
-_UP_TO = _RAY.rowsBetween(Window.unboundedPreceding, 0)
+
+def _along(end: int) -> WindowSpec:
+    """The samples of a ray from the first to this one (0) or the one before (-1); one order serves all."""
+    return Window.partitionBy("ray_id").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, end)
 
 
 def ray_weights(samples: DataFrame) -> DataFrame:
     """Add ``alpha``, ``transmittance`` and ``weight``; not-a-number weights count 0."""
     s = samples.withColumn("mass", F.col("delta") * F.col("density"))
-    s = s.withColumns({"alpha": 1 - F.exp(-F.col("mass")), "transmittance": F.exp(-F.coalesce(F.sum("mass").over(_BEFORE), F.lit(0.0)))})
+    s = s.withColumns({"alpha": 1 - F.exp(-F.col("mass")), "transmittance": F.exp(-F.coalesce(F.sum("mass").over(_along(-1)), F.lit(0.0)))})
     return s.withColumn("weight", F.nanvl(F.col("alpha") * F.col("transmittance"), F.lit(0.0)))
 
 
 def alpha_weights(samples: DataFrame) -> DataFrame:
     """Weights from alphas: the product of what samples before let through, as a sum of logarithms."""
     s = samples.withColumn("alpha", 1 - F.exp(-F.col("delta") * F.col("density")))
-    through = F.exp(F.coalesce(F.sum(F.log(1 - F.col("alpha") + 1e-7)).over(_BEFORE), F.lit(0.0)))
+    through = F.exp(F.coalesce(F.sum(F.log(1 - F.col("alpha") + 1e-7)).over(_along(-1)), F.lit(0.0)))
     return s.withColumn("transmittance", through).withColumn("weight", F.col("alpha") * F.col("transmittance"))
 
 
@@ -40,7 +42,7 @@ def _middle() -> Column:
 
 def depth_median(samples: DataFrame) -> DataFrame:
     """The first middle where half the weight lies behind, else the last."""
-    w = ray_weights(samples).withColumns({"sum": F.sum("weight").over(_UP_TO), "mid": _middle()})
+    w = ray_weights(samples).withColumns({"sum": F.sum("weight").over(_along(0)), "mid": _middle()})
     half = F.min(F.when(F.col("sum") >= 0.5, F.struct("sample_idx", "mid")))
     return w.groupBy("ray_id").agg(F.coalesce(half["mid"], F.max(F.struct("sample_idx", "mid"))["mid"]).alias("depth"))
 
@@ -60,7 +62,7 @@ def composite_channel(samples: DataFrame, channel: str) -> DataFrame:
 def ray_distortion(samples: DataFrame) -> DataFrame:
     """Sum over pairs of w w |m - m| plus a third of w w delta, by prefix sums."""
     w = ray_weights(samples).withColumn("mid", _middle())
-    w = w.withColumns({"sw": F.coalesce(F.sum("weight").over(_BEFORE), F.lit(0.0)), "swm": F.coalesce(F.sum(F.col("weight") * F.col("mid")).over(_BEFORE), F.lit(0.0))})
+    w = w.withColumns({"sw": F.coalesce(F.sum("weight").over(_along(-1)), F.lit(0.0)), "swm": F.coalesce(F.sum(F.col("weight") * F.col("mid")).over(_along(-1)), F.lit(0.0))})
     pairs = F.sum(2 * F.col("weight") * (F.col("mid") * F.col("sw") - F.col("swm")))
     return w.groupBy("ray_id").agg((pairs + F.sum(F.col("weight") * F.col("weight") * F.col("delta")) / 3).alias("distortion"))
 
@@ -101,7 +103,7 @@ def resample_pdf(samples: DataFrame, n: int, padding: float = 0.01) -> DataFrame
     """
     w = ray_weights(samples).withColumn("p", F.col("weight") + padding)
     w = w.withColumn("whole", F.sum("p").over(Window.partitionBy("ray_id")))
-    w = w.withColumns({"lo": F.coalesce(F.sum("p").over(_BEFORE), F.lit(0.0)) / F.col("whole"), "hi": F.sum("p").over(_UP_TO) / F.col("whole")})
+    w = w.withColumns({"lo": F.coalesce(F.sum("p").over(_along(-1)), F.lit(0.0)) / F.col("whole"), "hi": F.sum("p").over(_along(0)) / F.col("whole")})
     w = w.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", (F.col("k") + 0.5) / n)
     w = w.filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     return w.select("ray_id", "k", (F.col("t_start") + F.col("delta") * (F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("t"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capture_spark import shared
 from capture_spark.fixtures import view, with_views
 from capture_spark.operators import joins, pixels, points, rays, scenes, telemetry
 from capture_spark.streaming import telemetry as live
@@ -176,8 +176,7 @@ def _streamed(name: str, build: Callable[[DataFrame], DataFrame], mode: str, res
     """A streaming query run over the events at hand; its batches are a Parquet table in the shared folder."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = f"{shared.folder(spark)}/{name}-{uuid.uuid4().hex}"
         path = f"{sf_dir}/events.parquet"
         # A stream reads folders; the events are copied into one if they are a single file.
         events = spark.read.parquet(path)
