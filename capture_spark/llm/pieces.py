@@ -26,7 +26,7 @@ from capture_spark.llm import text as tx
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
-CACHED = 1 << 18
+CACHED = 1 << 19
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 UNSEEN = -1e8  # floor for pieces that the model scores as never to be used
 
@@ -156,7 +156,18 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(MARK + _escaped(text))
 
 
-def encode(text: str, v: Vocabulary, n: int, cache: dict) -> list[tuple[float, list[tuple], dict[int, list[int]]]]:
+_of_worker: dict[bytes, tuple[Vocabulary, dict, dict]] = {}
+
+
+def of_worker(model: bytes) -> tuple[Vocabulary, dict, dict]:
+    """The vocabulary and the chunks met so far, kept by a Python worker from task to task."""
+    if model not in _of_worker:
+        _of_worker.clear()
+        _of_worker[model] = Vocabulary(model), {}, {}
+    return _of_worker[model]
+
+
+def encode(text: str, v: Vocabulary, n: int, cache: dict, searched: dict) -> list[tuple[float, list[tuple], dict[int, list[int]]]]:
     """The n best (score, chunk records, chunks on another path) of a text; ``path_ids`` gives a path's ids.
 
     Forward scores give each chunk's best path and its loss to the second best.
@@ -165,24 +176,34 @@ def encode(text: str, v: Vocabulary, n: int, cache: dict) -> list[tuple[float, l
     """
     if not text:
         return [(0.0, [], {})]
-    parts, total = [], 0.0
-    for c in chunks(text):
-        got = cache.get(c)
-        if got is None:
-            best, second, cuts = forward(c, v)
-            got = (best[-1] - second, best[-1], v.ids(c, cuts), c)
-            if len(c) <= 64:
-                if len(cache) >= CACHED:
-                    cache.clear()
-                cache[c] = got
-        parts.append(got)
-        total += got[1]
+    marked = chunks(text)
+    parts = [cache.get(c) for c in marked]
+    if None in parts:
+        for i, c in enumerate(marked):
+            if parts[i] is None:
+                got = cache.get(c)
+                if got is None:
+                    best, second, cuts = forward(c, v)
+                    got = (best[-1] - second, best[-1], v.ids(c, cuts), c)
+                    if len(c) <= 64:
+                        if len(cache) >= CACHED:
+                            cache.clear()
+                        cache[c] = got
+                parts[i] = got
+    total = sum([p[1] for p in parts])
+    losses = [p[0] for p in parts]
     sums: list[tuple[float, tuple[tuple[int, list[int]], ...]]] = [(0.0, ())]
-    for loss, i in heapq.nsmallest(n - 1, ((p[0], i) for i, p in enumerate(parts))):
+    for loss, i in heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)):
         if loss == np.inf:
             break
         c = parts[i][3]
-        paths = [(parts[i][1] - s, v.ids(c, cuts)) for s, cuts in n_best(c, v, n)]
+        paths = searched.get((c, n))
+        if paths is None:
+            paths = [(parts[i][1] - s, v.ids(c, cuts)) for s, cuts in n_best(c, v, n)]
+            if len(c) <= 64:
+                if len(searched) >= CACHED // 8:
+                    searched.clear()
+                searched[c, n] = paths
         sums = heapq.nsmallest(n, [(lost + more, (*took, (i, ids)) if k else took) for lost, took in sums for k, (more, ids) in enumerate(paths)], key=lambda x: x[0])
     return [(total - loss, parts, dict(took)) for loss, took in sums]
 
@@ -199,7 +220,7 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "t
 
     ``ids`` is the best segmentation, ``best_scores`` the scores of the n best in
     order, and ``decoded`` the text that the ids give back, which is the text.
-    One pass without a shuffle; a task keeps the best paths of the chunks it has met,
+    One pass without a shuffle; a worker keeps the best paths of the chunks it has met,
     ``CACHED`` at most.  Null texts are empty and have no ids; extra columns ride
     along, and those with these names are replaced.
     """
@@ -210,11 +231,11 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "t
     schema = source.withColumns({"ids": F.lit(None).cast("array<int>"), "best_scores": F.lit(None).cast("array<double>"), "decoded": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = Vocabulary(data), {}
+        v, cache, searched = of_worker(data)
         for b in tx.slices(batches, text):
             ids, ends, scores, decoded = array("i"), [], [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                best = encode(t or "", v, n, cache)
+                best = encode(t or "", v, n, cache, searched)
                 first = path_ids(best[0][1], {})
                 ids.extend(first)
                 ends.append(len(ids))

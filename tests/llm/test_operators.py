@@ -291,7 +291,7 @@ def test_pieces(spark, docs):
         return [s for s, _ in sorted(found, key=lambda x: -x[0])[:n]]
 
     for text in ("the cat", "  a b  ", "ab\ncd", "é▁x", "Thnd here an", "日本 x", "a"):
-        best = pieces.encode(text, v, 4, {})
+        best = pieces.encode(text, v, 4, {}, {})
         assert [b[0] for b in best] == brute(text, 4)
         paths = [pieces.path_ids(p, other) for _, p, other in best]
         assert len({tuple(p) for p in paths}) == len(paths) and all(v.decode(p) == text for p in paths)
