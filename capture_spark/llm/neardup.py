@@ -20,7 +20,7 @@ COORDINATES = 64
 MATCHES = 35
 SHARED = 5
 CROWD = 64
-BLOCK = 256
+BLOCK = 512
 COLUMNS = 4096
 
 
