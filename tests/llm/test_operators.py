@@ -137,6 +137,12 @@ def test_pages(spark):
     assert rows(pages.main_text(df.limit(0))) == []
 
 
+def test_pages_large_hosts(spark, sf):
+    df = spark.read.parquet(f"{sf}/pages.parquet")
+    small, joined = (sorted(map(tuple, rows(pages.main_text(df, 3, n)))) for n in (100_000, 0))
+    assert small == joined and len(small) == df.count()
+
+
 def test_pages_given(spark, sf):
     import re
 
