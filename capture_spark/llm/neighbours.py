@@ -12,6 +12,8 @@ SCALE = 256
 TOP = 5
 FAN = 12
 LEAF = 48
+FIRST_ROWS = 256
+ROWS = 4096
 BLOCK = 16384
 
 
@@ -80,6 +82,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     if not len(queries) or not len(data):
         return np.where(np.isinf(best_score), -1, best_id), best_score
     qt, xt = CoverTree(queries, query_ids), CoverTree(data, data_ids)
+    sizes = np.array([e - s for s, e in xt.span])
 
     def bound(q: int, nodes: np.ndarray) -> np.ndarray:
         return xt.centres[nodes] @ qt.centres[q] + qt.radii[q] * xt.norms[nodes] + xt.radii[nodes] * qt.norms[q] + qt.radii[q] * xt.radii[nodes] + 1e-6
@@ -93,18 +96,23 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
         keep = (ub > worst + 2e-6) | ((ub >= worst) & (xt.least[nodes] < last))
         return nodes[keep], ub[keep]
 
-    def base(q: int, node: int) -> None:
+    def base(q: int, nodes: np.ndarray) -> None:
         s, e = qt.span[q]
         rows = qt.order[s:e]
-        a, b = xt.span[node]
-        scores = qt.points[s:e] @ xt.points[a:b].T
-        scores[qt.ids[s:e, None] == xt.ids[None, a:b]] = -np.inf
+        at = np.concatenate([np.arange(*xt.span[n]) for n in nodes])
+        scores = qt.points[s:e] @ xt.points[at].T
+        scores[qt.ids[s:e, None] == xt.ids[None, at]] = -np.inf
         both = np.concatenate([best_score[rows], scores], 1)
-        ids = np.concatenate([best_id[rows], np.broadcast_to(xt.ids[a:b], scores.shape)], 1)
-        ids = np.where(np.isinf(both), np.iinfo(np.int64).max, ids)
-        pick = np.lexsort((ids, -both), axis=1)[:, :top]
-        best_score[rows] = np.take_along_axis(both, pick, 1)
-        best_id[rows] = np.take_along_axis(ids, pick, 1)
+        ids = np.concatenate([best_id[rows], np.broadcast_to(xt.ids[at], scores.shape)], 1)
+        kth = np.partition(both, -top, axis=1)[:, -top]
+        r, c = np.nonzero(both >= kth[:, None])  # all that tie with the kth, too
+        score = both[r, c]
+        ident = np.where(np.isinf(score), np.iinfo(np.int64).max, ids[r, c])
+        by = np.lexsort((ident, -score, r))
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        first = place < top
+        best_score[rows[r[first]], place[first]] = score[by][first]
+        best_id[rows[r[first]], place[first]] = ident[by][first]
 
     def open_nodes(nodes: np.ndarray) -> np.ndarray:
         return np.array([c for n in nodes for c in (xt.children[n] or [n])], np.int64)
@@ -112,23 +120,22 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     todo = [(0, np.zeros(1, np.int64))]
     while todo:
         q, nodes = todo.pop()
-        nodes, _ = alive(q, nodes)
-        if not len(nodes):
-            continue
+        nodes, ub = alive(q, nodes)
         if qt.children[q]:
-            nodes = open_nodes(nodes)
-            todo += [(c, nodes) for c in qt.children[q]]
+            if len(nodes):
+                nodes = open_nodes(nodes)
+                todo += [(c, nodes) for c in qt.children[q]]
             continue
-        while len(nodes):  # best node first, down to its leaf
-            nodes, ub = alive(q, nodes)
-            if not len(nodes):
-                break
-            k = int(ub.argmax())
-            node, nodes = int(nodes[k]), np.delete(nodes, k)
-            if xt.children[node]:
-                nodes = np.concatenate([nodes, np.array(xt.children[node], np.int64)])
-            else:
-                base(q, node)
+        while any(xt.children[n] for n in nodes):
+            nodes, ub = alive(q, open_nodes(nodes))
+        by, room = np.argsort(-ub, kind="stable"), FIRST_ROWS
+        nodes = nodes[by]
+        while len(nodes):  # leaves by falling bound, a few first, then as many as ROWS rows
+            nodes, _ = alive(q, nodes)
+            take = max(1, int(np.searchsorted(np.cumsum(sizes[nodes]), room, "right")))
+            if len(nodes):
+                base(q, nodes[:take])
+            nodes, room = nodes[take:], min(4 * room, ROWS)
     return np.where(np.isinf(best_score), -1, best_id), best_score
 
 
