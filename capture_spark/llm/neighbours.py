@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 SCALE = 256
 TOP = 5
 FAN = 12
-LEAF = 48
-FIRST_ROWS = 256
+LEAF = 256
+FIRST_ROWS = 512
 ROWS = 4096
 BLOCK = 16384
 
