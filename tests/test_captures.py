@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from capture_spark.operators import pixels, points, rays, scenes
-from capture_spark.plans import captures
+from capture_spark.plans import catalog as captures
 from capture_spark.sources import captures as files
 
 TABLES = "orders lineitem part events customer supplier".split()
