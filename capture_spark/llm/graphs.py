@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capture_spark.llm.tables import stored
+from capture_spark.llm.tables import settled, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,6 +16,10 @@ def components(links: DataFrame) -> DataFrame:
     no label changes.  Labels are minima, so a node with very many links is
     summed up before the shuffle.
     """
+    return settled(links.sparkSession, "components", lambda: _labels(links))
+
+
+def _labels(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp"))
     labels = stored(labels, "labels")

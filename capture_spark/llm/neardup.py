@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
 from capture_spark.llm.graphs import components
-from capture_spark.llm.tables import stored
+from capture_spark.llm.tables import settled, stored
 
 SHINGLE = 4
 PERCENT = 80
@@ -156,6 +156,10 @@ def near_duplicates(
     text, else null, and are kept only then.  Repeated rows and extra columns
     are allowed; all rows with the smallest id of a component are kept.
     """
+    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, size, percent, coordinates, matches, shared, crowd))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, coordinates: int, matches: int, shared: int, crowd: int) -> DataFrame:
     table = stored(signatures(docs, size, coordinates), "signatures")
     full = table.filter("n_shingles > 0")
     nodes = full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
-from capture_spark.llm.tables import stored
+from capture_spark.llm.tables import settled, stored
 
 WINDOW = 35
 GRAM = 8
@@ -136,7 +136,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     words; shorter texts lose none; repeated rows count as copies; null ids and
     extra columns are allowed.  A text of any length is judged whole.
     """
-    found = _kept(repeated_words(docs, window, gram), window, "key binary, n_removed long, kept string", _digest)
+    found = settled(docs.sparkSession, "removed", lambda: _kept(repeated_words(docs, window, gram), window, "key binary, n_removed long, kept string", _digest))
     found = found.select(F.col("key").alias("of_key"), F.col("n_removed").alias("gone"), "kept")
     body = F.coalesce("text", F.lit(""))
 
@@ -154,7 +154,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; a text that loses words has the rest joined by blanks."""
-    found = _kept(repeated_words(docs, window, gram), window, "key binary, n_removed long, kept string", _text).filter("n_removed > 0")
+    found = settled(docs.sparkSession, "cut", lambda: _kept(repeated_words(docs, window, gram), window, "key binary, n_removed long, kept string", _text).filter("n_removed > 0"))
     found = found.select(F.col("key").alias("of_key"), "kept")
     out = docs.withColumn("cut_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     out = out.join(found, out["cut_key"] == found["of_key"], "left")

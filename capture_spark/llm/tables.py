@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the tables lie that the operator in ``settled`` has stored.
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
@@ -24,14 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a Parquet table in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs its own tasks only.
+    It cuts the lineage: a lost executor costs its own tasks only.  The shuffle
+    files of the write are of no more use then, and go with it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Store what ``make`` returns, then delete the tables that it stored on the way.
+
+    If it fails, they stay with the shared folder, as its failed jobs' files do.
+    """
+    mine: list[str] = []
+    token = _paths.set(mine)
+    try:
+        made = make()
+    finally:
+        _paths.reset(token)
+    out = stored(made, name)
+    for path in mine:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``position``: the place of each row within its group, from 0, gapless.
 
