@@ -18,7 +18,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _Q = 0x9E3779B97F4A7C15
 _U = np.uint64
