@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, pieces, quality, scoring, sharding, substrings
+from capture_spark.llm.tables import WRITING, settled, stored
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("th", "er", "on", "an", "re") for b in ("a", "e", "ing", "o") for c in ("nd", "st", "ly", "m", "")]
@@ -110,6 +111,22 @@ def test_near_duplicates_in_a_crowd(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(neardup.near_duplicates(df, crowd=crowd))} == want
 
 
+def test_settled_keeps_only_its_result(spark):
+    held, before = [], {k: spark.conf.get(k) for k in WRITING}
+
+    def make():
+        held.append(stored(spark.range(100), "held"))
+        held.append(settled(spark, "inner", lambda: stored(held[0], "gone").filter("id < 50")))
+        return held[0].join(held[1], "id")
+
+    out = settled(spark, "out", make)
+    assert out.count() == 50
+    assert {k: spark.conf.get(k) for k in WRITING} == before
+    for df in held:
+        with pytest.raises(Exception, match="(?i)not.?exist"):
+            df.collect()
+
+
 def test_near_dedup_keeps_one(docs):
     got = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in rows(neardup.deduplicated(docs)))
     want = sorted({c for _, c in components_of(list(enumerate(TEXTS))).values()})
