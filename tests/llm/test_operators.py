@@ -213,6 +213,13 @@ def test_scoring(spark, docs):
     assert rows(scoring.score(empty(spark))) == []
 
 
+def test_scoring_is_the_same_for_any_broadcast(spark, docs):
+    """What is broadcast does not change scores: rare tokens have their class counts too."""
+    few, all_ = (sorted((str(r["doc_id"]), r["n_known"], r["score"]) for r in rows(scoring.score(docs, **o))) for o in ({"frequent": 16}, {}))
+    assert [x[:2] for x in few] == [x[:2] for x in all_]
+    assert all(math.isclose(x[2], y[2], rel_tol=1e-9) for x, y in zip(few, all_, strict=True))
+
+
 def test_spelling_is_a_distribution():
     """Over all bytes at a place, the spelled probabilities add up to one."""
     r = np.random.default_rng(0)
