@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,54 +61,69 @@ RULES: dict[str, tuple[str, tuple[str, ...]]] = {
 
 END = r"\.+\s+|[:;!?]\s+|\.+$|\n+"
 DROPPED = r"[^a-z0-9]+"
+#: A list number: 1, 12, a, iv.
+NUMBER = "(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})"
 
 
 def normal(sentence: str) -> str:
     """The key of a known sentence: its normalised pieces, as the scan cuts them."""
-    import re
-
     pieces = [re.sub(DROPPED, " ", p.lower()).strip() for p in re.split(END, sentence)]
     return "\n".join(p for p in pieces if p)
 
 
+def _parts(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Identifier by piece, and the identifiers of each sentence's pieces."""
+    parts: dict[str, str] = {}
+    of: dict[str, list[str]] = {}
+    for name, sentence in sentences.items():
+        of[name] = []
+        for k, piece in enumerate(normal(sentence).split("\n")):
+            parts.setdefault(piece, f"{name}#{k}" if k else name)
+            of[name].append(parts[piece])
+    return parts, of
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, rules, licenses) for each row of ``docs``.
 
     A text is cut at sentence ends and line ends; each piece is lower-cased and
-    all but ASCII letters and digits become one blank.  Pieces that are a known
-    sentence (or a part of one that the cut makes) are mapped to identifiers by a
-    map literal, in order, and the others to none.  A rule matches where its
-    sentences' pieces stand one after the other with nothing but licence pieces
-    between them; a match inside a longer match of the same start is not listed.
+    all but ASCII letters and digits become one blank.  A known sentence (or a
+    part of one that the cut makes) is a run of whole pieces that has its words,
+    so it may be wrapped over lines, with indents or comment marks, and may stand
+    after a list number; the longest one counts.  Known sentences are mapped to
+    identifiers by a map literal, in order, pieces that are only a list number
+    are passed over, and the others are mapped to none.  A rule matches where its
+    sentences' parts stand in order with nothing but licence sentences between
+    them; a match inside a longer match of the same start is not listed.
     All of it is column work in one pass, so a row never leaves its task.  Null
     and empty texts have no sentences; repeated rows, null ids and extra columns
     are allowed; licences are listed once each in order of name.
     """
-    parts: dict[str, str] = {}
-    of: dict[str, list[str]] = {}
-    for name, sentence in sentences.items():
-        of[name] = []
-        for k, piece in enumerate(normal(sentence).split("\n")):
-            parts.setdefault(piece, f"{name}#{k}" if k else name)
-            of[name].append(parts[piece])
+    parts, of = _parts(sentences)
     known = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
     # Lines without any known sentence's words are dropped before they are normalised.
     clean = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), END), lambda s: F.trim(F.regexp_replace(s, DROPPED, " ")))
     pieces = F.filter(clean, lambda s: s != "")
-    ids = F.transform(F.col("pieces"), lambda s: F.coalesce(F.element_at(known, s), F.lit("")))
-    # "" marks other text; the run string is ",a,b,,c," with a break for each of them.
+    # Each piece stands between line ends, so a wrapped sentence has a line end for some of its blanks; "|" sets matches apart.
+    lines = F.concat(F.lit("\n"), F.array_join(F.filter("pieces", lambda s: ~s.rlike(f"^{NUMBER}$")), "\n"), F.lit("\n"))
+    wrapped = "|".join(p.replace(" ", "[ \n]") for p in sorted(parts, key=len, reverse=True))
+    cut = F.split(F.regexp_replace("lines", f"\n(?:{NUMBER} )?({wrapped})(?=\n)", "|$1|"), r"\|")
+    ids = F.transform(F.col("cut"), lambda s, i: F.when(i % 2 == 1, F.element_at(known, F.replace(s, F.lit("\n"), F.lit(" ")))).when(F.trim(F.replace(s, F.lit("\n"), F.lit(""))) != "", F.lit("")))
+    # "" marks other text; the run string is ",a,b,,c," with a break for each stretch of it.
     runs = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    sequence = {rule: "," + ",".join(p for s in steps for p in of[s]) + "," for rule, (_, steps) in rules.items()}
+    steps_of = {rule: [p for s in steps for p in of[s]] for rule, (_, steps) in rules.items()}
+    pattern = {rule: "," + "(?:[^,]+,)*?".join(re.escape(p) + "," for p in steps) for rule, steps in steps_of.items()}
     found = {}
-    for rule, text in sequence.items():
-        hit = F.col("runs").contains(text)
-        for other, longer in sequence.items():
-            if other != rule and longer.startswith(text):
-                hit = hit & F.replace(F.col("runs"), F.lit(longer), F.lit(",")).contains(text)
+    for rule, steps in steps_of.items():
+        hit = F.col("runs").rlike(pattern[rule])
+        for other, longer in steps_of.items():
+            if other != rule and longer[: len(steps)] == steps:
+                hit = hit & F.regexp_replace("runs", pattern[other], ",").rlike(pattern[rule])
         found[rule] = hit
     matched = F.array_compact(F.array(*[F.when(hit, F.lit(rule)) for rule, hit in found.items()]))
     spdx = F.create_map(*[F.lit(x) for rule, (name, _) in rules.items() for x in (rule, name)])
-    step = docs.select("doc_id", pieces.alias("pieces")).select("doc_id", F.size("pieces").cast("long").alias("n_sentences"), ids.alias("ids"))
+    step = docs.select("doc_id", pieces.alias("pieces")).select("doc_id", F.size("pieces").cast("long").alias("n_sentences"), lines.alias("lines"))
+    step = step.select("doc_id", "n_sentences", cut.alias("cut")).select("doc_id", "n_sentences", F.array_compact(ids).alias("ids"))
     step = step.select("doc_id", "n_sentences", F.filter("ids", lambda s: s != "").alias("known"), runs.alias("runs"))
     step = step.select("doc_id", "n_sentences", F.array_join("known", ",").alias("sentence_ids"), matched.alias("rule_list"))
     return step.select(
@@ -123,13 +140,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    parts: dict[str, str] = {}
-    of: dict[str, list[str]] = {}
-    for name, sentence in SENTENCES.items():
-        of[name] = []
-        for k, piece in enumerate(normal(sentence).split("\n")):
-            parts.setdefault(piece, f"{name}#{k}" if k else name)
-            of[name].append(parts[piece])
+    parts, of = _parts(SENTENCES)
     known = ", ".join(f"('{p}', '{i}')" for p, i in parts.items())
     seq = {r: "," + ",".join(p for s in steps for p in of[s]) + "," for r, (_, steps) in RULES.items()}
     tests = []

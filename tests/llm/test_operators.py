@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -270,6 +271,38 @@ def test_licenses(spark, docs):
     assert rows(licenses.scan(empty(spark))) == []
 
 
+APACHE = """
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+
+
+def test_licenses_wrapped_and_numbered(spark):
+    said = licenses.SENTENCES
+    bsd = [said[s] for s in licenses.RULES["bsd-3-clause/text"][1]]
+    texts = [
+        "/*\n * Copyright 2020 Some One\n *" + APACHE,
+        *["\n\n".join(textwrap.fill(said[s], width) for s in licenses.RULES["mit/text"][1]) for width in (72, 80)],
+        "Own words\n" + "\n".join(textwrap.fill(x, 76, initial_indent=f"{i}. " if i else "", subsequent_indent="   ") for i, x in enumerate(bsd)) + "\nMore",
+        "\n".join(textwrap.fill(x, 76, initial_indent=f"({'abc'[i - 1]}) " if i else "") for i, x in enumerate(bsd[:3])),
+        bsd[0] + " " + said["reserved"] + " " + bsd[1] + " " + bsd[2],
+        bsd[0] + "\nOther words here\n" + bsd[1] + "\n" + bsd[2],
+        "Never released\nunder the MIT License.",
+        "Some | code: x | y\nReleased under\nthe MIT License.",
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [got[i] for i in range(len(texts))] == ["Apache-2.0", "MIT", "MIT", "BSD-3-Clause", "BSD-2-Clause", "BSD-2-Clause,LicenseRef-all-rights-reserved", "", "", "MIT"]
+
+
 def test_substrings(spark, docs):
     got = rows(substrings.removed(docs.withColumn("n_words", docs["n_chars"])))
     source = [(r["doc_id"], (r["text"] or "").encode().split()) for r in rows(docs)]
