@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -28,6 +29,7 @@ ROOT_MARKS = frozenset("articlebody main".split())
 # End of fixed values.
 DEPTH = 32
 LONG = 8
+FEW, MANY = 3, 16  # distinct pages
 PAGES_PER_SHARD = 512
 BROADCAST_HOSTS = 100_000
 
@@ -127,60 +129,92 @@ def suffix_order(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, li
     return order, ranks
 
 
-def boilerplate(tokens: np.ndarray, page: np.ndarray, least_pages: int, long: int = LONG) -> np.ndarray:
-    """Tokens inside a substring of ``long`` tokens that starts on ``least_pages`` distinct pages or more.
+def repeats(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the substrings of ``long`` tokens inside a page, the substring of each, and its number of distinct pages.
 
     In suffix order the suffixes that share their first ``long`` tokens (a power
-    of two) are a run of equal rank; runs on enough pages cover their tokens.
+    of two) are a run of equal rank.
     """
-    covered = np.zeros(len(tokens), bool)
     if len(tokens) < long:
-        return covered
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, ranks = suffix_order(tokens)
     rank = ranks[min(int(np.log2(long)), len(ranks) - 1)]
-    inside = np.zeros(len(tokens), bool)
-    inside[: len(tokens) - long + 1] = page[: len(tokens) - long + 1] == page[long - 1 :]
-    pairs = np.unique(np.stack([rank[inside], page[inside]], 1), axis=0)
-    pages = np.bincount(pairs[:, 0], minlength=int(rank.max()) + 1)
-    starts = np.flatnonzero(inside & (pages[rank] >= least_pages))
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + long, -1)
-    return np.cumsum(edge[:-1]) > 0
+    starts = np.flatnonzero(page[: len(tokens) - long + 1] == page[long - 1 :])
+    pairs = np.unique(np.stack([rank[starts], page[starts]], 1), axis=0)
+    return starts, rank[starts], np.bincount(pairs[:, 0], minlength=int(rank.max()) + 1)[rank[starts]]
+
+
+def enough(pages: int) -> int:
+    """On how many of a host's distinct pages a substring is boilerplate."""
+    return max(FEW, min(-(-pages // 4), MANY))
+
+
+class _Shard:
+    """The words of a shard's distinct pages, put end to end with a 0 after each block."""
+
+    def __init__(self, group: pd.DataFrame):
+        self.group = group
+        self.blocks = [list(zip(b, m, strict=True)) for b, m in zip(group["blocks"], group["in_main"], strict=True)]
+        self.whole = ["\n".join(b for b, _ in x) for x in self.blocks]
+        self.first = {t: k for k, t in reversed(list(enumerate(self.whole)))}  # copies of a page are one page
+        self.ids: dict[str, int] = {}
+        ids, tokens, page, block_at = self.ids, [], [], []
+        for k, x in enumerate(self.blocks):
+            if self.first[self.whole[k]] != k:
+                continue
+            for j, (b, _) in enumerate(x):
+                words = b.split(" ")
+                tokens += [ids.setdefault(w, len(ids) + 1) for w in words] + [0]
+                page += [k] * (len(words) + 1)
+                block_at += [j] * (len(words) + 1)
+        self.tokens, self.page, self.block_at = np.array(tokens, np.int64), np.array(page, np.int64), np.array(block_at, np.int64)
+        self.starts, self.rank, self.pages = repeats(self.tokens, self.page)
+
+    def hashes(self) -> np.ndarray:
+        """The hash of each substring, the same in all shards."""
+        words = [b"", *(w.encode("utf-8", "surrogatepass") for w in self.ids)]
+        of = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
+        return tx.Rolling(of[self.tokens]).spans(self.starts, self.starts + LONG).view(np.int64)
+
+    def texts(self, marked: np.ndarray) -> pd.DataFrame:
+        """The text of each page, given which substrings are boilerplate."""
+        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(edge, self.starts[marked], 1)
+        np.add.at(edge, self.starts[marked] + LONG, -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        share: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(self.tokens):
+            cut = np.flatnonzero(np.concatenate([[True], (self.page[1:] != self.page[:-1]) | (self.block_at[1:] != self.block_at[:-1])]))
+            for s, hit, n in zip(cut, np.add.reduceat(covered, cut), np.diff(np.append(cut, len(self.tokens))), strict=True):
+                share[int(self.page[s]), int(self.block_at[s])] = int(hit), int(n)
+        texts = []
+        for k, x in enumerate(self.blocks):
+            main = any(m for _, m in x)
+            own = [(b, *share[self.first[self.whole[k]], j]) for j, (b, m) in enumerate(x) if m or not main]
+            hits, size = sum(hit for _, hit, _ in own), sum(n for _, _, n in own)
+            spared = 2 * hits >= size if main else 10 * hits >= 9 * size  # the article itself is repeated
+            texts.append("\n".join(b for b, hit, n in own if spared or 2 * hit < n))
+        return pd.DataFrame({"page_id": self.group["page_id"], "url": self.group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def _host_text(group: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one shard of a host's pages."""
-    blocks = [list(zip(b, m, strict=True)) for b, m in zip(group["blocks"], group["in_main"], strict=True)]
-    whole = ["\n".join(b for b, _ in x) for x in blocks]
-    first = {t: k for k, t in reversed(list(enumerate(whole)))}  # copies of a page are one page
-    ids: dict[str, int] = {}
-    tokens, page, block_at = [], [], []
-    for k, x in enumerate(blocks):
-        if first[whole[k]] != k:
-            continue
-        for j, (b, _) in enumerate(x):
-            words = b.split(" ")
-            tokens += [ids.setdefault(w, len(ids) + 1) for w in words] + [0]
-            page += [k] * (len(words) + 1)
-            block_at += [j] * (len(words) + 1)
-    tokens, page, block_at = np.array(tokens, np.int64), np.array(page, np.int64), np.array(block_at, np.int64)
-    covered = boilerplate(tokens, page, max(2, -(-len(set(page.tolist())) // 4)))
-    share: dict[tuple[int, int], tuple[int, int]] = {}
-    if len(tokens):
-        cut = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (block_at[1:] != block_at[:-1])]))
-        for s, hit, n in zip(cut, np.add.reduceat(covered, cut), np.diff(np.append(cut, len(tokens))), strict=True):
-            share[int(page[s]), int(block_at[s])] = int(hit), int(n)
-    texts = []
-    for k, x in enumerate(blocks):
-        marked = any(m for _, m in x)
-        kept = []
-        for j, (b, m) in enumerate(x):
-            hit, n = share[first[whole[k]], j]
-            if m if marked else 2 * hit < n:
-                kept.append(b)
-        texts.append("\n".join(kept))
-    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    """The texts of the pages of a host that is one shard."""
+    shard = _Shard(group)
+    return shard.texts(shard.pages >= enough(len(shard.first)))
+
+
+def _shard_runs(group: pd.DataFrame) -> pd.DataFrame:
+    """(host, run, n): on how many distinct pages of a shard each substring is; a null run counts the pages."""
+    shard = _Shard(group)
+    runs, at = np.unique(shard.hashes(), return_index=True)
+    run = pd.concat([pd.Series(runs, dtype="Int64"), pd.Series([None], dtype="Int64")], ignore_index=True)
+    return pd.DataFrame({"host": group["host"].iloc[0], "run": run, "n": np.append(shard.pages[at], len(shard.first))})
+
+
+def _shard_text(group: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
+    """The texts of one shard of a host's pages, given the host's boilerplate."""
+    shard = _Shard(group)
+    return shard.texts(np.isin(shard.hashes(), marked["run"].to_numpy(np.int64)))
 
 
 def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -189,11 +223,15 @@ def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_host
     One pass cuts each page into blocks of visible text, without elements that
     are furniture by name, class, id or role, and decodes character references.
     The blocks of a host's pages, in shards of about ``per_shard`` pages by a
-    digest of the page, are then put end to end, and a suffix array over their
-    words finds the substrings that a quarter of the distinct pages (two at
-    least) share.  Where a page marks its main part (article, main), its blocks
-    there are the text; repeats do not count against them, since articles may be
-    printed twice.  Elsewhere a block goes if such substrings cover half of it.
+    digest of their text, are then put end to end, and a suffix array over their
+    words counts the distinct pages of each substring of ``LONG`` words.  The
+    counts of a host's shards are added, so how pages are dealt does not matter.
+    Substrings on a quarter of the host's distinct pages, or on ``MANY``, but not
+    on fewer than ``FEW``, are boilerplate, and a block goes if they cover half
+    of it.  Where a page marks its main part (article, main), only blocks there
+    are its text.  A page keeps all its blocks if boilerplate covers half of its
+    marked part, or nine tenths of a page without one: then the article itself
+    is printed on several pages.
     A null or empty page has empty text, a null url is a host of its own;
     repeated rows, null ids and extra columns are allowed.
 
@@ -202,28 +240,43 @@ def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_host
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     source = pages.select("page_id", "url", "html", host.alias("host"))
+    kinds = dict(pages.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
             found = [page_blocks(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))],
-                names=["page_id", "url", "host", "blocks", "in_main"],
+                [b.column(0), b.column(1), b.column(3), b.column(4), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))],
+                names=["page_id", "url", "host", "shards", "blocks", "in_main"],
             )
 
-    kinds = dict(pages.dtypes)
-    parsed = source.mapInArrow(cut, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>, in_main array<boolean>")
+    def parsed(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(cut, f"page_id {kinds['page_id']}, url string, host string, shards long, blocks array<string>, in_main array<boolean>")
+
     large = source.groupBy("host").count().filter(F.col("count") > per_shard).select("host", F.ceil(F.col("count") / per_shard).alias("shards"))
     large = stored(large, "large-hosts")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    if large.count() <= broadcast_hosts:
-        placed = parsed.join(F.broadcast(large), "host", "left").withColumn("shard", salt)
-    else:
-        # The shuffle by host would also serve the grouping below, with a large host in one task.
-        placed = parsed.join(large, "host", "left").withColumn("shard", salt).repartition("host", "shard")
-    dealt = placed.select("page_id", "url", "blocks", "in_main", "host", "shard")
+    hosts = large.count()
     out = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    return dealt.groupBy("host", "shard").applyInPandas(_host_text, out)
+    if hosts <= broadcast_hosts:
+        large = F.broadcast(large)
+        small = parsed(source.join(large, "host", "left_anti").withColumn("shards", F.lit(1).cast("long")).select("page_id", "url", "html", "host", "shards"))
+        dealt = parsed(source.join(large, "host").select("page_id", "url", "html", "host", "shards"))
+    else:
+        whole = stored(parsed(source.withColumn("shards", F.lit(1).cast("long"))), "parsed-pages")
+        small = whole.join(large, "host", "left_anti")
+        dealt = whole.drop("shards").join(large, "host")
+    done = small.groupBy("host").applyInPandas(_host_text, out)
+    if not hosts:
+        return done
+    # Copies of a page come to one shard, so that the counts of the shards add up.
+    digest = F.xxhash64(F.array_join("blocks", "\n"))
+    dealt = stored(dealt.select("page_id", "url", "blocks", "in_main", "host", "shards", F.pmod(digest, "shards").alias("shard")), "dealt-pages")
+    runs = dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, run long, n long")
+    runs = stored(runs.groupBy("host", "run").agg(F.sum("n").alias("n")).filter((F.col("n") >= FEW) | F.col("run").isNull()), "runs")
+    least = F.greatest(F.lit(FEW), F.least(F.ceil(F.col("n") / 4), F.lit(MANY)))
+    needs = runs.filter("run IS NULL").select("host", least.alias("least")).join(dealt.groupBy("host").agg(F.array_sort(F.collect_set("shard")).alias("shard_list")), "host")
+    marked = runs.filter("run IS NOT NULL").join(needs, "host").filter(F.col("n") >= F.col("least")).select("host", F.explode("shard_list").alias("shard"), "run")
+    return done.unionByName(dealt.groupBy("host", "shard").cogroup(marked.groupBy("host", "shard")).applyInPandas(_shard_text, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,21 @@ def test_pages_large_hosts(spark, sf):
     assert small == joined and len(small) == df.count()
 
 
+def test_pages_boilerplate_of_a_host(spark):
+    """A host's boilerplate is the same however its pages are dealt, goes from marked parts too, and is no repeated article."""
+    notice, promo = prose(12, 70), prose(14, 71)
+    own = [prose(30, 100 + i) for i in range(80)]
+    open_ = [("http://open.example/", f"<p>{own[i]}</p>" + (f"<p>{notice}</p>" if i < 18 else ""), own[i]) for i in range(80)]
+    marked = [("http://main.example/", f"<article><p>{x}</p><p>{promo}</p></article>", x) for x in own[:20]]
+    article = prose(60, 72)
+    twice = [("http://twice.example/", f"<p>{x}</p>", x) for x in (near(article, 1, 2), near(article, 2, 2), *own[:3])]
+    often = [("http://often.example/", f"<article><p>{x}</p></article>", x) for x in (near(article, i, 2) for i in range(6))]
+    want = dict(enumerate([*open_, *marked, *twice, *often]))
+    df = spark.createDataFrame([(i, u + str(i), h) for i, (u, h, _) in want.items()], "page_id long, url string, html string")
+    for o in ((512, 100_000), (7, 100_000), (7, 0)):
+        assert {r["page_id"]: r["text"] for r in rows(pages.main_text(df, *o))} == {i: t for i, (_, _, t) in want.items()}
+
+
 def test_pages_given(spark, sf):
     import re
 
