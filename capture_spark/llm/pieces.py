@@ -14,7 +14,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -215,39 +215,66 @@ def path_ids(parts: list[tuple], other: dict[int, list[int]]) -> list[int]:
     return [x for i, p in enumerate(parts) for x in other.get(i, p[2])]
 
 
+def n_best_ids(best: list[tuple[float, list[tuple], dict[int, list[int]]]]) -> list[array]:
+    """The ids of each of a text's n best paths: the first, with other ids where a path leaves it."""
+    parts = best[0][1]
+    first = array("i", path_ids(parts, {}))
+    ends = list(accumulate([len(p[2]) for p in parts])) if len(best) > 1 else []
+    paths = [first]
+    for _, _, other in best[1:]:
+        path, done = array("i"), 0
+        for i in sorted(other):
+            path += first[done : ends[i] - len(parts[i][2])]
+            path.extend(other[i])
+            done = ends[i]
+        paths.append(path + first[done:])
+    return paths
+
+
 def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array), ``best_scores`` (array, n at most) and ``decoded`` (string) to each row of ``docs``.
+    """Add ``ids`` (array), ``paths`` (array of arrays, n at most), ``best_scores`` and ``round_trips`` (arrays, one place for each path) and ``decoded`` (string) to each row of ``docs``.
 
-    ``ids`` is the best segmentation, ``best_scores`` the scores of the n best in
-    order, and ``decoded`` the text that the ids give back, which is the text.
+    ``paths`` has the ids of the n best segmentations in order, ``best_scores``
+    their scores, and ``round_trips`` whether each decodes to the text; ``ids`` is
+    the first of them, and ``decoded`` the text that it gives back.
     One pass without a shuffle; a worker keeps the best paths of the chunks it has met,
     ``CACHED`` at most.  Null texts are empty and have no ids; extra columns ride
     along, and those with these names are replaced.
     """
     with open(model, "rb") as f:
         data = f.read()
-    made = ("ids", "best_scores", "decoded")
+    made = ("ids", "paths", "best_scores", "round_trips", "decoded")
     source = docs.select(*[c for c in docs.columns if c not in made])
-    schema = source.withColumns({"ids": F.lit(None).cast("array<int>"), "best_scores": F.lit(None).cast("array<double>"), "decoded": F.lit("")}).schema
+    types = {"paths": "array<array<int>>", "best_scores": "array<double>", "round_trips": "array<boolean>"}
+    schema = source.withColumns({**{c: F.lit(None).cast(t) for c, t in types.items()}, "decoded": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, cache, searched = of_worker(data)
         for b in tx.slices(batches, text):
-            ids, ends, scores, decoded = array("i"), [], [], []
+            ids, ends, rows, scores, trips, decoded = array("i"), [], [], [], [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
                 best = encode(t or "", v, n, cache, searched)
-                first = path_ids(best[0][1], {})
-                ids.extend(first)
-                ends.append(len(ids))
+                paths = n_best_ids(best)
+                for path in paths:
+                    ids += path
+                    ends.append(len(ids))
+                rows.append(len(ends))
                 scores.append([x[0] for x in best])
-                decoded.append(v.decode(first))
-            yield pa.RecordBatch.from_arrays([*b.columns, tx.list_array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.array(ends), pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(decoded, pa.string())], names=schema.fieldNames())
+                texts = [v.decode(path) for path in paths]
+                trips.append([x == (t or "") for x in texts])
+                decoded.append(texts[0])
+            flat = tx.list_array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.array(ends), pa.int32())
+            nested = pa.ListArray.from_arrays(pa.array([0, *rows], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*b.columns, nested, pa.array(scores, pa.list_(pa.float64())), pa.array(trips, pa.list_(pa.bool_())), pa.array(decoded, pa.string())], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).withColumn("ids", F.col("paths")[0])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, best_scores, ids_sha256, round_trip) of all documents."""
+    """(doc_id, n_ids, best_scores, ids_sha256, round_trip, path_n_ids, path_sha256, path_round_trips) of all documents: of the best path, then of each of the n best."""
     got = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "best_scores", digest.alias("ids_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    digests = F.transform("paths", lambda p: F.sha2(F.array_join(F.transform(p, lambda i: i.cast("string")), " "), 256))
+    counts = F.transform("paths", lambda p: F.size(p).cast("long"))
+    got = got.select("doc_id", "best_scores", counts.alias("path_n_ids"), digests.alias("path_sha256"), F.col("round_trips").alias("path_round_trips"))
+    first = [F.col(f"path_{c}")[0] for c in ("n_ids", "sha256", "round_trips")]
+    return got.select("doc_id", first[0].alias("n_ids"), "best_scores", first[1].alias("ids_sha256"), first[2].alias("round_trip"), "path_n_ids", "path_sha256", "path_round_trips")

@@ -378,6 +378,16 @@ def test_pieces(spark, docs):
     assert rows(pieces.encoded(empty(spark))) == []
 
 
+def test_pieces_of_all_paths(docs):
+    with open(pieces.MODEL, "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    for r in rows(pieces.encoded(docs)):
+        best = pieces.encode(r["text"] or "", v, pieces.N_BEST, {}, {})
+        assert r["paths"] == [pieces.path_ids(p, other) for _, p, other in best] and r["ids"] == r["paths"][0]
+        assert len(r["paths"]) == len(r["best_scores"]) == len(r["round_trips"]) and all(r["round_trips"])
+        assert len({tuple(p) for p in r["paths"]}) == len(r["paths"]) == (pieces.N_BEST if len(r["text"] or "") > 8 else len(r["paths"]))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
