@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, pieces, quality, scoring, sharding, substrings
@@ -351,41 +352,84 @@ def test_shards(spark, docs):
     assert rows(sharding.shard_documents(empty(spark))) == []
 
 
-def test_pieces(spark, docs):
+def vocabulary():
     with open(pieces.MODEL, "rb") as f:
-        v = pieces.Vocabulary(f.read())
+        return pieces.Vocabulary(f.read())
+
+
+def encode(text, encoder):
+    """(scores, paths, what the first decodes to, round trips) of one text."""
+    ids, path_ends, row_ends, scores, trips, decoded = encoder.encode(pa.array([text], pa.string()))
+    starts = [0, *path_ends]
+    return scores[0], [ids[a:b].tolist() for a, b in zip(starts, path_ends)], decoded[0].as_py(), trips[0]
+
+
+def test_pieces(spark, docs):
+    v = vocabulary()
 
     def brute(text, n):
-        chunk, found = pieces.MARK + pieces._escaped(text), []
+        chunk, found = pieces.matched(" " + text), []
 
         def go(at, cuts, score):
-            if at == len(chunk):
+            if at == 0:
                 found.append((score, cuts))
                 return
-            for end, s in v.edges(chunk, at):
-                go(end, [*cuts, end], score + s)
-
-        go(0, [], 0.0)
-        return [s for s, _ in sorted(found, key=lambda x: -x[0])[:n]]
-
-    for text in ("the cat", "  a b  ", "ab\ncd", "é▁x", "Thnd here an", "日本 x", "a"):
-        best = pieces.encode(text, v, 4, {}, {})
-        assert [b[0] for b in best] == brute(text, 4)
-        paths = [pieces.path_ids(p, other) for _, p, other in best]
-        assert len({tuple(p) for p in paths}) == len(paths) and all(v.decode(p) == text for p in paths)
+            for start, s in v.edges_into(chunk, at):
+                go(start, [at, *cuts], score + s)
+
+        go(len(chunk), [], 0.0)
+        found.sort(key=lambda x: -x[0])
+        return [s for s, _ in found[:n]], {tuple(v.ids(" " + text, chunk, cuts)) for s, cuts in found if s >= found[:n][-1][0] - 1e-9}
+
+    for text in ("the cat", "  a b  ", "ab\ncd", "é▁x", "Thnd here an", "日本 x", "a", "\ue581 ▁", "aaaaaaa", "x\x00y"):
+        scores, paths, decoded, trips = encode(text, pieces.Encoder(v, 4))
+        want, allowed = brute(text, 4)
+        assert np.allclose(scores, want) and {tuple(p) for p in paths} <= allowed
+        assert len({tuple(p) for p in paths}) == len(paths) and all(trips) and decoded == text
+        assert all(v.decode(p) == text for p in paths)
     for r in rows(pieces.encoded(docs.withColumn("ids", docs["n_chars"]))):
         assert r["decoded"] == (r["text"] or "") and r["best_scores"] == sorted(r["best_scores"], reverse=True)
     assert rows(pieces.encoded(empty(spark))) == []
 
 
 def test_pieces_of_all_paths(docs):
-    with open(pieces.MODEL, "rb") as f:
-        v = pieces.Vocabulary(f.read())
+    """A text alone and among others has the same paths; each is another, and decodes to the text."""
+    alone = pieces.Encoder(vocabulary(), pieces.N_BEST)
     for r in rows(pieces.encoded(docs)):
-        best = pieces.encode(r["text"] or "", v, pieces.N_BEST, {}, {})
-        assert r["paths"] == [pieces.path_ids(p, other) for _, p, other in best] and r["ids"] == r["paths"][0]
-        assert len(r["paths"]) == len(r["best_scores"]) == len(r["round_trips"]) and all(r["round_trips"])
-        assert len({tuple(p) for p in r["paths"]}) == len(r["paths"]) == (pieces.N_BEST if len(r["text"] or "") > 8 else len(r["paths"]))
+        scores, paths, _, trips = encode(r["text"], alone)
+        assert r["paths"] == paths and r["ids"] == paths[0] and r["best_scores"] == scores
+        assert len(paths) == len(scores) == len(r["round_trips"]) and all(r["round_trips"]) and all(trips)
+        assert len({tuple(p) for p in paths}) == len(paths) == (pieces.N_BEST if len(r["text"] or "") > 8 else len(paths))
+
+
+def test_pieces_many_chunks_like_one():
+    v = vocabulary()
+    chunks = sorted({pieces.matched(" " + w) for t in TEXTS if t for w in t.split(" ") if len(w) < 20} | {"▁日本", "▁", "▁▁▁a"})
+    best, second, ids, counts = pieces.forward_all(chunks, v)
+    at = 0
+    for k, c in enumerate(chunks):
+        one, two, cuts = pieces.forward(c, v)
+        assert (one[-1], two) == (best[k], second[k])
+        assert ids[at : at + counts[k]].tolist() == [v.pieces.get(c[a:b], (0, -1))[1] for a, b in zip([0, *cuts], cuts)]
+        at += counts[k]
+
+
+def test_pieces_of_very_long_texts():
+    """Unspaced texts of a million characters, with and without ties, take time in proportion."""
+    encoder = pieces.Encoder(vocabulary(), 3)
+    for unit in ("世界和平中国人民", "a", "ab"):
+        text = (unit * 1_000_000)[:1_000_000]
+        _, paths, decoded, trips = encode(text, encoder)
+        assert decoded == text and all(trips) and len(paths) == (1 if unit[0] == "世" else 3)
+
+
+def test_pieces_near_the_models_own():
+    """The scores by rank give about as few pieces as the model's own merges do."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    text = "The quick brown fox jumps over the lazy dog while people everywhere keep reading long newspapers. " * 3
+    assert len(encode(text, pieces.Encoder(vocabulary(), 1))[1][0]) <= 1.05 * len(own.encode(text))
 
 
 def test_pipeline(spark, sf):
