@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capture_spark.llm.tables import positions
+from capture_spark.llm.tables import fresh, positions, settled, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -60,23 +60,35 @@ def mix_sized(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     are replaced, others ride along; repeated rows count each.
     """
     sized = docs.drop(*MADE[1:])
-    extra = sized.columns
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    targets = source_targets(totals, weights, most)
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = positions(sized.withColumn("mix_digest", digest), ["source"], ["size", "mix_digest"], "mix")
-    rate = placed.join(targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    mark = fresh("mix_digest", sized)
+    placed = positions(sized.withColumn(mark, digest), ["source"], ["size", mark], "mix")
+    of = fresh("of_source", placed)
+    totals = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    targets = source_targets(totals, weights, most).select(F.col("source").alias(of), "source_size", "target")
+    rate = placed.join(targets, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("\0")))), 1, 12), 16, 10).cast("double") / float(16**12)
 
     def crossed(rows):
         return F.when(F.col("source_size") > 0, F.floor(F.col("target") * rows.cast("double") / F.col("source_size").cast("double") + start)).otherwise(rows)
 
-    return rate.withColumn("copies", (crossed(F.col("position") + 1) - crossed(F.col("position"))).cast("int")).select(*extra, *MADE[1:])
+    return rate.withColumn("copies", (crossed(F.col("position") + 1) - crossed(F.col("position"))).cast("int")).select(*sized.columns, *MADE[1:])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    return mix_sized(sized(docs), **options).withColumn("mix_copy", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Nulls, repeated rows and columns of any name are allowed, as in ``mix_sized``;
+    an empty table gives no rows.
+    """
+    clear = {c: fresh(f"own_{c}", docs) for c in (*MADE, "position") if c in docs.columns}
+    renamed = docs.withColumnsRenamed(clear)
+
+    def make() -> DataFrame:
+        taken = mix_sized(stored(sized(renamed), "sized"), **options)
+        return taken.withColumn(fresh("mix_copy", taken), F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END"))).select(*renamed.columns)
+
+    return settled(docs.sparkSession, "mixed", make).withColumnsRenamed({to: c for c, to in clear.items()}).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

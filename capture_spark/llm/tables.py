@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Settings while a table is written: shuffle files go with their query; batches of long texts to Python workers stay small.
@@ -17,17 +20,26 @@ _paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one of our own in local mode, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a Parquet table in the shared folder and read it back.
 
@@ -40,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     try:
         for k, v in WRITING.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -72,14 +84,14 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> D
 
     The rows are dealt by range over (group, order), so that one large group
     spreads over many tasks, and written once.  Each task counts its own rows
-    of a group; the counts of the tasks before it are added by a join.
+    of a group, as run lengths of the sorted keys; the counts of the tasks before
+    it are added by a join.  A column named position is replaced.
     """
-    import pyarrow as pa
-
-    spark = df.sparkSession
+    df = df.drop("position")
     keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
+    part_name, row_name = fresh("range_part", df), fresh("range_row", df)
     schema = df.schema
-    out_schema = df.withColumns({"range_part": F.lit(0), "range_row": F.lit(0).cast("long")}).schema
+    out_schema = df.withColumns({part_name: F.lit(0), row_name: F.lit(0).cast("long")}).schema
     group_at = [schema.fieldNames().index(c) for c in group]
 
     def number(batches):
@@ -87,28 +99,29 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> D
 
         part, last, seen = TaskContext.get().partitionId(), None, 0
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in group_at]
-            rows = []
-            for key in zip(*columns, strict=True):
-                if key != last:
-                    last, seen = key, 0
-                rows.append(seen)
-                seen += 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(rows, pa.int64())], names=[*b.schema.names, "range_part", "range_row"])
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for i in group_at:
+                codes = b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = True
+            starts = np.flatnonzero(new)
+            rows = np.arange(b.num_rows) - np.repeat(starts, np.diff(np.append(starts, b.num_rows)))
+            first, end = (tuple(b.column(i)[k].as_py() for i in group_at) for k in (0, b.num_rows - 1))
+            if first == last:
+                rows[: starts[1] if len(starts) > 1 else b.num_rows] += seen
+            last, seen = end, int(rows[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(rows, pa.int64())], names=[*b.schema.names, part_name, row_name])
 
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = stored(dealt.mapInArrow(number, out_schema), name)
-    from pyspark.sql import Window
-
-    counts = ranged.groupBy(*group, "range_part").agg(F.count("*").alias("part_rows"))
-    before = Window.partitionBy(*group).orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("part_start", F.coalesce(F.sum("part_rows").over(before), F.lit(0)))
-    starts = starts.select("range_part", *[F.col(c).alias(f"start_{c}") for c in group], "part_start")
-    same = ranged["range_part"] == starts["range_part"]
-    for c in group:
-        same = same & ranged[c].eqNullSafe(starts[f"start_{c}"])
-    return (
-        ranged.join(starts, same, "left")
-        .withColumn("position", F.col("part_start") + F.col("range_row"))
-        .select(*df.columns, "position")
-    )
+    of = {c: fresh(f"start_{c}", ranged) for c in [*group, part_name]}
+    start = fresh("part_start", ranged)
+    counts = ranged.groupBy(*group, part_name).agg(F.count("*").alias(start))
+    before = Window.partitionBy(*group).orderBy(part_name).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(to) for c, to in of.items()], F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    same = F.lit(True)
+    for c, to in of.items():
+        same = same & F.col(c).eqNullSafe(F.col(to))
+    return ranged.join(starts, same, "left").withColumn("position", F.col(start) + F.col(row_name)).select(*df.columns, "position")
