@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
 from capture_spark.llm.graphs import components
-from capture_spark.llm.tables import settled, stored
+from capture_spark.llm.tables import fresh, settled, stored
 
 SHINGLE = 4
 PERCENT = 80
@@ -55,10 +55,10 @@ def _binary16(a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, key, seq, n_shingles, sig) per row: text digest, word sequence digest, set size, minimum per coordinate."""
+def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINATES, row: str | None = None) -> DataFrame:
+    """(doc_id, key, row, seq, n_shingles, sig) per row: text digest, a number in column ``row``, word sequence digest, set size, minimum per coordinate."""
     odd = np.random.default_rng(7).integers(1, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    source = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
+    source = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text", (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
@@ -76,11 +76,11 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINA
                     least[:, k] = (tx.mix(np.minimum.reduceat(scratch, starts) ^ (a << np.uint64(1))) >> np.uint64(33)).astype(np.int32)
             ends = np.cumsum(np.where(counts > 0, coordinates, 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), _binary16(one, two), pa.array(counts, pa.int64()), tx.list_array(least.ravel(), ends, pa.int32())],
-                names=["doc_id", "key", "seq", "n_shingles", "sig"],
+                [b.column(0), b.column(1), b.column(3), _binary16(one, two), pa.array(counts, pa.int64()), tx.list_array(least.ravel(), ends, pa.int32())],
+                names=["doc_id", "key", "row", "seq", "n_shingles", "sig"],
             )
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, seq binary, n_shingles long, sig array<int>")
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, row long, seq binary, n_shingles long, sig array<int>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -153,16 +153,29 @@ def near_duplicates(
 
     A null or blank text is linked with nothing, not even its like.  Rows
     without an id take the component of a row with an id and an equal or near
-    text, else null, and are kept only then.  Repeated rows and extra columns
+    text, else null, and are kept only then.  An empty table gives no rows.  Repeated rows and extra columns
     are allowed; all rows with the smallest id of a component are kept.
     """
-    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, size, percent, coordinates, matches, shared, crowd))
 
+    def make() -> DataFrame:
+        table, classes = _classes(docs, None, size, percent, coordinates, matches, shared, crowd)
+        out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("seq")).alias("seq"))
+        out = out.join(classes.select(F.col("seq").alias("of_seq"), "component_low"), F.col("seq") == F.col("of_seq"), "left")
+        out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_low")).otherwise(F.col("doc_id")))
+        return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
-def _near_duplicates(docs: DataFrame, size: int, percent: int, coordinates: int, matches: int, shared: int, crowd: int) -> DataFrame:
-    table = stored(signatures(docs, size, coordinates), "signatures")
+    return settled(docs.sparkSession, "near-duplicates", make)
+
+
+def _classes(docs: DataFrame, row: str | None, size: int, percent: int, coordinates: int, matches: int, shared: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (seq, component_low, component_first) for each word sequence that is not blank.
+
+    ``component_low`` is the smallest id of the component, ``component_first`` the
+    number of its first row in order of id (nulls last), text digest and number.
+    """
+    table = stored(signatures(docs, size, coordinates, row), "signatures")
     full = table.filter("n_shingles > 0")
-    nodes = full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low"))
+    nodes = full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key", "row")).alias("first"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prefix = coordinates - matches + shared
     pairs = F.array_sort(F.transform("sig", lambda v, k: v.cast("long") * coordinates + k))
@@ -210,13 +223,13 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, coordinates: int,
         labels = None
     labels = labels or components(links)
 
-    classes = nodes.join(labels, "node", "left").select("seq", "low", F.coalesce("comp", "node").alias("comp"))
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component_low"))
-    classes = classes.join(lows, "comp").select(F.col("seq").alias("of_seq"), "component_low")
-    out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("seq")).alias("seq"))
-    out = out.join(classes, out["seq"] == classes["of_seq"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_low")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    # Only nodes with links meet over their component; both sides are written, so a large component may be split.
+    linked = stored(labels.join(nodes.select("node", "low", "first"), "node"), "linked")
+    lows = stored(linked.groupBy("comp").agg(F.min("low").alias("component_low"), F.min("first").alias("component_first")), "component-lows")
+    lows = linked.select("node", "comp").join(lows, "comp").drop("comp")
+    lows = nodes.select("node", "seq", "low", "first").join(lows, "node", "left")
+    own = F.col("component_first").isNull()
+    return table, lows.select("seq", F.when(own, F.col("low")).otherwise(F.col("component_low")).alias("component_low"), F.when(own, F.col("first.row")).otherwise(F.col("component_first.row")).alias("component_first"))
 
 
 def _block_links(crowded: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -283,10 +296,25 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component, and all without an id."""
-    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+def deduplicated(
+    docs: DataFrame, size: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, shared: int = SHARED, crowd: int = CROWD
+) -> DataFrame:
+    """The rows of ``docs`` that stay: the first of each component, in order of id (nulls last) and text digest.
+
+    Rows are told apart by a number of their own, not by id: rows of one id with
+    different texts are judged each, rows without an id like others, and of
+    repeated rows one stays.  Null and blank texts are no copies of anything and
+    all stay.  All columns ride along; an empty table gives no rows.
+    """
+    row, of = fresh("row_number", docs), fresh("of_row", docs)
+
+    def make() -> DataFrame:
+        numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        table, classes = _classes(numbered, row, size, percent, coordinates, matches, shared, crowd)
+        stay = classes.select("component_first").union(table.filter("n_shingles = 0").select("row")).withColumnRenamed("component_first", of).distinct()
+        return numbered.join(stay, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
+
+    return settled(docs.sparkSession, "deduplicated", make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
