@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
-from capture_spark.llm.tables import settled, stored
+from capture_spark.llm.tables import fresh, settled, stored
 
 WINDOW = 35
 GRAM = 8
@@ -50,12 +50,13 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(window, place, copies): hashes of the windows whose least gram is in ``prints``; place packs node and start."""
+    """(window, check, node, start, copies): two hashes of each window whose least gram is in ``prints``, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "text"):
             w = tx.Words(b.column(1))
             rolling, starts, least, grams = _selected(w, window, gram)
+            other = tx.Rolling(tx.mix(w.hashes() ^ np.uint64(0x5BD1E995)))
             prints = b.column(3)
             flat = prints.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             owner = np.repeat(np.arange(w.n), np.diff(prints.offsets.to_numpy()))
@@ -65,11 +66,11 @@ def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 starts = starts[good]
             text = w.text[starts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rolling.spans(starts, starts + window).view(np.int64)), b.column(0).take(pa.array(text)), pa.array((starts - w.first[text]).astype(np.int32)), b.column(2).take(pa.array(text))],
-                names=["window", "node", "start", "copies"],
+                [pa.array(rolling.spans(starts, starts + window).view(np.int64)), pa.array(other.spans(starts, starts + window).view(np.int64)), b.column(0).take(pa.array(text)), pa.array((starts - w.first[text]).astype(np.int32)), b.column(2).take(pa.array(text))],
+                names=["window", "check", "node", "start", "copies"],
             )
 
-    return texts.select("node", "text", "copies", "prints").mapInArrow(run, "window long, node long, start int, copies long")
+    return texts.select("node", "text", "copies", "prints").mapInArrow(run, "window long, check long, node long, start int, copies long")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -77,22 +78,24 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     Each window of ``window`` words names the least hashed gram of ``gram`` words
     in it.  Equal windows name equal grams, so only windows whose gram occurs at
-    two places in the corpus or more can repeat; those are then counted by a
-    hash of all their words.  Equal texts are brought together before they move
-    and count as often as they occur.  ``starts`` is null for a text with copies:
+    two places in the corpus or more can repeat; those are then counted by two
+    64-bit hashes of all their words.  What a join meets on the other side is
+    written first, so that Spark splits the rows of a very common gram or window.
+    Equal texts are brought together before they move and count as often as
+    they occur.  ``starts`` is null for a text with copies:
     all its windows repeat.
     """
     body = F.coalesce("text", F.lit(""))
     keyed = docs.select(body.alias("text"), F.unhex(F.md5(body)).alias("key"))
-    prints = fingerprints(keyed, window, gram)
-    twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    prints = stored(fingerprints(keyed, window, gram), "prints")
+    twice = stored(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "common-prints")
     shared = prints.join(twice, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
     distinct = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = stored(distinct.join(shared, "key").withColumn("node", F.monotonically_increasing_id()), "passages")
     windows = _windows(texts, window, gram)
-    counts = windows.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
-    single = windows.filter("copies = 1").select("window", "node", "start")
-    found = single.join(counts, "window").groupBy("node").agg(F.collect_list("start").alias("starts"))
+    counts = stored(windows.groupBy("window", "check").agg(F.sum("copies").alias("n")).filter("n > 1").select("window", "check"), "common-windows")
+    single = windows.filter("copies = 1").drop("copies")
+    found = single.join(counts, ["window", "check"]).groupBy("node").agg(F.collect_list("start").alias("starts"))
     return texts.join(found, "node", "left").filter("starts IS NOT NULL OR copies > 1").select("key", "text", "starts")
 
 
@@ -153,14 +156,20 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 
 def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``; a text that loses words has the rest joined by blanks."""
+    """``docs`` with repeated passages taken out of ``text``; a text that loses words has the rest joined by blanks.
+
+    ``n_chars``, where there is such a column, is counted anew for these texts.
+    Null, empty and short texts stay as they are; a repeated row is a copy and
+    loses all its words (35 or more), as the other does; null ids and columns of
+    any name are allowed; an empty table gives no rows.
+    """
     found = settled(docs.sparkSession, "cut", lambda: _kept(repeated_words(docs, window, gram), window, "key binary, n_removed long, kept string", _text).filter("n_removed > 0"))
-    found = found.select(F.col("key").alias("of_key"), "kept")
-    out = docs.withColumn("cut_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    out = out.join(found, out["cut_key"] == found["of_key"], "left")
-    out = out.withColumn("text", F.coalesce("kept", "text"))
+    key, of, kept = fresh("cut_key", docs), fresh("of_key", docs), fresh("kept_text", docs)
+    out = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    out = out.join(found.select(F.col("key").alias(of), F.col("kept").alias(kept)), F.col(key) == F.col(of), "left")
+    out = out.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
