@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -14,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
-from capture_spark.llm.tables import stored
+from capture_spark.llm.tables import settled, stored
 
-# Element names and the words in class, id and role that mark furniture.
+# Element names, the words in class, id and role that mark furniture, and words beside which they don't.
 FURNITURE = frozenset("nav footer aside form script style noscript template button select textarea svg iframe menu dialog head title object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -25,13 +24,25 @@ MARKS = frozenset(
     "legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary alert dialog".split()
 )
+SUBJECTS = frozenset("category tag topic type format status post page article entry section has is no not without with".split())
+STATES = frozenset("enabled disabled open closed active visible on off ready loaded".split())
 ROOT_MARKS = frozenset("articlebody main".split())
 # End of fixed values.
-DEPTH = 32
-LONG = 8
-FEW, MANY = 3, 16  # distinct pages
-PAGES_PER_SHARD = 512
-BROADCAST_HOSTS = 100_000
+LONG = 8  # a power of two
+FEW = 3  # distinct pages
+OPEN_SHARE, MAIN_SHARE = 0.25, 0.5
+PAGES_PER_SHARD = 128
+CHARS_PER_SHARD = 4 << 20
+BROADCAST_RUNS = 1 << 18
+
+
+def _furniture(said: dict[str, str]) -> bool:
+    """Whether a class, id or role names furniture: a name that begins or ends with such a word, and speaks of no subject or state."""
+    for name in f"{said.get('class', '')} {said.get('id', '')} {said.get('role', '')}".split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and not (len(words) > 1 and (words[0] in SUBJECTS or words[-1] in STATES)) and (words[0] in MARKS or words[-1] in MARKS):
+            return True
+    return False
 
 
 class _Blocks(HTMLParser):
@@ -59,13 +70,15 @@ class _Blocks(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        said = {k: v or "" for k, v in attrs}
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{said.get('class', '')} {said.get('id', '')} {said.get('role', '')}").lower())) if said else set()
-        away = tag in FURNITURE or (tag == "header" and not self.root) or bool(words & MARKS) or ("header" in words and not self.root)
-        away = away or "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "")
-        if tag in ("body", "html"):
-            away = False
-        root = not away and (tag in ("article", "main") or said.get("role") == "main" or said.get("itemprop", "").lower() in ROOT_MARKS)
+        away = tag in FURNITURE or (tag == "header" and not self.root)
+        root = tag in ("article", "main")
+        if attrs:
+            said = {k: v or "" for k, v in attrs}
+            if tag not in ("body", "html", "article", "main"):  # whose classes speak of what they hold
+                away = away or _furniture(said) or (not self.root and "header" in re.findall("[a-z]+", f"{said.get('class', '')} {said.get('id', '')}".lower()))
+            away = away or "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "")
+            root = root or said.get("role") == "main" or said.get("itemprop", "").lower() in ROOT_MARKS
+        root = root and not away
         if away:
             self.flush()
         self.stack.append((tag, away, root))
@@ -103,17 +116,22 @@ class _Blocks(HTMLParser):
 
 
 def page_blocks(html: str | None) -> list[tuple[str, bool]]:
+    """(text, in the marked main part) of the blocks that a page's text may have: those in the main part where one is marked."""
     if not html:
         return []
     parser = _Blocks()
     parser.feed(html)
-    return parser.done()
+    blocks = parser.done()
+    return [x for x in blocks if x[1]] or blocks
+
 
+def suffix_order(tokens: np.ndarray, depth: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order of their first ``depth`` tokens (a power of two), and their ranks in it, by prefix doubling.
 
-def suffix_order(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffixes in order of their first ``depth`` tokens, and the ranks by first 1, 2, 4 ... tokens (prefix doubling)."""
+    Suffixes of one rank have a longest common prefix of ``depth`` tokens or more.
+    """
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ranks, size, order = [rank], 1, np.argsort(rank, kind="stable")
+    size, order = 1, np.argsort(rank, kind="stable")
     while size < depth:
         second = np.zeros(len(rank), np.int64)
         second[: len(rank) - size] = rank[size:] + 1
@@ -122,161 +140,162 @@ def suffix_order(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, li
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(len(rank), np.int64)
         rank[order] = fresh
-        ranks.append(rank)
         size *= 2
-        if len(fresh) and fresh[-1] == len(fresh) - 1:
-            break
-    return order, ranks
+    return order, rank
 
 
-def repeats(tokens: np.ndarray, page: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the substrings of ``long`` tokens inside a page, the substring of each, and its number of distinct pages.
+class _Stream:
+    """The words of some pages' blocks, end to end, and the places where ``LONG`` words of one block begin."""
 
-    In suffix order the suffixes that share their first ``long`` tokens (a power
-    of two) are a run of equal rank.
-    """
-    if len(tokens) < long:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, ranks = suffix_order(tokens)
-    rank = ranks[min(int(np.log2(long)), len(ranks) - 1)]
-    starts = np.flatnonzero(page[: len(tokens) - long + 1] == page[long - 1 :])
-    pairs = np.unique(np.stack([rank[starts], page[starts]], 1), axis=0)
-    return starts, rank[starts], np.bincount(pairs[:, 0], minlength=int(rank.max()) + 1)[rank[starts]]
-
-
-def enough(pages: int) -> int:
-    """On how many of a host's distinct pages a substring is boilerplate."""
-    return max(FEW, min(-(-pages // 4), MANY))
-
-
-class _Shard:
-    """The words of a shard's distinct pages, put end to end with a 0 after each block."""
-
-    def __init__(self, group: pd.DataFrame):
-        self.group = group
-        self.blocks = [list(zip(b, m, strict=True)) for b, m in zip(group["blocks"], group["in_main"], strict=True)]
-        self.whole = ["\n".join(b for b, _ in x) for x in self.blocks]
-        self.first = {t: k for k, t in reversed(list(enumerate(self.whole)))}  # copies of a page are one page
-        self.ids: dict[str, int] = {}
-        ids, tokens, page, block_at = self.ids, [], [], []
-        for k, x in enumerate(self.blocks):
-            if self.first[self.whole[k]] != k:
-                continue
-            for j, (b, _) in enumerate(x):
-                words = b.split(" ")
-                tokens += [ids.setdefault(w, len(ids) + 1) for w in words] + [0]
-                page += [k] * (len(words) + 1)
-                block_at += [j] * (len(words) + 1)
-        self.tokens, self.page, self.block_at = np.array(tokens, np.int64), np.array(page, np.int64), np.array(block_at, np.int64)
-        self.starts, self.rank, self.pages = repeats(self.tokens, self.page)
-
-    def hashes(self) -> np.ndarray:
-        """The hash of each substring, the same in all shards."""
-        words = [b"", *(w.encode("utf-8", "surrogatepass") for w in self.ids)]
-        of = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
-        return tx.Rolling(of[self.tokens]).spans(self.starts, self.starts + LONG).view(np.int64)
-
-    def texts(self, marked: np.ndarray) -> pd.DataFrame:
-        """The text of each page, given which substrings are boilerplate."""
-        edge = np.zeros(len(self.tokens) + 1, np.int64)
-        np.add.at(edge, self.starts[marked], 1)
-        np.add.at(edge, self.starts[marked] + LONG, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        share: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(self.tokens):
-            cut = np.flatnonzero(np.concatenate([[True], (self.page[1:] != self.page[:-1]) | (self.block_at[1:] != self.block_at[:-1])]))
-            for s, hit, n in zip(cut, np.add.reduceat(covered, cut), np.diff(np.append(cut, len(self.tokens))), strict=True):
-                share[int(self.page[s]), int(self.block_at[s])] = int(hit), int(n)
-        texts = []
-        for k, x in enumerate(self.blocks):
-            main = any(m for _, m in x)
-            own = [(b, *share[self.first[self.whole[k]], j]) for j, (b, m) in enumerate(x) if m or not main]
-            hits, size = sum(hit for _, hit, _ in own), sum(n for _, _, n in own)
-            spared = 2 * hits >= size if main else 10 * hits >= 9 * size  # the article itself is repeated
-            texts.append("\n".join(b for b, hit, n in own if spared or 2 * hit < n))
-        return pd.DataFrame({"page_id": self.group["page_id"], "url": self.group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-
-def _host_text(group: pd.DataFrame) -> pd.DataFrame:
-    """The texts of the pages of a host that is one shard."""
-    shard = _Shard(group)
-    return shard.texts(shard.pages >= enough(len(shard.first)))
+    def __init__(self, blocks: list[list[str]]):
+        counts = [len(x) for x in blocks]
+        self.words = tx.Words(pa.array([b for x in blocks for b in x], pa.large_string()))
+        self.page_of = np.repeat(np.arange(len(blocks)), counts)
+        self.hashes = self.words.hashes()
+        self.starts = self.words.windows(LONG)
 
+    def runs(self) -> np.ndarray:
+        """The same number for the same words, in any stream."""
+        return tx.Rolling(self.hashes).spans(self.starts, self.starts + LONG).view(np.int64)
 
-def _shard_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """(host, run, n): on how many distinct pages of a shard each substring is; a null run counts the pages."""
-    shard = _Shard(group)
-    runs, at = np.unique(shard.hashes(), return_index=True)
-    run = pd.concat([pd.Series(runs, dtype="Int64"), pd.Series([None], dtype="Int64")], ignore_index=True)
-    return pd.DataFrame({"host": group["host"].iloc[0], "run": run, "n": np.append(shard.pages[at], len(shard.first))})
 
+def repeats(blocks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, distinct pages) of all substrings of ``LONG`` words: in suffix order they are runs of equal rank."""
+    s = _Stream(blocks)
+    if not len(s.starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, rank = suffix_order(s.hashes.view(np.int64))
+    rank = rank[s.starts]
+    page = s.page_of[s.words.text[s.starts]]
+    order = np.lexsort((page, rank))
+    r, p = rank[order], page[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return s.runs()[order[first]], np.add.reduceat(new.astype(np.int64), first)
 
-def _shard_text(group: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one shard of a host's pages, given the host's boilerplate."""
-    shard = _Shard(group)
-    return shard.texts(np.isin(shard.hashes(), marked["run"].to_numpy(np.int64)))
 
+def _shard_runs(group: pd.DataFrame) -> pd.DataFrame:
+    """(host, run, n): the substrings on ``OPEN_SHARE`` of a shard's distinct pages, with their number; a null run counts the pages.
 
-def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    A substring on that share of a host's pages is on that share of the pages of
+    one of its shards at least.
+    """
+    once = group.drop_duplicates("key")
+    runs, n = repeats(once["blocks"].tolist())
+    often = n >= max(OPEN_SHARE * len(once), 1 if group["shards"].iloc[0] > 1 else FEW)
+    run = pd.concat([pd.Series(runs[often], dtype="Int64"), pd.Series([None], dtype="Int64")], ignore_index=True)
+    return pd.DataFrame({"host": group["host"].iloc[0], "shards": group["shards"].iloc[0], "run": run, "n": np.append(n[often], len(once))})
+
+
+def _shard_counts(group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """(host, run, n): on how many distinct pages of a shard the wanted substrings are."""
+    if not len(group) or not len(wanted):
+        return pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+    s = _Stream(group.drop_duplicates("key")["blocks"].tolist())
+    runs = s.runs()
+    hit = np.isin(runs, wanted["run"].to_numpy(np.int64))
+    pairs = np.unique(np.stack([runs[hit], s.page_of[s.words.text[s.starts[hit]]]], 1), axis=0)
+    found, n = np.unique(pairs[:, 0], return_counts=True)
+    return pd.DataFrame({"host": group["host"].iloc[0], "run": found, "n": n})
+
+
+def kept_text(blocks: list[str], main: bool, runs: np.ndarray, often: np.ndarray) -> str:
+    """A page's text without the words that boilerplate covers; ``often`` marks the substrings that count in a main part too.
+
+    If boilerplate covers half of a marked part, or nine tenths of a page
+    without one, the article itself is printed on several pages and all stays.
+    """
+    s = _Stream([blocks])
+    marked = s.starts[np.isin(s.runs(), runs[often] if main else runs)]
+    if not len(marked):
+        return "\n".join(blocks)
+    edge = np.zeros(len(s.words.start) + 1, np.int64)
+    np.add.at(edge, marked, 1)
+    np.add.at(edge, marked + LONG, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    if covered.mean() >= (0.5 if main else 0.9):
+        return "\n".join(blocks)
+    kept = []
+    for k, b in enumerate(blocks):
+        gone = covered[s.words.first[k] : s.words.first[k + 1]]
+        kept.append(" ".join(w for w, x in zip(b.split(" "), gone, strict=True) if not x) if gone.any() else b)
+    return "\n".join(b for b in kept if b)
+
+
+def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     One pass cuts each page into blocks of visible text, without elements that
     are furniture by name, class, id or role, and decodes character references.
-    The blocks of a host's pages, in shards of about ``per_shard`` pages by a
-    digest of their text, are then put end to end, and a suffix array over their
-    words counts the distinct pages of each substring of ``LONG`` words.  The
-    counts of a host's shards are added, so how pages are dealt does not matter.
-    Substrings on a quarter of the host's distinct pages, or on ``MANY``, but not
-    on fewer than ``FEW``, are boilerplate, and a block goes if they cover half
-    of it.  Where a page marks its main part (article, main), only blocks there
-    are its text.  A page keeps all its blocks if boilerplate covers half of its
-    marked part, or nine tenths of a page without one: then the article itself
-    is printed on several pages.
-    A null or empty page has empty text, a null url is a host of its own;
-    repeated rows, null ids and extra columns are allowed.
-
-    Hosts of more than one shard are broadcast while they number at most
-    ``broadcast_hosts``; beyond that they are joined by a shuffle.
+    Where a page marks its main part (article, main), only blocks there count.
+    The blocks of a host's distinct pages, in shards of about ``per_shard`` pages
+    or ``CHARS_PER_SHARD`` characters by a digest of their text, are then put end
+    to end, and a suffix array over their words finds the substrings of ``LONG``
+    words on ``OPEN_SHARE`` of a shard's pages.  Those of a host with several
+    shards are counted in all of them, so that how pages are dealt does not
+    matter: boilerplate is on ``OPEN_SHARE`` of the host's distinct pages, in a
+    marked part on ``MAIN_SHARE`` of them, and on ``FEW`` pages at least.  The words
+    that it covers go, and what is left of each block stays.  A page keeps all
+    if boilerplate covers half of its marked part, or nine tenths of a page
+    without one: then the article itself is printed on several pages.
+    A null or empty page has empty text; a page whose url names no host is
+    judged alone; copies of a page count once and have one text; pages of any
+    length, null ids, repeated rows and extra columns are allowed; an empty
+    table gives no rows.
+
+    Boilerplate is broadcast while it has at most ``broadcast_runs`` substrings,
+    and joined by host beyond that.
     """
+    return settled(pages.sparkSession, "main-text", lambda: _main_text(pages, per_shard, broadcast_runs))
+
+
+def _main_text(pages: DataFrame, per_shard: int, broadcast_runs: int) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    source = pages.select("page_id", "url", "html", host.alias("host"))
-    kinds = dict(pages.dtypes)
+    kind = dict(pages.dtypes)["page_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
             found = [page_blocks(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), b.column(4), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))],
-                names=["page_id", "url", "host", "shards", "blocks", "in_main"],
+                [b.column(0), b.column(1), b.column(3), pa.array([bool(x) and x[0][1] for x in found]), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))],
+                names=["page_id", "url", "host", "main", "blocks"],
             )
 
-    def parsed(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(cut, f"page_id {kinds['page_id']}, url string, host string, shards long, blocks array<string>, in_main array<boolean>")
-
-    large = source.groupBy("host").count().filter(F.col("count") > per_shard).select("host", F.ceil(F.col("count") / per_shard).alias("shards"))
-    large = stored(large, "large-hosts")
-    hosts = large.count()
-    out = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    if hosts <= broadcast_hosts:
-        large = F.broadcast(large)
-        small = parsed(source.join(large, "host", "left_anti").withColumn("shards", F.lit(1).cast("long")).select("page_id", "url", "html", "host", "shards"))
-        dealt = parsed(source.join(large, "host").select("page_id", "url", "html", "host", "shards"))
-    else:
-        whole = stored(parsed(source.withColumn("shards", F.lit(1).cast("long"))), "parsed-pages")
-        small = whole.join(large, "host", "left_anti")
-        dealt = whole.drop("shards").join(large, "host")
-    done = small.groupBy("host").applyInPandas(_host_text, out)
-    if not hosts:
-        return done
+    parsed = pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(cut, f"page_id {kind}, url string, host string, main boolean, blocks array<string>")
+    joined = F.array_join("blocks", "\n")
+    parsed = stored(parsed.withColumns({"chars": F.length(joined), "key": F.xxhash64(joined)}), "parsed-pages")
+    sizes = parsed.filter("host <> '' AND chars > 0").groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars")).filter(F.col("pages") >= FEW)
+    sizes = stored(sizes.select("host", F.greatest(F.ceil(F.col("pages") / per_shard), F.ceil(F.col("chars") / CHARS_PER_SHARD)).cast("long").alias("shards")), "hosts")
     # Copies of a page come to one shard, so that the counts of the shards add up.
-    digest = F.xxhash64(F.array_join("blocks", "\n"))
-    dealt = stored(dealt.select("page_id", "url", "blocks", "in_main", "host", "shards", F.pmod(digest, "shards").alias("shard")), "dealt-pages")
-    runs = dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, run long, n long")
-    runs = stored(runs.groupBy("host", "run").agg(F.sum("n").alias("n")).filter((F.col("n") >= FEW) | F.col("run").isNull()), "runs")
-    least = F.greatest(F.lit(FEW), F.least(F.ceil(F.col("n") / 4), F.lit(MANY)))
-    needs = runs.filter("run IS NULL").select("host", least.alias("least")).join(dealt.groupBy("host").agg(F.array_sort(F.collect_set("shard")).alias("shard_list")), "host")
-    marked = runs.filter("run IS NOT NULL").join(needs, "host").filter(F.col("n") >= F.col("least")).select("host", F.explode("shard_list").alias("shard"), "run")
-    return done.unionByName(dealt.groupBy("host", "shard").cogroup(marked.groupBy("host", "shard")).applyInPandas(_shard_text, out))
+    dealt = parsed.filter("chars > 0").select("host", "key", "blocks").join(sizes, "host").withColumn("shard", F.pmod("key", "shards"))
+    runs = stored(dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, shards long, run long, n long"), "shard-runs")
+    many = runs.filter("shards > 1 AND run IS NOT NULL").select("host", "shards", "run").distinct()
+    counts = runs.filter("shards = 1 AND run IS NOT NULL").select("host", "run", "n")
+    if many.limit(1).count():
+        wanted = many.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
+        large = dealt.filter("shards > 1").join(many.select("host").distinct(), "host", "left_semi")
+        each = large.groupBy("host", "shard").cogroup(wanted.groupBy("host", "shard")).applyInPandas(_shard_counts, "host string, run long, n long")
+        counts = counts.unionByName(each.groupBy("host", "run").agg(F.sum("n").alias("n")))
+    whole = runs.filter("run IS NULL").groupBy("host").agg(F.sum("n").alias("pages"))
+    marked = counts.join(whole, "host").filter((F.col("n") >= FEW) & (F.col("n") >= OPEN_SHARE * F.col("pages")))
+    marked = stored(marked.select("host", "run", (F.col("n") >= MAIN_SHARE * F.col("pages")).alias("often")), "boilerplate")
+    of_host = marked.groupBy("host").agg(F.collect_list("run").alias("runs"), F.collect_list("often").alias("often"))
+    if marked.count() <= broadcast_runs:
+        of_host = F.broadcast(of_host)
+
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for blocks, main, r, o in zip(*(b.column(k).to_pylist() for k in (2, 3)), b.column(4), b.column(5), strict=True):
+                if r.is_valid and blocks:
+                    texts.append(kept_text(blocks, main, r.values.to_numpy(), o.values.to_numpy(zero_copy_only=False)))
+                else:
+                    texts.append("\n".join(blocks))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    with_runs = parsed.select("page_id", "url", "blocks", "main", "host").join(of_host, "host", "left").select("page_id", "url", "blocks", "main", "runs", "often")
+    return with_runs.mapInArrow(text, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,25 +201,63 @@ def test_pages(spark):
 
 def test_pages_large_hosts(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
-    small, joined = (sorted(map(tuple, rows(pages.main_text(df, 3, n)))) for n in (100_000, 0))
-    assert small == joined and len(small) == df.count()
+    whole, small, joined = (sorted(map(tuple, rows(pages.main_text(df, *o)))) for o in ((512, 100_000), (3, 100_000), (3, 0)))
+    assert whole == small == joined and len(small) == df.count()
+
+
+def plain_texts(source):
+    """The texts of (url, html) rows by counting each 8 words of each block over a host's distinct pages."""
+    cut = [pages.page_blocks(h) for _, h in source]
+    hosts = defaultdict(dict)
+    for (u, _), x in zip(source, cut):
+        if u and "://" in u:
+            hosts[u.split("/")[2]]["\n".join(b for b, _ in x)] = x
+    out = []
+    for (u, _), x in zip(source, cut):
+        blocks, main = [b.split(" ") for b, _ in x], bool(x) and x[0][1]
+        own = {t: y for t, y in hosts[u.split("/")[2]].items() if t} if u and "://" in u else {}
+        n = Counter()
+        for y in own.values():
+            n.update({tuple(w[i : i + 8]) for w in (b.split(" ") for b, _ in y) for i in range(len(w) - 7)})
+        least = max(3, (0.5 if main else 0.25) * len(own))
+        gone = [{j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] >= least for j in range(i, i + 8)} for w in blocks]
+        if sum(map(len, gone)) >= (0.5 if main else 0.9) * sum(map(len, blocks)):
+            gone = [set() for _ in blocks]
+        kept = [" ".join(v for j, v in enumerate(w) if j not in g) for w, g in zip(blocks, gone)]
+        out.append("\n".join(b for b in kept if b))
+    return out
 
 
 def test_pages_boilerplate_of_a_host(spark):
     """A host's boilerplate is the same however its pages are dealt, goes from marked parts too, and is no repeated article."""
     notice, promo = prose(12, 70), prose(14, 71)
     own = [prose(30, 100 + i) for i in range(80)]
-    open_ = [("http://open.example/", f"<p>{own[i]}</p>" + (f"<p>{notice}</p>" if i < 18 else ""), own[i]) for i in range(80)]
+    open_ = [("http://open.example/", f"<p>{own[i]}</p>" + (f"<p>{notice}</p>" if i < 30 else ""), own[i]) for i in range(80)]
+    inside = [("http://inside.example/", f"<p>{x} {promo} tail{i} of</p>", f"{x} tail{i} of") for i, x in enumerate(own[:20])]
     marked = [("http://main.example/", f"<article><p>{x}</p><p>{promo}</p></article>", x) for x in own[:20]]
     article = prose(60, 72)
     twice = [("http://twice.example/", f"<p>{x}</p>", x) for x in (near(article, 1, 2), near(article, 2, 2), *own[:3])]
     often = [("http://often.example/", f"<article><p>{x}</p></article>", x) for x in (near(article, i, 2) for i in range(6))]
-    want = dict(enumerate([*open_, *marked, *twice, *often]))
+    copies = [("http://copies.example/", f"<article><p>{own[0]}</p></article>", own[0])] * 9 + [("http://copies.example/", f"<article><p>{own[1]}</p></article>", own[1])]
+    none = [("page/", f"<p>{own[i]}</p><p>{notice}</p>", own[i] + "\n" + notice) for i in range(8)]
+    want = dict(enumerate([*open_, *inside, *marked, *twice, *often, *copies, *none]))
+    assert plain_texts([(u, h) for u, h, _ in want.values()]) == [t for _, _, t in want.values()]
     df = spark.createDataFrame([(i, u + str(i), h) for i, (u, h, _) in want.items()], "page_id long, url string, html string")
     for o in ((512, 100_000), (7, 100_000), (7, 0)):
         assert {r["page_id"]: r["text"] for r in rows(pages.main_text(df, *o))} == {i: t for i, (_, _, t) in want.items()}
 
 
+def test_pages_marks():
+    """Classes of an article or main element hide nothing, nor do subjects and states; names that begin or end with furniture do."""
+    said = {
+        '<article class="post category-legal"><p>The court ruled</p></article>': "The court ruled",
+        '<main class="search-enabled"><p>Text</p></main>': "Text",
+        '<article><div class="has-sidebar"><p>One</p></div><div class="comment-list"><p>Two</p></div><div id="cookieNotice">Three</div><div class="post-related">Four</div></article>': "One\nFour",
+        '<body class="nav"><div class="menu">No</div><p>Yes</p></body>': "Yes",
+    }
+    assert ["\n".join(b for b, _ in pages.page_blocks(h)) for h in said] == list(said.values())
+
+
 def test_pages_given(spark, sf):
     import re
 
@@ -232,8 +270,12 @@ def test_pages_given(spark, sf):
 
 def test_suffix_order():
     tokens = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1])
-    order, _ = pages.suffix_order(tokens)
+    order, rank = pages.suffix_order(tokens)
     assert order.tolist() == sorted(range(9), key=lambda i: tokens[i:].tolist())
+    r = np.random.default_rng(0).integers(0, 2, 400)
+    _, rank = pages.suffix_order(r)
+    keys = [tuple(r[i : i + 8]) for i in range(400)]
+    assert rank.tolist() == [sorted(set(keys)).index(k) for k in keys]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
