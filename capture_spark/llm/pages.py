@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
-from capture_spark.llm.tables import settled, stored
+from capture_spark.llm.tables import stored
 
 # Element names, the words in class, id and role that mark furniture, and words beside which they don't.
 FURNITURE = frozenset("nav footer aside form script style noscript template button select textarea svg iframe menu dialog head title object canvas audio video".split())
@@ -32,7 +32,7 @@ LONG = 8  # a power of two
 FEW = 3  # distinct pages
 OPEN_SHARE, MAIN_SHARE = 0.25, 0.5
 PAGES_PER_SHARD = 128
-CHARS_PER_SHARD = 4 << 20
+CHARS_PER_SHARD = 8 << 20
 BROADCAST_RUNS = 1 << 18
 
 
@@ -244,31 +244,25 @@ def main_text(pages: DataFrame, per_shard: int = PAGES_PER_SHARD, broadcast_runs
     length, null ids, repeated rows and extra columns are allowed; an empty
     table gives no rows.
 
-    Boilerplate is broadcast while it has at most ``broadcast_runs`` substrings,
-    and joined by host beyond that.
+    Pages are parsed twice, once for the arrays and once for the texts, as a
+    stored copy of the blocks takes more than that is worth.  Boilerplate is
+    broadcast while it has at most ``broadcast_runs`` substrings, and joined by
+    host beyond that.  Only hosts and boilerplate are written.
     """
-    return settled(pages.sparkSession, "main-text", lambda: _main_text(pages, per_shard, broadcast_runs))
-
-
-def _main_text(pages: DataFrame, per_shard: int, broadcast_runs: int) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    source = pages.select("page_id", "url", "html", host.alias("host"))
     kind = dict(pages.dtypes)["page_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "html"):
-            found = [page_blocks(h) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array([bool(x) and x[0][1] for x in found]), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))],
-                names=["page_id", "url", "host", "main", "blocks"],
-            )
-
-    parsed = pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(cut, f"page_id {kind}, url string, host string, main boolean, blocks array<string>")
-    joined = F.array_join("blocks", "\n")
-    parsed = stored(parsed.withColumns({"chars": F.length(joined), "key": F.xxhash64(joined)}), "parsed-pages")
-    sizes = parsed.filter("host <> '' AND chars > 0").groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars")).filter(F.col("pages") >= FEW)
+            blocks = pa.array([[t for t, _ in page_blocks(h)] for h in b.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blocks], names=["host", "shards", "blocks"])
+
+    sizes = source.filter("host <> '' AND html <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars")).filter(F.col("pages") >= FEW)
     sizes = stored(sizes.select("host", F.greatest(F.ceil(F.col("pages") / per_shard), F.ceil(F.col("chars") / CHARS_PER_SHARD)).cast("long").alias("shards")), "hosts")
+    parsed = source.join(sizes, "host").select("host", "shards", "html").mapInArrow(cut, "host string, shards long, blocks array<string>")
     # Copies of a page come to one shard, so that the counts of the shards add up.
-    dealt = parsed.filter("chars > 0").select("host", "key", "blocks").join(sizes, "host").withColumn("shard", F.pmod("key", "shards"))
+    dealt = parsed.filter("size(blocks) > 0").withColumn("key", F.xxhash64(F.array_join("blocks", "\n"))).withColumn("shard", F.pmod("key", "shards"))
     runs = stored(dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, shards long, run long, n long"), "shard-runs")
     many = runs.filter("shards > 1 AND run IS NOT NULL").select("host", "shards", "run").distinct()
     counts = runs.filter("shards = 1 AND run IS NOT NULL").select("host", "run", "n")
@@ -285,16 +279,18 @@ def _main_text(pages: DataFrame, per_shard: int, broadcast_runs: int) -> DataFra
         of_host = F.broadcast(of_host)
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tx.slices(batches, "html"):
             texts = []
-            for blocks, main, r, o in zip(*(b.column(k).to_pylist() for k in (2, 3)), b.column(4), b.column(5), strict=True):
+            for html, r, o in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                found = page_blocks(html)
+                blocks = [t for t, _ in found]
                 if r.is_valid and blocks:
-                    texts.append(kept_text(blocks, main, r.values.to_numpy(), o.values.to_numpy(zero_copy_only=False)))
+                    texts.append(kept_text(blocks, found[0][1], r.values.to_numpy(), o.values.to_numpy(zero_copy_only=False)))
                 else:
                     texts.append("\n".join(blocks))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    with_runs = parsed.select("page_id", "url", "blocks", "main", "host").join(of_host, "host", "left").select("page_id", "url", "blocks", "main", "runs", "often")
+    with_runs = source.join(of_host, "host", "left").select("page_id", "url", "html", "runs", "often")
     return with_runs.mapInArrow(text, f"page_id {kind}, url string, text string, n_chars long")
 
 
