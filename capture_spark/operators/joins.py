@@ -5,27 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_spark.operators.scenes import compose, dot, pose, pose_of
 
-def asof_forward(captures: DataFrame, poses: DataFrame) -> DataFrame:
+
+def asof_forward(captures: DataFrame, poses: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """The first pose at or after each capture of its scene, else the scene's last pose.
 
-    Both tables in one ordered stream per scene: a window carries the next pose back.
+    Captures and poses meet in buckets of time, so a long scene is many tasks.
+    Each bucket's first pose is carried back over the (few) bucket rows; within a
+    bucket a window runs backwards in time, each row looking only at what it has seen.
     """
-    c = captures.select("scene_id", F.col("capture_ts").alias("at"), "capture_id", F.lit(None).cast("long").alias("pose_id"), F.lit(0).alias("is_pose"))
-    p = poses.select("scene_id", F.col("pose_ts").alias("at"), F.lit(None).cast("long").alias("capture_id"), "pose_id", F.lit(1).alias("is_pose"))
-    by = Window.partitionBy("scene_id").orderBy("at", "is_pose", "pose_id")
-    found = c.unionByName(p).withColumn("next_pose", F.first("pose_id", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    part = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / bucket_seconds)
+    c = captures.select("scene_id", F.col("capture_ts").alias("at"), "capture_id", F.lit(None).cast("long").alias("pose_id"), F.lit(0).alias("is_pose"), part("capture_ts").alias("bucket"))
+    p = poses.select("scene_id", F.col("pose_ts").alias("at"), F.lit(None).cast("long").alias("capture_id"), "pose_id", F.lit(1).alias("is_pose"), part("pose_ts").alias("bucket"))
+    back = Window.partitionBy("scene_id", "bucket").orderBy(F.col("at").desc(), F.col("is_pose").desc(), F.col("pose_id").desc())
+    inside = c.unionByName(p).withColumn("in_bucket", F.last("pose_id", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).filter("is_pose = 0")
+    firsts = p.groupBy("scene_id", "bucket").agg(F.min(F.struct("at", "pose_id"))["pose_id"].alias("first_pose"))
+    marks = firsts.unionByName(c.select("scene_id", "bucket").distinct().withColumn("first_pose", F.lit(None).cast("long")))
+    marks = marks.groupBy("scene_id", "bucket").agg(F.max("first_pose").alias("first_pose"))
+    later = Window.partitionBy("scene_id").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("next_pose", F.last("first_pose", ignorenulls=True).over(later)).drop("first_pose")
     last = poses.groupBy("scene_id").agg(F.max(F.struct("pose_ts", "pose_id"))["pose_id"].alias("last_pose"))
-    return found.filter("is_pose = 0").join(last, "scene_id", "left").select("scene_id", "capture_id", F.coalesce("next_pose", "last_pose").alias("pose_id"))
+    found = inside.join(marks, ["scene_id", "bucket"], "left").join(last, "scene_id", "left")
+    return found.select("scene_id", "capture_id", F.coalesce("in_bucket", "next_pose", "last_pose").alias("pose_id"))
+
 
+def band_join(captures: DataFrame, poses: DataFrame, seconds: float, digits: int = 3) -> DataFrame:
+    """The pose of a capture: of those at its time to ``digits`` decimals, else of those less than ``seconds`` away, the last in file order (``pose_id``).
 
-def band_join(captures: DataFrame, poses: DataFrame, seconds: float) -> DataFrame:
-    """The latest pose (by id) less than ``seconds`` from each capture; equi join on time buckets."""
+    Equi joins on the rounded time and on time buckets.
+    """
     t = lambda c: F.col(c).cast("timestamp").cast("double")
-    c = captures.withColumn("t", t("capture_ts")).withColumn("bucket", F.explode(F.expr(f"sequence(CAST(floor(t / {seconds}) AS BIGINT) - 1, CAST(floor(t / {seconds}) AS BIGINT) + 1)")))
-    p = poses.withColumn("pt", t("pose_ts")).withColumn("bucket", F.floor(F.col("pt") / seconds).cast("long"))
-    pairs = c.join(p.select("scene_id", "bucket", "pt", "pose_id"), ["scene_id", "bucket"]).filter(F.abs(F.col("t") - F.col("pt")) < seconds)
-    return pairs.groupBy("scene_id", "capture_id").agg(F.max("pose_id").alias("pose_id"))
+    c = captures.withColumn("t", t("capture_ts"))
+    p = poses.withColumn("pt", t("pose_ts"))
+    exact = c.withColumn("key", F.round("t", digits)).join(p.select("scene_id", F.round("pt", digits).alias("key"), "pose_id"), ["scene_id", "key"])
+    exact = exact.groupBy("scene_id", "capture_id").agg(F.max("pose_id").alias("exact_id"))
+    near = c.withColumn("bucket", F.explode(F.expr(f"sequence(CAST(floor(t / {seconds}) AS BIGINT) - 1, CAST(floor(t / {seconds}) AS BIGINT) + 1)")))
+    p = p.withColumn("bucket", F.floor(F.col("pt") / seconds).cast("long"))
+    pairs = near.join(p.select("scene_id", "bucket", "pt", "pose_id"), ["scene_id", "bucket"]).filter(F.abs(F.col("t") - F.col("pt")) < seconds)
+    near = pairs.groupBy("scene_id", "capture_id").agg(F.max("pose_id").alias("near_id"))
+    return near.join(exact, ["scene_id", "capture_id"], "full").select("scene_id", "capture_id", F.coalesce("exact_id", "near_id").alias("pose_id"))
 
 
 def fallback_lookup(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
@@ -35,10 +54,68 @@ def fallback_lookup(keys: DataFrame, table: DataFrame, key: str, value: str) ->
     return k.join(t, "want").groupBy(key).agg(F.min_by(value, "rank").alias(value))
 
 
-def reconcile(metadata: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """How many keys both sides have, and how many only one has."""
-    both = metadata.select(key, F.lit(1).alias("m")).join(images.select(key, F.lit(1).alias("i")), key, "full")
-    return both.agg(F.count_if(F.expr("m IS NOT NULL AND i IS NOT NULL")).alias("matched"), F.count_if(F.expr("i IS NULL")).alias("no_image"), F.count_if(F.expr("m IS NULL")).alias("no_metadata"))
+def reconcile(metadata: DataFrame, images: DataFrame, name: str = "file_name") -> DataFrame:
+    """Per scene: camera rows with an image of their base name, and how many of either side have none.
+
+    A camera's name is tried as it stands and, if no image has it, up to its
+    first dot.  Both tables have scene_id and ``name``; images' names lose their
+    last extension.
+    """
+    i = images.select("scene_id", F.regexp_replace(name, r"\.[^.]*$", "").alias("base")).distinct()
+    m = metadata.select("scene_id", F.col(name).alias("own"), F.element_at(F.split(name, r"\."), 1).alias("short"))
+    m = m.join(i.withColumn("hit", F.lit(True)), (m["own"] == i["base"]) & (m["scene_id"] == i["scene_id"]), "left").select(m["scene_id"], "own", "short", "hit")
+    m = m.withColumn("base", F.when(F.col("hit"), F.col("own")).otherwise(F.col("short"))).groupBy("scene_id", "base").agg(F.count("*").alias("cameras"))
+    both = m.join(i.withColumn("image", F.lit(1)), ["scene_id", "base"], "full")
+    n = F.coalesce("cameras", F.lit(0))
+    return both.groupBy("scene_id").agg(F.sum(F.when(F.col("image").isNotNull(), n).otherwise(0)).alias("matched"), F.sum(F.when(F.col("image").isNull(), n).otherwise(0)).alias("no_image"), F.count_if(F.col("image").isNotNull() & F.col("cameras").isNull()).alias("no_metadata"))
+
+
+def component_poses(cameras: DataFrame, components: DataFrame) -> DataFrame:
+    """``c2w`` of each camera moved by its component's ``transform``; cameras of none, or of one without a transform, stay."""
+    of = components.select("scene_id", "component_id", "transform")
+    c = cameras.join(of, ["scene_id", "component_id"], "left")
+    return c.withColumn("c2w", F.when(F.col("transform").isNull(), F.col("c2w")).otherwise(compose(F.col("transform"), F.col("c2w")))).drop("transform")
+
+
+def renamed_images(images: DataFrame, names: DataFrame) -> DataFrame:
+    """Images under the new names of a file map (scene_id, old_name, new_name); names that it lacks stay."""
+    n = names.select("scene_id", F.col("old_name").alias("name"), "new_name")
+    return images.join(n, ["scene_id", "name"], "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+
+
+def moving_boxes(boxes: DataFrame, annotations: DataFrame, threshold: float) -> DataFrame:
+    """The boxes of instances that move."""
+    return boxes.join(dynamic_instances(annotations, threshold).filter("dynamic"), "instance_id", "left_semi")
+
+
+def project_boxes(boxes: DataFrame, images: DataFrame, margin: float = 0.0) -> DataFrame:
+    """(scene_id, image_id, box_id, x0, y0, x1, y1): the rectangle of each box's eight corners in each image of its scene and time.
+
+    ``boxes`` has (scene_id, sample_id, box_id), centre bx, by, bz, size sx, sy,
+    sz and a yaw; ``images`` have sample_id, c2w (looking along -z) and
+    intrinsics.  Boxes with a corner behind the camera or outside the image altogether go.
+    """
+    corner = F.explode(F.array(*[F.array(*[F.lit(s) for s in (a, b, c)]) for a in (-0.5, 0.5) for b in (-0.5, 0.5) for c in (-0.5, 0.5)]))
+    b = boxes.withColumn("k", corner)
+    dx, dy, dz = (F.col("k")[i] * F.col(f"s{c}") for i, c in enumerate("xyz"))
+    cy, sy = F.cos("yaw"), F.sin("yaw")
+    b = b.select("scene_id", "sample_id", "box_id", (F.col("bx") + cy * dx - sy * dy).alias("wx"), (F.col("by") + sy * dx + cy * dy).alias("wy"), (F.col("bz") + dz).alias("wz"))
+    b = b.join(images, ["scene_id", "sample_id"])
+    r, t = pose_of(F.col("c2w"))
+    d = [F.col(f"w{c}") - x for c, x in zip("xyz", t, strict=True)]
+    cam = [dot([r[i][k] for i in range(3)], d) for k in range(3)]
+    b = b.withColumns({"depth": -cam[2], "u": F.col("fx") * cam[0] / -cam[2] + F.col("cx"), "v": -F.col("fy") * cam[1] / -cam[2] + F.col("cy")})
+    out = b.groupBy("scene_id", "image_id", "box_id", "width", "height").agg(F.min("depth").alias("near"), *[f(c).alias(n) for f, c, n in ((F.min, "u", "x0"), (F.min, "v", "y0"), (F.max, "u", "x1"), (F.max, "v", "y1"))])
+    out = out.filter("near > 0 AND x1 > 0 AND y1 > 0 AND x0 < width AND y0 < height")
+    clip = lambda x, side: F.greatest(F.least(x, F.col(side).cast("double")), F.lit(0.0))
+    return out.select("scene_id", "image_id", "box_id", clip(F.col("x0") - margin, "width").alias("x0"), clip(F.col("y0") - margin, "height").alias("y0"), clip(F.col("x1") + margin, "width").alias("x1"), clip(F.col("y1") + margin, "height").alias("y1"))
+
+
+def box_masks(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """(scene_id, image_id, y, x, keep): false in any rectangle of the image."""
+    inside = pixels.select("scene_id", "image_id", "y", "x").join(rectangles, ["scene_id", "image_id"]).filter((F.col("x") + 0.5).between(F.col("x0"), F.col("x1")) & (F.col("y") + 0.5).between(F.col("y0"), F.col("y1")))
+    hit = inside.select("scene_id", "image_id", "y", "x").distinct().withColumn("hit", F.lit(True))
+    return pixels.select("scene_id", "image_id", "y", "x").join(hit, ["scene_id", "image_id", "y", "x"], "left").select("scene_id", "image_id", "y", "x", F.col("hit").isNull().alias("keep"))
 
 
 def dynamic_instances(annotations: DataFrame, threshold: float) -> DataFrame:
@@ -48,5 +125,15 @@ def dynamic_instances(annotations: DataFrame, threshold: float) -> DataFrame:
 
 
 def sensor_star(sample_data: DataFrame, samples: DataFrame, sensors: DataFrame, egos: DataFrame) -> DataFrame:
-    """Each record with its sample, sensor and ego rows."""
-    return sample_data.join(samples, "sample_id").join(sensors, "sensor_id").join(egos, "ego_id")
+    """Each record with its sample, sensor and ego rows; ``c2w`` is the ego's pose after the sensor's, with axes turned to the engine's.
+
+    Sensors have ``sensor_pose``, egos ``ego_pose``, both 3x4 row by row.
+    """
+    s = sample_data.join(samples, ["scene_id", "sample_id"]).join(sensors, ["scene_id", "sensor_id"]).join(egos, ["scene_id", "ego_id"])
+    s = s.withColumn("c2w", compose(F.col("ego_pose"), F.col("sensor_pose")))
+    r, t = pose_of(F.col("c2w"))
+    first = [[-1 * x for x in r[1]], [-1 * x for x in r[2]], r[0]]
+    moved = [-t[1], -t[2], t[0]]
+    turned = [[row[0], -row[1], -row[2]] for row in first]
+    swapped, at = [turned[1], turned[0], [-x for x in turned[2]]], [moved[1], moved[0], -moved[2]]
+    return s.withColumn("c2w", pose([swapped[2], swapped[1], [-x for x in swapped[0]]], [at[2], at[1], -at[0]]))

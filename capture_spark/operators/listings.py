@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 def resolve_images(frames: DataFrame, files: DataFrame, extension: str = ".png") -> DataFrame:
     """Add ``image_path``: the frame's path where such a file is listed, else path and extension, else null."""
-    names = files.select(F.col("file_path").alias("image_path")).distinct()
-    tries = frames.withColumn("try", F.explode(F.array("file_path", F.concat("file_path", F.lit(extension)))))
-    found = tries.join(names, F.col("try") == F.col("image_path"))
-    best = found.groupBy("frame_id").agg(F.min_by("image_path", F.length("image_path")).alias("image_path"))
-    return frames.join(best, "frame_id", "left")
+    names = files.select("scene_id", F.col("file_path").alias("image_path")).distinct()
+    tries = frames.withColumn("image_path", F.explode(F.array("file_path", F.concat("file_path", F.lit(extension)))))
+    found = tries.join(names, ["scene_id", "image_path"])
+    best = found.groupBy("scene_id", "frame_id").agg(F.min_by("image_path", F.length("image_path")).alias("image_path"))
+    return frames.join(best, ["scene_id", "frame_id"], "left")
 
 
 def listed_frames(frames: DataFrame, lists: DataFrame) -> DataFrame:

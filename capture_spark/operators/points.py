@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capture_spark.shared import written
+from capture_spark.operators.scenes import pose_of
+from capture_spark.shared import Scratch, settled
 
 XYZ = ("x", "y", "z")
 
@@ -17,14 +20,19 @@ def within_aabb(points: DataFrame, low: tuple, high: tuple) -> DataFrame:
     return points.filter(keep)
 
 
-def within_obb(points: DataFrame, yaw: float, centre: tuple, extent: tuple) -> DataFrame:
-    """Points strictly inside a box turned by ``yaw`` about z."""
-    d = [F.col(c) - t for c, t in zip(XYZ, centre, strict=True)]
-    cy, sy = F.cos(F.lit(yaw)), F.sin(F.lit(yaw))
-    local = [cy * d[0] + sy * d[1], cy * d[1] - sy * d[0], d[2]]
+def box_rotation(roll: float, pitch: float, yaw: float) -> np.ndarray:
+    """Rz(yaw) Ry(pitch) Rx(roll)."""
+    (cr, sr), (cp, sp), (cy, sy) = ((np.cos(a), np.sin(a)) for a in (roll, pitch, yaw))
+    return np.array([[cy, -sy, 0], [sy, cy, 0], [0, 0, 1]]) @ np.array([[cp, 0, sp], [0, 1, 0], [-sp, 0, cp]]) @ np.array([[1, 0, 0], [0, cr, -sr], [0, sr, cr]])
+
+
+def within_obb(points: DataFrame, turn: tuple[float, float, float], centre: tuple, extent: tuple) -> DataFrame:
+    """Points strictly inside a box turned by roll, pitch and yaw."""
+    r = box_rotation(*turn)
+    d = [F.col(c) - float(t) for c, t in zip(XYZ, centre, strict=True)]
     keep = F.lit(True)
-    for v, e in zip(local, extent, strict=True):
-        keep = keep & (F.abs(v) < e / 2)
+    for k, e in enumerate(extent):
+        keep = keep & (F.abs(sum((float(r[i, k]) * d[i] for i in (1, 2)), float(r[0, k]) * d[0])) < e / 2)
     return points.filter(keep)
 
 
@@ -48,6 +56,15 @@ def splat_colors(points: DataFrame) -> DataFrame:
     return points.withColumns({f"f_dc_{i}": (F.col(c) / 255.0 - 0.5) / SH0 for i, c in enumerate("rgb")}).withColumn("opacity", F.log(F.lit(0.1) / (1 - F.lit(0.1))))
 
 
+def splat_counts(splats: DataFrame, columns: tuple[str, ...], least_opacity: float = -5.5373) -> DataFrame:
+    """Per scene: splats, those that ``clean_splats`` keeps, those with an attribute that is not finite, and the faint ones of the rest."""
+    bad = F.lit(False)
+    for c in (*columns, "opacity"):
+        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    faint = ~bad & (F.col("opacity") < least_opacity)
+    return splats.groupBy("scene_id").agg(F.count("*").alias("n"), F.count_if(~bad & ~faint).alias("kept"), F.count_if(bad).alias("not_finite"), F.count_if(faint).alias("faint"))
+
+
 def clean_splats(splats: DataFrame, columns: tuple[str, ...], least_opacity: float = -5.5373) -> DataFrame:
     """Splats with finite attributes and enough opacity."""
     keep = F.col("opacity") >= least_opacity
@@ -56,11 +73,19 @@ def clean_splats(splats: DataFrame, columns: tuple[str, ...], least_opacity: flo
     return splats.filter(keep)
 
 
-def spatial_hash(points: DataFrame, cell: float, bits: int) -> DataFrame:
-    """Bucket of each point's cell, by xor of its coordinates times fixed odd numbers."""
-    ix = [F.floor(F.col(c) / cell).cast("long") for c in XYZ]
-    h = ix[0].bitwiseXOR(ix[1] * 2654435761).bitwiseXOR(ix[2] * 805459861)
-    return points.withColumn("bucket", F.pmod(h, F.lit(1 << bits)))
+def spatial_hash(points: DataFrame, cell: float, bits: int, levels: int = 1, growth: float = 2.0) -> DataFrame:
+    """(level, cell place, bucket) of each point: xor of the cell's coordinates times fixed odd numbers; cells shrink by ``growth`` a level."""
+    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    size = F.lit(cell) / F.pow(F.lit(float(growth)), F.col("level"))
+    p = p.withColumns({f"i{c}": F.floor(F.col(c) / size).cast("long") for c in XYZ})
+    h = F.col("ix").bitwiseXOR(F.col("iy") * 2654435761).bitwiseXOR(F.col("iz") * 805459861)
+    return p.withColumn("bucket", F.pmod(h, F.lit(1 << bits)))
+
+
+def hash_collisions(hashed: DataFrame) -> DataFrame:
+    """Per level: cells, buckets in use, and buckets with several cells."""
+    cells = hashed.select("level", "bucket", "ix", "iy", "iz").distinct().groupBy("level", "bucket").agg(F.count("*").alias("n"))
+    return cells.groupBy("level").agg(F.sum("n").alias("cells"), F.count("*").alias("buckets"), F.count_if(F.col("n") > 1).alias("shared"))
 
 
 def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
@@ -73,34 +98,56 @@ def dedup_points(points: DataFrame) -> DataFrame:
     return points.groupBy("scene_id", *XYZ).agg(F.min("point3d_id").alias("point3d_id"))
 
 
-def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
-    """(scene_id, point3d_id, rank, other_id, distance): exact k nearest other points of a scene.
+CROWD = 2048
+
 
-    Points meet the points of the 27 cells around theirs; what they find is exact
-    within one cell's width.  A point with fewer than k others that near asks
-    again with cells eight times as wide, until every point of a scene is in reach.
+def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
+    """(scene_id, point3d_id, rank, other_id, distance): exact k nearest other points of a scene, ties by id.
+
+    Points without finite coordinates take no part.  Points at one place meet
+    others once: of a place only its k + 1 smallest ids can be anyone's nearest.
+    Places meet the places of the 27 cells around theirs; what they find is exact
+    within one cell's width.  Cells are quartered until none holds over ``CROWD``
+    places.  A place with fewer than k others that near asks again with cells
+    eight times as wide, until every point of a scene is in reach.
     """
-    ids = points.select("scene_id", "point3d_id", *XYZ)
-    todo, done = ids, None
-    widest = ids.groupBy("scene_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(F.max(F.greatest(*XYZ))).first()[0] or 0.0
-    while True:
-        base = ids.select("scene_id", F.col("point3d_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in XYZ], *[F.floor(F.col(c) / cell).alias(f"i{c}") for c in XYZ])
-        near = todo.withColumn("shift", F.explode(F.array(*[F.array(*[F.lit(v) for v in (a, b, c)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])))
-        near = near.select("scene_id", "point3d_id", *XYZ, *[(F.floor(F.col(c) / cell) + F.col("shift")[i]).alias(f"i{c}") for i, c in enumerate(XYZ)])
-        d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("ox")) ** 2))
-        pairs = near.join(base, ["scene_id", "ix", "iy", "iz"]).filter("point3d_id <> other_id").withColumn("distance", d)
-        by = Window.partitionBy("scene_id", "point3d_id").orderBy("distance", "other_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("scene_id", "point3d_id", "rank", "other_id", "distance")
-        last = cell > widest
-        sure = ranked.groupBy("scene_id", "point3d_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= cell)))
-        sure = written(sure, "knn-sure")
-        found = ranked.join(sure.select("scene_id", "point3d_id"), ["scene_id", "point3d_id"], "left_semi")
-        found = written(found, "knn")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        todo = written(todo.join(sure, ["scene_id", "point3d_id"], "left_anti"), "knn-todo")
-        cell *= 8
+
+    def make(scratch: Scratch) -> DataFrame:
+        finite = F.lit(True)
+        for c in XYZ:
+            finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+        ids = scratch.written(points.filter(finite).select("scene_id", "point3d_id", *[F.col(c).cast("double").alias(c) for c in XYZ]))
+        at_place = Window.partitionBy("scene_id", *XYZ).orderBy("point3d_id")
+        few = ids.withColumn("place_rank", F.row_number().over(at_place)).filter(F.col("place_rank") <= k + 1)
+        places = scratch.written(few.groupBy("scene_id", *XYZ).agg(F.array_sort(F.collect_list("point3d_id")).alias("others")).withColumn("place", F.monotonically_increasing_id()))
+        widest = places.groupBy("scene_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(F.max(F.greatest(*XYZ))).first()[0] or 0.0
+        size = cell
+        while size > widest / 2**30 and (places.groupBy("scene_id", *[F.floor(F.col(c) / size) for c in XYZ]).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+            size /= 4
+        todo, done = places.select("scene_id", "place", *XYZ), None
+        while True:
+            base = places.select("scene_id", "others", *[F.col(c).alias(f"o{c}") for c in XYZ], *[F.floor(F.col(c) / size).alias(f"i{c}") for c in XYZ])
+            near = todo.withColumn("shift", F.explode(F.array(*[F.array(*[F.lit(v) for v in (a, b, c)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])))
+            near = near.select("scene_id", "place", *XYZ, *[(F.floor(F.col(c) / size) + F.col("shift")[i]).alias(f"i{c}") for i, c in enumerate(XYZ)])
+            d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("ox")) ** 2))
+            pairs = near.join(base, ["scene_id", "ix", "iy", "iz"]).select("scene_id", "place", d.alias("distance"), F.explode("others").alias("other_id"))
+            by = Window.partitionBy("scene_id", "place").orderBy("distance", "other_id")
+            ranked = pairs.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
+            found = ranked.groupBy("scene_id", "place").agg(F.array_sort(F.collect_list(F.struct("r", "distance", "other_id"))).alias("near"))
+            last = size > widest
+            found = scratch.written(found.withColumn("sure", F.lit(last) | ((F.size("near") > k) & (F.element_at("near", -1)["distance"] <= size))))
+            sure = found.filter("sure").drop("sure")
+            done = sure if done is None else done.unionByName(sure)
+            if last:
+                break
+            todo = scratch.written(todo.join(sure.select("scene_id", "place"), ["scene_id", "place"], "left_anti"))
+            size *= 8
+        # Every point of a place takes the place's list without itself.
+        own = ids.join(places.select("scene_id", *XYZ, "place"), ["scene_id", *XYZ]).join(done, ["scene_id", "place"])
+        out = own.select("scene_id", "point3d_id", F.posexplode(F.slice(F.filter("near", lambda x: x["other_id"] != F.col("point3d_id")), 1, k)).alias("at", "n"))
+        return out.select("scene_id", "point3d_id", (F.col("at") + 1).alias("rank"), F.col("n.other_id").alias("other_id"), F.col("n.distance").alias("distance"))
+
+    return settled(points.sparkSession, "nearest", make)
 
 
 def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> DataFrame:
@@ -111,31 +158,115 @@ def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> Dat
     return points.join(keep.select("scene_id", "point3d_id"), ["scene_id", "point3d_id"], "left_semi")
 
 
-def usable_observations(observations: DataFrame, points: DataFrame, most_error: float = 2.5, least_track: int = 2, width: float = 643, height: float = 481) -> DataFrame:
-    track = observations.groupBy("point3d_id").agg(F.count("*").alias("track"))
-    good = points.filter(F.col("error") <= most_error).join(track.filter(F.col("track") >= least_track), "point3d_id").select("point3d_id", "x", "y", "z", "error", "track")
-    return observations.join(good, "point3d_id").filter((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
+def estimate_normals(points: DataFrame, k: int, cell: float, view: tuple[float, float, float] | None = None) -> DataFrame:
+    """(scene_id, point3d_id, nx, ny, nz): the direction of least spread of each point and its k nearest; away from ``view`` if one is given.
+
+    Six sums per point give the spread; its eigenvectors come from batches of 3 x 3 matrices.
+    """
+    near = nearest(points, k, cell).select("scene_id", "point3d_id", F.col("other_id").alias("of"))
+    group = near.unionByName(points.select("scene_id", "point3d_id", F.col("point3d_id").alias("of")))
+    at = points.select("scene_id", F.col("point3d_id").alias("of"), *XYZ)
+    pairs = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
+    spread = group.join(at, ["scene_id", "of"]).groupBy("scene_id", "point3d_id").agg(*[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs])
+
+    def solve(batches):
+        for b in batches:
+            m = np.empty((len(b), 3, 3))
+            for p, q in pairs:
+                i, j = XYZ.index(p), XYZ.index(q)
+                m[:, i, j] = m[:, j, i] = b[f"{p}{q}"]
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            lead = np.abs(n).argmax(1)
+            n = n * np.sign(n[np.arange(len(n)), lead])[:, None]  # one sign of the two, always the same
+            if view is not None:
+                n = n * np.where(n @ np.array(view) > 0, -1, 1)[:, None]
+            yield pd.DataFrame({"scene_id": b["scene_id"], "point3d_id": b["point3d_id"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+
+    kinds = dict(points.dtypes)
+    return spread.mapInPandas(solve, f"scene_id {kinds['scene_id']}, point3d_id {kinds['point3d_id']}, nx double, ny double, nz double")
+
+
+def mesh_points(triangles: DataFrame, vertices: DataFrame, texels: DataFrame) -> DataFrame:
+    """(scene_id, triangle_id, corner, x, y, z, r, g, b): the corners of each triangle, coloured by the texel at its uv.
+
+    ``triangles`` has corners (array of vertex ids) and uv (array of (u, v)), v
+    upwards; ``texels`` has the scene's texture by row and column.
+    """
+    size = texels.groupBy("scene_id").agg((F.max("col") + 1).alias("tw"), (F.max("row") + 1).alias("th"))
+    c = triangles.select("scene_id", "triangle_id", F.posexplode(F.arrays_zip("corners", "uv")).alias("corner", "c"))
+    c = c.select("scene_id", "triangle_id", "corner", F.col("c.corners").alias("vertex_id"), F.col("c.uv")[0].alias("u"), F.col("c.uv")[1].alias("v")).join(size, "scene_id")
+    clamp = lambda x, n: F.greatest(F.least(F.floor(x), F.col(n) - 1), F.lit(0))
+    c = c.withColumns({"col": clamp(F.col("u") * F.col("tw"), "tw"), "row": clamp((1 - F.col("v")) * F.col("th"), "th")})
+    return c.join(vertices, ["scene_id", "vertex_id"]).join(texels, ["scene_id", "row", "col"]).select("scene_id", "triangle_id", "corner", *XYZ, "r", "g", "b")
+
+
+def _seen(observations: DataFrame, points: DataFrame, images: DataFrame) -> DataFrame:
+    """Observations with their point and image; ``depth`` along the camera's axis and ``distance`` to its centre, of poses that look along -z."""
+    o = observations.join(points, ["scene_id", "point3d_id"]).join(images, ["scene_id", "image_id"])
+    r, t = pose_of(F.col("c2w"))
+    d = [F.col(c) - x for c, x in zip(XYZ, t, strict=True)]
+    depth = -(r[0][2] * d[0] + r[1][2] * d[1] + r[2][2] * d[2])
+    return o.withColumns({"depth": depth, "distance": F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])})
+
+
+def usable_observations(observations: DataFrame, points: DataFrame, images: DataFrame, depth: tuple[float, float] = (0.001, 10000.0), most_error: float = 2.5, least_track: int = 2) -> DataFrame:
+    """Observations that can serve as depth: of well placed points, in the depth range, inside the image (``width``, ``height`` of ``images``)."""
+    track = observations.groupBy("scene_id", "point3d_id").agg(F.count("*").alias("track"))
+    good = points.filter(F.col("error") <= most_error).join(track.filter(F.col("track") >= least_track), ["scene_id", "point3d_id"])
+    inside = (F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))
+    return _seen(observations, good, images).filter(inside & F.col("depth").between(*depth))
 
 
 def point_tracks(observations: DataFrame, k: int) -> DataFrame:
-    """The first k observations of each point, in order of image and place, as an array."""
-    by = Window.partitionBy("point3d_id").orderBy("image_id", "point2d_idx")
+    """The first k observations of each point, in order of image and place, padded to k with -1; ``n`` of them are real."""
+    by = Window.partitionBy("scene_id", "point3d_id").orderBy("image_id", "point2d_idx")
     top = observations.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k)
-    return top.groupBy("point3d_id").agg(F.sort_array(F.collect_list(F.struct("place", "image_id", "point2d_idx"))).alias("t")).select("point3d_id", F.size("t").alias("n"), F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["image_id"], x["point2d_idx"])), ",").alias("track"))
+    t = top.groupBy("scene_id", "point3d_id").agg(F.array_sort(F.collect_list(F.struct("place", "image_id", "point2d_idx"))).alias("t"))
+    pad = lambda c: F.concat(F.transform("t", lambda x: x[c].cast("long")), F.array_repeat(F.lit(-1).cast("long"), F.lit(k) - F.size("t")))
+    return t.select("scene_id", "point3d_id", F.size("t").alias("n"), pad("image_id").alias("image_ids"), pad("point2d_idx").alias("places"))
+
+
+def point_stats(observations: DataFrame, points: DataFrame) -> DataFrame:
+    """(scene_id, point3d_id, track, error), and by ``scene_stats`` the scene's means."""
+    track = observations.groupBy("scene_id", "point3d_id").agg(F.count("*").alias("track"))
+    return points.select("scene_id", "point3d_id", "error").join(track, ["scene_id", "point3d_id"], "left").withColumn("track", F.coalesce("track", F.lit(0)))
+
 
+def scene_stats(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("scene_id").agg(F.count("*").alias("points"), F.avg("track").alias("mean_track"), F.avg("error").alias("mean_error"))
 
-def sfm_depth(observations: DataFrame, points: DataFrame) -> DataFrame:
-    """Depth in whole thousandths at each pixel; the last observation wins."""
-    o = observations.join(points.select("point3d_id", "z"), "point3d_id")
-    pixel = o.groupBy("image_id", F.floor("u").alias("px"), F.floor("v").alias("py")).agg(F.max_by("z", "point2d_idx").alias("z"))
-    return pixel.select("image_id", "px", "py", F.pmod(F.floor(F.abs("z") * 1000), F.lit(65536)).alias("depth"))
 
+def sfm_depth(observations: DataFrame, points: DataFrame, images: DataFrame) -> DataFrame:
+    """Depth from the camera in whole thousandths at each pixel; the last observation wins, depths wrap at 65536."""
+    o = _seen(observations, points, images)
+    pixel = o.groupBy("scene_id", "image_id", F.floor("u").alias("px"), F.floor("v").alias("py")).agg(F.max_by("depth", "point2d_idx").alias("depth"))
+    return pixel.withColumn("depth", F.pmod((F.col("depth") * 1000).cast("long"), F.lit(65536)))
 
-def point_frequency(observations: DataFrame, points: DataFrame, focal: float) -> DataFrame:
-    """Median over views of image frequency times focal length over distance."""
-    o = observations.join(points.select("point3d_id", "x", "y", "z"), "point3d_id")
-    d = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return o.groupBy("point3d_id").agg(F.median(F.col("f2d") * focal / (d + 1e-6)).alias("f3d"))
+
+def point_frequency(observations: DataFrame, points: DataFrame, images: DataFrame, least: float = 1.0, base: float = 2.0, levels: int = 8) -> DataFrame:
+    """(scene_id, point3d_id, f3d, level): median over views of image frequency times mean focal length over distance to the camera."""
+    o = _seen(observations, points, images)
+    f = o.groupBy("scene_id", "point3d_id").agg(F.median(F.col("f2d") * ((F.col("fx") + F.col("fy")) / 2) / (F.col("distance") + 1e-6)).alias("f3d"))
+    level = F.rint(F.log(F.greatest(F.col("f3d"), F.lit(1e-12)) / least) / float(np.log(base))).cast("long")
+    return f.withColumn("level", F.greatest(F.least(level, F.lit(levels - 1)), F.lit(0)))
+
+
+def observed_frequency(observations: DataFrame, patches: DataFrame, images: DataFrame) -> DataFrame:
+    """Observations with ``f2d`` of the map patch nearest to their place in the image; 0 where the image has no map.
+
+    ``patches`` has (scene_id, image_id, row, col, f2d); corners of the map lie on corners of the image.
+    """
+    size = patches.groupBy("scene_id", "image_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    o = observations.drop("f2d").join(images.select("scene_id", "image_id", "width", "height"), ["scene_id", "image_id"]).join(size, ["scene_id", "image_id"], "left")
+    at = lambda x, side, n: F.rint(F.col(x) / F.col(side) * (F.col(n) - 1)).cast("long")
+    o = o.withColumns({"row": at("v", "height", "rows"), "col": at("u", "width", "cols")})
+    return o.join(patches, ["scene_id", "image_id", "row", "col"], "left").withColumn("f2d", F.coalesce("f2d", F.lit(0.0))).drop("rows", "cols")
+
+
+def backproject(rays: DataFrame, depth: DataFrame, least_opacity: float = 0.5) -> DataFrame:
+    """Points o + d depth of the rays whose accumulated opacity is over ``least_opacity``; crop them with ``within_obb``."""
+    seen = rays.join(depth.filter(F.col("accumulation") > least_opacity), ["scene_id", "ray_id"])
+    return seen.select("scene_id", "ray_id", *[(F.col(f"o{c}") + F.col(f"d{c}") * F.col("depth")).alias(c) for c in XYZ])
 
 
 def grid_update(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -144,9 +275,81 @@ def grid_update(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(n, "voxel_id", "full").select("voxel_id", F.greatest("level", "new_level").alias("level"))
 
 
+def voxel_hits(voxels: DataFrame, views: DataFrame, depth: DataFrame, truncation: float) -> DataFrame:
+    """(scene_id, voxel_id, view_order, tsdf): signed distances of voxel centres to the depth that each view of their scene has there.
+
+    Centres are projected into every view of the scene (a stated set of views,
+    not pairs within a group), looked up at the nearest pixel, 0 outside; views
+    look along -z.
+    """
+    v = voxels.join(views, "scene_id")
+    r, t = pose_of(F.col("c2w"))
+    d = [F.col(c) - x for c, x in zip(XYZ, t, strict=True)]
+    cam: list[Column] = [sum((r[i][k] * d[i] for i in (1, 2)), r[0][k] * d[0]) for k in range(3)]
+    v = v.withColumns({"cam_x": cam[0], "cam_y": -cam[1], "cam_z": -cam[2], "far": F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])}).filter("far > 0")
+    v = v.withColumns({"px": F.floor(F.col("fx") * F.col("cam_x") / F.col("cam_z") + F.col("cx")), "py": F.floor(F.col("fy") * F.col("cam_y") / F.col("cam_z") + F.col("cy"))})
+    hit = v.join(depth.filter("depth > 0").select("scene_id", "image_id", "px", "py", "depth"), ["scene_id", "image_id", "px", "py"])
+    gap = F.col("depth") - F.col("far")
+    return hit.filter(gap > -truncation).select("scene_id", "voxel_id", F.col("image_id").alias("view_order"), F.greatest(F.least(gap / truncation, F.lit(1.0)), F.lit(-1.0)).alias("tsdf"))
+
+
 def fuse_tsdf(hits: DataFrame) -> DataFrame:
     """Running halves in view order, v1 = x1 and vk = (v(k-1) + xk) / 2, in closed form."""
-    by = Window.partitionBy("voxel_id")
+    by = Window.partitionBy("scene_id", "voxel_id")
     h = hits.withColumns({"k": F.row_number().over(by.orderBy("view_order")), "n": F.count("*").over(by)})
     power = F.when(F.col("k") == 1, F.col("n") - 1).otherwise(F.col("n") - F.col("k") + 1)
-    return h.groupBy("voxel_id").agg(F.sum(F.col("tsdf") * F.pow(F.lit(2.0), -power.cast("double"))).alias("value"), F.count("*").alias("n"))
+    return h.groupBy("scene_id", "voxel_id").agg(F.sum(F.col("tsdf") * F.pow(F.lit(2.0), -power.cast("double"))).alias("value"), F.count("*").alias("n"))
+
+
+def refine_box(voxels: DataFrame, margin: float) -> DataFrame:
+    """Per scene: the box around the cells where the distance changes its sign to a cell beside them, widened by ``margin``.
+
+    ``voxels`` has (scene_id, ix, iy, iz, value) and the cell's centre x, y, z.
+    """
+    change = F.lit(False)
+    for c, (p, q) in {"ix": ("iy", "iz"), "iy": ("ix", "iz"), "iz": ("ix", "iy")}.items():
+        by = Window.partitionBy("scene_id", p, q).orderBy(c)
+        for step in (F.lag, F.lead):
+            change = change | F.coalesce((F.abs(step(c).over(by) - F.col(c)) == 1) & (F.signum(step("value").over(by)) * F.signum("value") < 0), F.lit(False))
+    surface = voxels.withColumn("surface", change).filter("surface")
+    return surface.groupBy("scene_id").agg(*[(F.min(c) - margin).alias(f"min_{c}") for c in XYZ], *[(F.max(c) + margin).alias(f"max_{c}") for c in XYZ])
+
+
+def pca_rgb(features: DataFrame, column: str, out: int = 3, bound: float = 2.0) -> DataFrame:
+    """Vectors on their first principal axes, scaled to 0..1 within robust bounds; all-zero vectors become 0.
+
+    Means and outer products are summed in Spark (their size is that of one
+    vector); the robust range is that of the values within ``bound`` median
+    deviations of the median.
+    """
+    f = features.withColumn("_v", F.col(column).cast("array<double>")).withColumn("_zero", F.forall("_v", lambda x: x == 0))
+    width = f.agg(F.max(F.size("_v"))).first()[0] or 0
+    v = [F.col("_v")[i] for i in range(width)]
+    used = f.filter("NOT _zero")
+
+    def sums(batches):
+        whole = np.zeros((width + 1, width + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), np.array(b["_v"].tolist(), float).reshape(len(b), width)])
+            whole += x.T @ x
+        yield pd.DataFrame({"at": np.arange(whole.size), "value": whole.ravel()})
+
+    whole = np.zeros((width + 1) ** 2)
+    for r in used.select("_v").mapInPandas(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # the size of one outer product
+        whole[r["at"]] = r["value"]
+    whole = whole.reshape(width + 1, width + 1) / max(whole[0], 1.0)
+    mean, cov = whole[0, 1:], whole[1:, 1:] - np.outer(whole[0, 1:], whole[0, 1:])
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :out] if width else np.zeros((0, out))
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1) if width else axes
+    names = [f"pc{k}" for k in range(axes.shape[1])]
+    dot = lambda k: sum((float(axes[i, k]) * (v[i] - float(mean[i])) for i in range(1, width)), float(axes[0, k]) * (v[0] - float(mean[0])))
+    p = f.withColumns({n: dot(k) for k, n in enumerate(names)})
+    some = p.filter("NOT _zero")
+    mid = some.agg(*[F.median(n) for n in names]).first()
+    spread = some.agg(*[F.median(F.abs(F.col(n) - float(m))) for n, m in zip(names, mid, strict=True)]).first() if some.limit(1).count() else None
+    if spread is None:
+        return f.select(*features.columns, *[F.lit(0.0).alias(n) for n in names])
+    inside = [F.when(F.abs(F.col(n) - float(m)) <= bound * float(s), F.col(n)) for n, m, s in zip(names, mid, spread, strict=True)]
+    ends = some.agg(*[F.min(x) for x in inside], *[F.max(x) for x in inside]).first()
+    scaled = {n: F.when(F.col("_zero"), 0.0).otherwise(F.greatest(F.least((F.col(n) - float(lo)) / max(float(hi - lo), 1e-12), F.lit(1.0)), F.lit(0.0))) for n, lo, hi in zip(names, ends[: len(names)], ends[len(names) :], strict=True)}
+    return p.withColumns(scaled).select(*features.columns, *names)

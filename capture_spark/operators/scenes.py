@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_spark.shared import settled
+
 Vec = list[Column]
 
 
@@ -114,6 +118,131 @@ def orient_up(frames: DataFrame) -> DataFrame:
     return mean.select("scene_id", "cx", "cy", "cz", *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
 
 
+def _solved(sums: DataFrame, solve) -> DataFrame:
+    """Per scene (one row each): the rotation rows r00 ... r22 that ``solve`` finds from the row's sums."""
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    kind = dict(sums.dtypes)["scene_id"]
+
+    def run(batches):
+        for b in batches:
+            turns = np.array([solve(r) for r in b.to_dict("records")]).reshape(-1, 9)
+            yield pd.DataFrame({"scene_id": b["scene_id"], **{c: b[c] for c in ("cx", "cy", "cz")}, **{n: turns[:, k] for k, n in enumerate(names)}})
+
+    return sums.mapInPandas(run, f"scene_id {kind}, cx double, cy double, cz double, " + ", ".join(f"{n} double" for n in names))
+
+
+def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rotation that takes direction a to direction b."""
+    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    v, c = np.cross(a, b), float(a @ b)
+    if c < -1 + 1e-8:
+        return np.diag([1.0, -1.0, -1.0]) if abs(b[2]) > 0.5 else -np.eye(3)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + k + k @ k / (1 + c)
+
+
+def _axis_sums(frames: DataFrame, axis: int) -> list[Column]:
+    r, _ = pose_of(F.col("c2w"))
+    x = [r[i][axis] for i in range(3)]
+    return [F.sum(x[i] * x[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)]
+
+
+def orient_vertical(frames: DataFrame) -> DataFrame:
+    """Per scene: centre and rotation (r00 ... r22) that turns upright the direction most square to all cameras' x axes.
+
+    Where cameras are near parallel, the mean up axis is used, without its part along their common x axis.  ``frames`` has c2w.
+    """
+    r, t = pose_of(F.col("c2w"))
+    sums = frames.groupBy("scene_id").agg(*[F.avg(x).alias(f"c{c}") for x, c in zip(t, "xyz", strict=True)], *[F.avg(r[i][1]).alias(f"u{i}") for i in range(3)], F.count("*").alias("n"), *_axis_sums(frames, 0))
+
+    def solve(row: dict) -> np.ndarray:
+        m = np.zeros((3, 3))
+        for i in range(3):
+            for j in range(i, 3):
+                m[i, j] = m[j, i] = row[f"m{i}{j}"]
+        value, vector = np.linalg.eigh(m)
+        up = np.array([row[f"u{i}"] for i in range(3)])
+        up = up / np.linalg.norm(up)
+        if np.sqrt(max(value[1], 0)) > 0.17 * np.sqrt(row["n"]):
+            up = vector[:, 0] * (1 if vector[:, 0] @ up > 0 else -1)
+        else:
+            up = up - vector[:, 2] * (vector[:, 2] @ up)
+        return between(up, np.array([0.0, 0.0, 1.0]))
+
+    return _solved(sums, solve)
+
+
+def orient_pca(frames: DataFrame) -> DataFrame:
+    """Per scene: centre and rotation onto the principal axes of the camera centres, widest first; rows 1 and 2 change sign where cameras would look down on average."""
+    r, t = pose_of(F.col("c2w"))
+    pairs = [F.covar_pop(t[i], t[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)]
+    sums = frames.groupBy("scene_id").agg(*[F.avg(x).alias(f"c{c}") for x, c in zip(t, "xyz", strict=True)], *[F.avg(r[i][1]).alias(f"u{i}") for i in range(3)], *pairs)
+
+    def solve(row: dict) -> np.ndarray:
+        m = np.zeros((3, 3))
+        for i in range(3):
+            for j in range(i, 3):
+                m[i, j] = m[j, i] = row[f"m{i}{j}"]
+        vector = np.linalg.eigh(m)[1][:, ::-1]
+        vector = vector * np.where(vector[np.abs(vector).argmax(0), range(3)] < 0, -1, 1)  # one of two signs, always the same
+        if np.linalg.det(vector) < 0:
+            vector[:, 2] = -vector[:, 2]
+        turn = vector.T.copy()
+        if turn[2] @ np.array([row[f"u{i}"] for i in range(3)]) < 0:
+            turn[1:] = -turn[1:]
+        return turn
+
+    return _solved(sums, solve)
+
+
+def scene_focus(frames: DataFrame, rounds: int = 10) -> DataFrame:
+    """(scene_id, fx, fy, fz, cameras): the point nearest to all optical axes by least squares.
+
+    Cameras that have it behind them leave and it is found anew, until none
+    leaves or under two are left; scenes without two cameras keep their mean
+    centre.  Each round is nine sums and one 3 x 3 solution per scene.
+    """
+    r, t = pose_of(F.col("c2w"))
+    f = frames.select("scene_id", *[(-r[i][2]).alias(f"d{i}") for i in range(3)], *[x.alias(f"o{i}") for i, x in enumerate(t)])
+    start = f.groupBy("scene_id").agg(*[F.avg(f"o{i}").alias(f"p{i}") for i in range(3)])
+    found = start.withColumns({f"p{i}": F.lit(0.0) for i in range(3)})
+    ahead = sum((F.col(f"d{i}") * (F.col(f"p{i}") - F.col(f"o{i}")) for i in (1, 2)), F.col("d0") * (F.col("p0") - F.col("o0"))) > 0
+    kind = dict(frames.dtypes)["scene_id"]
+
+    def solve(batches):
+        for b in batches:
+            m = np.array(b["m"].tolist(), float).reshape(-1, 3, 3)
+            v = np.array(b["v"].tolist(), float).reshape(-1, 3)
+            p = np.array([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(m, v, strict=True)]).reshape(-1, 3)
+            yield pd.DataFrame({"scene_id": b["scene_id"], "n": b["n"], **{f"q{i}": p[:, i] for i in range(3)}})
+
+    def settle(scratch) -> DataFrame:
+        active, result, last = scratch.written(f), None, found
+        for k in range(rounds):
+            live = active.join(last.select("scene_id", "p0", "p1", "p2"), "scene_id").filter(ahead).select(*f.columns)
+            live = scratch.written(live)
+            # (I - dd')'(I - dd') = I - dd' for unit d
+            e = lambda i, j: F.lit(1.0 if i == j else 0.0) - F.col(f"d{i}") * F.col(f"d{j}")
+            sums = live.groupBy("scene_id").agg(F.count("*").alias("n"), F.array(*[F.avg(e(i, j)) for i in range(3) for j in range(3)]).alias("m"), F.array(*[F.avg(sum((e(i, j) * F.col(f"o{j}") for j in (1, 2)), e(i, 0) * F.col("o0"))) for i in range(3)]).alias("v"))
+            new = scratch.written(sums.filter("n > 1").mapInPandas(solve, f"scene_id {kind}, n long, q0 double, q1 double, q2 double"))
+            if not new.limit(1).count():
+                break
+            step = new.select("scene_id", *[F.col(f"q{i}").alias(f"p{i}") for i in range(3)], "n")
+            result = step if result is None else result.join(step.select("scene_id"), "scene_id", "left_anti").unionByName(step)
+            result = scratch.written(result)
+            behind = live.join(step, "scene_id").filter(~ahead).select("scene_id").distinct()
+            active = scratch.written(live.join(behind, "scene_id", "left_semi"))
+            last = step
+            if not active.limit(1).count():
+                break
+        if result is None:
+            result = start.limit(0).withColumn("n", F.lit(0).cast("long"))
+        out = start.select("scene_id", *[F.col(f"p{i}").alias(f"s{i}") for i in range(3)]).join(result, "scene_id", "left")
+        return out.select("scene_id", *[F.coalesce(f"p{i}", f"s{i}").alias(f"f{c}") for i, c in enumerate("xyz")], F.coalesce("n", F.lit(0)).alias("cameras"))
+
+    return settled(frames.sparkSession, "focus", settle)
+
+
 def normalised(frames: DataFrame, factor: float = 1.0) -> DataFrame:
     """Frames centred, turned upright and scaled so that no coordinate exceeds ``factor``; with the scene's scale.
 
@@ -126,6 +255,75 @@ def normalised(frames: DataFrame, factor: float = 1.0) -> DataFrame:
     return moved.join(scale, "scene_id").withColumns({f"n{c}": F.col(f"n{c}") * F.col("scale") for c in "xyz"})
 
 
+def scene_transforms(frames: DataFrame, factor: float = 1.0) -> DataFrame:
+    """(scene_id, transform, scale): the 3x4 that centres a scene and turns it upright, and its scale."""
+    turn = orient_up(frames)
+    r = [cols(*[f"r{i}{j}" for j in range(3)]) for i in range(3)]
+    t = matvec(r, [-F.col(f"c{c}") for c in "xyz"])
+    scale = normalised(frames, factor).groupBy("scene_id").agg(F.first("scale").alias("scale"))
+    return turn.select("scene_id", pose(r, t).alias("transform")).join(scale, "scene_id")
+
+
+def to_scene_space(frames: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``c2w`` moved by its scene's transform, then translations times its scale."""
+    r, t = pose_of(F.col("_p"))
+    f = frames.join(scenes, "scene_id").withColumn("_p", compose(F.col("transform"), F.col("c2w")))
+    return f.withColumn("c2w", pose(r, [x * F.col("scale") for x in t])).select(*frames.columns)
+
+
+def to_original_space(frames: DataFrame, scenes: DataFrame, convention: str = "opencv") -> DataFrame:
+    """Undo a scene's transform and scale on ``c2w``; ``opencv`` turns the camera axes as well.
+
+    The transform's rotation part may be any invertible 3x3.
+    """
+    r, t = pose_of(F.col("c2w"))
+    f = frames.join(scenes, "scene_id").withColumn("_p", pose(r, [x / F.col("scale") for x in t]))
+    m, v = pose_of(F.col("transform"))
+    cof = [[m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3] for j in range(3)] for i in range(3)]
+    det = dot(m[0], cof[0])
+    back = [[cof[j][i] / det for j in range(3)] for i in range(3)]
+    f = f.withColumn("_b", pose(back, [-x for x in matvec(back, v)]))
+    out = compose(F.col("_b"), F.col("_p"))
+    f = f.withColumn("c2w", out)
+    if convention == "opencv":
+        f = f.withColumn("c2w", to_camera_convention(F.col("c2w")))
+    elif convention != "opengl":
+        raise ValueError(f"unknown convention {convention}")
+    return f.select(*frames.columns)
+
+
+def valid_poses(frames: DataFrame) -> DataFrame:
+    """Frames whose pose is finite throughout."""
+    return frames.filter(F.forall("c2w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def pose_faults(frames: DataFrame) -> DataFrame:
+    """Per scene: frames with an infinite entry, and those with one that is not a number but none infinite."""
+    infinite = F.exists("c2w", lambda x: F.abs(x) == float("inf"))
+    nan = F.exists("c2w", lambda x: x.isNull() | F.isnan(x))
+    return frames.groupBy("scene_id").agg(F.count("*").alias("n"), F.count_if(infinite).alias("infinite"), F.count_if(nan & ~infinite).alias("not_a_number"))
+
+
+def dynamic_scale(scenes: DataFrame, bound: float) -> DataFrame:
+    """Scale of dynamic scenes from their metadata (scale, near, far): bound / 4 / (scale far), and near and far under it."""
+    factor = F.lit(float(bound)) / 4 / (F.col("scale") * F.col("far"))
+    s = scenes.withColumn("factor", factor).withColumn("_s", F.col("scale") * F.col("factor"))
+    return s.withColumns({"near": F.col("near") * F.col("_s"), "far": F.col("far") * F.col("_s"), "scale": F.col("_s")}).drop("_s")
+
+
+def auto_downscale(scenes: DataFrame, levels: DataFrame, most: int = 1600) -> DataFrame:
+    """(scene_id, factor): halve a scene's images until their longer side is at most ``most`` or the next level's files are missing.
+
+    ``scenes`` has width and height, ``levels`` the factors (2, 4 ...) that a scene has images of.
+    """
+    side = scenes.select("scene_id", F.greatest("width", "height").alias("side"))
+    step = side.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("factor", F.pow(F.lit(2.0), "k").cast("long"))
+    have = levels.select("scene_id", F.col("factor").cast("long").alias("next")).distinct().withColumn("have", F.lit(1))
+    step = step.withColumn("next", F.col("factor") * 2).join(have, ["scene_id", "next"], "left")
+    stop = (F.col("side") / F.col("factor") <= most) | F.col("have").isNull()
+    return step.filter(stop).groupBy("scene_id").agg(F.min("factor").alias("factor"))
+
+
 def scene_box(frames: DataFrame, factor: float = 1.0) -> DataFrame:
     return frames.groupBy("scene_id").agg(*[(F.min(f"t{c}") * factor).alias(f"min_{c}") for c in "xyz"], *[(F.max(f"t{c}") * factor).alias(f"max_{c}") for c in "xyz"])
 
@@ -166,6 +364,71 @@ def split_rig(frames: DataFrame, fraction: float, sample: Column) -> DataFrame:
     return f.join(split_fraction(samples, fraction).select("scene_id", "sample", "split"), ["scene_id", "sample"])
 
 
+def split(frames: DataFrame, lists: DataFrame, mode: str = "fraction", fraction: float = 0.9, every: int = 8) -> DataFrame:
+    """Add ``split``: by a scene's file lists where it has any, else by mode; val and test are one set, eval.
+
+    ``lists`` has (scene_id, split, file_path).  Of a scene with lists, frames on
+    none of them have no split and go.
+    """
+    side = F.when(F.col("split") == "train", "train").otherwise("eval")
+    named = lists.select("scene_id", side.alias("split"), "file_path").distinct()
+    has = lists.select("scene_id").distinct()
+    listed = frames.join(named, ["scene_id", "file_path"])
+    rest = frames.join(has, "scene_id", "left_anti")
+    by = {"fraction": lambda f: split_fraction(f, fraction), "filename": split_filename, "interval": lambda f: split_interval(f, every), "all": split_all}[mode]
+    return listed.select(*frames.columns, "split").unionByName(by(rest).select(*frames.columns, "split"))
+
+
+def subset_with_splits(frames: DataFrame, lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """About k evenly spaced frames per scene, and the file lists without the names that went."""
+    kept = even_subsample(frames, k)
+    return kept, lists.join(kept.select("scene_id", "file_path"), ["scene_id", "file_path"], "left_semi")
+
+
+def order_poses(frames: DataFrame) -> DataFrame:
+    """Add ``place``: from the scene's first frame always on to the nearest centre not yet visited (ties to the earlier frame).
+
+    Each step depends on the one before, so a scene's centres (three numbers a frame) are one task.
+    """
+    schema = frames.select("scene_id", "frame_id").schema
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("frame_id", ignore_index=True)
+        p = g[["tx", "ty", "tz"]].to_numpy(float)
+        left, at, place = np.ones(len(g), bool), 0, np.zeros(len(g), np.int64)
+        for k in range(len(g)):
+            place[at], left[at] = k, False
+            if k + 1 < len(g):
+                at = int(np.where(left, ((p - p[at]) ** 2).sum(1), np.inf).argmin())
+        return pd.DataFrame({"scene_id": g["scene_id"], "frame_id": g["frame_id"], "place": place})
+
+    found = frames.select("scene_id", "frame_id", "tx", "ty", "tz").groupBy("scene_id").applyInPandas(walk, schema.add("place", "long"))
+    return frames.join(found, ["scene_id", "frame_id"])
+
+
+def farthest_first(frames: DataFrame, k: int, weight: float = 0.1) -> DataFrame:
+    """(scene_id, frame_id, place): k cameras of a scene, each the farthest from those before it.
+
+    Distances are between centres and ``weight`` times ``unsampled``, the epochs
+    since a camera was last taken.  A scene's centres are one task.
+    """
+    schema = frames.select("scene_id", "frame_id").schema
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("frame_id", ignore_index=True)
+        p = np.column_stack([g[["tx", "ty", "tz"]].to_numpy(float), weight * g["unsampled"].to_numpy(float)])
+        near, taken = np.full(len(g), np.inf), []
+        at = 0
+        for _ in range(min(k, len(g))):
+            taken.append(at)
+            near = np.minimum(near, ((p - p[at]) ** 2).sum(1))
+            near[at] = -1.0
+            at = int(near.argmax())
+        return pd.DataFrame({"scene_id": g["scene_id"].iloc[taken], "frame_id": g["frame_id"].iloc[taken], "place": np.arange(len(taken))})
+
+    return frames.select("scene_id", "frame_id", "tx", "ty", "tz", "unsampled").groupBy("scene_id").applyInPandas(pick, schema.add("place", "long"))
+
+
 def even_subsample(frames: DataFrame, k: int, mode: str = "round") -> DataFrame:
     """About ``k`` evenly spaced frames per scene; ``round`` half to even if n > k, ``trunc`` if n >= k."""
     f = placed(frames)
@@ -226,13 +489,57 @@ def spiral_path(frames: DataFrame, steps: int, radius: float, turns: float, rate
     return s.select("scene_id", "step", (F.col("at.tx") + radius * F.cos(angle)).alias("x"), (F.col("at.ty") - radius * F.sin(angle)).alias("y"), (F.col("at.tz") - radius * F.sin(angle * rate)).alias("z"))
 
 
-def interpolate_path(frames: DataFrame, steps: int) -> DataFrame:
-    """Positions between consecutive frames of a scene, both ends included."""
+def quaternion(r: list[Vec]) -> Vec:
+    """The unit quaternion (w, x, y, z) of rotation rows, by the largest of its four parts."""
+    t = r[0][0] + r[1][1] + r[2][2]
+    parts = [t, 2 * r[0][0] - t, 2 * r[1][1] - t, 2 * r[2][2] - t]
+    sums = {(0, 1): r[2][1] - r[1][2], (0, 2): r[0][2] - r[2][0], (0, 3): r[1][0] - r[0][1], (1, 2): r[0][1] + r[1][0], (1, 3): r[0][2] + r[2][0], (2, 3): r[1][2] + r[2][1]}
+    top = F.greatest(*parts)
+    size = 2 * F.sqrt(1 + top)
+
+    def part(i: int) -> Column:
+        out = F.lit(None).cast("double")
+        for k in reversed(range(4)):
+            out = F.when(parts[k] == top, size / 4 if i == k else sums[min(i, k), max(i, k)] / size).otherwise(out)
+        return out
+
+    return [part(i) for i in range(4)]
+
+
+def slerp(a: Vec, b: Vec, s: Column) -> Vec:
+    """From quaternion a to b along the shorter way; straight where they nearly agree."""
+    d = dot(a, b)
+    sign, d = F.when(d < 0, -1.0).otherwise(1.0), F.abs(d)
+    angle = F.acos(F.least(d, F.lit(1.0)))
+    close = d > 1 - 1e-10
+    wa = F.when(close, 1 - s).otherwise(F.sin((1 - s) * angle) / F.sin(F.when(close, 1.0).otherwise(angle)))
+    wb = F.when(close, s).otherwise(F.sin(s * angle) / F.sin(F.when(close, 1.0).otherwise(angle)))
+    q = [wa * x + wb * sign * y for x, y in zip(a, b, strict=True)]
+    n = F.sqrt(dot(q, q))
+    return [x / n for x in q]
+
+
+def interpolate_path(frames: DataFrame, steps: int, linear: tuple[str, ...] = ()) -> DataFrame:
+    """(scene_id, frame_id, step, x, y, z, qw, qx, qy, qz, ...) between consecutive frames of a scene, both ends included.
+
+    Centres and the columns in ``linear`` (focal lengths, time) move straight,
+    rotations of ``c2w`` on the shortest arc.
+    """
+    r, t = pose_of(F.col("c2w"))
+    q = quaternion(r)
+    f = frames.select("scene_id", "frame_id", *[x.alias(f"a{k}") for k, x in enumerate([*t, *q])], *[F.col(c).cast("double").alias(f"l_{c}") for c in linear])
     by = Window.partitionBy("scene_id").orderBy("frame_id")
-    f = frames.select("scene_id", "frame_id", *[F.col(f"t{c}") for c in "xyz"], *[F.lead(f"t{c}").over(by).alias(f"e{c}") for c in "xyz"]).filter("ex IS NOT NULL")
+    moved = [f"a{k}" for k in range(7)] + [f"l_{c}" for c in linear]
+    f = f.withColumns({f"e_{c}": F.lead(c).over(by) for c in moved}).filter("e_a0 IS NOT NULL")
     f = f.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    a = F.col("step") / float(steps - 1)
-    return f.select("scene_id", "frame_id", "step", *[((1 - a) * F.col(f"t{c}") + a * F.col(f"e{c}")).alias(c) for c in "xyz"])
+    s = F.col("step") / float(max(steps - 1, 1))
+    straight = lambda c: (1 - s) * F.col(c) + s * F.col(f"e_{c}")
+    turn = slerp(cols("a3", "a4", "a5", "a6"), cols("e_a3", "e_a4", "e_a5", "e_a6"), s)
+    out = f.select("scene_id", "frame_id", "step", *[straight(f"a{k}").alias(c) for k, c in enumerate("xyz")], *[x.alias(f"_q{c}") for x, c in zip(turn, "wxyz", strict=True)], *[straight(f"l_{c}").alias(c) for c in linear])
+    tiny, sign = 1e-9, F.lit(1.0)  # of a quaternion and its negative, the one whose first part that is not 0 is positive
+    for c in "zyxw":
+        sign = F.when(F.col(f"_q{c}") < -tiny, -1.0).when(F.col(f"_q{c}") > tiny, 1.0).otherwise(sign)
+    return out.select("scene_id", "frame_id", "step", "x", "y", "z", *[(sign * F.col(f"_q{c}")).alias(f"q{c}") for c in "wxyz"], *linear)
 
 
 def derive_paths(frames: DataFrame) -> DataFrame:
@@ -245,11 +552,11 @@ def latest_checkpoint(files: DataFrame) -> DataFrame:
     return files.groupBy("scene_id").agg(F.max_by("file_path", step).alias("file_path"), F.max(step).alias("step"))
 
 
-def catalogue(frames: DataFrame) -> DataFrame:
-    """Scenes by number of images."""
-    n = frames.groupBy("scene_id").agg(F.count("*").alias("n"))
+def catalogue(scenes: DataFrame) -> DataFrame:
+    """Scenes by number of images (n) and by largest side of an image (side), with subtotals (null) of both."""
     size = F.when(F.col("n") < 250, "<250").when(F.col("n") < 1000, "250-999").when(F.col("n") < 4000, "1000-3999").otherwise(">=4000")
-    return n.groupBy(size.alias("images")).agg(F.count("*").alias("scenes"))
+    side = F.when(F.col("side") < 640, "<640").when(F.col("side") < 1280, "640-1279").when(F.col("side") < 1920, "1280-1919").when(F.col("side") < 3840, "1920-3839").otherwise(">=3840")
+    return scenes.select(size.alias("images"), side.alias("resolution"), "side").cube("images", "resolution").agg(F.count("*").alias("scenes"), F.max("side").alias("most"))
 
 
 def camera_variety(frames: DataFrame, most: int) -> DataFrame:
@@ -257,9 +564,23 @@ def camera_variety(frames: DataFrame, most: int) -> DataFrame:
     return frames.groupBy("scene_id").agg(F.count_distinct("camera_id").alias("cameras")).filter(F.col("cameras") > most)
 
 
-def pose_delta_stats(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Largest and mean shift and turn (degrees) between two pose tables of the same frames."""
-    x = a.join(b.select("frame_id", *[F.col(c).alias(f"b_{c}") for c in ("yaw", "tx", "ty", "tz")]), "frame_id")
-    shift = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"b_t{c}")) ** 2 for c in "yz"), (F.col("tx") - F.col("b_tx")) ** 2))
-    turn = F.degrees(F.abs(F.col("yaw") - F.col("b_yaw")))
-    return x.groupBy("scene_id").agg(F.max(shift).alias("max_shift"), F.avg(shift).alias("mean_shift"), F.max(turn).alias("max_turn"), F.avg(turn).alias("mean_turn"))
+def pose_delta_stats(a: DataFrame, b: DataFrame, weights: tuple[float, float] = (1e-2, 1e-3)) -> DataFrame:
+    """Per scene: largest and mean shift and turn (degrees) from ``c2w`` of a to that of b for the same frames, and the mean penalty of their squares."""
+    x = a.select("scene_id", "frame_id", F.col("c2w").alias("a")).join(b.select("scene_id", "frame_id", F.col("c2w").alias("b")), ["scene_id", "frame_id"])
+    (ra, ta), (rb, tb) = pose_of(F.col("a")), pose_of(F.col("b"))
+    d = [q - p for p, q in zip(ta, tb, strict=True)]
+    trace = sum((dot(p, q) for p, q in zip(ra[1:], rb[1:], strict=True)), dot(ra[0], rb[0]))
+    # Half the chord between the rotations is exact for small angles, where the trace is not.
+    chord = [p - q for u, v in zip(ra, rb, strict=True) for p, q in zip(u, v, strict=True)]
+    sine = F.least(F.sqrt(dot(chord, chord)) / (2 * 2**0.5), F.lit(1.0))
+    turn = F.when(trace > -0.9, 2 * F.asin(sine)).otherwise(F.acos(F.greatest((trace - 1) / 2, F.lit(-1.0))))
+    x = x.select("scene_id", F.sqrt(dot(d, d)).alias("shift"), turn.alias("turn"))
+    penalty = F.avg("shift") * weights[0] + F.avg("turn") * weights[1]
+    return x.groupBy("scene_id").agg(F.max("shift").alias("max_shift"), F.avg("shift").alias("mean_shift"), F.max(F.degrees("turn")).alias("max_turn"), F.avg(F.degrees("turn")).alias("mean_turn"), penalty.alias("penalty"))
+
+
+def union_splits(frames: DataFrame, order: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """Frames of several split tables put after one another: ``position`` counts through the splits of a scene in that order."""
+    rank = F.coalesce(*[F.when(F.col("split") == s, k) for k, s in enumerate(order)], F.lit(len(order)))
+    by = Window.partitionBy("scene_id").orderBy(rank, "file_path")
+    return frames.withColumn("position", F.row_number().over(by) - 1)

@@ -6,33 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def moving_avg(telemetry: DataFrame, n: int = 20) -> DataFrame:
+def moving_avg(telemetry: DataFrame, n: int = 20, steps: int | None = None) -> DataFrame:
+    """Mean of the last n values per run and name; with the run's number of steps, also what is left at that mean."""
     by = Window.partitionBy("run_id", "name").orderBy("step").rowsBetween(-(n - 1), 0)
-    return telemetry.select("run_id", "name", "step", F.avg("value").over(by).alias("avg"))
+    out = telemetry.select("run_id", "name", "step", F.avg("value").over(by).alias("avg"))
+    return out if steps is None else out.withColumn("eta", F.greatest(F.lit(steps) - F.col("step"), F.lit(0)) * F.col("avg"))
 
 
-def latest_stats(telemetry: DataFrame, every: int) -> DataFrame:
-    t = telemetry.filter(F.col("step") % every == 0)
-    return t.groupBy("run_id", "name").agg(F.max_by("value", "step").alias("value"), F.max("step").alias("step"))
+def latest_stats(telemetry: DataFrame, every: int, steps: int) -> DataFrame:
+    """At each logging step of a run: the latest value of each name so far, and the share of steps done.
+
+    Logging steps are multiples of ``every`` that the run has reached in any name.
+    """
+    at = telemetry.select("run_id", (F.floor(F.col("step") / every) * every).alias("at")).distinct()
+    names = telemetry.select("run_id", "name").distinct()
+    marks = at.join(names, "run_id").select("run_id", "name", F.col("at").alias("step"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("mark"))
+    rows = telemetry.select("run_id", "name", "step", "value", F.lit(0).alias("mark")).unionByName(marks)
+    by = Window.partitionBy("run_id", "name").orderBy("step", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("value", F.last("value", ignorenulls=True).over(by)).filter("mark = 1 AND value IS NOT NULL")
+    return out.select("run_id", "name", "step", "value", F.least(F.col("step") / float(steps), F.lit(1.0)).alias("done"))
 
 
 def eval_report(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("run_id", "name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
 
 
-def profile(telemetry: DataFrame) -> DataFrame:
-    return telemetry.groupBy("name").agg(F.avg("value").alias("mean"), F.count("*").alias("calls"))
-
+def render_rates(images: DataFrame) -> DataFrame:
+    """Per run: rays and images per second, as means over images of (width, height, seconds) and their deviation."""
+    rays = F.col("width") * F.col("height") / F.col("seconds")
+    return images.groupBy("run_id").agg(F.avg(rays).alias("rays_per_second"), F.stddev_samp(rays).alias("rays_std"), F.avg(1 / F.col("seconds")).alias("fps"), F.stddev_samp(1 / F.col("seconds")).alias("fps_std"))
 
-def minute_stats(telemetry: DataFrame) -> DataFrame:
-    w = F.window("ts", "1 hour")
-    return telemetry.groupBy("name", w.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select("name", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean")
 
-
-def sessions(telemetry: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """Spells of a run without a gap as long as ``gap``."""
-    s = telemetry.groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return s.select("run_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+def profile(telemetry: DataFrame) -> DataFrame:
+    return telemetry.groupBy("name").agg(F.avg("value").alias("mean"), F.count("*").alias("calls"))
 
 
 def dynamic_budget(log: DataFrame, target: float, start: int) -> DataFrame:

@@ -61,100 +61,77 @@ add("a03_a06_orient_scale", "frames", scenes.normalised, "scene_id frame_id", "n
 add("a07_scene_box", "frames", scenes.scene_box, "scene_id", "min_x min_y min_z max_x max_y max_z", "SELECT scene_id, min(tx) AS min_x, min(ty) AS min_y, min(tz) AS min_z, max(tx) AS max_x, max(ty) AS max_y, max(tz) AS max_z FROM frames GROUP BY scene_id")
 add("p03_invert_pose", "frames", lambda f: scenes.with_pose(f).withColumn("p", scenes.invert(F.col("c2w"))).select("frame_id", *[F.element_at("p", k).alias(f"e{k}") for k in (1, 2, 4, 8, 12)]), "frame_id", "e1 e2 e4 e8 e12",
     f"SELECT frame_id, a00 AS e1, a10 AS e2, -(a00*tx+a10*ty+a20*tz) AS e4, -(a01*tx+a11*ty+a21*tz) AS e8, -(a02*tx+a12*ty+a22*tz) AS e12 FROM {POSE}")
-add("p04_round_trip", "frames", lambda f: scenes.with_pose(f).withColumn("p", scenes.compose(F.col("c2w"), scenes.invert(F.col("c2w")))).select("frame_id", *[F.element_at("p", k).alias(f"e{k}") for k in (1, 2, 4, 6, 8)]), "frame_id", "e1 e2 e4 e6 e8",
-    "SELECT frame_id, 1.0::DOUBLE AS e1, 0.0::DOUBLE AS e2, 0.0::DOUBLE AS e4, 1.0::DOUBLE AS e6, 0.0::DOUBLE AS e8 FROM frames")
 add("p02_camera_axes", "frames", lambda f: scenes.with_pose(f).withColumn("p", scenes.to_camera_convention(F.col("c2w"))).select("frame_id", *[F.element_at("p", k).alias(f"e{k}") for k in (1, 2, 3, 4, 11)]), "frame_id", "e1 e2 e3 e4 e11",
     f"SELECT frame_id, a00 AS e1, -a01 AS e2, -a02 AS e3, tx AS e4, -a22 AS e11 FROM {POSE}")
 for _mode, _side in (("floor", "floor(s*0.3::DOUBLE)"), ("round", "floor(s*0.3::DOUBLE+0.5)"), ("ceil", "ceil(s*0.3::DOUBLE)")):
-    add(f"p05_rescale_{_mode}", "frames cameras", lambda f, c, m=_mode: f.join(scenes.rescale(c, 0.3, m), "camera_id"), "frame_id width height", "fx cx",
-        f"SELECT frame_id, CAST({_side.replace('s*', 'width*')} AS INTEGER) AS width, CAST({_side.replace('s*', 'height*')} AS INTEGER) AS height, fx*0.3::DOUBLE AS fx, cx*0.3::DOUBLE AS cx FROM frames JOIN cameras USING (camera_id)")
-add("p06_tile_frames", "cameras", lambda c: scenes.tile_frames(c, 2), "camera_id tile width height", "cx cy",
-    "SELECT camera_id, tile, CAST(width // 2 + CASE WHEN tile % 2 < width % 2 THEN 1 ELSE 0 END AS INTEGER) AS width, CAST(height // 2 + CASE WHEN tile // 2 < height % 2 THEN 1 ELSE 0 END AS INTEGER) AS height, cx - (width // 2 * (tile % 2) + least(tile % 2, width % 2)) AS cx, cy - (height // 2 * (tile // 2) + least(tile // 2, height % 2)) AS cy FROM cameras, (SELECT CAST(unnest(range(4)) AS INTEGER) AS tile) t")
-add("p08_pixels_to_rays", "pixels cameras", rays.pixels_to_rays, "image_id y x", "dx dy dz norm",
-    "SELECT image_id, y, x, a/n AS dx, b/n AS dy, -1/n AS dz, n AS norm FROM (SELECT *, sqrt(a*a+b*b+1) AS n FROM (SELECT image_id, y, x, (x+0.5::DOUBLE-cx)/fx AS a, -(y+0.5::DOUBLE-cy)/fy AS b FROM pixels JOIN cameras ON image_id % 5 = camera_id))")
+    add(f"p05_rescale_{_mode}", "frames cameras", lambda f, c, m=_mode: f.join(scenes.rescale(c, 0.3, m), ["scene_id", "camera_id"]), "frame_id width height", "fx cx",
+        f"SELECT frame_id, CAST({_side.replace('s*', 'width*')} AS INTEGER) AS width, CAST({_side.replace('s*', 'height*')} AS INTEGER) AS height, fx*0.3::DOUBLE AS fx, cx*0.3::DOUBLE AS cx FROM frames JOIN cameras USING (scene_id, camera_id)")
+add("p06_tile_frames", "cameras", lambda c: scenes.tile_frames(c, 2), "scene_id camera_id tile width height", "cx cy",
+    "SELECT scene_id, camera_id, tile, CAST(width // 2 + CASE WHEN tile % 2 < width % 2 THEN 1 ELSE 0 END AS INTEGER) AS width, CAST(height // 2 + CASE WHEN tile // 2 < height % 2 THEN 1 ELSE 0 END AS INTEGER) AS height, cx - (width // 2 * (tile % 2) + least(tile % 2, width % 2)) AS cx, cy - (height // 2 * (tile // 2) + least(tile // 2, height % 2)) AS cy FROM cameras, (SELECT CAST(unnest(range(4)) AS INTEGER) AS tile) t")
+add("p08_pixels_to_rays", "pixels cameras", rays.pixels_to_rays, "scene_id image_id y x", "dx dy dz norm",
+    "SELECT scene_id, image_id, y, x, a/n AS dx, b/n AS dy, -1/n AS dz, n AS norm FROM (SELECT *, sqrt(a*a+b*b+1) AS n FROM (SELECT scene_id, image_id, y, x, (x+0.5::DOUBLE-cx)/fx AS a, -(y+0.5::DOUBLE-cy)/fy AS b FROM pixels JOIN cameras USING (scene_id, camera_id)))")
 for _o, _n in (("l2", "sqrt(x*x+y*y+z*z)"), ("linf", "greatest(abs(x), abs(y), abs(z))")):
-    add(f"p10_contract_{_o}", "points3d", lambda p, o=_o: points.contract(p, o), "point3d_id", "x y z", f"SELECT point3d_id, x*k AS x, y*k AS y, z*k AS z FROM (SELECT *, CASE WHEN {_n} < 1 THEN 1 ELSE (2-1/{_n})/{_n} END AS k FROM points3d)")
-add("p11_normalise_to_box", "points3d", points.normalise_to_box, "point3d_id", "x y z", "SELECT point3d_id, " + ", ".join(f"({c}-min({c}) OVER w)/(max({c}) OVER w-min({c}) OVER w) AS {c}" for c in "xyz") + " FROM points3d WINDOW w AS (PARTITION BY scene_id)")
-add("p12_splat_colors", "points3d", points.splat_colors, "point3d_id", "f_dc_0 f_dc_1 f_dc_2 opacity", "SELECT point3d_id, " + ", ".join(f"({c}/255.0::DOUBLE-0.5)/0.28209479177387814::DOUBLE AS f_dc_{i}" for i, c in enumerate("rgb")) + ", ln(0.1::DOUBLE/0.9::DOUBLE) AS opacity FROM points3d")
-add("p14_depth_to_distance", "pixels cameras", lambda p, c: p.join(rays.pixels_to_rays(p, c), ["image_id", "y", "x"]).withColumn("distance", F.col("depth_gt") * F.col("norm")), "image_id y x", "distance",
-    "SELECT image_id, y, x, depth_gt*sqrt(pow((x+0.5::DOUBLE-cx)/fx, 2)+pow((y+0.5::DOUBLE-cy)/fy, 2)+1) AS distance FROM pixels JOIN cameras ON image_id % 5 = camera_id")
-add("p17_image_pyramid", "pixels", lambda p: pixels.image_pyramid(p, 3), "image_id level py px", "value", "SELECT image_id, level, CAST(floor(y/pow(2, level)) AS BIGINT) AS py, CAST(floor(x/pow(2, level)) AS BIGINT) AS px, avg(gt) AS value FROM pixels, (SELECT CAST(unnest(range(3)) AS INTEGER) AS level) l GROUP BY ALL")
-add("p18_make_mask", "pixels", lambda p: pixels.make_mask(p, (1, 0, 10, 8), 0.6), "image_id y x keep", "", "SELECT image_id, y, x, x >= 1 AND x < 10 AND y >= 0 AND y < 8 AND pow(x-4.5::DOUBLE, 2)+pow(y-4.5::DOUBLE, 2) <= 0.36::DOUBLE*50 AS keep FROM pixels")
-add("p19_normalise_depth", "pixels", pixels.normalise_depth, "image_id y x bin", "value", "SELECT *, CAST(floor(value*255) AS BIGINT) AS bin FROM (SELECT image_id, y, x, least(greatest((depth_pred-min(depth_pred) OVER w)/(max(depth_pred) OVER w-min(depth_pred) OVER w+1e-10::DOUBLE), 0), 1) AS value FROM pixels WINDOW w AS (PARTITION BY image_id))")
+    add(f"p10_contract_{_o}", "points3d", lambda p, o=_o: points.contract(p, o), "scene_id point3d_id", "x y z", f"SELECT scene_id, point3d_id, x*k AS x, y*k AS y, z*k AS z FROM (SELECT *, CASE WHEN {_n} < 1 THEN 1 ELSE (2-1/{_n})/{_n} END AS k FROM points3d)")
+add("p11_normalise_to_box", "points3d", points.normalise_to_box, "scene_id point3d_id", "x y z", "SELECT scene_id, point3d_id, " + ", ".join(f"({c}-min({c}) OVER w)/(max({c}) OVER w-min({c}) OVER w) AS {c}" for c in "xyz") + " FROM points3d WINDOW w AS (PARTITION BY scene_id)")
+add("p12_splat_colors", "points3d", points.splat_colors, "scene_id point3d_id", "f_dc_0 f_dc_1 f_dc_2 opacity", "SELECT scene_id, point3d_id, " + ", ".join(f"({c}/255.0::DOUBLE-0.5)/0.28209479177387814::DOUBLE AS f_dc_{i}" for i, c in enumerate("rgb")) + ", ln(0.1::DOUBLE/0.9::DOUBLE) AS opacity FROM points3d")
+add("p14_depth_to_distance", "pixels cameras", lambda p, c: p.join(rays.pixels_to_rays(p, c), ["scene_id", "image_id", "y", "x"]).withColumn("distance", F.col("depth_gt") * F.col("norm")), "scene_id image_id y x", "distance",
+    "SELECT scene_id, image_id, y, x, depth_gt*sqrt(pow((x+0.5::DOUBLE-cx)/fx, 2)+pow((y+0.5::DOUBLE-cy)/fy, 2)+1) AS distance FROM pixels JOIN cameras USING (scene_id, camera_id)")
+add("p17_image_pyramid", "pixels", lambda p: pixels.image_pyramid(p, 3), "scene_id image_id level py px", "value", "SELECT scene_id, image_id, level, CAST(floor(y/pow(2, level)) AS BIGINT) AS py, CAST(floor(x/pow(2, level)) AS BIGINT) AS px, avg(gt) AS value FROM pixels, (SELECT CAST(unnest(range(3)) AS INTEGER) AS level) l GROUP BY ALL")
+add("p19_normalise_depth", "pixels", pixels.normalise_depth, "scene_id image_id y x bin", "value", "SELECT *, CAST(floor(value*255) AS BIGINT) AS bin FROM (SELECT scene_id, image_id, y, x, least(greatest((depth_pred-min(depth_pred) OVER w)/(max(depth_pred) OVER w-min(depth_pred) OVER w+1e-10::DOUBLE), 0), 1) AS value FROM pixels WINDOW w AS (PARTITION BY scene_id, image_id))")
 add("p20_derive_paths", "frames", scenes.derive_paths, "frame_id mask_path depth_path", "", "SELECT frame_id, regexp_replace(file_path, '^images/', 'masks/') AS mask_path, regexp_replace(regexp_replace(file_path, '^images/', 'depth/'), '\\.png$', '.npy') AS depth_path FROM frames")
 add("p21_spiral_path", "frames", lambda f: scenes.spiral_path(f, 12, 0.5, 2.0, 0.5), "scene_id step", "x y z",
     "SELECT scene_id, step, tx+0.5::DOUBLE*cos(step*pi()/3) AS x, ty-0.5::DOUBLE*sin(step*pi()/3) AS y, tz-0.5::DOUBLE*sin(step*pi()/6) AS z FROM (SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY frame_id) = 1), (SELECT CAST(unnest(range(12)) AS INTEGER) AS step) s")
-add("f01_within_aabb", "points3d", lambda p: points.within_aabb(p, (-5, -5, -5), (5, 5, 5)), "point3d_id", "", "SELECT point3d_id FROM points3d WHERE x > -5 AND x < 5 AND y > -5 AND y < 5 AND z > -5 AND z < 5")
-add("f02_within_obb", "points3d", lambda p: points.within_obb(p, 0.5, (1, 2, 0), (10, 8, 12)), "point3d_id", "", "SELECT point3d_id FROM points3d WHERE abs(cos(0.5)*(x-1)+sin(0.5)*(y-2)) < 5 AND abs(cos(0.5)*(y-2)-sin(0.5)*(x-1)) < 4 AND abs(z) < 6")
-add("f03_clean_splats", "points3d", lambda p: points.clean_splats(p.withColumns({"x": F.when(F.col("point3d_id") % 7 == 0, float("nan")).otherwise(F.col("x")), "opacity": F.col("z") - 1}), ("x", "y", "z")), "point3d_id", "", "SELECT point3d_id FROM points3d WHERE point3d_id % 7 <> 0 AND z - 1 >= -5.5373")
+add("f01_within_aabb", "points3d", lambda p: points.within_aabb(p, (-5, -5, -5), (5, 5, 5)), "scene_id point3d_id", "", "SELECT scene_id, point3d_id FROM points3d WHERE x > -5 AND x < 5 AND y > -5 AND y < 5 AND z > -5 AND z < 5")
 for _m, _t, _c in (("round", "round_even", "n > 40"), ("trunc", "floor", "n >= 40")):
     add(f"f0{5 + (_m == 'trunc')}_even_subsample_{_m}", "frames", lambda f, m=_m: scenes.even_subsample(f, 40, m), "scene_id frame_id", "",
         f"SELECT scene_id, frame_id FROM {PLACED} p WHERE NOT ({_c}) OR idx IN (SELECT CAST(CASE WHEN j = 39 THEN n - 1 ELSE {'round_even(j*(CAST(n-1 AS DOUBLE)/39), 0)' if _m == 'round' else 'floor(j*(CAST(n-1 AS DOUBLE)/39))'} END AS BIGINT) FROM (SELECT unnest(range(40)) AS j))")
 add("f07_select_frames", "frames", lambda f: scenes.select_frames(f, 30), "scene_id frame_id", "", f"SELECT scene_id, frame_id FROM {PLACED} WHERE n <= 30 OR (idx % greatest(n // 30, 1) = 0 AND idx // greatest(n // 30, 1) < 30)")
 add("f08_blur_summary", "frames", lambda f: scenes.blur_summary(f, 30.0), "scene_id skipped kept", "", "SELECT scene_id, count(*) FILTER (WHERE coalesce(blur_score < 30, false)) AS skipped, count(*) FILTER (WHERE NOT coalesce(blur_score < 30, false)) AS kept FROM frames GROUP BY scene_id")
 add("s13_filter_blur", "frames", lambda f: scenes.filter_blur(f, 30.0), "frame_id", "blur_score", "SELECT frame_id, blur_score FROM frames WHERE blur_score IS NULL OR blur_score >= 30")
-add("f09_usable_observations", "observations points3d", points.usable_observations, "image_id point2d_idx point3d_id track", "u v",
-    "SELECT o.image_id, o.point2d_idx, o.point3d_id, track, u, v FROM observations o JOIN points3d p USING (point3d_id) JOIN (SELECT point3d_id, count(*) AS track FROM observations GROUP BY point3d_id) USING (point3d_id) WHERE p.error <= 2.5 AND track >= 2 AND u >= 0 AND u < 643 AND v >= 0 AND v < 481")
-add("f10_semantic_mask", "pixels", lambda p: pixels.semantic_mask(p, p.select("class_id").distinct().filter("class_id IN (2, 5)")), "image_id y x class_id", "", "SELECT image_id, y, x, class_id FROM pixels WHERE mask AND class_id NOT IN (2, 5)")
-add("f11_check_masks", "pixels", pixels.check_masks, "image_id masked n", "", "SELECT image_id, count(*) FILTER (WHERE mask) AS masked, count(*) AS n FROM pixels GROUP BY image_id HAVING masked > 0 AND masked < n")
-add("f14_apply_mask_color", "pixels", lambda p: pixels.apply_mask_color(p, 0.5), "image_id y x", "gt", "SELECT image_id, y, x, CASE WHEN mask THEN gt ELSE 0.5 END AS gt FROM pixels")
-add("j01_image_camera", "frames cameras", lambda f, c: f.join(c, "camera_id"), "frame_id camera_id width height", "fx fy", "SELECT frame_id, camera_id, width, height, fx, fy FROM frames JOIN cameras USING (camera_id)")
-add("j02_observation_point", "observations points3d", lambda o, p: o.join(p, "point3d_id"), "image_id point2d_idx point3d_id", "x y z", "SELECT image_id, point2d_idx, point3d_id, x, y, z FROM observations JOIN points3d USING (point3d_id)")
-add("j03_point_tracks", "observations", lambda o: points.point_tracks(o, 5), "point3d_id n track", "",
-    "SELECT point3d_id, CAST(count(*) AS INTEGER) AS n, string_agg(image_id || ':' || point2d_idx, ',' ORDER BY k) AS track FROM (SELECT *, row_number() OVER (PARTITION BY point3d_id ORDER BY image_id, point2d_idx) AS k FROM observations) WHERE k <= 5 GROUP BY point3d_id")
-add("j05_reconcile", "frames observations", lambda f, o: joins.reconcile(f.select(F.col("frame_id").alias("k")), o.filter("image_id % 3 > 0").select(F.col("image_id").alias("k")).distinct(), "k"), "matched no_image no_metadata", "",
-    "SELECT count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (WHERE b.k IS NULL) AS no_image, count(*) FILTER (WHERE a.k IS NULL) AS no_metadata FROM (SELECT frame_id AS k FROM frames) a FULL JOIN (SELECT DISTINCT image_id AS k FROM observations WHERE image_id % 3 > 0) b ON a.k = b.k")
+add("f10_semantic_mask", "pixels", lambda p: pixels.semantic_mask(p, p.select("class_id").distinct().filter("class_id IN (2, 5)")), "scene_id image_id y x class_id", "", "SELECT scene_id, image_id, y, x, class_id FROM pixels WHERE mask AND class_id NOT IN (2, 5)")
+add("f14_apply_mask_color", "pixels", lambda p: pixels.apply_mask_color(p, 0.5), "scene_id image_id y x", "gt", "SELECT scene_id, image_id, y, x, CASE WHEN mask THEN gt ELSE 0.5 END AS gt FROM pixels")
+add("j01_image_camera", "frames cameras", lambda f, c: f.join(c, ["scene_id", "camera_id"]), "frame_id camera_id width height", "fx fy", "SELECT frame_id, camera_id, width, height, fx, fy FROM frames JOIN cameras USING (scene_id, camera_id)")
+add("j02_observation_point", "observations points3d", lambda o, p: o.join(p, ["scene_id", "point3d_id"]), "scene_id image_id point2d_idx point3d_id", "x y z", "SELECT scene_id, image_id, point2d_idx, point3d_id, x, y, z FROM observations JOIN points3d USING (scene_id, point3d_id)")
 add("j08_asof_forward", "captures_t poses_t", joins.asof_forward, "scene_id capture_id pose_id", "",
     "SELECT c.scene_id, c.capture_id, coalesce(p.pose_id, l.pose_id) AS pose_id FROM captures_t c ASOF LEFT JOIN poses_t p ON c.scene_id = p.scene_id AND p.pose_ts >= c.capture_ts LEFT JOIN (SELECT scene_id, arg_max(pose_id, pose_ts) AS pose_id FROM poses_t GROUP BY scene_id) l ON l.scene_id = c.scene_id")
 add("j09_band_join", "captures_t poses_t", lambda c, p: joins.band_join(c, p, 600.0), "scene_id capture_id pose_id", "",
     "SELECT c.scene_id, capture_id, max(pose_id) AS pose_id FROM captures_t c JOIN poses_t p ON c.scene_id = p.scene_id AND abs(epoch_us(capture_ts) - epoch_us(pose_ts)) < 600000000 GROUP BY c.scene_id, capture_id")
-add("j10_fallback_lookup", "frames observations", lambda f, o: joins.fallback_lookup(f.select("frame_id"), o.groupBy(F.col("image_id").alias("frame_id")).agg(F.min("u").alias("u")).filter("frame_id % 3 = 0"), "frame_id", "u"), "frame_id", "u",
-    "SELECT frame_id, arg_min(u, k) AS u FROM frames f JOIN (SELECT unnest([0, 1, 2]) AS k, unnest([0, -1, 1]) AS d) s ON true JOIN (SELECT image_id, min(u) AS u FROM observations WHERE image_id % 3 = 0 GROUP BY image_id) o ON o.image_id = f.frame_id + d GROUP BY frame_id")
-add("j13_ray_box", "rays", lambda r: rays.ray_box(r, (-5, -5, -5), (5, 5, 5)), "ray_id", "near far",
-    "SELECT ray_id, CASE WHEN f >= n THEN n ELSE 1e10 END AS near, CASE WHEN f >= n THEN f ELSE 1e10 END AS far FROM (SELECT ray_id, greatest(least(x0, x1), least(y0, y1), least(z0, z1), 0) AS n, least(greatest(x0, x1), greatest(y0, y1), greatest(z0, z1), 1e10) AS f FROM (SELECT ray_id, " + ", ".join(f"({v}-o{c})*(CASE WHEN d{c} = 0 THEN 1e30::DOUBLE ELSE 1/d{c} END) AS {c}{k}" for c in "xyz" for k, v in ((0, -5), (1, 5))) + " FROM rays))")
-add("j14_ray_sphere", "rays", lambda r: rays.ray_sphere(r, 6.0), "ray_id", "near far", "SELECT ray_id, greatest(-b-sqrt(b*b-c), 0) AS near, greatest(-b+sqrt(b*b-c), 0) AS far FROM (SELECT ray_id, ox*dx+oy*dy+oz*dz AS b, ox*ox+oy*oy+oz*oz-36 AS c FROM rays) WHERE b*b-c >= 0")
+add("j13_ray_box", "rays", lambda r: rays.ray_box(r, (-5, -5, -5), (5, 5, 5)), "scene_id ray_id", "near far",
+    "SELECT scene_id, ray_id, CASE WHEN f >= n THEN n ELSE 1e10 END AS near, CASE WHEN f >= n THEN f ELSE 1e10 END AS far FROM (SELECT scene_id, ray_id, greatest(least(x0, x1), least(y0, y1), least(z0, z1), 0) AS n, least(greatest(x0, x1), greatest(y0, y1), greatest(z0, z1), 1e10) AS f FROM (SELECT scene_id, ray_id, " + ", ".join(f"({v}-o{c})*(CASE WHEN d{c} = 0 THEN 1e30::DOUBLE ELSE 1/d{c} END) AS {c}{k}" for c in "xyz" for k, v in ((0, -5), (1, 5))) + " FROM rays))")
+add("j14_ray_sphere", "rays", lambda r: rays.ray_sphere(r, 6.0), "scene_id ray_id", "near far", "SELECT scene_id, ray_id, greatest(-b-sqrt(b*b-c), 0) AS near, greatest(-b+sqrt(b*b-c), 0) AS far FROM (SELECT scene_id, ray_id, ox*dx+oy*dy+oz*dz AS b, ox*ox+oy*oy+oz*oz-36 AS c FROM rays) WHERE b*b-c >= 0")
 KNN = "(SELECT scene_id, point3d_id, other_id, distance, row_number() OVER (PARTITION BY scene_id, point3d_id ORDER BY distance, other_id) AS rank FROM (SELECT a.scene_id, a.point3d_id, b.point3d_id AS other_id, sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)+pow(a.z-b.z, 2)) AS distance FROM points3d a JOIN points3d b ON a.scene_id = b.scene_id AND a.point3d_id <> b.point3d_id))"
-add("j15_nearest", "points3d", lambda p: points.nearest(p, 3, 1.0).groupBy("point3d_id").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")), "point3d_id n", "mean", f"SELECT point3d_id, count(*) AS n, avg(distance) AS mean FROM {KNN} WHERE rank <= 3 GROUP BY point3d_id")
-add("a13_remove_outliers", "points3d", lambda p: points.remove_outliers(p, 5, 1.0, 1.0), "point3d_id", "", f"SELECT point3d_id FROM (SELECT scene_id, point3d_id, avg(distance) AS d FROM {KNN} WHERE rank <= 5 GROUP BY scene_id, point3d_id) QUALIFY d <= avg(d) OVER (PARTITION BY scene_id) + stddev_samp(d) OVER (PARTITION BY scene_id)")
+add("j15_nearest", "points3d", lambda p: points.nearest(p, 3, 1.0).groupBy("scene_id", "point3d_id").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")), "scene_id point3d_id n", "mean", f"SELECT scene_id, point3d_id, count(*) AS n, avg(distance) AS mean FROM {KNN} WHERE rank <= 3 GROUP BY scene_id, point3d_id")
+add("a13_remove_outliers", "points3d", lambda p: points.remove_outliers(p, 5, 1.0, 1.0), "scene_id point3d_id", "", f"SELECT scene_id, point3d_id FROM (SELECT scene_id, point3d_id, avg(distance) AS d FROM {KNN} WHERE rank <= 5 GROUP BY scene_id, point3d_id) QUALIFY d <= avg(d) OVER (PARTITION BY scene_id) + stddev_samp(d) OVER (PARTITION BY scene_id)")
 add("j18_dynamic_instances", "annotations", lambda a: joins.dynamic_instances(a, 0.98), "instance_id dynamic", "", "SELECT instance_id, bool_or(isnan(speed) OR NOT speed < 0.98) AS dynamic FROM annotations GROUP BY instance_id")
-add("a09_point_stats", "observations", lambda o: o.groupBy("point3d_id").agg(F.count("*").alias("track")), "point3d_id track", "", "SELECT point3d_id, count(*) AS track FROM observations GROUP BY point3d_id")
 add("a11_voxel_downsample", "points3d", lambda p: points.voxel_downsample(p, 2.0), "scene_id ix iy iz n", "x y z r g b", "SELECT scene_id, CAST(floor(x/2) AS BIGINT) AS ix, CAST(floor(y/2) AS BIGINT) AS iy, CAST(floor(z/2) AS BIGINT) AS iz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM points3d GROUP BY 1, 2, 3, 4")
 add("a12_dedup_points", "points3d", points.dedup_points, "scene_id point3d_id", "x y z", "SELECT scene_id, min(point3d_id) AS point3d_id, x, y, z FROM points3d GROUP BY scene_id, x, y, z")
-add("a16_fuse_tsdf", "hits", points.fuse_tsdf, "voxel_id n", "value", "SELECT voxel_id, sum(tsdf*pow(2.0::DOUBLE, -CASE WHEN k = 1 THEN n-1 ELSE n-k+1 END)) AS value, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY voxel_id ORDER BY view_order) AS k, count(*) OVER (PARTITION BY voxel_id) AS n FROM hits) GROUP BY voxel_id")
-add("a18_sfm_depth", "observations points3d", points.sfm_depth, "image_id px py depth", "", "SELECT image_id, px, py, CAST(floor(abs(z)*1000) AS BIGINT) % 65536 AS depth FROM (SELECT image_id, CAST(floor(u) AS BIGINT) AS px, CAST(floor(v) AS BIGINT) AS py, arg_max(z, point2d_idx) AS z FROM observations JOIN points3d USING (point3d_id) GROUP BY 1, 2, 3)")
-add("a19_point_frequency", "observations points3d", lambda o, p: points.point_frequency(o, p, 500.0), "point3d_id", "f3d", "SELECT point3d_id, median(f2d*500/(sqrt(x*x+y*y+z*z)+1e-6)) AS f3d FROM observations JOIN points3d USING (point3d_id) GROUP BY point3d_id")
+add("a16_fuse_tsdf", "hits", points.fuse_tsdf, "scene_id voxel_id n", "value", "SELECT scene_id, voxel_id, sum(tsdf*pow(2.0::DOUBLE, -CASE WHEN k = 1 THEN n-1 ELSE n-k+1 END)) AS value, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, voxel_id ORDER BY view_order) AS k, count(*) OVER (PARTITION BY scene_id, voxel_id) AS n FROM hits) GROUP BY scene_id, voxel_id")
 add("a20_grid_update", "points3d", lambda p: points.grid_update(p.filter("r < 128").groupBy((F.col("point3d_id") % 100).alias("voxel_id")).agg(F.max("g").alias("level")), p.filter("r >= 100").select((F.col("point3d_id") % 120).alias("voxel_id"), F.col("b").alias("level"))), "voxel_id level", "",
     "SELECT coalesce(o.voxel_id, n.voxel_id) AS voxel_id, greatest(o.level, n.level) AS level FROM (SELECT point3d_id % 100 AS voxel_id, max(g) AS level FROM points3d WHERE r < 128 GROUP BY 1) o FULL JOIN (SELECT point3d_id % 120 AS voxel_id, max(b) AS level FROM points3d WHERE r >= 100 GROUP BY 1) n ON o.voxel_id = n.voxel_id")
-add("a22_image_metrics", "pixels", pixels.image_metrics, "image_id", "mse l1 masked_mse psnr", "SELECT image_id, avg(pow(gt-pred, 2)) AS mse, avg(abs(gt-pred)) AS l1, avg(pow(gt-pred, 2)) FILTER (WHERE mask) AS masked_mse, -10*log10(avg(pow(gt-pred, 2))) AS psnr FROM pixels GROUP BY image_id")
-add("a24_depth_mse", "pixels", pixels.depth_mse, "image_id valid", "depth_mse", "SELECT image_id, count(*) AS valid, avg(pow(depth_gt-depth_pred, 2)) AS depth_mse FROM pixels WHERE depth_gt > 0 GROUP BY image_id")
-ALIGN = "(SELECT image_id, (n*c-b*d)/(a*n-b*b) AS scale, (a*d-b*c)/(a*n-b*b) AS shift FROM (SELECT image_id, sum(depth_pred*depth_pred) AS a, sum(depth_pred) AS b, CAST(count(*) AS DOUBLE) AS n, sum(depth_pred*depth_gt) AS c, sum(depth_gt) AS d FROM pixels WHERE depth_gt > 0 GROUP BY image_id))"
-add("a26_align_depth", "pixels", pixels.align_depth, "image_id", "scale shift", f"SELECT * FROM {ALIGN}")
-add("a27_ssi_mse", "pixels", pixels.ssi_mse, "image_id", "ssi_mse", f"SELECT image_id, avg(pow(scale*depth_pred+shift-depth_gt, 2)) AS ssi_mse FROM pixels JOIN {ALIGN} USING (image_id) WHERE depth_gt > 0 GROUP BY image_id")
-add("a29_total_variation", "pixels", pixels.total_variation, "image_id", "tv", "SELECT image_id, 2*(avg(pow(gt-l, 2))+avg(pow(gt-u, 2))) AS tv FROM (SELECT *, lag(gt) OVER (PARTITION BY image_id, y ORDER BY x) AS l, lag(gt) OVER (PARTITION BY image_id, x ORDER BY y) AS u FROM pixels) GROUP BY image_id")
-add("a32_pose_delta", "frames", lambda f: scenes.pose_delta_stats(f, f.withColumns({"tx": F.col("tx") * 1.01, "yaw": F.col("yaw") + F.col("pitch") / 10})), "scene_id", "max_shift mean_shift max_turn mean_turn", "SELECT scene_id, max(abs(tx*0.01)) AS max_shift, avg(abs(tx*0.01)) AS mean_shift, max(abs(degrees(pitch/10))) AS max_turn, avg(abs(degrees(pitch/10))) AS mean_turn FROM frames GROUP BY scene_id")
-add("a34_catalogue", "frames", scenes.catalogue, "images scenes", "", "SELECT CASE WHEN n < 250 THEN '<250' WHEN n < 1000 THEN '250-999' WHEN n < 4000 THEN '1000-3999' ELSE '>=4000' END AS images, count(*) AS scenes FROM (SELECT scene_id, count(*) AS n FROM frames GROUP BY scene_id) GROUP BY 1")
-add("a36_spatial_hash", "points3d", lambda p: points.spatial_hash(p, 1.0, 10).groupBy("bucket").agg(F.count("*").alias("n")), "bucket n", "", "SELECT xor(xor(CAST(floor(x) AS BIGINT), CAST(floor(y) AS BIGINT)*2654435761), CAST(floor(z) AS BIGINT)*805459861) & 1023 AS bucket, count(*) AS n FROM points3d GROUP BY 1")
-WEIGHTS = "(SELECT *, alpha*trans AS weight, t_start+delta/2 AS mid FROM (SELECT *, 1-exp(-delta*density) AS alpha, exp(-coalesce(sum(delta*density) OVER (PARTITION BY ray_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS trans FROM ray_samples))"
-add("w01_ray_weights", "ray_samples", rays.ray_weights, "ray_id sample_idx", "alpha transmittance weight", f"SELECT ray_id, sample_idx, alpha, trans AS transmittance, weight FROM {WEIGHTS}")
-add("w02_alpha_weights", "ray_samples", rays.alpha_weights, "ray_id sample_idx", "transmittance weight", "SELECT ray_id, sample_idx, t AS transmittance, a*t AS weight FROM (SELECT *, exp(coalesce(sum(ln(1-a+1e-7)) OVER (PARTITION BY ray_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, 1-exp(-delta*density) AS a FROM ray_samples))")
-add("w03_composite", "ray_samples", rays.composite, "ray_id", "r g b accumulation", f"SELECT ray_id, sum(weight*r) AS r, sum(weight*g) AS g, sum(weight*b) AS b, sum(weight) AS accumulation FROM {WEIGHTS} GROUP BY ray_id")
-add("w03_composite_last", "ray_samples", lambda s: rays.composite(s, "last"), "ray_id", "r accumulation", f"SELECT ray_id, sum(weight*r)+arg_max(r, sample_idx)*(1-sum(weight)) AS r, sum(weight) AS accumulation FROM {WEIGHTS} GROUP BY ray_id")
-add("w04_depth_median", "ray_samples", rays.depth_median, "ray_id", "depth", f"SELECT ray_id, coalesce(min(mid) FILTER (WHERE s >= 0.5), max(mid)) AS depth FROM (SELECT *, sum(weight) OVER (PARTITION BY ray_id ORDER BY sample_idx) AS s FROM {WEIGHTS}) GROUP BY ray_id")
-add("w05_depth_expected", "ray_samples", rays.depth_expected, "ray_id", "depth", f"SELECT ray_id, greatest(least(sum(weight*mid)/(sum(weight)+1e-10), (SELECT max(t_start+delta/2) FROM ray_samples)), (SELECT min(t_start+delta/2) FROM ray_samples)) AS depth FROM {WEIGHTS} GROUP BY ray_id")
-add("w06_composite_channel", "ray_samples", lambda s: rays.composite_channel(s, "density"), "ray_id", "value", f"SELECT ray_id, sum(weight*density) AS value FROM {WEIGHTS} GROUP BY ray_id")
-add("w07_ray_distortion", "ray_samples", rays.ray_distortion, "ray_id", "distortion", f"SELECT a.ray_id, p+q AS distortion FROM (SELECT x.ray_id, sum(x.weight*y.weight*abs(x.mid-y.mid)) AS p FROM {WEIGHTS} x JOIN {WEIGHTS} y ON x.ray_id = y.ray_id GROUP BY x.ray_id) a JOIN (SELECT ray_id, sum(weight*weight*delta)/3 AS q FROM {WEIGHTS} GROUP BY ray_id) b ON a.ray_id = b.ray_id")
-add("j20_interval_envelope", "ray_samples", lambda s: rays.interval_envelope(s, rays.ray_weights(s).withColumn("t_start", F.col("t_start") + 0.2)), "ray_id sample_idx", "bound", f"SELECT t.ray_id, t.sample_idx, sum(e.weight) AS bound FROM ray_samples t JOIN {WEIGHTS} e ON t.ray_id = e.ray_id AND e.t_start+0.2 < t.t_start+t.delta AND e.t_start+0.2+e.delta > t.t_start GROUP BY t.ray_id, t.sample_idx")
-add("w09_depth_supervision", "ray_samples", lambda s: rays.depth_supervision(s, s.groupBy("ray_id").agg(F.max("t_start").alias("depth")), 0.1), "ray_id", "loss", f"SELECT w.ray_id, sum(-ln(weight+1e-7)*exp(-pow(mid-depth, 2)/0.2)*delta) AS loss FROM {WEIGHTS} w JOIN (SELECT ray_id, max(t_start) AS depth FROM ray_samples GROUP BY ray_id) d ON d.ray_id = w.ray_id GROUP BY w.ray_id")
+add("a22_image_metrics", "pixels", pixels.image_metrics, "scene_id image_id", "mse l1 masked_mse psnr", "SELECT scene_id, image_id, avg(pow(gt-pred, 2)) AS mse, avg(abs(gt-pred)) AS l1, avg(pow(gt-pred, 2)) FILTER (WHERE mask) AS masked_mse, CASE WHEN avg(pow(gt-pred, 2)) = 0 THEN CAST('inf' AS DOUBLE) ELSE -10*log10(avg(pow(gt-pred, 2))) END AS psnr FROM pixels GROUP BY scene_id, image_id")
+add("a24_depth_mse", "pixels", pixels.depth_mse, "scene_id image_id valid", "depth_mse", "SELECT scene_id, image_id, count(*) AS valid, avg(pow(depth_gt-depth_pred, 2)) AS depth_mse FROM pixels WHERE depth_gt > 0 GROUP BY scene_id, image_id")
+ALIGN = "(SELECT scene_id, image_id, (n*c-b*d)/(a*n-b*b) AS scale, (a*d-b*c)/(a*n-b*b) AS shift FROM (SELECT scene_id, image_id, sum(depth_pred*depth_pred) AS a, sum(depth_pred) AS b, CAST(count(*) AS DOUBLE) AS n, sum(depth_pred*depth_gt) AS c, sum(depth_gt) AS d FROM pixels WHERE depth_gt > 0 GROUP BY scene_id, image_id))"
+add("a26_align_depth", "pixels", pixels.align_depth, "scene_id image_id", "scale shift", f"SELECT * FROM {ALIGN}")
+add("a27_ssi_mse", "pixels", pixels.ssi_mse, "scene_id image_id", "ssi_mse", f"SELECT scene_id, image_id, avg(pow(scale*depth_pred+shift-depth_gt, 2)) AS ssi_mse FROM pixels JOIN {ALIGN} USING (scene_id, image_id) WHERE depth_gt > 0 GROUP BY scene_id, image_id")
+add("a29_total_variation", "pixels", pixels.total_variation, "scene_id image_id", "tv", "SELECT scene_id, image_id, 2*(avg(pow(gt-l, 2))+avg(pow(gt-u, 2))) AS tv FROM (SELECT *, lag(gt) OVER (PARTITION BY scene_id, image_id, y ORDER BY x) AS l, lag(gt) OVER (PARTITION BY scene_id, image_id, x ORDER BY y) AS u FROM pixels) GROUP BY scene_id, image_id")
+WEIGHTS = "(SELECT *, alpha*trans AS weight, t_start+delta/2 AS mid FROM (SELECT *, 1-exp(-delta*density) AS alpha, exp(-coalesce(sum(delta*density) OVER (PARTITION BY scene_id, ray_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS trans FROM ray_samples))"
+add("w01_ray_weights", "ray_samples", rays.ray_weights, "scene_id ray_id sample_idx", "alpha transmittance weight", f"SELECT scene_id, ray_id, sample_idx, alpha, trans AS transmittance, weight FROM {WEIGHTS}")
+add("w02_alpha_weights", "ray_samples", rays.alpha_weights, "scene_id ray_id sample_idx", "transmittance weight", "SELECT scene_id, ray_id, sample_idx, t AS transmittance, a*t AS weight FROM (SELECT *, exp(coalesce(sum(ln(1-a+1e-7)) OVER (PARTITION BY scene_id, ray_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, 1-exp(-delta*density) AS a FROM ray_samples))")
+add("w03_composite", "ray_samples", rays.composite, "scene_id ray_id", "r g b accumulation", f"SELECT scene_id, ray_id, sum(weight*r) AS r, sum(weight*g) AS g, sum(weight*b) AS b, sum(weight) AS accumulation FROM {WEIGHTS} GROUP BY scene_id, ray_id")
+add("w03_composite_last", "ray_samples", lambda s: rays.composite(s, "last"), "scene_id ray_id", "r accumulation", f"SELECT scene_id, ray_id, sum(weight*r)+arg_max(r, sample_idx)*(1-sum(weight)) AS r, sum(weight) AS accumulation FROM {WEIGHTS} GROUP BY scene_id, ray_id")
+add("w04_depth_median", "ray_samples", rays.depth_median, "scene_id ray_id", "depth", f"SELECT scene_id, ray_id, coalesce(min(mid) FILTER (WHERE s >= 0.5), max(mid)) AS depth FROM (SELECT *, sum(weight) OVER (PARTITION BY scene_id, ray_id ORDER BY sample_idx) AS s FROM {WEIGHTS}) GROUP BY scene_id, ray_id")
+add("w05_depth_expected", "ray_samples", rays.depth_expected, "scene_id ray_id", "depth", f"SELECT scene_id, ray_id, greatest(least(sum(weight*mid)/(sum(weight)+1e-10), (SELECT max(t_start+delta/2) FROM ray_samples)), (SELECT min(t_start+delta/2) FROM ray_samples)) AS depth FROM {WEIGHTS} GROUP BY scene_id, ray_id")
+add("w06_composite_channel", "ray_samples", lambda s: rays.composite_channel(s, "density"), "scene_id ray_id", "value", f"SELECT scene_id, ray_id, sum(weight*density) AS value FROM {WEIGHTS} GROUP BY scene_id, ray_id")
+add("w07_ray_distortion", "ray_samples", rays.ray_distortion, "scene_id ray_id", "distortion", f"SELECT a.scene_id, a.ray_id, p+q AS distortion FROM (SELECT x.scene_id, x.ray_id, sum(x.weight*y.weight*abs(x.mid-y.mid)) AS p FROM {WEIGHTS} x JOIN {WEIGHTS} y ON x.scene_id = y.scene_id AND x.ray_id = y.ray_id GROUP BY x.scene_id, x.ray_id) a JOIN (SELECT scene_id, ray_id, sum(weight*weight*delta)/3 AS q FROM {WEIGHTS} GROUP BY scene_id, ray_id) b ON a.scene_id = b.scene_id AND a.ray_id = b.ray_id")
+add("j20_interval_envelope", "ray_samples", lambda s: rays.interval_envelope(s, rays.ray_weights(s).withColumn("t_start", F.col("t_start") + 0.2)), "scene_id ray_id sample_idx", "bound", f"SELECT t.scene_id, t.ray_id, t.sample_idx, sum(e.weight) AS bound FROM ray_samples t JOIN {WEIGHTS} e ON t.scene_id = e.scene_id AND t.ray_id = e.ray_id AND e.t_start+0.2 < t.t_start+t.delta AND e.t_start+0.2+e.delta > t.t_start GROUP BY t.scene_id, t.ray_id, t.sample_idx")
+add("w09_depth_supervision", "ray_samples", lambda s: rays.depth_supervision(s, s.groupBy("scene_id", "ray_id").agg(F.max("t_start").alias("depth")), 0.1), "scene_id ray_id", "loss", f"SELECT w.scene_id, w.ray_id, sum(-ln(weight+1e-7)*exp(-pow(mid-depth, 2)/0.2)*delta) AS loss FROM {WEIGHTS} w JOIN (SELECT scene_id, ray_id, max(t_start) AS depth FROM ray_samples GROUP BY scene_id, ray_id) d ON d.scene_id = w.scene_id AND d.ray_id = w.ray_id GROUP BY w.scene_id, w.ray_id")
 for _s, _a in (("uniform", "2+4*k/8.0::DOUBLE"), ("inverse", "1/(0.5::DOUBLE+(1/6.0::DOUBLE-0.5)*k/8)"), ("sqrt", "pow(sqrt(2.0)+(sqrt(6.0)-sqrt(2.0))*k/8, 2)"), ("log", "exp(ln(2.0)+(ln(6.0)-ln(2.0))*k/8)")):
-    add(f"w11_sample_rays_{_s}", "rays", lambda r, s=_s: rays.sample_rays(r, 8, 2.0, 6.0, s), "ray_id sample_idx", "t_start t_end", f"SELECT ray_id, k AS sample_idx, {_a} AS t_start, {_a.replace('k/8', '(k+1)/8')} AS t_end FROM rays, (SELECT CAST(unnest(range(8)) AS INTEGER) AS k) s")
-add("w12_resample_pdf", "ray_samples", lambda s: rays.resample_pdf(s, 4), "ray_id k", "t",
-    f"SELECT ray_id, k, t_start+delta*(u-lo)/(hi-lo) AS t FROM (SELECT *, (k+0.5::DOUBLE)/4 AS u FROM (SELECT *, coalesce(sum(p) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/sum(p) OVER (PARTITION BY ray_id) AS lo, sum(p) OVER (o ROWS UNBOUNDED PRECEDING)/sum(p) OVER (PARTITION BY ray_id) AS hi FROM (SELECT *, weight+0.01 AS p FROM {WEIGHTS}) WINDOW o AS (PARTITION BY ray_id ORDER BY sample_idx)), (SELECT CAST(unnest(range(4)) AS INTEGER) AS k) q) WHERE u >= lo AND u < hi")
-add("w14_interpolate_path", "frames", lambda f: scenes.interpolate_path(f, 4), "scene_id frame_id step", "x y z",
-    "SELECT scene_id, frame_id, step, tx+(ex-tx)*step/3.0::DOUBLE AS x, ty+(ey-ty)*step/3.0::DOUBLE AS y, tz+(ez-tz)*step/3.0::DOUBLE AS z FROM (SELECT *, lead(tx) OVER w AS ex, lead(ty) OVER w AS ey, lead(tz) OVER w AS ez FROM frames WINDOW w AS (PARTITION BY scene_id ORDER BY frame_id)), (SELECT CAST(unnest(range(4)) AS INTEGER) AS step) s WHERE ex IS NOT NULL")
+    add(f"w11_sample_rays_{_s}", "rays", lambda r, s=_s: rays.sample_rays(r, 8, 2.0, 6.0, s), "scene_id ray_id sample_idx", "t_start t_end", f"SELECT scene_id, ray_id, k AS sample_idx, {_a} AS t_start, {_a.replace('k/8', '(k+1)/8')} AS t_end FROM rays, (SELECT CAST(unnest(range(8)) AS INTEGER) AS k) s")
+add("w12_resample_pdf", "ray_samples", lambda s: rays.resample_pdf(s, 4), "scene_id ray_id k", "t",
+    f"SELECT scene_id, ray_id, k, t_start+delta*(u-lo)/(hi-lo) AS t FROM (SELECT *, (k+0.5::DOUBLE)/4 AS u FROM (SELECT *, coalesce(sum(p) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/sum(p) OVER (PARTITION BY scene_id, ray_id) AS lo, sum(p) OVER (o ROWS UNBOUNDED PRECEDING)/sum(p) OVER (PARTITION BY scene_id, ray_id) AS hi FROM (SELECT *, weight+0.01 AS p FROM {WEIGHTS}) WINDOW o AS (PARTITION BY scene_id, ray_id ORDER BY sample_idx)), (SELECT CAST(unnest(range(4)) AS INTEGER) AS k) q) WHERE u >= lo AND u < hi")
 add("w15_moving_avg", "telemetry", telemetry.moving_avg, "run_id name step", "avg", "SELECT run_id, name, step, avg(value) OVER (PARTITION BY run_id, name ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS avg FROM telemetry")
-add("w16_latest_stats", "telemetry", lambda t: telemetry.latest_stats(t, 5), "run_id name step", "value", "SELECT run_id, name, max(step) AS step, arg_max(value, step) AS value FROM telemetry WHERE step % 5 = 0 GROUP BY run_id, name")
-add("w17_depth_ranking", "pixels", pixels.depth_ranking, "image_id", "penalty",
-    "SELECT image_id, avg(CASE WHEN sign(t)*sign(q) < 0 THEN abs(q) WHEN t IS NOT NULL THEN 0 END) AS penalty FROM (SELECT image_id, y, x // 2 AS p, max(depth_gt) FILTER (WHERE x % 2 = 0)-max(depth_gt) FILTER (WHERE x % 2 = 1) AS t, max(depth_pred) FILTER (WHERE x % 2 = 0)-max(depth_pred) FILTER (WHERE x % 2 = 1) AS q FROM pixels GROUP BY 1, 2, 3) GROUP BY image_id")
+add("w17_depth_ranking", "pixels", pixels.depth_ranking, "scene_id image_id", "penalty",
+    "SELECT scene_id, image_id, avg(CASE WHEN sign(t)*sign(q) < 0 THEN abs(q) WHEN t IS NOT NULL THEN 0 END) AS penalty FROM (SELECT scene_id, image_id, y, x // 2 AS p, max(depth_gt) FILTER (WHERE x % 2 = 0)-max(depth_gt) FILTER (WHERE x % 2 = 1) AS t, max(depth_pred) FILTER (WHERE x % 2 = 0)-max(depth_pred) FILTER (WHERE x % 2 = 1) AS q FROM pixels GROUP BY 1, 2, 3, 4) GROUP BY scene_id, image_id")
 add("a25_eval_report", "telemetry", telemetry.eval_report, "run_id name n", "mean std", "SELECT run_id, name, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM telemetry GROUP BY run_id, name")
 add("a33_profile", "telemetry", telemetry.profile, "name calls", "mean", "SELECT name, count(*) AS calls, avg(value) AS mean FROM telemetry GROUP BY name")
 add("k01_split_fraction", "frames", lambda f: scenes.split_fraction(f, 0.9), "scene_id frame_id split", "", f"SELECT scene_id, frame_id, split FROM {SPLIT}")
@@ -164,11 +141,9 @@ add("k04_split_all", "frames", scenes.split_all, "frame_id split", "", "SELECT f
 add("k06_split_rig", "frames", lambda f: scenes.split_rig(f, 0.8, F.floor(F.col("frame_id") / 100)), "frame_id split", "",
     f"SELECT frame_id, CASE WHEN t.idx IS NULL THEN 'eval' ELSE 'train' END AS split FROM frames f JOIN (SELECT scene_id, sample, row_number() OVER (PARTITION BY scene_id ORDER BY sample) - 1 AS idx FROM (SELECT DISTINCT scene_id, frame_id // 100 AS sample FROM frames)) s ON s.scene_id = f.scene_id AND s.sample = f.frame_id // 100 LEFT JOIN {_train(0.8).replace('FROM frames', 'FROM (SELECT DISTINCT scene_id, frame_id // 100 AS sample FROM frames)')} t ON t.scene_id = s.scene_id AND t.idx = s.idx")
 add("k13_divide_budget", "frames", lambda f: scenes.divide_budget(f, 4096), "frame_id rays", "", f"SELECT frame_id, CASE WHEN idx = n - 1 THEN 4096 - 4096 // n * (n - 1) ELSE 4096 // n END AS rays FROM {PLACED}")
-add("k17_erode_mask", "pixels", lambda p: pixels.erode_mask(p, 1), "image_id y x mask", "", "SELECT p.image_id, p.y, p.x, count(*) FILTER (WHERE q.mask) = 9 AS mask FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND abs(p.x-q.x) <= 1 AND abs(p.y-q.y) <= 1 GROUP BY 1, 2, 3")
+add("k17_erode_mask", "pixels", lambda p: pixels.erode_mask(p, 1), "scene_id image_id y x mask", "", "SELECT p.scene_id, p.image_id, p.y, p.x, count(*) FILTER (WHERE q.mask) = 9 AS mask FROM pixels p JOIN pixels q ON p.scene_id = q.scene_id AND p.image_id = q.image_id AND abs(p.x-q.x) <= 1 AND abs(p.y-q.y) <= 1 GROUP BY 1, 2, 3, 4")
 add("k18_latest_checkpoint", "frames", scenes.latest_checkpoint, "scene_id file_path step", "", "SELECT scene_id, arg_max(file_path, frame_id) AS file_path, max(frame_id) AS step FROM frames GROUP BY scene_id")
 add("k19_every_nth", "frames", lambda f: scenes.placed(f).filter("idx % 7 = 0"), "scene_id frame_id", "", f"SELECT scene_id, frame_id FROM {PLACED} WHERE idx % 7 = 0")
-add("t01_t04_list_checks", "frames", lambda f: f.filter("frame_id % 3 = 0").select("file_path").exceptAll(f.filter("frame_id % 5 = 0").select("file_path")), "file_path", "", "SELECT file_path FROM frames WHERE frame_id % 3 = 0 AND frame_id % 5 <> 0")
-add("t03_intersection", "frames", lambda f: f.filter("frame_id % 3 = 0").select("file_path").intersect(f.filter("frame_id % 5 = 0").select("file_path")), "file_path", "", "SELECT file_path FROM frames WHERE frame_id % 15 = 0")
 add("t05_camera_variety", "frames", lambda f: scenes.camera_variety(f, 1), "scene_id cameras", "", "SELECT scene_id, count(DISTINCT camera_id) AS cameras FROM frames GROUP BY scene_id HAVING count(DISTINCT camera_id) > 1")
 
 

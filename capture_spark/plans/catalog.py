@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capture_spark.plans import listings
+from capture_spark.plans import listings, more
 from capture_spark.plans.captures import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "listings"]
+__all__ = ["ORACLES", "QUERIES", "listings", "more"]

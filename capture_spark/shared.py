@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in local mode, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one operator, in a folder of its own that goes when the operator's result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[Scratch], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns and read it back; what it wrote on the way is deleted."""
+    scratch = Scratch(spark)
+    made = make(scratch)
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    delete(spark, scratch.path)
+    return spark.read.schema(made.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capture_spark.sources.files import write_files
+
 NUMBERS = ("fl_x", "fl_y", "cx", "cy", "w", "h", "k1", "k2", "k3", "k4", "p1", "p2")
 _FIELDS = [T.StructField(c, T.DoubleType()) for c in NUMBERS]
 _MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
 _FRAME = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("transform_matrix", _MATRIX), T.StructField("time", T.DoubleType()), *_FIELDS])
+
+
+def _scene(back: int = 2):
+    """The folder that a file lies in (or one further up) as its scene."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -back)
+
+
 _NAMES = T.ArrayType(T.StringType())
 TRANSFORMS = T.StructType(
     [
@@ -28,9 +38,10 @@ TRANSFORMS = T.StructType(
 
 
 def read_transforms(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of ``transforms.json`` files; the top level's intrinsics win over a frame's."""
+    """Frames of ``transforms.json`` files in order of name; the top level's intrinsics win over a frame's."""
     meta = spark.read.schema(TRANSFORMS).option("multiLine", True).json(path).withColumn("scene_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    f = meta.select("scene_id", "camera_model", *[F.col(c).alias(f"top_{c}") for c in NUMBERS], F.posexplode("frames").alias("pos", "frame"))
+    by_name = F.array_sort("frames", lambda a, b: F.when(a["file_path"] < b["file_path"], -1).when(a["file_path"] > b["file_path"], 1).otherwise(0))
+    f = meta.select("scene_id", "camera_model", *[F.col(c).alias(f"top_{c}") for c in NUMBERS], F.posexplode(by_name).alias("pos", "frame"))
     c2w = F.flatten(F.slice("frame.transform_matrix", 1, 3))
     return f.select("scene_id", "pos", "frame.file_path", F.coalesce("camera_model", F.lit("OPENCV")).alias("camera_model"), *[F.coalesce(F.col(f"top_{c}"), F.col(f"frame.{c}")).alias(c) for c in NUMBERS], c2w.alias("c2w"))
 
@@ -45,60 +56,174 @@ def read_synthetic(spark: SparkSession, path: str, width: int, height: int) -> D
     return f.select("scene_id", "split", "pos", path_.alias("file_path"), "focal", F.lit(width / 2).alias("cx"), F.lit(height / 2).alias("cy"), F.col("frame.time").alias("time"), F.flatten(F.slice("frame.transform_matrix", 1, 3)).alias("c2w"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).withColumn("scene_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return text.select("scene_id", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter(~F.startswith(F.col("value"), F.lit("#")))
+def _records(spark: SparkSession, path: str, per: int) -> DataFrame:
+    """(scene_id, line, value): the lines of text files without comments, numbered from 0; of ``per`` lines to a record, the others are in ``rest``.
+
+    Files are read as streams of lines by the task that has them, so no file is
+    one value; a blank line within a record counts.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path").repartition(max(1, spark.sparkContext.defaultParallelism))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            for name in b["path"]:
+                where, at = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name.removeprefix("file:"))
+                out, n, held = [], 0, []
+                with where.open_input_stream(at) as raw:
+                    for line in io.TextIOWrapper(io.BufferedReader(raw), "utf-8"):
+                        line = line.rstrip("\r\n")
+                        if line.startswith("#") or (not held and not line.strip()):
+                            continue
+                        held.append(line)
+                        if len(held) == per:
+                            out.append((at.split("/")[-2], n, held[0], held[1] if per > 1 else None))
+                            n, held = n + 1, []
+                            if len(out) == 10_000:
+                                yield pd.DataFrame(out, columns=["scene_id", "line", "value", "rest"])
+                                out = []
+                if held:
+                    out.append((at.split("/")[-2], n, held[0], ""))
+                yield pd.DataFrame(out, columns=["scene_id", "line", "value", "rest"])
+
+    return files.mapInPandas(read, "scene_id string, line long, value string, rest string")
 
 
 def read_colmap_text(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """cameras, images, points3d and observations of text models under ``root``/*/."""
-    word = lambda i, kind="double": F.element_at("f", i).cast(kind)
-    rest = lambda start: F.transform(F.expr(f"slice(f, {start}, greatest(size(f) - {start - 1}, 0))"), lambda x: x.cast("double"))
-    c = _lines(spark, f"{root}/*/cameras.txt").filter("trim(value) <> ''").withColumn("f", F.split(F.trim("value"), r"\s+"))
-    cameras = c.select("scene_id", word(1, "long").alias("camera_id"), word(2, "string").alias("model"), word(3, "long").alias("width"), word(4, "long").alias("height"), rest(5).alias("params"))
-    i = _lines(spark, f"{root}/*/images.txt")
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("scene_id").orderBy("line")
-    i = i.withColumns({"place": F.row_number().over(by) - 1, "points": F.lead("value").over(by)}).filter("place % 2 = 0 AND trim(value) <> ''").withColumn("f", F.split(F.trim("value"), r"\s+"))
-    images = i.select("scene_id", word(1, "long").alias("image_id"), F.array(*[word(k) for k in range(2, 6)]).alias("qvec"), F.array(*[word(k) for k in range(6, 9)]).alias("tvec"), word(9, "long").alias("camera_id"), word(10, "string").alias("name"), "points")
-    o = images.filter("trim(points) <> ''").withColumn("f", F.split(F.trim("points"), r"\s+"))
+    word = lambda i, kind="double": F.get("f", F.lit(i - 1)).cast(kind)
+    split = lambda c: F.split(F.trim(c), r"\s+")
+    c = _records(spark, f"{root}/*/cameras.txt", 1).withColumn("f", split("value"))
+    rest = F.transform(F.expr("slice(f, 5, greatest(size(f) - 4, 0))"), lambda x: x.cast("double"))
+    cameras = c.select("scene_id", word(1, "long").alias("camera_id"), word(2, "string").alias("model"), word(3, "long").alias("width"), word(4, "long").alias("height"), rest.alias("params"))
+    i = _records(spark, f"{root}/*/images.txt", 2).withColumn("f", split("value"))
+    images = i.select("scene_id", word(1, "long").alias("image_id"), F.array(*[word(k) for k in range(2, 6)]).alias("qvec"), F.array(*[word(k) for k in range(6, 9)]).alias("tvec"), word(9, "long").alias("camera_id"), word(10, "string").alias("name"), "rest")
+    o = images.filter("trim(rest) <> ''").withColumn("f", split("rest"))
     o = o.select("scene_id", "image_id", "f", F.explode(F.expr("sequence(0, cast(size(f) / 3 as int) - 1)")).alias("point2d_idx"))
     at = lambda k, kind: F.element_at("f", F.col("point2d_idx") * 3 + k).cast(kind)
-    observations = o.select("scene_id", "image_id", "point2d_idx", at(1, "double").alias("u"), at(2, "double").alias("v"), at(3, "long").alias("point3d_id"))
-    p = _lines(spark, f"{root}/*/points3D.txt").filter("trim(value) <> ''").withColumn("f", F.split(F.trim("value"), r"\s+"))
-    points = p.select("scene_id", word(1, "long").alias("point3d_id"), *[word(k).alias(n) for k, n in ((2, "x"), (3, "y"), (4, "z"))], *[word(k, "int").alias(n) for k, n in ((5, "r"), (6, "g"), (7, "b"))], word(8).alias("error"), F.expr("cast((size(f) - 8) / 2 as int)").alias("track_length"))
-    return cameras, images.drop("points"), points, observations
+    observations = o.select("scene_id", "image_id", F.col("point2d_idx").cast("long").alias("point2d_idx"), at(1, "double").alias("u"), at(2, "double").alias("v"), at(3, "long").alias("point3d_id"))
+    p = _records(spark, f"{root}/*/points3D.txt", 1).withColumn("f", split("value"))
+    points = p.select("scene_id", word(1, "long").alias("point3d_id"), *[word(k).alias(n) for k, n in ((2, "x"), (3, "y"), (4, "z"))], *[word(k, "int").alias(n) for k, n in ((5, "r"), (6, "g"), (7, "b"))], word(8).alias("error"), F.expr("cast((size(f) - 8) / 2 as long)").alias("track_length"))
+    return cameras, images.drop("rest"), points, observations
 
 
-def write_colmap_text(cameras: DataFrame, images: DataFrame, points: DataFrame, path: str) -> None:
-    """Text models without observations, one folder per scene and kind."""
-    line = lambda *c: F.concat_ws(" ", *c).alias("value")
-    flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    parts = {
-        "cameras": cameras.select("scene_id", F.col("camera_id").alias("k"), line("camera_id", "model", "width", "height", flat("params"))),
-        "images": images.select("scene_id", F.col("image_id").alias("k"), F.concat(F.concat_ws(" ", "image_id", flat("qvec"), flat("tvec"), "camera_id", "name"), F.lit("\n")).alias("value")),
-        "points3D": points.select("scene_id", F.col("point3d_id").alias("k"), line("point3d_id", "x", "y", "z", "r", "g", "b", "error")),
-    }
-    for name, rows in parts.items():
-        rows.repartition("scene_id").sortWithinPartitions("scene_id", "k").drop("k").write.partitionBy("scene_id").text(f"{path}/{name}")
+#: The camera models of the binary format by number, with their number of parameters.
+BINARY_MODELS = ("SIMPLE_PINHOLE", 3), ("PINHOLE", 4), ("SIMPLE_RADIAL", 4), ("RADIAL", 5), ("OPENCV", 8), ("OPENCV_FISHEYE", 8), ("FULL_OPENCV", 12), ("FOV", 5), ("SIMPLE_RADIAL_FISHEYE", 4), ("RADIAL_FISHEYE", 5), ("THIN_PRISM_FISHEYE", 12)
 
 
-def read_colmap_points_bin(spark: SparkSession, path: str) -> DataFrame:
-    """Points of binary models: little-endian records with tracks of any length; one task per file."""
+def _files(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``parse`` makes of each file's scene (its folder) and content; one task a file."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
-                n, at, out = struct.unpack_from("<Q", data)[0], 8, []
-                for _ in range(n):
-                    i, x, y, z, r, g, bl, e, k = struct.unpack_from("<QdddBBBdQ", data, at)
-                    at += 51 + 8 * k
-                    out.append((name.split("/")[-2], i, x, y, z, r, g, bl, e, k))
-                yield pd.DataFrame(out, columns=["scene_id", "point3d_id", "x", "y", "z", "r", "g", "b", "error", "track_length"])
+                yield from parse(name.split("/")[-2], data)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_colmap_points_bin(spark: SparkSession, path: str) -> DataFrame:
+    """Points of binary models: little-endian records with tracks of any length; one task per file.
+
+    A pass finds where records start; fields of all records are then taken at once.
+    """
+    head = np.dtype([("point3d_id", "<u8"), ("xyz", "<f8", 3), ("rgb", "u1", 3), ("error", "<f8"), ("track", "<u8")])
+
+    def parse(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
+        n, at = struct.unpack_from("<Q", data)[0], 8
+        starts, size = np.empty(n, np.int64), struct.Struct("<Q").unpack_from
+        for k in range(n):
+            starts[k] = at
+            at += head.itemsize + 8 * size(data, at + head.itemsize - 8)[0]
+        raw = np.frombuffer(data, np.uint8)
+        for s in range(0, n, 100_000):
+            r = raw[starts[s : s + 100_000, None] + np.arange(head.itemsize)].copy().view(head)[:, 0]
+            yield pd.DataFrame({"scene_id": scene, "point3d_id": r["point3d_id"].astype(np.int64), **{c: r["xyz"][:, i] for i, c in enumerate("xyz")}, **{c: r["rgb"][:, i].astype(np.int32) for i, c in enumerate("rgb")}, "error": r["error"], "track_length": r["track"].astype(np.int64)})
+
+    return _files(spark, path, parse, "scene_id string, point3d_id long, x double, y double, z double, r int, g int, b int, error double, track_length long")
+
+
+def read_colmap_bin(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """cameras, images, points3d and observations of binary models under ``root``/*/."""
+
+    def cameras(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
+        at, out = 8, []
+        for _ in range(struct.unpack_from("<Q", data)[0]):
+            i, model, w, h = struct.unpack_from("<iiQQ", data, at)
+            name, n = BINARY_MODELS[model]
+            out.append((scene, i, name, w, h, list(struct.unpack_from(f"<{n}d", data, at + 24))))
+            at += 24 + 8 * n
+        yield pd.DataFrame(out, columns=["scene_id", "camera_id", "model", "width", "height", "params"])
+
+    def records(data: bytes) -> Iterator[tuple[tuple, str, int, int]]:
+        at = 8
+        for _ in range(struct.unpack_from("<Q", data)[0]):
+            head = struct.unpack_from("<I7dI", data, at)
+            end = data.index(b"\0", at + 64)
+            n = struct.unpack_from("<Q", data, end + 1)[0]
+            yield head, data[at + 64 : end].decode(), end + 9, n
+            at = end + 9 + 24 * n
+
+    def images(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
+        out = [(scene, h[0], list(h[1:5]), list(h[5:8]), h[8], name) for h, name, _, _ in records(data)]
+        yield pd.DataFrame(out, columns=["scene_id", "image_id", "qvec", "tvec", "camera_id", "name"])
+
+    def observations(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
+        kind = np.dtype([("u", "<f8"), ("v", "<f8"), ("point3d_id", "<i8")])
+        for h, _, at, n in records(data):
+            r = np.frombuffer(data, kind, n, at)
+            yield pd.DataFrame({"scene_id": scene, "image_id": h[0], "point2d_idx": np.arange(n), **{c: r[c] for c in kind.names}})
+
+    at = f"{root}/*/"
+    return (
+        _files(spark, at + "cameras.bin", cameras, "scene_id string, camera_id long, model string, width long, height long, params array<double>"),
+        _files(spark, at + "images.bin", images, "scene_id string, image_id long, qvec array<double>, tvec array<double>, camera_id long, name string"),
+        read_colmap_points_bin(spark, at + "points3D.bin"),
+        _files(spark, at + "images.bin", observations, "scene_id string, image_id long, point2d_idx long, u double, v double, point3d_id long"),
+    )
+
+
+def read_colmap(spark: SparkSession, root: str) -> tuple[tuple[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]:
+    """The four tables of each scene's text model, or its binary one where it has no text; and the scenes with neither whole."""
+    at = F.col("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.element_at(F.split(at, "/"), -2).alias("scene_id"), F.element_at(F.split(at, "/"), -1).alias("file"))
+    whole = lambda end: (F.count_if(F.col("file").isin(f"cameras.{end}", f"images.{end}", f"points3D.{end}")) == 3)
+    scenes = files.groupBy("scene_id").agg(whole("txt").alias("text"), whole("bin").alias("binary"))
+    kinds = scenes.agg(F.bool_or("text").alias("t"), F.bool_or(F.col("binary") & ~F.col("text")).alias("b")).first()
+    parts = []
+    if kinds["t"]:
+        parts.append([t.join(scenes.filter("text"), "scene_id", "left_semi") for t in read_colmap_text(spark, root)])
+    if kinds["b"]:
+        parts.append([t.join(scenes.filter("binary AND NOT text"), "scene_id", "left_semi") for t in read_colmap_bin(spark, root)])
+    if not parts:
+        raise ValueError(f"no scene under {root} has a whole model")
+    tables = tuple(a if len(parts) == 1 else a.unionByName(parts[1][k]) for k, a in enumerate(parts[0]))
+    return tables, scenes.filter("NOT text AND NOT binary").select("scene_id")
+
+
+def write_colmap_text(cameras: DataFrame, images: DataFrame, points: DataFrame, observations: DataFrame, path: str) -> None:
+    """Text models, ``path``/<scene>/cameras.txt, images.txt and points3D.txt, with observations and tracks."""
+    flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    seen = observations.groupBy("scene_id", "image_id").agg(F.array_sort(F.collect_list(F.struct("point2d_idx", "u", "v", "point3d_id"))).alias("o"))
+    marks = F.array_join(F.transform("o", lambda x: F.concat_ws(" ", x["u"], x["v"], x["point3d_id"])), " ")
+    track = observations.filter("point3d_id <> -1").groupBy("scene_id", "point3d_id").agg(F.array_sort(F.collect_list(F.struct("image_id", "point2d_idx"))).alias("t"))
+    steps = F.array_join(F.transform("t", lambda x: F.concat_ws(" ", x["image_id"], x["point2d_idx"])), " ")
+    i = images.join(seen, ["scene_id", "image_id"], "left")
+    p = points.join(track, ["scene_id", "point3d_id"], "left")
+    tables = {
+        "cameras.txt": (cameras.select("scene_id", F.col("camera_id").alias("k"), F.concat_ws(" ", "camera_id", "model", "width", "height", flat("params")).alias("value")), "# CAMERA_ID, MODEL, WIDTH, HEIGHT, PARAMS[]\n"),
+        "images.txt": (i.select("scene_id", F.col("image_id").alias("k"), F.concat(F.concat_ws(" ", "image_id", flat("qvec"), flat("tvec"), "camera_id", "name"), F.lit("\n"), F.coalesce(marks, F.lit(""))).alias("value")), "# IMAGE_ID, QW, QX, QY, QZ, TX, TY, TZ, CAMERA_ID, NAME\n# POINTS2D[] as (X, Y, POINT3D_ID)\n"),
+        "points3D.txt": (p.select("scene_id", F.col("point3d_id").alias("k"), F.concat_ws(" ", "point3d_id", "x", "y", "z", "r", "g", "b", "error", steps).alias("value")), "# POINT3D_ID, X, Y, Z, R, G, B, ERROR, TRACK[] as (IMAGE_ID, POINT2D_IDX)\n"),
+    }
+    for name, (rows, head) in tables.items():
+
+        def lines(scene: str, own: Iterator, head: str = head) -> Iterator[bytes]:
+            yield head.encode()
+            for r in own:
+                yield f"{r.value}\n".encode()
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "scene_id string, point3d_id long, x double, y double, z double, r int, g int, b int, error double, track_length long")
+        write_files(rows, path, name, lines, ["k"])
 
 
 _PLY = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "int": "i4", "uint": "u4", "short": "i2", "ushort": "u2"}
@@ -128,12 +253,41 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "scene_id string, x double, y double, z double, r int, g int, b int")
 
 
-def write_ply(points: DataFrame, path: str) -> None:
-    """ASCII PLY text per scene: the header comes from the scene's count, the points follow in order of id."""
-    header = "ply\nformat ascii 1.0\nelement vertex %d\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header"
-    heads = points.groupBy("scene_id").agg(F.count("*").alias("n")).select("scene_id", F.lit(-1).cast("long").alias("k"), F.format_string(header, "n").alias("value"))
-    rows = points.select("scene_id", F.col("point3d_id").alias("k"), F.concat_ws(" ", "x", "y", "z", "r", "g", "b").alias("value"))
-    heads.unionByName(rows).repartition("scene_id").sortWithinPartitions("scene_id", "k").drop("k").write.partitionBy("scene_id").text(path)
+def write_ply(points: DataFrame, path: str, name: str = "points.ply") -> None:
+    """ASCII PLY, ``path``/<scene>/``name``: the header has the scene's count, the points follow in order of id."""
+    n = points.groupBy("scene_id").agg(F.count("*").alias("n"))
+    rows = points.join(n, "scene_id").select("scene_id", "point3d_id", "n", "x", "y", "z", "r", "g", "b")
+    head = "ply\nformat ascii 1.0\nelement vertex {}\n" + "".join(f"property {t} {c}\n" for t, c in (("float", "x"), ("float", "y"), ("float", "z"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue"))) + "end_header\n"
+
+    def lines(scene: str, own: Iterator) -> Iterator[bytes]:
+        for k, r in enumerate(own):
+            if not k:
+                yield head.format(r.n).encode()
+            yield f"{r.x} {r.y} {r.z} {r.r} {r.g} {r.b}\n".encode()
+
+    write_files(rows, path, name, lines, ["point3d_id"])
+
+
+def write_splat_ply(splats: DataFrame, path: str, order: str = "splat_id", name: str = "splat.ply") -> None:
+    """Binary little-endian PLY, ``path``/<scene>/``name``: the columns in order as properties, bytes as uchar, other numbers as float.
+
+    Rows without a value in some column are refused, as every property has one for each vertex.
+    """
+    columns = [c for c in splats.columns if c not in ("scene_id", order)]
+    small = {f.name for f in splats.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType))}
+    if splats.filter(F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda x: x)).limit(1).count():
+        raise ValueError("every property needs a value for each vertex")
+    n = splats.groupBy("scene_id").agg(F.count("*").alias("n_vertices"))
+    pack = struct.Struct("<" + "".join("B" if c in small else "f" for c in columns)).pack
+    head = "ply\nformat binary_little_endian 1.0\ncomment Vertical Axis: z\nelement vertex {}\n" + "".join(f"property {'uchar' if c in small else 'float'} {c}\n" for c in columns) + "end_header\n"
+
+    def vertices(scene: str, own: Iterator) -> Iterator[bytes]:
+        for k, r in enumerate(own):
+            if not k:
+                yield head.format(r[2]).encode()
+            yield pack(*[int(x) if c in small else x for c, x in zip(columns, r[3:], strict=True)])
+
+    write_files(splats.join(n, "scene_id").select("scene_id", order, "n_vertices", *columns), path, name, vertices, [order])
 
 
 def read_polycam(spark: SparkSession, path: str, least_blur: float, crop: int = 0) -> DataFrame:
@@ -157,16 +311,66 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("number", F.row_number().over(by)).withColumn("name", F.concat(F.format_string("frame_%05d.", "number"), F.lower(F.regexp_extract("path", r"([^.]+)$", 1))))
 
 
-def write_transforms(frames: DataFrame, path: str) -> None:
-    """One JSON line per scene with its frames in file order."""
+def write_transforms(frames: DataFrame, path: str, scenes: DataFrame | None = None) -> None:
+    """``path``/<scene>/transforms.json with frames in file order.
+
+    Intrinsics (those of ``NUMBERS`` and camera_model that ``frames`` has) go to the
+    top where the scene's only camera is number 1, else to each frame.
+    ``scenes`` may have (scene_id, applied_transform), a 3x4.
+    """
+    have = [c for c in ("camera_model", *NUMBERS) if c in frames.columns]
     matrix = F.array(*[F.slice("c2w", 4 * i + 1, 4) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
-    f = frames.withColumn("frame", F.struct("file_path", matrix.alias("transform_matrix")))
-    scenes = f.groupBy("scene_id").agg(F.sort_array(F.collect_list("frame")).alias("frames"))
-    scenes.select("scene_id", F.to_json(F.struct("frames")).alias("value")).write.partitionBy("scene_id").text(path)
+    f = frames.withColumn("camera_id", F.col("camera_id") if "camera_id" in frames.columns else F.lit(0))
+    one = f.groupBy("scene_id").agg((F.array_sort(F.collect_set("camera_id")) == F.array(F.lit(1).cast(dict(f.dtypes)["camera_id"]))).alias("one"))
+    if scenes is not None:
+        one = one.join(scenes.select("scene_id", F.array(*[F.slice("applied_transform", 4 * i + 1, 4) for i in range(3)]).alias("applied_transform")), "scene_id", "left")
+    f = f.join(one, "scene_id")
+    own = F.struct(*[F.when(~F.col("one"), F.col(c)).alias(c) for c in have], "file_path", matrix.alias("transform_matrix"))
+    top = F.struct(*[F.when(F.col("one"), F.col(c)).alias(c) for c in have], *([F.col("applied_transform")] if scenes is not None else []))
+    rows = f.select("scene_id", "file_path", F.to_json(own).alias("frame"), F.to_json(top).alias("top"))
+
+    def parts(scene: str, found: Iterator) -> Iterator[bytes]:
+        for k, r in enumerate(found):
+            if not k:
+                yield (r.top[:-1] + ("," if r.top != "{}" else "") + '"frames":[\n').encode()
+            yield ((",\n" if k else "") + r.frame).encode()
+        yield b"\n]}\n"
+
+    write_files(rows, path, "transforms.json", parts, ["file_path"])
+
+
+def write_scene_transforms(scenes: DataFrame, path: str, name: str = "dataparser_transforms.json") -> None:
+    """``path``/<scene>/``name`` with the scene's 3x4 ``transform`` and ``scale``."""
+    rows = scenes.select("scene_id", F.to_json(F.struct(F.array(*[F.slice("transform", 4 * i + 1, 4) for i in range(3)]).alias("transform"), "scale")).alias("value"))
+    write_files(rows, path, name, lambda scene, own: (f"{r.value}\n".encode() for r in own), [])
+
+
+def read_scene_transforms(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([T.StructField("transform", _MATRIX), T.StructField("scale", T.DoubleType())])
+    t = spark.read.schema(schema).option("multiLine", True).json(path)
+    return t.select(_scene().alias("scene_id"), F.flatten("transform").alias("transform"), "scale")
 
 
 def export_poses(frames: DataFrame, path: str) -> None:
-    frames.select("scene_id", "split", "file_path", "c2w").write.partitionBy("scene_id", "split").json(path)
+    """``path``/<scene>/transforms_train.json and transforms_eval.json: lists of file path and 3x4 pose, in file order."""
+    matrix = F.array(*[F.slice("c2w", 4 * i + 1, 4) for i in range(3)])
+    for split in ("train", "eval"):
+        rows = frames.filter(F.col("split") == split).select("scene_id", "file_path", F.to_json(F.struct("file_path", matrix.alias("transform"))).alias("value"))
+
+        def parts(scene: str, own: Iterator) -> Iterator[bytes]:
+            yield b"["
+            for k, r in enumerate(own):
+                yield ((",\n" if k else "\n") + r.value).encode()
+            yield b"\n]\n"
+
+        write_files(rows, path, f"transforms_{split}.json", parts, ["file_path"])
+
+
+def write_eval(report: DataFrame, path: str) -> None:
+    """``path``/<scene>/eval.json of (scene_id, experiment_name, method_name, checkpoint, metric, value) rows."""
+    one = report.groupBy("scene_id", "experiment_name", "method_name", "checkpoint").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("results"))
+    rows = one.select("scene_id", F.to_json(F.struct("experiment_name", "method_name", "checkpoint", "results")).alias("value"))
+    write_files(rows, path, "eval.json", lambda scene, own: (f"{r.value}\n".encode() for r in own), ["value"])
 
 
 READERS = {"transforms": read_transforms, "synthetic": read_synthetic, "colmap-text": read_colmap_text, "ply": read_ply, "polycam": read_polycam}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,16 @@ def ingest(spark: SparkSession, path: str, schema, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def windowed_stats(events: DataFrame, size: str, late: str) -> DataFrame:
-    """Tumbling counts and means per name; rows later than ``late`` are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+def exploded(events: DataFrame) -> DataFrame:
+    """One row for each entry of ``values``, a map from name to number, of a run's event."""
+    return events.select(F.col("user_id").alias("run_id"), "ts", "event_id", F.explode("values").alias("name", "value"))
+
+
+def windowed_stats(events: DataFrame, size: str, late: str, slide: str | None = None) -> DataFrame:
+    """Counts and means per run and name in tumbling windows, or sliding ones; rows later than ``late`` are left out."""
+    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+    out = events.withWatermark("ts", late).groupBy(w.alias("w"), "run_id", "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return out.select(F.col("w.start").alias("start"), "run_id", "name", "n", "mean")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -28,13 +36,21 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def run_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    """Spells of a run without a gap as long as ``gap``: events, last time, seconds from first to last."""
+    s = events.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("end"))
+    return s.select("run_id", F.col("w.start").alias("start"), "n", "end", (F.col("end").cast("timestamp").cast("double") - F.col("w.start").cast("timestamp").cast("double")).alias("seconds"))
 
 
 def deduplicated(events: DataFrame, late: str) -> DataFrame:
+    """The first row of each event id among those no later than ``late``; how many were later is in the query's progress (``late_rows``)."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def late_rows(query) -> int:
+    """Rows that a running or ended query has dropped as too late."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def gated(events: DataFrame, every: int) -> DataFrame:
     """Events of every ``every``-th step."""
     return events.filter(F.col("step") % every == 0)
@@ -49,14 +65,14 @@ def moving_average(events: DataFrame, n: int = 20) -> DataFrame:
     """Mean of the last ``n`` values per run and name, carried from batch to batch."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        values = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("event_id")
-        out = []
-        for event_id, value in zip(rows["event_id"], rows["value"], strict=True):
-            values = [*values, float(value)][-n:]
-            out.append((key[0], key[1], int(event_id), sum(values) / len(values)))
-        state.update((values,))
-        yield pd.DataFrame(out, columns=["run_id", "name", "event_id", "avg"])
+        before = np.array(state.get[0] if state.exists else [], float)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        values = np.concatenate([before, rows["value"].to_numpy(float)])
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        at = np.arange(len(before), len(values)) + 1
+        first = np.maximum(at - n, 0)
+        state.update((values[-n:].tolist(),))
+        yield pd.DataFrame({"run_id": key[0], "name": key[1], "event_id": rows["event_id"].to_numpy(), "avg": (sums[at] - sums[first]) / (at - first)})
 
     return events.groupBy("run_id", "name").applyInPandasWithState(step, "run_id long, name string, event_id long, avg double", "values array<double>", "append", "NoTimeout")
 
