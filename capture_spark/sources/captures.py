@@ -278,14 +278,14 @@ def write_splat_ply(splats: DataFrame, path: str, order: str = "splat_id", name:
     if splats.filter(F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda x: x)).limit(1).count():
         raise ValueError("every property needs a value for each vertex")
     n = splats.groupBy("scene_id").agg(F.count("*").alias("n_vertices"))
-    pack = struct.Struct("<" + "".join("B" if c in small else "f" for c in columns)).pack
+    kinds = "<" + "".join("B" if c in small else "f" for c in columns)
     head = "ply\nformat binary_little_endian 1.0\ncomment Vertical Axis: z\nelement vertex {}\n" + "".join(f"property {'uchar' if c in small else 'float'} {c}\n" for c in columns) + "end_header\n"
 
     def vertices(scene: str, own: Iterator) -> Iterator[bytes]:
         for k, r in enumerate(own):
             if not k:
                 yield head.format(r[2]).encode()
-            yield pack(*[int(x) if c in small else x for c, x in zip(columns, r[3:], strict=True)])
+            yield struct.pack(kinds, *[int(x) if c in small else x for c, x in zip(columns, r[3:], strict=True)])
 
     write_files(splats.join(n, "scene_id").select("scene_id", order, "n_vertices", *columns), path, name, vertices, [order])
 
@@ -315,7 +315,8 @@ def write_transforms(frames: DataFrame, path: str, scenes: DataFrame | None = No
     """``path``/<scene>/transforms.json with frames in file order.
 
     Intrinsics (those of ``NUMBERS`` and camera_model that ``frames`` has) go to the
-    top where the scene's only camera is number 1, else to each frame.
+    top where the scene's only camera is number 1, else to each frame; the model,
+    of which a scene has one, always to the top.
     ``scenes`` may have (scene_id, applied_transform), a 3x4.
     """
     have = [c for c in ("camera_model", *NUMBERS) if c in frames.columns]
@@ -325,8 +326,8 @@ def write_transforms(frames: DataFrame, path: str, scenes: DataFrame | None = No
     if scenes is not None:
         one = one.join(scenes.select("scene_id", F.array(*[F.slice("applied_transform", 4 * i + 1, 4) for i in range(3)]).alias("applied_transform")), "scene_id", "left")
     f = f.join(one, "scene_id")
-    own = F.struct(*[F.when(~F.col("one"), F.col(c)).alias(c) for c in have], "file_path", matrix.alias("transform_matrix"))
-    top = F.struct(*[F.when(F.col("one"), F.col(c)).alias(c) for c in have], *([F.col("applied_transform")] if scenes is not None else []))
+    own = F.struct(*[F.when(~F.col("one"), F.col(c)).alias(c) for c in have if c != "camera_model"], "file_path", matrix.alias("transform_matrix"))
+    top = F.struct(*[(F.col(c) if c == "camera_model" else F.when(F.col("one"), F.col(c))).alias(c) for c in have], *([F.col("applied_transform")] if scenes is not None else []))
     rows = f.select("scene_id", "file_path", F.to_json(own).alias("frame"), F.to_json(top).alias("top"))
 
     def parts(scene: str, found: Iterator) -> Iterator[bytes]:

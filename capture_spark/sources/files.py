@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def write_files(rows: DataFrame, path: str, name: str, parts: Callable[[str, Ite
             for b in batches:
                 yield from b.itertuples(index=False)
 
-        found, held = stream(), None
+        found, held, n = stream(), None, 0
         row = next(found, None)
         while row is not None:
             scene = row[columns.index("scene_id")]
@@ -51,7 +52,7 @@ def write_files(rows: DataFrame, path: str, name: str, parts: Callable[[str, Ite
                     f.write(x)
                 for _ in mine:
                     pass
-            row = held
-            yield from ()
+            row, n = held, n + 1
+        yield pd.DataFrame({"files": [n]})
 
-    rows.repartition("scene_id").sortWithinPartitions("scene_id", *order).mapInPandas(run, "done int").agg(F.count("*")).collect()
+    rows.repartition("scene_id").sortWithinPartitions("scene_id", *order).mapInPandas(run, "files long").agg(F.sum("files")).collect()

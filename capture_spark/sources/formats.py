@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capture_spark.operators.joins import component_poses
 from capture_spark.operators.scenes import invert, matmul, pose, pose_of, quaternion_rotation, to_camera_convention
@@ -26,6 +27,39 @@ def _flat(matrix: Column) -> Column:
     return F.flatten(F.slice(matrix, 1, 3))
 
 
+def _nested(x):
+    return [_nested(y) for y in x] if isinstance(x, (list, np.ndarray)) else x
+
+
+def _posed(df: DataFrame, columns: tuple[str, ...], make) -> DataFrame:
+    """Add ``c2w``: what ``make`` returns, batch by batch, for arrays of the columns: (n, 3, 4) camera to world poses."""
+    schema = T.StructType([*df.schema.fields, T.StructField("c2w", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            arrays = [np.array([_nested(x) for x in b[c]]) for c in columns]
+            b["c2w"] = [[float(x) for x in p.ravel()] for p in make(*arrays)] if len(b) else []
+            yield b
+
+    return df.mapInPandas(run, schema)
+
+
+def _turns(v: np.ndarray) -> np.ndarray:
+    """Rotations of axes times their angles."""
+    angle = np.sqrt((v * v).sum(1))[:, None, None]
+    a = v / np.maximum(angle[:, :, 0], 1e-12)
+    k = np.zeros((len(v), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -a[:, 2], a[:, 1], -a[:, 0]
+    k -= k.transpose(0, 2, 1)
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
+
+
+def _inverse(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Camera to world of world to camera, camera axes turned from x right, y down to x right, y up."""
+    back = r.transpose(0, 2, 1)
+    return np.concatenate([back * [1, -1, -1], -(back @ t[:, :, None])], 2)
+
+
 def _permuted(c2w: Column, rows: tuple[int, int, int], signs: tuple[int, int, int] = (1, 1, 1)) -> Column:
     r, t = pose_of(c2w)
     return pose([[s * x for x in r[i]] if s < 0 else r[i] for i, s in zip(rows, signs, strict=True)], [s * t[i] for i, s in zip(rows, signs, strict=True)])
@@ -65,7 +99,7 @@ def read_metashape(spark: SparkSession, path: str, images: DataFrame) -> tuple[D
     """
 
     def numbers(c: str) -> Column:
-        return F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda x: x.cast("double"))
+        return F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda x: x.try_cast("double"))
 
     def table(tag: str, schema: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("scene_id", _scene())
@@ -88,23 +122,13 @@ def read_metashape(spark: SparkSession, path: str, images: DataFrame) -> tuple[D
     short = images.select("scene_id", F.col("base_name").alias("short"), F.col("file_path").alias("cut"))
     c = c.withColumn("short", F.element_at(F.split("label", r"\."), 1)).join(known, ["scene_id", "label"], "left").join(short, ["scene_id", "short"], "left")
     c = c.withColumn("file_path", F.coalesce("exact", "cut")).filter("file_path IS NOT NULL").join(s, ["scene_id", "sensor_id"], "left")
-    ready = F.col("w").isNotNull() & (F.size("m") == 16)
+    ready = F.col("w").isNotNull() & (F.coalesce(F.size("m"), F.lit(0)) == 16)
     summary = c.groupBy("scene_id").agg(F.count_if(ready).alias("frames"), F.count_if(~ready).alias("skipped"))
     f = component_poses(c.filter(ready).withColumn("c2w", F.slice("m", 1, 12)), k)
     f = f.withColumn("c2w", to_camera_convention(_permuted(F.col("c2w"), (2, 0, 1))))
     return f.select("scene_id", "file_path", "camera_model", "w", "h", "fl_x", "fl_y", "cx", "cy", "k1", "k2", "k3", "k4", "p1", "p2", "c2w"), summary
 
 
-def rodrigues(v: list[Column]) -> list[list[Column]]:
-    """Rotation rows of an axis times its angle."""
-    angle = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    tiny = angle < 1e-12
-    a = [x / F.when(tiny, 1.0).otherwise(angle) for x in v]
-    c, s = F.cos(angle), F.sin(angle)
-    cross = [[F.lit(0.0), -a[2], a[1]], [a[2], F.lit(0.0), -a[0]], [-a[1], a[0], F.lit(0.0)]]
-    return [[(c if i == j else F.lit(0.0)) + (1 - c) * a[i] * a[j] + s * cross[i][j] for j in range(3)] for i in range(3)]
-
-
 def read_odm(spark: SparkSession, root: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frames of ``cameras.json`` with ``reconstruction.json``, or ``shots.geojson`` where a scene has none; and per scene what stands alone.
 
@@ -131,12 +155,14 @@ def read_odm(spark: SparkSession, root: str, images: DataFrame) -> tuple[DataFra
         geo = geo.select("scene_id", F.explode("features.properties").alias("s")).select("scene_id", F.col("s.filename").alias("name"), F.col("s.rotation").alias("r"), F.col("s.translation").alias("t"), F.lit(True).alias("camera"))
         parts.append(geo.join(parts[0].select("scene_id").distinct(), "scene_id", "left_anti") if parts else geo)
     shots = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    turn, at = rodrigues([F.get("r", F.lit(i)) for i in range(3)]), [F.get("t", F.lit(i)) for i in range(3)]
-    given = pose(turn, at)
     # Shots of a reconstruction are world to camera; those of the fallback have the camera's place, a world to camera turn, and axes as they are.
     shots = shots.withColumn("base_name", F.regexp_replace("name", r"\.[^.]*$", ""))
-    back = [list(x) for x in zip(*turn, strict=True)]
-    shots = shots.withColumn("c2w", F.when(F.col("camera"), pose(back, at)).otherwise(to_camera_convention(invert(given))))
+
+    def placed(r: np.ndarray, t: np.ndarray, camera: np.ndarray) -> np.ndarray:
+        turn = _turns(r)
+        return np.where(camera[:, None, None], np.concatenate([turn.transpose(0, 2, 1), t[:, :, None]], 2), _inverse(turn, t))
+
+    shots = _posed(shots, ("r", "t", "camera"), placed)
     both = shots.select("scene_id", "base_name", "c2w").join(images, ["scene_id", "base_name"], "full")
     summary = both.groupBy("scene_id").agg(F.count_if(F.col("c2w").isNotNull() & F.col("file_path").isNotNull()).alias("frames"), F.count_if(F.col("file_path").isNull()).alias("no_image"), F.count_if(F.col("c2w").isNull()).alias("no_shot"))
     return both.filter("c2w IS NOT NULL AND file_path IS NOT NULL").join(cams, "scene_id").drop("base_name"), summary
@@ -162,12 +188,12 @@ def read_arkit(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
     A trajectory line is a time, an axis times angle and a translation of world to camera.
     """
-    words = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.cast("double"))
+    words = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.try_cast("double"))
     t = spark.read.text(f"{root}/*/lowres_wide.traj", wholetext=True).withColumn("scene_id", _scene())
     t = t.select("scene_id", F.posexplode(F.split("value", "\n")).alias("line", "v")).filter("trim(v) <> ''").withColumn("f", words("v"))
-    v, at = [F.get("f", F.lit(i)) for i in (1, 2, 3)], [F.get("f", F.lit(i)) for i in (4, 5, 6)]
-    c2w = to_camera_convention(invert(pose(rodrigues(v), at)))
-    poses = t.select("scene_id", "line", F.round(F.get("f", F.lit(0)), 3).alias("ts"), _permuted(c2w, (1, 0, 2), (1, 1, -1)).alias("c2w"))
+    t = t.select("scene_id", "line", "f").withColumns({"r": F.slice("f", 2, 3), "t": F.slice("f", 5, 3)})
+    t = _posed(t, ("r", "t"), lambda r, at: _inverse(_turns(r), at)[:, [1, 0, 2]] * np.array([1, 1, -1])[:, None])
+    poses = t.select("scene_id", "line", F.round(F.get("f", F.lit(0)), 3).alias("ts"), "c2w")
     i = spark.read.text(f"{root}/*/*/*.pincam", wholetext=True).withColumn("scene_id", _scene(3)).withColumn("f", words("value"))
     name = F.regexp_extract("_metadata.file_path", r"([0-9.]+)\.pincam$", 1)
     i = i.select("scene_id", name.alias("frame_id"), name.cast("double").alias("ts"), *[F.get("f", F.lit(k)).alias(c) for k, c in enumerate(("w", "h", "fx", "fy", "cx", "cy"))])
@@ -218,11 +244,14 @@ def read_dynamic(spark: SparkSession, root: str, bound: float = 1.0, factor: int
     c = _json(spark, f"{root}/*/camera/*.json", f"orientation {ROW}, position array<double>, focal_length double, pixel_aspect_ratio double, principal_point array<double>, image_size array<double>")
     c = c.withColumns({"scene_id": _scene(3), "frame": F.regexp_extract("_metadata.file_path", r"([^/]*)\.json$", 1)})
     f = s.join(c, ["scene_id", "frame"]).join(scene, "scene_id").join(meta, "scene_id", "left")
-    turn = [[F.col("orientation")[j][i] for j in range(3)] for i in range(3)]
-    at = [(F.col("position")[i] - F.col("center")[i]) * F.col("s") for i in range(3)]
-    c2w = _permuted(_permuted(to_camera_convention(pose(turn, at)), (1, 0, 2), (1, 1, -1)), (1, 2, 0))
+
+    def placed(orientation: np.ndarray, position: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        p = np.concatenate([orientation.transpose(0, 2, 1) * [1, -1, -1], ((position - center) * scale[:, None])[:, :, None]], 2)
+        return (p[:, [1, 0, 2]] * np.array([1, 1, -1])[:, None])[:, [1, 2, 0]]
+
+    f = _posed(f, ("orientation", "position", "center", "s"), placed)
     d = float(factor)
-    frames = f.select("scene_id", "pos", F.format_string(f"rgb/{factor}x/%s.png", "frame").alias("file_path"), (F.col("focal_length") / d).alias("fx"), (F.col("focal_length") * F.col("pixel_aspect_ratio") / d).alias("fy"), (F.col("principal_point")[0] / d).alias("cx"), (F.col("principal_point")[1] / d).alias("cy"), F.floor(F.col("image_size")[0] / d).alias("w"), F.floor(F.col("image_size")[1] / d).alias("h"), (F.col("time_id") / F.col("last_time")).alias("time"), c2w.alias("c2w"))
+    frames = f.select("scene_id", "pos", F.format_string(f"rgb/{factor}x/%s.png", "frame").alias("file_path"), (F.col("focal_length") / d).alias("fx"), (F.col("focal_length") * F.col("pixel_aspect_ratio") / d).alias("fy"), (F.col("principal_point")[0] / d).alias("cx"), (F.col("principal_point")[1] / d).alias("cy"), F.floor(F.col("image_size")[0] / d).alias("w"), F.floor(F.col("image_size")[1] / d).alias("h"), (F.col("time_id") / F.col("last_time")).alias("time"), "c2w")
     return frames, scene.withColumnRenamed("s", "scale")
 
 
@@ -260,7 +289,7 @@ def read_pose_dirs(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("po
     pose has an infinite entry go.
     """
     t = spark.read.text(f"{root}/*/*/*.txt", wholetext=True)
-    t = t.select(_scene(3).alias("scene_id"), _scene(2).alias("kind"), F.col("_metadata.file_path").alias("path"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("m"))
+    t = t.select(_scene(3).alias("scene_id"), _scene(2).alias("kind"), F.col("_metadata.file_path").alias("path"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double")).alias("m"))
     by = Window.partitionBy("scene_id", "kind").orderBy("path")
     t = t.filter(F.col("kind").isin(*kinds)).withColumn("position", F.row_number().over(by) - 1)
     wide = t.groupBy("scene_id", "position").agg(*[F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(k) for k in kinds])

@@ -65,7 +65,7 @@ def test_transforms(spark, tmp_path):
     assert [r["file_path"] for r in split.filter("split = 'eval'").collect()] == ["images/f08.png"]
     files.write_transforms(got.withColumn("camera_id", F.when(F.col("scene_id") == "one", 1).otherwise(F.col("pos"))), f"{tmp_path}/out")
     one, two = (json.loads((tmp_path / "out" / s / "transforms.json").read_text()) for s in ("one", "two"))
-    assert (one["fl_x"], "fl_x" in one["frames"][0], "fl_x" in two, two["frames"][0]["fl_x"], two["frames"][2]["camera_model"]) == (512.0, False, False, 512.0, "OPENCV_FISHEYE")
+    assert (one["fl_x"], "fl_x" in one["frames"][0], "fl_x" in two, two["frames"][0]["fl_x"], two["camera_model"]) == (512.0, False, False, 512.0, "OPENCV_FISHEYE")
     back = files.read_transforms(spark, f"{tmp_path}/out/*/transforms.json")
     assert sorted(map(str, back.collect())) == sorted(map(str, got.select(back.columns).collect()))
 
@@ -139,7 +139,7 @@ def test_scenes_that_share_ids(spark):
     seen = obs.filter("point3d_id <> -1")
     depth = {(r["scene_id"], r["image_id"], r["px"]): r["depth"] for r in points.sfm_depth(seen, pts, images).collect()}
     assert depth["s", 1, 1] == 4000 and depth["t", 1, 1] == 6000 and len(depth) == 8  # z of the point plus that of the camera
-    assert points.usable_observations(seen, pts, images).count() == 8
+    assert points.usable_observations(seen, pts, images).count() == 4  # image 2 has them behind it
     assert {tuple(r) for r in points.point_tracks(seen, 3).select("scene_id", "point3d_id", "n", "image_ids").collect() for r in [(r[0], r[1], r[2], tuple(r[3]))]} == {(s, p, 2, (1, 2, -1)) for s in "st" for p in (7, 9)}
     assert points.point_frequency(seen.withColumn("f2d", F.lit(1.0)), pts, images).count() == 4
     assert points.point_stats(seen, pts).filter("track = 2").count() == 4
@@ -170,7 +170,7 @@ def test_undistort(spark):
 
 def test_rays_of_all_cameras(spark):
     """A camera at the origin: centre rays look along -z, panoramas up at the top row, orthophotos from a grid."""
-    eye = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]
+    eye = [float(x) for x in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)]
     cams = spark.createDataFrame([(0, k, t, 10.0, 10.0, 400.0, 400.0, eye) for k, t in enumerate(("perspective", "fisheye", "orthophoto"))] + [(0, 3, "equirectangular", 400.0, 400.0, 400.0, 200.0, eye)], "scene_id long, image_id long, camera_type string, fx double, fy double, cx double, cy double, c2w array<double>")
     px = spark.createDataFrame([(0, k, y, x) for k in range(3) for y, x in ((399.5, 399.5), (399.5, 409.5))] + [(0, 3, 199.5, 399.5), (0, 3, -0.5, 399.5), (0, 3, 199.5, 599.5)], "scene_id long, image_id long, y double, x double")
     got = {(r["image_id"], r["y"], r["x"]): [round(r[f"o{c}"], 9) + 0.0 for c in "xyz"] + [round(r[f"d{c}"], 6) + 0.0 for c in "xyz"] for r in cameras.camera_rays(px, cams).collect()}
@@ -319,10 +319,10 @@ def test_equirect_views(spark):
     ims = spark.createDataFrame([(0, 0, 80, 40)], "scene_id long, image_id long, width long, height long")
     plan = cameras.equirect_plan(ims, 8)
     assert [(r["yaw"], r["pitch"]) for r in plan.orderBy("view").collect()] == [(-180.0, 0.0), (-90.0, 0.0), (0.0, 0.0), (90.0, 0.0), (-180.0, 45.0), (0.0, 45.0), (-180.0, -45.0), (0.0, -45.0)]
-    assert [(r["yaw"], r["pitch"]) for r in cameras.equirect_plan(ims, 8, (0.1, 0.0, 0.0, 0.0)).orderBy("view").collect()][::2][:4] == [(-180.0, -10.5), (0.0, -10.5), (-180.0, 12.0), (-180.0, -50.25)]
+    assert [(r["yaw"], r["pitch"]) for r in cameras.equirect_plan(ims, 8, (0.1, 0.0, 0.0, 0.0)).orderBy("view").collect()][::2][:4] == [(-180.0, -16.5), (0.0, -16.5), (-180.0, 12.0), (-180.0, -53.25)]
     got = cameras.equirect_project(pano, plan).toPandas()
     middle = got[(got["view"] == 2) & (got["y"] == 10) & (got["x"] == 10)]["value"].iloc[0]
-    assert len(got) == 8 * 400 and abs(middle - 40) <= 2 and got[(got["view"] == 2) & (got["y"] == 10)]["value"].is_monotonic_increasing
+    assert len(got) == 8 * 400 and abs(middle - 40) <= 2 and got[(got["view"] == 2) & (got["y"] == 10)].sort_values("x")["value"].is_monotonic_increasing
 
 
 def test_boxes_in_images(spark):
