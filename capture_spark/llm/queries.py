@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capture_spark.llm import licenses, mixing, neardup, neighbours, pages, pieces, quality, scoring, sharding, substrings
+from capture_spark.llm import alignment, infill, langid, licenses, mixing, neardup, neighbours, pages, pieces, quality, scoring, sharding, substrings
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_sharding": sharding.query,
     "op10_sentencepiece": pieces.query,
+    "op11_language_id": langid.query,
+    "op12_fill_in_middle": infill.query,
+    "op13_token_alignment": alignment.query,
     "pipeline": pipeline,
 }
 ORACLES = {
@@ -34,4 +37,5 @@ ORACLES = {
     "op6_source_mixing": mixing.ORACLE,
     "op7_license_scan": licenses.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
 }
