@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capture_spark.sources.files import write_files
+from capture_spark.sources.models import read_colmap_bin
 
 NUMBERS = ("fl_x", "fl_y", "cx", "cy", "w", "h", "k1", "k2", "k3", "k4", "p1", "p2")
 _FIELDS = [T.StructField(c, T.DoubleType()) for c in NUMBERS]
@@ -108,82 +109,6 @@ def read_colmap_text(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return cameras, images.drop("rest"), points, observations
 
 
-#: The camera models of the binary format by number, with their number of parameters.
-BINARY_MODELS = ("SIMPLE_PINHOLE", 3), ("PINHOLE", 4), ("SIMPLE_RADIAL", 4), ("RADIAL", 5), ("OPENCV", 8), ("OPENCV_FISHEYE", 8), ("FULL_OPENCV", 12), ("FOV", 5), ("SIMPLE_RADIAL_FISHEYE", 4), ("RADIAL_FISHEYE", 5), ("THIN_PRISM_FISHEYE", 12)
-
-
-def _files(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What ``parse`` makes of each file's scene (its folder) and content; one task a file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                yield from parse(name.split("/")[-2], data)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
-
-
-def read_colmap_points_bin(spark: SparkSession, path: str) -> DataFrame:
-    """Points of binary models: little-endian records with tracks of any length; one task per file.
-
-    A pass finds where records start; fields of all records are then taken at once.
-    """
-    head = np.dtype([("point3d_id", "<u8"), ("xyz", "<f8", 3), ("rgb", "u1", 3), ("error", "<f8"), ("track", "<u8")])
-
-    def parse(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
-        n, at = struct.unpack_from("<Q", data)[0], 8
-        starts, size = np.empty(n, np.int64), struct.Struct("<Q").unpack_from
-        for k in range(n):
-            starts[k] = at
-            at += head.itemsize + 8 * size(data, at + head.itemsize - 8)[0]
-        raw = np.frombuffer(data, np.uint8)
-        for s in range(0, n, 100_000):
-            r = raw[starts[s : s + 100_000, None] + np.arange(head.itemsize)].copy().view(head)[:, 0]
-            yield pd.DataFrame({"scene_id": scene, "point3d_id": r["point3d_id"].astype(np.int64), **{c: r["xyz"][:, i] for i, c in enumerate("xyz")}, **{c: r["rgb"][:, i].astype(np.int32) for i, c in enumerate("rgb")}, "error": r["error"], "track_length": r["track"].astype(np.int64)})
-
-    return _files(spark, path, parse, "scene_id string, point3d_id long, x double, y double, z double, r int, g int, b int, error double, track_length long")
-
-
-def read_colmap_bin(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """cameras, images, points3d and observations of binary models under ``root``/*/."""
-
-    def cameras(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
-        at, out = 8, []
-        for _ in range(struct.unpack_from("<Q", data)[0]):
-            i, model, w, h = struct.unpack_from("<iiQQ", data, at)
-            name, n = BINARY_MODELS[model]
-            out.append((scene, i, name, w, h, list(struct.unpack_from(f"<{n}d", data, at + 24))))
-            at += 24 + 8 * n
-        yield pd.DataFrame(out, columns=["scene_id", "camera_id", "model", "width", "height", "params"])
-
-    def records(data: bytes) -> Iterator[tuple[tuple, str, int, int]]:
-        at = 8
-        for _ in range(struct.unpack_from("<Q", data)[0]):
-            head = struct.unpack_from("<I7dI", data, at)
-            end = data.index(b"\0", at + 64)
-            n = struct.unpack_from("<Q", data, end + 1)[0]
-            yield head, data[at + 64 : end].decode(), end + 9, n
-            at = end + 9 + 24 * n
-
-    def images(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
-        out = [(scene, h[0], list(h[1:5]), list(h[5:8]), h[8], name) for h, name, _, _ in records(data)]
-        yield pd.DataFrame(out, columns=["scene_id", "image_id", "qvec", "tvec", "camera_id", "name"])
-
-    def observations(scene: str, data: bytes) -> Iterator[pd.DataFrame]:
-        kind = np.dtype([("u", "<f8"), ("v", "<f8"), ("point3d_id", "<i8")])
-        for h, _, at, n in records(data):
-            r = np.frombuffer(data, kind, n, at)
-            yield pd.DataFrame({"scene_id": scene, "image_id": h[0], "point2d_idx": np.arange(n), **{c: r[c] for c in kind.names}})
-
-    at = f"{root}/*/"
-    return (
-        _files(spark, at + "cameras.bin", cameras, "scene_id string, camera_id long, model string, width long, height long, params array<double>"),
-        _files(spark, at + "images.bin", images, "scene_id string, image_id long, qvec array<double>, tvec array<double>, camera_id long, name string"),
-        read_colmap_points_bin(spark, at + "points3D.bin"),
-        _files(spark, at + "images.bin", observations, "scene_id string, image_id long, point2d_idx long, u double, v double, point3d_id long"),
-    )
-
-
 def read_colmap(spark: SparkSession, root: str) -> tuple[tuple[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]:
     """The four tables of each scene's text model, or its binary one where it has no text; and the scenes with neither whole."""
     at = F.col("path")

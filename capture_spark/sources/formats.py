@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from capture_spark.operators.joins import component_poses
 from capture_spark.operators.scenes import invert, matmul, pose, pose_of, quaternion_rotation, to_camera_convention
-from capture_spark.sources.captures import _scene, read_colmap_bin
+from capture_spark.sources.captures import _scene
+from capture_spark.sources.models import read_colmap_bin
 
 ROW = "array<array<double>>"
 
