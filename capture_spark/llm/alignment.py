@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,9 @@ from capture_spark.llm.tables import fresh, settled, stored
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 4 << 20
+SLICE = 3 << 19
 LONG = 4096  # bytes of a stretch from which the regular expression of the fast encoder is not used
+CACHED = 1 << 17  # stretches that a worker knows before it forgets them
 HEAVY = 1 << 20  # id pairs whose counts are broadcast, 17 bytes each; the others are joined
 KEPT = 1 << 22  # distinct pairs that a task holds before it gives them on
 # The split of the byte-level vocabulary.
@@ -129,6 +131,7 @@ class Aligner:
         ends = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
         self.signs = pa.array([f"{i}{c}" for n, c in ends for i in range(n)], pa.large_string())
         self.n_a, self.n_b = n_a, n_b
+        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
 
     def same_bytes(self, ids: np.ndarray, counts: np.ndarray, k: int, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which stretches the tokens give back."""
@@ -143,6 +146,17 @@ class Aligner:
         same[np.searchsorted(to, theirs[wrong], "right")] = False
         return same
 
+    def learn(self, spelled: list[str]) -> None:
+        """Put the ids of stretches on both sides into ``known``, and whether both give it back."""
+        data = [w.encode() for w in spelled]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        sides, same = (self.a.encode(spelled, sizes), self.b.encode(spelled)), np.ones(len(data), bool)
+        for k, got in enumerate(sides):
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            same &= self.same_bytes(np.fromiter(chain.from_iterable(got), np.int64, counts.sum()), counts, k, flat, sizes)
+        self.known.update(zip(spelled, zip(*sides, same.tolist(), strict=True), strict=True))
+
     def encode(self, texts: pa.Array) -> tuple[Side, Side, np.ndarray]:
         """Both sides' tokens of the texts that both give back, and which these are."""
         kept = np.asarray(pc.fill_null(pc.not_equal(texts, ""), False))
@@ -153,16 +167,16 @@ class Aligner:
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(raw))), pa.py_buffer(raw)])
         found = pieces.dictionary_encode()
         which, words = found.indices.to_numpy(), found.dictionary
-        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.frombuffer(words.buffers()[2], np.uint8)[: sizes.sum()]
         spelled = words.cast(pa.large_string()).to_pylist()
+        self.learn([w for w in spelled if w not in self.known])
         text_of = np.searchsorted(at, cuts, "right") - 1
-        same, sides = np.ones(len(words), bool), []
-        for k, got in enumerate((self.a.encode(spelled, sizes), self.b.encode(spelled))):
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for ids in got for i in ids), np.int64, counts.sum())
-            same &= self.same_bytes(ids, counts, k, flat, sizes)
-            sides.append((ids, counts))
+        met = [self.known[w] for w in spelled]
+        same, sides = np.fromiter((m[2] for m in met), bool, len(met)), []
+        for k in range(2):
+            counts = np.fromiter((len(m[k]) for m in met), np.int64, len(met))
+            sides.append((np.fromiter(chain.from_iterable(m[k] for m in met), np.int64, counts.sum()), counts))
+        if len(self.known) > CACHED or max(map(len, spelled), default=0) > LONG:
+            self.known = {}
         np.logical_and.at(kept, text_of, same[which])
         out = []
         use = kept[text_of]
@@ -187,11 +201,11 @@ class Aligner:
         size = self.n_a * self.n_b
         pairs = np.sort(links * size + pairs) - np.repeat(np.arange(n) * size, n_links)
         # Ends of both sides close groups; a group's A tokens come first, then its B tokens.
-        common = np.intersect1d(a.end, b.end, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, a.end), np.searchsorted(common, b.end)
-        ends_a, ends_b = np.searchsorted(group_a, np.arange(len(common)), "right"), np.searchsorted(group_b, np.arange(len(common)), "right")
-        closes_a, closes_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
-        closes_a[ends_a - 1] = closes_b[ends_b - 1] = True
+        other = np.minimum(np.searchsorted(b.end, a.end), max(len(b.end) - 1, 0))
+        closes_a, closes_b = b.end[other] == a.end, np.zeros(len(b.ids), bool)
+        closes_b[other[closes_a]] = True
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        ends_a, ends_b = np.flatnonzero(closes_a) + 1, np.flatnonzero(closes_b) + 1
         order = np.empty(len(a.ids) + len(b.ids), np.int64)
         order[np.arange(len(a.ids)) + np.append(0, ends_b)[group_a]] = a.ids + self.n_a * closes_a
         order[np.arange(len(b.ids)) + ends_a[group_b]] = b.ids + 2 * self.n_a + self.n_b * closes_b
@@ -226,7 +240,7 @@ def aligned(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, tex
     bytes overlap; ``links`` has one number for each, A id * size of B + B id, in
     order of these.  Special tokens' strings in a text are plain text.
 
-    One pass without a shuffle, by slices of 4 MB; a longer text stands alone and
+    One pass without a shuffle, by slices of 1.5 MB; a longer text stands alone and
     costs by its length.  A text that is null or empty, or that one of the
     tokenizers doesn't give back byte by byte, has no tokens.  Repeated rows are
     aligned each, an empty table gives no rows, extra columns ride along, and

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
@@ -26,6 +26,7 @@ SAMPLE = 8 << 20  # bytes of training text of a language, as expected
 CELLS = 1 << 22  # costs in the model, for strings of five bytes times languages
 LANGUAGES = 64
 UNIT = 1 << 16  # parts of a bit
+TIMES = 4096  # counts that are told apart where the commonest strings are chosen
 SLICE = 1 << 20
 UNDECIDED = "und"
 MADE = ("held_out", "lang_pred", "score", "bits")
@@ -213,10 +214,15 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
     def common() -> DataFrame:
         counted = stored(picked.mapInArrow(count, "code int, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")), "strings")
-        kinds = counted.groupBy("code", "n").count()
-        above = F.sum("count").over(Window.partitionBy("code").orderBy(F.desc("n")))
-        least = kinds.withColumn("above", above).filter(F.col("above") <= most).groupBy("code").agg(F.min("n").alias("least"))
-        return counted.join(F.broadcast(least), "code").filter("n >= least").drop("least")  # a row for each language
+        counts = counted.groupBy("code", F.least("n", F.lit(TIMES)).alias("n")).count().collect()  # at most TIMES rows a language
+        enough = F.lit(False)
+        for k in range(len(names)):
+            fits, least = 0, TIMES + 1
+            for r in sorted((r for r in counts if r["code"] == k), key=lambda r: -r["n"]):
+                fits += r["count"]
+                least = r["n"] if fits <= most or least > TIMES else least
+            enough = enough | ((F.col("code") == k) & (F.col("n") >= least))
+        return counted.filter(enough)
 
     kept = settled(docs.sparkSession, "strings", common)
     table = kept.toArrow().sort_by([("code", "ascending"), ("gram", "ascending")])
