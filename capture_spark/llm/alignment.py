@@ -9,8 +9,8 @@ of a batch are then met by ``merge_asof``, keyed by document.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,9 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 3 << 19
 LONG = 4096  # bytes of a stretch from which the regular expression of the fast encoder is not used
-CACHED = 1 << 17  # stretches that a worker knows before it forgets them
+CACHED = 1 << 16  # stretches that a worker knows before it forgets them
 HEAVY = 1 << 20  # id pairs whose counts are broadcast, 17 bytes each; the others are joined
+TOGETHER = 256  # rows whose links are taken at once
 KEPT = 1 << 22  # distinct pairs that a task holds before it gives them on
 # The split of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,7 +132,7 @@ class Aligner:
         ends = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
         self.signs = pa.array([f"{i}{c}" for n, c in ends for i in range(n)], pa.large_string())
         self.n_a, self.n_b = n_a, n_b
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def same_bytes(self, ids: np.ndarray, counts: np.ndarray, k: int, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which stretches the tokens give back."""
@@ -151,11 +152,12 @@ class Aligner:
         data = [w.encode() for w in spelled]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         flat = np.frombuffer(b"".join(data), np.uint8)
-        sides, same = (self.a.encode(spelled, sizes), self.b.encode(spelled)), np.ones(len(data), bool)
-        for k, got in enumerate(sides):
+        same, packed = np.ones(len(data), bool), []
+        for k, got in enumerate((self.a.encode(spelled, sizes), self.b.encode(spelled))):
             counts = np.fromiter(map(len, got), np.int64, len(got))
-            same &= self.same_bytes(np.fromiter(chain.from_iterable(got), np.int64, counts.sum()), counts, k, flat, sizes)
-        self.known.update(zip(spelled, zip(*sides, same.tolist(), strict=True), strict=True))
+            packed.append([array("i", ids).tobytes() for ids in got])
+            same &= self.same_bytes(np.frombuffer(b"".join(packed[k]), np.int32).astype(np.int64), counts, k, flat, sizes)
+        self.known.update(zip(spelled, zip(*packed, same.tolist(), strict=True), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[Side, Side, np.ndarray]:
         """Both sides' tokens of the texts that both give back, and which these are."""
@@ -173,8 +175,8 @@ class Aligner:
         met = [self.known[w] for w in spelled]
         same, sides = np.fromiter((m[2] for m in met), bool, len(met)), []
         for k in range(2):
-            counts = np.fromiter((len(m[k]) for m in met), np.int64, len(met))
-            sides.append((np.fromiter(chain.from_iterable(m[k] for m in met), np.int64, counts.sum()), counts))
+            counts = np.fromiter((len(m[k]) for m in met), np.int64, len(met)) >> 2
+            sides.append((np.frombuffer(b"".join([m[k] for m in met]), np.int32).astype(np.int64), counts))
         if len(self.known) > CACHED or max(map(len, spelled), default=0) > LONG:
             self.known = {}
         np.logical_and.at(kept, text_of, same[which])
@@ -259,6 +261,7 @@ def aligned(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, tex
         aligner = of_worker(a, b)
         for batch in tx.slices(batches, text, SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, *aligner.align(batch.column(at))], names=schema.fieldNames())
+        aligner.known = {}  # the worker goes on to other stages
 
     return source.mapInArrow(run, schema)
 
@@ -268,6 +271,13 @@ def _links(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
 
 
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, some ``TOGETHER`` of them at once, as rows have many links."""
+    for b in batches:
+        for start in range(0, b.num_rows, TOGETHER):
+            yield b.slice(start, TOGETHER)
+
+
 def pair_counts(rows: DataFrame, size_b: int) -> DataFrame:
     """(link, n_docs, best): in how many rows each id pair is linked, and whether no pair of its A id is in more.
 
@@ -282,7 +292,7 @@ def pair_counts(rows: DataFrame, size_b: int) -> DataFrame:
             sums = np.bincount(of, np.concatenate(counts), len(keys)).astype(np.int64)
             links[:], counts[:] = [keys], [sums]
 
-        for b in batches:
+        for b in parted(batches):
             link, row = _links(b.column(0))
             new = np.ones(len(link), bool)
             new[1:] = (link[1:] != link[:-1]) | (row[1:] != row[:-1])  # a row's links are in order
@@ -336,7 +346,7 @@ def pair_sums(rows: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, h
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, n_docs, best = known.value
-            for batch in batches:
+            for batch in parted(batches):
                 _, row, at, hit = looked_up(batch)
                 made = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
                 np.add.at(made[0], row[hit], best[at[hit]])
@@ -344,7 +354,7 @@ def pair_sums(rows: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, h
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in columns], *map(pa.array, made)], names=schema.fieldNames())
 
         def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parted(batches):
                 link, row, _, hit = looked_up(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[~hit])), pa.array(link[~hit])], names=["row", "link"])
 
