@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_spark.operators.scenes import compose, dot, pose, pose_of
@@ -88,29 +90,118 @@ def moving_boxes(boxes: DataFrame, annotations: DataFrame, threshold: float) ->
     return boxes.join(dynamic_instances(annotations, threshold).filter("dynamic"), "instance_id", "left_semi")
 
 
-def project_boxes(boxes: DataFrame, images: DataFrame, margin: float = 0.0) -> DataFrame:
-    """(scene_id, image_id, box_id, x0, y0, x1, y1): the rectangle of each box's eight corners in each image of its scene and time.
+NEAR = 0.01  # depth of the plane that boxes are cut at
+#: Pairs of corners that an edge joins: their numbers differ in one of three bits.
+EDGES = [(i, i | 1 << k) for i in range(8) for k in range(3) if not i >> k & 1]
+
+
+def box_outlines(boxes: DataFrame, images: DataFrame, whole: bool = False) -> DataFrame:
+    """(scene_id, image_id, box_id, width, height, segments): each box in each image of its scene and time.
 
     ``boxes`` has (scene_id, sample_id, box_id), centre bx, by, bz, size sx, sy,
     sz and a yaw; ``images`` have sample_id, c2w (looking along -z) and
-    intrinsics.  Boxes with a corner behind the camera or outside the image altogether go.
+    intrinsics.  What lies nearer than ``NEAR`` is cut off before it is
+    projected, so no corner divides by 0; a box wholly behind that plane has no row.
+    ``segments`` are (u0, v0, u1, v1): the edges in sight, and all pairs of places where
+    edges are cut.  The hull of them is the box's outline.  With ``whole``, ends
+    are whole pixels.
     """
-    corner = F.explode(F.array(*[F.array(*[F.lit(s) for s in (a, b, c)]) for a in (-0.5, 0.5) for b in (-0.5, 0.5) for c in (-0.5, 0.5)]))
-    b = boxes.withColumn("k", corner)
-    dx, dy, dz = (F.col("k")[i] * F.col(f"s{c}") for i, c in enumerate("xyz"))
-    cy, sy = F.cos("yaw"), F.sin("yaw")
-    b = b.select("scene_id", "sample_id", "box_id", (F.col("bx") + cy * dx - sy * dy).alias("wx"), (F.col("by") + sy * dx + cy * dy).alias("wy"), (F.col("bz") + dz).alias("wz"))
-    b = b.join(images, ["scene_id", "sample_id"])
+    b = boxes.join(images, ["scene_id", "sample_id"])
     r, t = pose_of(F.col("c2w"))
-    d = [F.col(f"w{c}") - x for c, x in zip("xyz", t, strict=True)]
-    cam = [dot([r[i][k] for i in range(3)], d) for k in range(3)]
-    b = b.withColumns({"depth": -cam[2], "u": F.col("fx") * cam[0] / -cam[2] + F.col("cx"), "v": -F.col("fy") * cam[1] / -cam[2] + F.col("cy")})
-    out = b.groupBy("scene_id", "image_id", "box_id", "width", "height").agg(F.min("depth").alias("near"), *[f(c).alias(n) for f, c, n in ((F.min, "u", "x0"), (F.min, "v", "y0"), (F.max, "u", "x1"), (F.max, "v", "y1"))])
-    out = out.filter("near > 0 AND x1 > 0 AND y1 > 0 AND x0 < width AND y0 < height")
+    turn = [[r[i][k] * s for i in range(3)] for k, s in ((0, 1), (1, 1), (2, -1))]  # rows: right, up, ahead
+    cos, sin = F.cos("yaw"), F.sin("yaw")
+    axes = ([cos, sin, F.lit(0.0)], [-sin, cos, F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    middle = [dot(row, [F.col(f"b{c}") - x for c, x in zip("xyz", t, strict=True)]) for row in turn]
+    halves = [[dot(row, [x * F.col(f"s{c}") / 2 for x in axis]) for row in turn] for c, axis in zip("xyz", axes, strict=True)]
+    vectors = F.array(*[x for v in (middle, *halves) for x in v])
+
+    def corner(v: Column, i: int) -> Column:
+        """Middle plus or minus half of each axis, by the bits of the corner's number."""
+        return F.struct(*[sum((v[3 * j + 3 + k] * (1 if i >> j & 1 else -1) for j in range(3)), v[k]).alias(n) for k, n in enumerate(("x", "y", "d"))])
+
+    def place(p: Column) -> Column:
+        u, v = F.col("fx") * p["x"] / p["d"] + F.col("cx"), F.col("cy") - F.col("fy") * p["y"] / p["d"]
+        return F.struct((F.rint(u) if whole else u).alias("u"), (F.rint(v) if whole else v).alias("v"))
+
+    def cut(p: Column, q: Column) -> Column:
+        """Where the way from p in sight to q out of it meets the plane."""
+        k = (p["d"] - NEAR) / F.when(p["d"] > q["d"], p["d"] - q["d"]).otherwise(1.0)
+        return F.struct(*[(p[n] + (q[n] - p[n]) * k).alias(n) for n in "xy"], F.lit(NEAR).alias("d"))
+
+    seen = lambda p: p["d"] > NEAR
+    both = lambda e: seen(e["p"]) & seen(e["q"])
+    edges = lambda c: F.filter(F.array(*[F.struct(c[i].alias("p"), c[j].alias("q")) for i, j in EDGES]), lambda e: seen(e["p"]) | seen(e["q"]))
+    ends = lambda e: F.struct(F.when(seen(e["p"]), e["p"]).otherwise(cut(e["q"], e["p"])).alias("p"), F.when(seen(e["q"]), e["q"]).otherwise(cut(e["p"], e["q"])).alias("q"), both(e).alias("whole"))
+    placed = lambda e: F.struct(place(e["p"]).alias("p"), place(e["q"]).alias("q"), e["whole"].alias("whole"), seen(e["p"]).alias("front"))
+    found = _let(vectors, lambda v: _let(F.array(*[corner(v, i) for i in range(8)]), lambda c: F.transform(F.transform(edges(c), ends), placed)))
+
+    def segments(e: Column) -> Column:
+        cuts = F.transform(F.filter(e, lambda x: ~x["whole"]), lambda x: F.when(x["front"], x["q"]).otherwise(x["p"]))
+        pairs = _let(cuts, lambda k: F.flatten(F.transform(k, lambda p: F.transform(k, lambda q: _segment(p, q)))))
+        return F.concat(F.transform(e, lambda x: _segment(x["p"], x["q"])), pairs)
+
+    out = b.select("scene_id", "image_id", "box_id", "width", "height", _let(found, segments).alias("segments"))
+    return out.filter(F.size("segments") > 0)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _segment(p: Column, q: Column) -> Column:
+    return F.struct(p["u"].alias("u0"), p["v"].alias("v0"), q["u"].alias("u1"), q["v"].alias("v1"))
+
+
+def project_boxes(boxes: DataFrame, images: DataFrame, margin: float = 0.0) -> DataFrame:
+    """(scene_id, image_id, box_id, x0, y0, x1, y1): the rectangle of each box in each image of its scene and time.
+
+    Of a box that reaches behind the camera, the part in sight counts (see
+    ``box_outlines``); boxes outside the image altogether go.
+    """
+    end = lambda f, a, b, n: f(F.transform("segments", lambda s: (F.least if f is F.array_min else F.greatest)(s[a], s[b]))).alias(n)
+    out = box_outlines(boxes, images).select("scene_id", "image_id", "box_id", "width", "height", end(F.array_min, "u0", "u1", "x0"), end(F.array_min, "v0", "v1", "y0"), end(F.array_max, "u0", "u1", "x1"), end(F.array_max, "v0", "v1", "y1"))
+    out = out.filter("x1 > 0 AND y1 > 0 AND x0 < width AND y0 < height")
     clip = lambda x, side: F.greatest(F.least(x, F.col(side).cast("double")), F.lit(0.0))
     return out.select("scene_id", "image_id", "box_id", clip(F.col("x0") - margin, "width").alias("x0"), clip(F.col("y0") - margin, "height").alias("y0"), clip(F.col("x1") + margin, "width").alias("x1"), clip(F.col("y1") + margin, "height").alias("y1"))
 
 
+def box_spans(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """(scene_id, image_id, box_id, y, x0, x1): the pixels of each box's hull, a row of an image at a time, ends included.
+
+    Corners are whole pixels; a pixel counts if its place lies in the hull of the box
+    in sight or on it.  Along a row the hull reaches from the first to the last
+    place where a segment of the outline meets it.  Images with ``ego_rows`` have
+    that many rows at their bottom as a span of no box, where the own car is seen.
+    """
+    out = box_outlines(boxes, images, whole=True)
+    ends = [F.transform("segments", lambda s: F.least(s["v0"], s["v1"])), F.transform("segments", lambda s: F.greatest(s["v0"], s["v1"]))]
+    first, last = F.greatest(F.array_min(ends[0]), F.lit(0.0)).cast("long"), F.least(F.array_max(ends[1]), F.col("height") - 1.0).cast("long")
+
+    def row(y: Column) -> Column:
+        met = F.filter("segments", lambda s: (F.least(s["v0"], s["v1"]) <= y) & (F.greatest(s["v0"], s["v1"]) >= y))
+        at = F.transform(met, lambda s: F.when(s["v0"] == s["v1"], F.least(s["u0"], s["u1"])).otherwise(s["u0"] + (y - s["v0"]) * (s["u1"] - s["u0"]) / F.nullif(s["v1"] - s["v0"], F.lit(0.0))))
+        to = F.transform(met, lambda s: F.when(s["v0"] == s["v1"], F.greatest(s["u0"], s["u1"])).otherwise(s["u0"] + (y - s["v0"]) * (s["u1"] - s["u0"]) / F.nullif(s["v1"] - s["v0"], F.lit(0.0))))
+        return F.struct(y.alias("y"), F.array_min(at).alias("lo"), F.array_max(to).alias("hi"))
+
+    rows = F.when(first <= last, F.transform(F.sequence(first, last), row))
+    out = out.select("scene_id", "image_id", "box_id", "width", F.explode(rows).alias("s"))
+    x0, x1 = F.greatest(F.ceil(F.col("s.lo") - 1e-9), F.lit(0)), F.least(F.floor(F.col("s.hi") + 1e-9), F.col("width").cast("long") - 1)
+    spans = out.select("scene_id", "image_id", "box_id", "s.y", x0.cast("long").alias("x0"), x1.cast("long").alias("x1")).filter("x0 <= x1")
+    if "ego_rows" not in images.columns:
+        return spans
+    strip = images.filter("ego_rows > 0").select("scene_id", "image_id", F.lit(None).cast(dict(spans.dtypes)["box_id"]).alias("box_id"), F.explode(F.sequence(F.greatest(F.col("height") - F.col("ego_rows"), F.lit(0)).cast("long"), F.col("height").cast("long") - 1)).alias("y"), F.lit(0).cast("long").alias("x0"), (F.col("width").cast("long") - 1).alias("x1"))
+    return spans.unionByName(strip)
+
+
+def span_masks(pixels: DataFrame, spans: DataFrame) -> DataFrame:
+    """(scene_id, image_id, y, x, keep): false in any span of the image's row."""
+    p = pixels.select("scene_id", "image_id", "y", "x")
+    inside = p.join(spans, ["scene_id", "image_id", "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1")))
+    hit = inside.select("scene_id", "image_id", "y", "x").distinct().withColumn("hit", F.lit(True))
+    return p.join(hit, ["scene_id", "image_id", "y", "x"], "left").select("scene_id", "image_id", "y", "x", F.col("hit").isNull().alias("keep"))
+
+
 def box_masks(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
     """(scene_id, image_id, y, x, keep): false in any rectangle of the image."""
     inside = pixels.select("scene_id", "image_id", "y", "x").join(rectangles, ["scene_id", "image_id"]).filter((F.col("x") + 0.5).between(F.col("x0"), F.col("x1")) & (F.col("y") + 0.5).between(F.col("y0"), F.col("y1")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capture_spark.operators.scenes import pose_of
+from capture_spark.shared import Scratch, settled
 
 
 def image_metrics(pixels: DataFrame) -> DataFrame:
@@ -174,36 +175,62 @@ TERMS = ("r", "g", "b", "rr", "rg", "rb", "gg", "gb", "bb", "one")
 def color_correct(pixels: DataFrame, rounds: int = 5, eps: float = 0.5 / 255) -> DataFrame:
     """Colours (r, g, b) fitted to the reference (ref_r, ref_g, ref_b) by least squares over their squares, products and a bias.
 
-    Each round sums the normal equations per image over pixels unclipped on both
-    sides, solves one 10 x 10 system per image and channel, and clips to 0..1.
+    Each round sums the normal equations per image over pixels unclipped at first, now
+    and in the reference, solves one 10 x 10 system per image and channel, and clips
+    to 0..1.  What is kept from round to round is 10 x 3 numbers an image, written to the
+    shared folder; pixels are read as they were and taken through the rounds so far,
+    so a plan has one pass over them and a join with a row an image.
     """
     import numpy as np
     import pandas as pd
 
     def solve(batches):
         for b in batches:
-            out = {"scene_id": b["scene_id"], "image_id": b["image_id"]}
-            for c in "rgb":
-                m = np.array(b[f"m_{c}"].tolist(), float).reshape(-1, 10, 10)
-                t = np.array(b[f"t_{c}"].tolist(), float).reshape(-1, 10)
-                out[f"w_{c}"] = [list(np.linalg.lstsq(x, y, rcond=None)[0]) for x, y in zip(m, t, strict=True)]
-            yield pd.DataFrame(out)
+            fits = []
+            m = np.array(b["m"].tolist(), float).reshape(len(b), 3, -1)
+            t = np.array(b["t"].tolist(), float).reshape(len(b), 3, 10)
+            upper = np.triu_indices(10)
+            for own, right in zip(m, t, strict=True):
+                fit = []
+                for x, y in zip(own, right, strict=True):
+                    whole = np.zeros((10, 10))
+                    whole[upper] = x
+                    whole = whole + np.triu(whole, 1).T
+                    fit.append(np.linalg.lstsq(whole, y, rcond=None)[0].tolist())
+                fits.append([x for row in fit for x in row])
+            yield pd.DataFrame({"scene_id": b["scene_id"], "image_id": b["image_id"], "fit": fits})
 
-    kinds = dict(pixels.dtypes)
     keys = ["scene_id", "image_id"]
-    p = pixels
-    free = lambda c: (F.col(c) >= eps) & (F.col(c) <= 1 - eps)
-    term = {t: F.lit(1.0) if t == "one" else F.col(t[0]) * F.col(t[1]) if len(t) == 2 else F.col(t) for t in TERMS}
-    for _ in range(rounds):
-        sums = []
-        for c in "rgb":
-            ok = free(f"ref_{c}") & free(c)
-            sums.append(F.array(*[F.sum(F.when(ok, term[s] * term[t]).otherwise(0.0)) for s in TERMS for t in TERMS]).alias(f"m_{c}"))
-            sums.append(F.array(*[F.sum(F.when(ok, term[s] * F.col(f"ref_{c}")).otherwise(0.0)) for s in TERMS]).alias(f"t_{c}"))
-        fit = p.groupBy(*keys).agg(*sums).mapInPandas(solve, f"scene_id {kinds['scene_id']}, image_id {kinds['image_id']}, w_r array<double>, w_g array<double>, w_b array<double>")
-        new = {c: F.greatest(F.least(sum((F.col(f"w_{c}")[k] * term[t] for k, t in enumerate(TERMS)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) for c in "rgb"}
-        p = p.join(fit, keys).withColumns({f"_{c}": x for c, x in new.items()}).withColumns({c: F.col(f"_{c}") for c in "rgb"}).select(*pixels.columns)
-    return p
+    kinds = dict(pixels.dtypes)
+    free = lambda x: (x >= eps) & (x <= 1 - eps)
+
+    def terms(c: Column) -> list[Column]:
+        return [F.lit(1.0) if t == "one" else c[t[0]] * c[t[1]] if len(t) == 2 else c[t] for t in TERMS]
+
+    def step(c: Column, w: Column) -> Column:
+        put = [sum((w[10 * k + i] * x for i, x in enumerate(terms(c))), F.lit(0.0)) for k in range(3)]
+        return F.struct(*[F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)).alias(n) for n, x in zip("rgb", put, strict=True)])
+
+    def now(p: DataFrame, fits: DataFrame | None) -> DataFrame:
+        """Pixels with ``c``, the colour after the rounds so far."""
+        own = F.struct(*[F.col(n).cast("double").alias(n) for n in "rgb"])
+        return p.withColumn("c", own) if fits is None else p.join(fits, keys).withColumn("c", F.aggregate("fits", own, step)).drop("fits")
+
+    def make(scratch: Scratch) -> DataFrame:
+        fits = None
+        for _ in range(rounds):
+            p = now(pixels, fits)
+            x = terms(F.col("c"))
+            m, t = [], []
+            for n in "rgb":
+                ok = free(F.col(n)) & free(F.col("c")[n]) & free(F.col(f"ref_{n}"))
+                m += [F.sum(F.when(ok, x[i] * x[j]).otherwise(0.0)) for i in range(10) for j in range(i, 10)]
+                t += [F.sum(F.when(ok, x[i] * F.col(f"ref_{n}")).otherwise(0.0)) for i in range(10)]
+            fit = p.groupBy(*keys).agg(F.array(*m).alias("m"), F.array(*t).alias("t")).mapInPandas(solve, f"scene_id {kinds['scene_id']}, image_id {kinds['image_id']}, fit array<double>")
+            fits = scratch.written(fit.select(*keys, F.array("fit").alias("fits")) if fits is None else fits.join(fit, keys).select(*keys, F.concat("fits", F.array("fit")).alias("fits")))
+        return now(pixels, fits).withColumns({n: F.col("c")[n] for n in "rgb"}).select(*pixels.columns)
+
+    return settled(pixels.sparkSession, "corrected", make)
 
 
 def depth_ranking(pixels: DataFrame) -> DataFrame:

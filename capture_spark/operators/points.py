@@ -275,30 +275,75 @@ def grid_update(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(n, "voxel_id", "full").select("voxel_id", F.greatest("level", "new_level").alias("level"))
 
 
-def voxel_hits(voxels: DataFrame, views: DataFrame, depth: DataFrame, truncation: float) -> DataFrame:
+def frustum_cells(views: DataFrame, depth: DataFrame, cell: float, truncation: float, side: int = 8, behind: bool = True) -> DataFrame:
+    """(scene_id, image_id, ix, iy, iz): the cells of a grid that hold all places which a view's pixels see up to ``truncation`` past their depth.
+
+    Pixels go in squares of ``side``.  A ray through the middle of a square is
+    walked in steps of half a cell, as far as the square's largest depth; at each step
+    the cells within reach of the square's corners and of half a step count.  So the
+    work is that of the rays' length, whatever the number of voxels or views.  With
+    ``behind``, rays are walked as far to the other side, as a plain projection finds
+    places behind a camera in the pixel opposite.
+    """
+    square = [F.floor(F.col(p) / side) for p in ("px", "py")]
+    far = depth.filter("depth > 0").groupBy("scene_id", "image_id", square[0].alias("sx"), square[1].alias("sy")).agg(F.max("depth").alias("far"))
+    v = far.join(views, ["scene_id", "image_id"])
+    r, t = pose_of(F.col("c2w"))
+    ray = [((F.col("sx") + 0.5) * side - F.col("cx")) / F.col("fx"), -((F.col("sy") + 0.5) * side - F.col("cy")) / F.col("fy"), F.lit(-1.0)]
+    length = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + 1)
+    way = [(r[i][0] * ray[0] + r[i][1] * ray[1] - r[i][2]) / length for i in range(3)]
+    step = cell / 2
+    steps = F.ceil((F.col("far") + truncation) / step).cast("long")
+    wide = F.sqrt((side / 2 / F.col("fx")) ** 2 + (side / 2 / F.col("fy")) ** 2)
+    v = v.select("scene_id", "image_id", *[x.alias(f"o{c}") for c, x in zip(XYZ, t, strict=True)], *[x.alias(f"w{c}") for c, x in zip(XYZ, way, strict=True)], wide.alias("wide"), F.explode(F.sequence(-steps if behind else F.lit(0).cast("long"), steps)).alias("step"))
+    at = F.col("step") * step
+    reach = (F.abs(at) + step) * F.col("wide") + step / 2 + 1e-9
+    for c in XYZ:
+        place = F.col(f"o{c}") + F.col(f"w{c}") * at
+        v = v.withColumn(f"i{c}", F.explode(F.sequence(F.floor((place - reach) / cell), F.floor((place + reach) / cell))))
+    return v.select("scene_id", "image_id", *[f"i{c}" for c in XYZ]).distinct()
+
+
+def voxel_hits(voxels: DataFrame, views: DataFrame, depth: DataFrame, truncation: float, cell: float | None = None, side: int = 8, behind: bool = True) -> DataFrame:
     """(scene_id, voxel_id, view_order, tsdf): signed distances of voxel centres to the depth that each view of their scene has there.
 
-    Centres are projected into every view of the scene (a stated set of views,
-    not pairs within a group), looked up at the nearest pixel, 0 outside; views
-    look along -z.
+    A view meets the voxels of the cells that its depth rays go through (see
+    ``frustum_cells``; ``cell`` is four truncations if not given), no others.  Their
+    centres are projected and looked up at the nearest pixel; nothing is hit outside the
+    image, in the camera's plane, or over ``truncation`` behind the depth.
+    Before that the distance counts 1 at most, back to the camera.  Views look along -z.  Where
+    ``depth`` has r, g and b, hits have them too.
     """
-    v = voxels.join(views, "scene_id")
+    cell = cell or 4 * truncation
+    colours = [c for c in "rgb" if c in depth.columns]
+    seen = frustum_cells(views, depth, cell, truncation, side, behind)
+    v = voxels.select("scene_id", "voxel_id", *XYZ, *[F.floor(F.col(c) / cell).alias(f"i{c}") for c in XYZ])
+    v = v.join(seen, ["scene_id", *[f"i{c}" for c in XYZ]]).join(views, ["scene_id", "image_id"])
     r, t = pose_of(F.col("c2w"))
     d = [F.col(c) - x for c, x in zip(XYZ, t, strict=True)]
     cam: list[Column] = [sum((r[i][k] * d[i] for i in (1, 2)), r[0][k] * d[0]) for k in range(3)]
-    v = v.withColumns({"cam_x": cam[0], "cam_y": -cam[1], "cam_z": -cam[2], "far": F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])}).filter("far > 0")
+    v = v.withColumns({"cam_x": cam[0], "cam_y": -cam[1], "cam_z": F.when((F.abs(cam[2]) if behind else -cam[2]) > 1e-9, -cam[2]), "far": F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])})
     v = v.withColumns({"px": F.floor(F.col("fx") * F.col("cam_x") / F.col("cam_z") + F.col("cx")), "py": F.floor(F.col("fy") * F.col("cam_y") / F.col("cam_z") + F.col("cy"))})
-    hit = v.join(depth.filter("depth > 0").select("scene_id", "image_id", "px", "py", "depth"), ["scene_id", "image_id", "px", "py"])
+    hit = v.select("scene_id", "voxel_id", "image_id", "far", "px", "py").join(depth.filter("depth > 0").select("scene_id", "image_id", "px", "py", "depth", *colours), ["scene_id", "image_id", "px", "py"])
     gap = F.col("depth") - F.col("far")
-    return hit.filter(gap > -truncation).select("scene_id", "voxel_id", F.col("image_id").alias("view_order"), F.greatest(F.least(gap / truncation, F.lit(1.0)), F.lit(-1.0)).alias("tsdf"))
+    return hit.filter(gap > -truncation).select("scene_id", "voxel_id", F.col("image_id").alias("view_order"), F.greatest(F.least(gap / truncation, F.lit(1.0)), F.lit(-1.0)).alias("tsdf"), *colours)
 
 
 def fuse_tsdf(hits: DataFrame) -> DataFrame:
-    """Running halves in view order, v1 = x1 and vk = (v(k-1) + xk) / 2, in closed form."""
+    """Running halves in view order, v1 = x1 and vk = (v(k-1) + xk) / 2, in closed form; of r, g and b too, where hits have them."""
     by = Window.partitionBy("scene_id", "voxel_id")
     h = hits.withColumns({"k": F.row_number().over(by.orderBy("view_order")), "n": F.count("*").over(by)})
     power = F.when(F.col("k") == 1, F.col("n") - 1).otherwise(F.col("n") - F.col("k") + 1)
-    return h.groupBy("scene_id", "voxel_id").agg(F.sum(F.col("tsdf") * F.pow(F.lit(2.0), -power.cast("double"))).alias("value"), F.count("*").alias("n"))
+    share = F.pow(F.lit(2.0), -power.cast("double"))
+    colours = [F.sum(F.col(c) * share).alias(c) for c in "rgb" if c in hits.columns]
+    return h.groupBy("scene_id", "voxel_id").agg(F.sum(F.col("tsdf") * share).alias("value"), F.count("*").alias("n"), *colours)
+
+
+def fused_grid(voxels: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every voxel with its fused value and colour; one that no view hits has value -1, colour 0 and ``n`` 0."""
+    fused = fuse_tsdf(hits)
+    default = {"value": -1.0, "n": 0, **{c: 0.0 for c in "rgb" if c in fused.columns}}
+    return voxels.select("scene_id", "voxel_id", *XYZ).join(fused, ["scene_id", "voxel_id"], "left").fillna(default)
 
 
 def refine_box(voxels: DataFrame, margin: float) -> DataFrame:

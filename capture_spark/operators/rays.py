@@ -105,10 +105,26 @@ def interlevel(samples: DataFrame, proposals: DataFrame) -> DataFrame:
 
 
 def interval_envelope(targets: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """For each target interval, the weight of the envelope intervals that overlap it."""
-    e = envelopes.select("scene_id", "ray_id", F.col("t_start").alias("es"), (F.col("t_start") + F.col("delta")).alias("ee"), F.col("weight").alias("ew"))
-    t = targets.withColumn("t_end", F.col("t_start") + F.col("delta"))
-    return t.join(e, ["scene_id", "ray_id"]).filter((F.col("es") < F.col("t_end")) & (F.col("ee") > F.col("t_start"))).groupBy("scene_id", "ray_id", "sample_idx").agg(F.sum("ew").alias("bound"))
+    """For each target interval that meets one, the weight of the envelope intervals that overlap it.
+
+    That is the weight of those that start before its end, less the weight of those
+    that end by its start.  Starts and ends of both tables stand in one order along
+    a ray, and running sums are read off at the targets' ends: work grows with a ray's
+    intervals, not with their pairs.  Intervals without length take no part.
+    """
+    some = lambda df: df.select("scene_id", "ray_id", *[c for c in ("sample_idx", "weight") if c in df.columns], "t_start", (F.col("t_start") + F.col("delta")).alias("t_end")).filter("t_end > t_start")
+    none = F.lit(None)
+    e = some(envelopes.drop("sample_idx")).select("scene_id", "ray_id", none.cast(dict(targets.dtypes)["sample_idx"]).alias("sample_idx"), "weight", F.explode(F.array(F.struct(F.col("t_start").alias("at"), F.lit(3).alias("kind")), F.struct(F.col("t_end").alias("at"), F.lit(1).alias("kind")))).alias("m"))
+    t = some(targets.drop("weight")).select("scene_id", "ray_id", "sample_idx", none.cast("double").alias("weight"), F.explode(F.array(F.struct(F.col("t_start").alias("at"), F.lit(2).alias("kind")), F.struct(F.col("t_end").alias("at"), F.lit(0).alias("kind")))).alias("m"))
+    # At one place: targets' ends, envelopes' ends, targets' starts, envelopes' starts.
+    marks = e.unionByName(t).select("scene_id", "ray_id", "sample_idx", "weight", "m.at", "m.kind")
+    so_far = Window.partitionBy("scene_id", "ray_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)).over(so_far), F.lit(0))
+    sums = marks.withColumns({"started": of(3, F.col("weight")), "ended": of(1, F.col("weight")), "n_started": of(3, F.lit(1)), "n_ended": of(1, F.lit(1))}).filter("kind IN (0, 2)")
+    by = sums.groupBy("scene_id", "ray_id", "sample_idx")
+    last = F.col("kind") == 0
+    out = by.agg(F.sum(F.when(last, F.col("started")).otherwise(-F.col("ended"))).alias("bound"), F.sum(F.when(last, F.col("n_started")).otherwise(-F.col("n_ended"))).alias("n"))
+    return out.filter("n > 0").drop("n")
 
 
 def sample_rays(rays: DataFrame, n: int, near: float, far: float, spacing: str = "uniform", seed: int | None = None) -> DataFrame:

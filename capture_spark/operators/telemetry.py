@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +44,31 @@ def profile(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("name").agg(F.avg("value").alias("mean"), F.count("*").alias("calls"))
 
 
-def dynamic_budget(log: DataFrame, target: float, start: int) -> DataFrame:
-    """Batch sizes by feedback: each step multiplies the size by target over observed, whole numbers."""
-    ordered = log.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("a"))
-    step = lambda size, x: F.greatest(F.floor(size * F.lit(target) / F.greatest(x["value"], F.lit(1.0))), F.lit(1)).cast("long")
-    return ordered.select("run_id", F.aggregate("a", F.lit(start).cast("long"), step).alias("size"))
+def dynamic_budget(log: DataFrame, target: float, start: int, most: int = 1 << 31) -> DataFrame:
+    """(run_id, size): batch sizes by feedback, each step multiplying the size by target over observed, in whole numbers from 1 to ``most``.
+
+    A run's rows pass one by one in order of event_id, and its size alone is carried
+    on, so a run of any length is one stream.  An observed value under 1 counts as 1; a
+    step without a number leaves the size.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, size, done = None, start, []
+        for b in batches:
+            for of, value in zip(b["run_id"].tolist(), b["value"].tolist(), strict=True):
+                if of != run:
+                    if run is not None:
+                        done.append((run, size))
+                    run, size = of, start
+                if value is not None and value == value:
+                    size = int(min(max(size * target / max(value, 1.0) // 1, 1), most))
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=["run_id", "size"])
+                done = []
+        if run is not None:
+            done.append((run, size))
+        yield pd.DataFrame(done, columns=["run_id", "size"])
+
+    rows = log.select("run_id", "event_id", F.col("value").cast("double").alias("value")).filter("run_id IS NOT NULL")
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "event_id").select("run_id", "value")
+    return ordered.mapInPandas(fold, f"run_id {dict(log.dtypes)['run_id']}, size long")

@@ -54,9 +54,19 @@ add("j03_point_tracks", "observations", lambda o: points.point_tracks(o, 5).with
     "SELECT scene_id, point3d_id, CAST(count(*) AS INTEGER) AS n, array_to_string(list(CAST(image_id AS VARCHAR) ORDER BY k) || list_resize([]::VARCHAR[], 5 - count(*), '-1'), ',') AS image_ids, array_to_string(list(CAST(point2d_idx AS VARCHAR) ORDER BY k) || list_resize([]::VARCHAR[], 5 - count(*), '-1'), ',') AS places FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, point3d_id ORDER BY image_id, point2d_idx) AS k FROM observations) WHERE k <= 5 GROUP BY scene_id, point3d_id")
 add("a09_point_stats", "observations points3d", lambda o, p: points.point_stats(o, p), "scene_id point3d_id track", "error", "SELECT p.scene_id, p.point3d_id, coalesce(track, 0) AS track, error FROM points3d p LEFT JOIN (SELECT scene_id, point3d_id, count(*) AS track FROM observations GROUP BY 1, 2) o USING (scene_id, point3d_id)")
 add("a09_scene_stats", "observations points3d", lambda o, p: points.scene_stats(points.point_stats(o, p)), "scene_id points", "mean_track mean_error", "SELECT scene_id, count(*) AS points, avg(coalesce(track, 0)) AS mean_track, avg(error) AS mean_error FROM points3d p LEFT JOIN (SELECT scene_id, point3d_id, count(*) AS track FROM observations GROUP BY 1, 2) o USING (scene_id, point3d_id) GROUP BY scene_id")
-add("j16_voxel_hits", "points3d shots cameras pixels", lambda p, f, c, d: points.voxel_hits(
-    p.select("scene_id", F.col("point3d_id").alias("voxel_id"), "x", "y", "z"), images(f, c).withColumns({k: F.lit(v) for k, v in (("fx", 8.0), ("fy", 8.0), ("cx", 5.0), ("cy", 5.0))}), d.select("scene_id", "image_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("depth_gt") * 0.2).alias("depth")), 5.0), "scene_id voxel_id view_order", "tsdf",
-    f"SELECT v.scene_id, v.voxel_id, v.image_id AS view_order, greatest(least((depth_gt*0.2::DOUBLE-far)/5, 1), -1) AS tsdf FROM (SELECT *, CAST(floor(8*cam_x/cam_z+5) AS BIGINT) AS px, CAST(floor(8*cam_y/cam_z+5) AS BIGINT) AS py FROM (SELECT p.scene_id, point3d_id AS voxel_id, image_id, a00*(x-tx)+a10*(y-ty)+a20*(z-tz) AS cam_x, -(a01*(x-tx)+a11*(y-ty)+a21*(z-tz)) AS cam_y, -(a02*(x-tx)+a12*(y-ty)+a22*(z-tz)) AS cam_z, sqrt(pow(x-tx, 2)+pow(y-ty, 2)+pow(z-tz, 2)) AS far FROM points3d p JOIN {SHOTS} i ON i.scene_id = p.scene_id) WHERE far > 0 AND abs(cam_z) > 1e-9) v JOIN pixels d ON d.scene_id = v.scene_id AND d.image_id = v.image_id AND d.x = v.px AND d.y = v.py WHERE depth_gt > 0 AND depth_gt*0.2::DOUBLE-far > -5")
+LENS = {"fx": 8.0, "fy": 8.0, "cx": 5.0, "cy": 5.0}
+
+
+def _hits(p: DataFrame, f: DataFrame, c: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    voxels = p.select("scene_id", F.col("point3d_id").alias("voxel_id"), "x", "y", "z")
+    depth = d.select("scene_id", "image_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("depth_gt") * 0.2).alias("depth"), F.col("gt").alias("r"), F.col("pred").alias("g"), F.col("class_id").cast("double").alias("b"))
+    return voxels, points.voxel_hits(voxels, images(f, c).withColumns({k: F.lit(v) for k, v in LENS.items()}), depth, 5.0, 4.0, 5)
+
+
+HITS = f"(SELECT v.scene_id, v.voxel_id, v.image_id AS view_order, greatest(least((depth_gt*0.2::DOUBLE-far)/5, 1), -1) AS tsdf, gt AS r, pred AS g, CAST(class_id AS DOUBLE) AS b FROM (SELECT *, CAST(floor(8*cam_x/cam_z+5) AS BIGINT) AS px, CAST(floor(8*cam_y/cam_z+5) AS BIGINT) AS py FROM (SELECT p.scene_id, point3d_id AS voxel_id, image_id, a00*(x-tx)+a10*(y-ty)+a20*(z-tz) AS cam_x, -(a01*(x-tx)+a11*(y-ty)+a21*(z-tz)) AS cam_y, -(a02*(x-tx)+a12*(y-ty)+a22*(z-tz)) AS cam_z, sqrt(pow(x-tx, 2)+pow(y-ty, 2)+pow(z-tz, 2)) AS far FROM points3d p JOIN {SHOTS} i ON i.scene_id = p.scene_id) WHERE far > 0 AND abs(cam_z) > 1e-9) v JOIN pixels d ON d.scene_id = v.scene_id AND d.image_id = v.image_id AND d.x = v.px AND d.y = v.py WHERE depth_gt > 0 AND depth_gt*0.2::DOUBLE-far > -5)"
+add("j16_voxel_hits", "points3d shots cameras pixels", lambda *t: _hits(*t)[1], "scene_id voxel_id view_order", "tsdf", f"SELECT scene_id, voxel_id, view_order, tsdf FROM {HITS}")
+add("a16_fused_grid", "points3d shots cameras pixels", lambda *t: points.fused_grid(*_hits(*t)), "scene_id voxel_id n", "value r g b",
+    f"SELECT p.scene_id, p.point3d_id AS voxel_id, coalesce(n, 0) AS n, coalesce(value, -1) AS value, coalesce(f.r, 0) AS r, coalesce(f.g, 0) AS g, coalesce(f.b, 0) AS b FROM points3d p LEFT JOIN (SELECT scene_id, voxel_id, count(*) AS n, sum(tsdf*w) AS value, sum(r*w) AS r, sum(g*w) AS g, sum(b*w) AS b FROM (SELECT *, pow(2.0::DOUBLE, -CASE WHEN k = 1 THEN n-1 ELSE n-k+1 END) AS w FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, voxel_id ORDER BY view_order) AS k, count(*) OVER (PARTITION BY scene_id, voxel_id) AS n FROM {HITS})) GROUP BY 1, 2) f ON f.scene_id = p.scene_id AND f.voxel_id = p.point3d_id")
 # Points
 add("f02_within_obb", "points3d", lambda p: points.within_obb(p, (0.2, -0.4, 0.5), (1, 2, 0), (10, 8, 12)), "scene_id point3d_id", "",
     "SELECT scene_id, point3d_id FROM (SELECT *, cos(0.5)*dx+sin(0.5)*dy AS ex, cos(0.5)*dy-sin(0.5)*dx AS ey FROM (SELECT *, x-1 AS dx, y-2 AS dy FROM points3d)) WHERE abs(cos(0.4)*ex+sin(0.4)*z) < 5 AND abs(cos(0.2)*ey+sin(0.2)*(-sin(0.4)*ex+cos(0.4)*z)) < 4 AND abs(cos(0.2)*(-sin(0.4)*ex+cos(0.4)*z)-sin(0.2)*ey) < 6")
@@ -163,7 +173,37 @@ add("j10_fallback_lookup", "people visits", lambda p, v: joins.fallback_lookup(p
 add("j12_renamed_images", "frames named", lambda f, n: joins.renamed_images(f.select("scene_id", "frame_id", F.regexp_replace("file_path", r"^images/(.*)\.png$", "$1.jpg").alias("name")), n.select("scene_id", F.col("file_name").alias("old_name"), F.concat(F.lit("frame_"), F.substring("file_name", 7, 8), F.lit(".png")).alias("new_name"))), "scene_id frame_id name", "",
     "SELECT f.scene_id, f.frame_id, coalesce('frame_' || substr(n.file_name, 7, 8) || '.png', f.name) AS name FROM (SELECT scene_id, frame_id, replace(replace(file_path, 'images/', ''), '.png', '.jpg') AS name FROM frames) f LEFT JOIN named n ON n.scene_id = f.scene_id AND n.file_name = f.name")
 add("j14_constant_bounds", "rays", lambda r: rays.constant_bounds(r, 0.05, 1000.0), "scene_id ray_id", "near far", "SELECT scene_id, ray_id, 0.05::DOUBLE AS near, 1000.0::DOUBLE AS far FROM rays")
-only("j19_project_boxes", "points3d frames cameras", lambda p, f, c: joins.project_boxes(p.select("scene_id", F.col("point3d_id").alias("sample_id"), F.col("point3d_id").alias("box_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), F.lit(1.0).alias("sx"), F.lit(2.0).alias("sy"), F.lit(0.5).alias("sz"), (F.col("r") / 40).alias("yaw")), images(f, c).withColumn("sample_id", F.col("image_id") % 40), 2.0))
+def _boxes(p: DataFrame) -> DataFrame:
+    return p.select("scene_id", (F.col("point3d_id") % 40).alias("sample_id"), F.col("point3d_id").alias("box_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), (F.col("g") / 64).alias("sx"), F.lit(2.0).alias("sy"), F.lit(0.5).alias("sz"), (F.col("r") / 40).alias("yaw"))
+
+
+def _small(f: DataFrame, c: DataFrame) -> DataFrame:
+    """Shots of ten by ten pixels, the own car in the last rows of every third camera's."""
+    i = images(f, c).withColumns({**{k: F.lit(v) for k, v in LENS.items()}, "width": F.lit(10), "height": F.lit(10), "sample_id": F.col("image_id") % 40})
+    return i.withColumn("ego_rows", F.when(F.col("camera_id") % 3 == 0, 2).otherwise(0))
+
+
+# What of a box is in sight is spanned by the corners in front and by all ways from those to corners behind, cut at the plane.
+OUTLINES = f"""(SELECT scene_id, image_id, box_id, width, height, {{u}} AS u, {{v}} AS v FROM (
+ SELECT scene_id, image_id, box_id, width, height, fx, fy, cx, cy, x, y, d FROM c WHERE d > 0.01
+ UNION ALL SELECT p.scene_id, p.image_id, p.box_id, p.width, p.height, p.fx, p.fy, p.cx, p.cy, p.x+(q.x-p.x)*(p.d-0.01)/(p.d-q.d) AS x, p.y+(q.y-p.y)*(p.d-0.01)/(p.d-q.d) AS y, 0.01::DOUBLE AS d
+ FROM c p JOIN c q USING (scene_id, image_id, box_id) WHERE p.d > 0.01 AND q.d <= 0.01))"""
+CORNERS = """(SELECT scene_id, image_id, box_id, width, height, fx, fy, cx, cy, a00*dx+a10*dy+a20*dz AS x, a01*dx+a11*dy+a21*dz AS y, -(a02*dx+a12*dy+a22*dz) AS d
+ FROM (SELECT i.*, box_id, b0+cos(turn)*sx*i0-sin(turn)*sy*i1-i.tx AS dx, b1+sin(turn)*sx*i0+cos(turn)*sy*i1-i.ty AS dy, b2+sz*i2-i.tz AS dz
+ FROM (SELECT scene_id, point3d_id % 40 AS sample_id, point3d_id AS box_id, x AS b0, y AS b1, z AS b2, CAST(g AS DOUBLE)/64 AS sx, 2.0::DOUBLE AS sy, 0.5::DOUBLE AS sz, CAST(r AS DOUBLE)/40 AS turn FROM points3d) b
+ JOIN {images} i ON i.scene_id = b.scene_id AND i.image_id % 40 = b.sample_id, (SELECT unnest([-0.5::DOUBLE, 0.5]) AS i0) k0, (SELECT unnest([-0.5::DOUBLE, 0.5]) AS i1) k1, (SELECT unnest([-0.5::DOUBLE, 0.5]) AS i2) k2))"""
+U, V = "fx*x/d+cx", "cy-fy*y/d"
+SMALL = f"(SELECT * REPLACE (8.0::DOUBLE AS fx, 8.0::DOUBLE AS fy, 5.0::DOUBLE AS cx, 5.0::DOUBLE AS cy, 10 AS width, 10 AS height) FROM {SHOTS})"
+SPANS = f"""(WITH c AS {CORNERS.format(images=SMALL)}, q AS {OUTLINES.format(u=f"round_even({U}, 0)", v=f"round_even({V}, 0)")},
+ s AS (SELECT a.scene_id, a.image_id, a.box_id, a.width, y, CASE WHEN a.v = b.v THEN least(a.u, b.u) ELSE a.u+(y-a.v)*(b.u-a.u)/(b.v-a.v) END AS lo, CASE WHEN a.v = b.v THEN greatest(a.u, b.u) ELSE a.u+(y-a.v)*(b.u-a.u)/(b.v-a.v) END AS hi
+  FROM q a JOIN q b USING (scene_id, image_id, box_id), (SELECT unnest(range(10)) AS y) r WHERE y BETWEEN least(a.v, b.v) AND greatest(a.v, b.v))
+ SELECT * FROM (SELECT scene_id, image_id, box_id, y, CAST(greatest(ceil(min(lo)-1e-9), 0) AS BIGINT) AS x0, CAST(least(floor(max(hi)+1e-9), max(width)-1) AS BIGINT) AS x1 FROM s GROUP BY 1, 2, 3, 4) WHERE x0 <= x1
+ UNION ALL SELECT scene_id, image_id, NULL, y, 0, 9 FROM shots, (SELECT unnest([8, 9]) AS y) r WHERE camera_id % 3 = 0 AND (scene_id, camera_id) IN (SELECT (scene_id, camera_id) FROM cameras))"""
+add("j19_project_boxes", "points3d frames cameras", lambda p, f, c: joins.project_boxes(_boxes(p), images(f, c).withColumn("sample_id", F.col("image_id") % 40), 2.0), "scene_id image_id box_id", "x0 y0 x1 y1",
+    f"WITH c AS {CORNERS.format(images=IMAGES)}, q AS {OUTLINES.format(u=U, v=V)}, e AS (SELECT scene_id, image_id, box_id, min(u) AS x0, min(v) AS y0, max(u) AS x1, max(v) AS y1, max(width) AS width, max(height) AS height FROM q GROUP BY 1, 2, 3) SELECT scene_id, image_id, box_id, greatest(least(x0-2, width), 0) AS x0, greatest(least(y0-2, height), 0) AS y0, greatest(least(x1+2, width), 0) AS x1, greatest(least(y1+2, height), 0) AS y1 FROM e WHERE x1 > 0 AND y1 > 0 AND x0 < width AND y0 < height")
+add("j19_box_spans", "points3d shots cameras", lambda p, f, c: joins.box_spans(_boxes(p), _small(f, c)), "scene_id image_id box_id y x0 x1", "", f"SELECT * FROM {SPANS}")
+add("j19_box_masks", "pixels points3d shots cameras", lambda q, p, f, c: joins.span_masks(q, joins.box_spans(_boxes(p), _small(f, c))), "scene_id image_id y x keep", "",
+    f"WITH m AS {SPANS} SELECT p.scene_id, p.image_id, p.y, p.x, NOT EXISTS (SELECT 1 FROM m WHERE m.scene_id = p.scene_id AND m.image_id = p.image_id AND m.y = p.y AND p.x BETWEEN m.x0 AND m.x1) AS keep FROM pixels p")
 # Pixels
 add("p08_camera_rays", "pixels shots cameras", lambda p, f, c: cameras.camera_rays(p, _typed(images(f, c))), "scene_id image_id y x", "ox oy oz dx dy dz norm area", "")
 ORACLES.pop("p08_camera_rays")
@@ -201,7 +241,7 @@ STEPS = f"(SELECT scene_id, image_id, k, coalesce(sum(gx), 0)+coalesce(sum(gy),
 add("a27_gradient_error", "pixels", pixels.gradient_error, "scene_id image_id n", "image_loss g", f"SELECT scene_id, image_id, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN n > 0 THEN g/n ELSE 0 END) AS image_loss, sum(g) AS g FROM {STEPS} GROUP BY 1, 2")
 add("a27_batch_error", "pixels", lambda p: pixels.batch_reduced(pixels.gradient_error(p)), "scene_id", "batch_loss image_loss", f"SELECT scene_id, sum(g)/sum(n) AS batch_loss, avg(image_loss) AS image_loss FROM (SELECT scene_id, image_id, sum(n) AS n, sum(CASE WHEN n > 0 THEN g/n ELSE 0 END) AS image_loss, sum(g) AS g FROM {STEPS} GROUP BY 1, 2) GROUP BY 1")
 add("a28_normal_error", "pixels", lambda p: pixels.normal_error(p.selectExpr("scene_id", "image_id", "gt AS ax", "pred AS ay", "1D AS az", "pred AS bx", "gt AS by", "0.5D AS bz")), "scene_id image_id", "l1 cosine", "SELECT scene_id, image_id, avg(2*abs(gt-pred)+0.5) AS l1, avg(1-(2*gt*pred+0.5)) AS cosine FROM pixels GROUP BY 1, 2")
-only("a30_color_correct", "pixels", lambda p: pixels.color_correct(p.selectExpr("scene_id", "image_id", "y", "x", "gt AS r", "pred AS g", "gt * pred AS b", "0.9 * gt AS ref_r", "pred * pred AS ref_g", "0.5 * gt + 0.2 AS ref_b"), 2))
+only("a30_color_correct", "pixels", lambda p: pixels.color_correct(p.selectExpr("scene_id", "image_id", "y", "x", "gt AS r", "pred AS g", "gt * pred AS b", "0.9 * gt AS ref_r", "pred * pred AS ref_g", "0.5 * gt + 0.2 AS ref_b")))
 # Rays
 add("w08_interlevel", "ray_samples", lambda s: rays.interlevel(rays.ray_weights(s), rays.ray_weights(s).withColumns({"t_start": F.col("t_start") + 0.2, "weight": F.col("weight") * 0.5})), "scene_id ray_id", "loss",
     f"SELECT w.scene_id, w.ray_id, sum(pow(greatest(w.weight-coalesce(bound, 0), 0), 2)/(w.weight+1e-7)) AS loss FROM {WEIGHTS} w LEFT JOIN (SELECT t.scene_id, t.ray_id, t.sample_idx, sum(e.weight*0.5) AS bound FROM ray_samples t JOIN {WEIGHTS} e ON t.scene_id = e.scene_id AND t.ray_id = e.ray_id AND e.t_start+0.2 < t.t_start+t.delta AND e.t_start+0.2+e.delta > t.t_start GROUP BY 1, 2, 3) x USING (scene_id, ray_id, sample_idx) GROUP BY 1, 2")
@@ -218,8 +258,8 @@ add("w16_latest_stats", "telemetry", lambda t: telemetry.latest_stats(t, 5, 50),
     "SELECT a.run_id, a.name, a.step, arg_max(t.value, t.step) AS value, least(a.step/50.0::DOUBLE, 1) AS done FROM (SELECT DISTINCT s.run_id, n.name, s.at AS step FROM (SELECT DISTINCT run_id, step // 5 * 5 AS at FROM telemetry) s JOIN (SELECT DISTINCT run_id, name FROM telemetry) n ON n.run_id = s.run_id) a JOIN telemetry t ON t.run_id = a.run_id AND t.name = a.name AND t.step <= a.step GROUP BY 1, 2, 3")
 add("a25_render_rates", "frames cameras", lambda f, c: telemetry.render_rates(f.join(c, ["scene_id", "camera_id"]).select(F.col("scene_id").alias("run_id"), "width", "height", (F.col("blur_score") / 100 + 0.1).alias("seconds"))), "run_id", "rays_per_second rays_std fps fps_std",
     "SELECT scene_id AS run_id, avg(r) AS rays_per_second, stddev_samp(r) AS rays_std, avg(1/s) AS fps, stddev_samp(1/s) AS fps_std FROM (SELECT scene_id, width*height/(blur_score/100+0.1::DOUBLE) AS r, blur_score/100+0.1::DOUBLE AS s FROM frames JOIN cameras USING (scene_id, camera_id)) GROUP BY 1")
-add("k15_dynamic_budget", "telemetry", lambda t: telemetry.dynamic_budget(t, 250.0, 4096), "run_id size", "", "")
-ORACLES.pop("k15_dynamic_budget")
+add("k15_dynamic_budget", "telemetry", lambda t: telemetry.dynamic_budget(t, 250.0, 4096), "run_id size", "",
+    "WITH RECURSIVE o AS (SELECT run_id, value, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS k FROM telemetry), f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS k, CAST(4096 AS BIGINT) AS size FROM o UNION ALL SELECT o.run_id, o.k, CAST(least(greatest(floor(f.size*250.0::DOUBLE/greatest(value, 1)), 1), 2147483648) AS BIGINT) FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k+1) SELECT run_id, arg_max(size, k) AS size FROM f GROUP BY run_id")
 # Samples
 SIZES = "(SELECT scene_id, image_id, CAST(max(x)+1 AS BIGINT) AS width, CAST(max(y)+1 AS BIGINT) AS height FROM pixels GROUP BY 1, 2)"
 
@@ -234,6 +274,7 @@ for _name, _draw in {
     "k09_sample_equirect": lambda p: sampling.sample_equirect(p.sparkSession, _sizes(p), 4096, 2),
     "k10_sample_disc": lambda p: sampling.sample_disc(p.sparkSession, _sizes(p), 4096, 5.0, 3),
     "k11_sample_patches": lambda p: sampling.sample_patches(p.sparkSession, _sizes(p), 4096, 4, 4),
+    "k11_masked_patches": lambda p: sampling.sample_masked_patches(p, 4096, 2, 4),
     "k12_sample_pairs": lambda p: sampling.sample_pairs(p.sparkSession, _sizes(p), 4096, 2, 5),
     "k14_sample_by_level": lambda p: sampling.sample_by_level(p.selectExpr("scene_id", "image_id", "y AS row", "x AS col", "class_id AS level"), _sizes(p), 4096, 8, 1, 6),
 }.items():

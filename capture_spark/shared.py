@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,6 +39,21 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
 
+def numbered(scratch: Scratch, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: each row's place in order, from 0, without a task that has them all.
+
+    Rows are dealt by range and sorted within tasks, and written with their task and
+    their place in it; the numbers of rows of the tasks before are then added.
+    """
+    part, row, before = (f"{name}_{x}" for x in ("part", "row", "before"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = scratch.written(dealt.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
+    tasks = table.groupBy(part).agg(F.count("*").alias("n"), F.min(row).alias("first"))
+    sums = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    tasks = tasks.select(part, (F.coalesce(sums, F.lit(0)) - F.col("first")).alias(before))
+    return table.join(F.broadcast(tasks), part).withColumn(name, F.col(row) + F.col(before)).drop(part, row, before)
+
+
 def settled(spark: SparkSession, name: str, make: Callable[[Scratch], DataFrame]) -> DataFrame:
     """Write what ``make`` returns and read it back; what it wrote on the way is deleted."""
     scratch = Scratch(spark)
