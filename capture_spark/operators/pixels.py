@@ -184,25 +184,32 @@ def color_correct(pixels: DataFrame, rounds: int = 5, eps: float = 0.5 / 255) ->
     import numpy as np
     import pandas as pd
 
-    def solve(batches):
+    def equations(batches):
+        """Sums of each image in a batch: for each channel the 10 x 10 products of terms, and those with the reference."""
         for b in batches:
-            fits = []
-            m = np.array(b["m"].tolist(), float).reshape(len(b), 3, -1)
-            t = np.array(b["t"].tolist(), float).reshape(len(b), 3, 10)
-            upper = np.triu_indices(10)
-            for own, right in zip(m, t, strict=True):
-                fit = []
-                for x, y in zip(own, right, strict=True):
-                    whole = np.zeros((10, 10))
-                    whole[upper] = x
-                    whole = whole + np.triu(whole, 1).T
-                    fit.append(np.linalg.lstsq(whole, y, rcond=None)[0].tolist())
-                fits.append([x for row in fit for x in row])
-            yield pd.DataFrame({"scene_id": b["scene_id"], "image_id": b["image_id"], "fit": fits})
+            for (scene, image), p in b.groupby(keys, sort=False):
+                now = {n: p[f"c_{n}"].to_numpy(float) for n in "rgb"}
+                x = np.stack([np.ones(len(p)) if t == "one" else now[t[0]] * now[t[1]] if len(t) == 2 else now[t] for t in TERMS], axis=1)
+                sums = []
+                for n in "rgb":
+                    ref = p[f"ref_{n}"].to_numpy(float)
+                    own = x[unclipped(p[n].to_numpy(float)) & unclipped(now[n]) & unclipped(ref)]
+                    right = ref[unclipped(p[n].to_numpy(float)) & unclipped(now[n]) & unclipped(ref)]
+                    sums += [(own.T @ own).ravel(), own.T @ right]
+                yield pd.DataFrame({"scene_id": [scene], "image_id": [image], "sums": [np.concatenate(sums).tolist()]})
+
+    def solve(own):
+        """The fit of an image from the sums of its batches."""
+        sums = np.array(own["sums"].tolist()).sum(axis=0).reshape(3, 110)
+        fit = [np.linalg.lstsq(x[:100].reshape(10, 10), x[100:], rcond=None)[0] for x in sums]
+        return pd.DataFrame({"scene_id": own["scene_id"][:1], "image_id": own["image_id"][:1], "fit": [np.concatenate(fit).tolist()]})
+
+    def unclipped(x):
+        return (x >= eps) & (x <= 1 - eps)
 
     keys = ["scene_id", "image_id"]
     kinds = dict(pixels.dtypes)
-    free = lambda x: (x >= eps) & (x <= 1 - eps)
+    image = f"scene_id {kinds['scene_id']}, image_id {kinds['image_id']}"
 
     def terms(c: Column) -> list[Column]:
         return [F.lit(1.0) if t == "one" else c[t[0]] * c[t[1]] if len(t) == 2 else c[t] for t in TERMS]
@@ -219,14 +226,8 @@ def color_correct(pixels: DataFrame, rounds: int = 5, eps: float = 0.5 / 255) ->
     def make(scratch: Scratch) -> DataFrame:
         fits = None
         for _ in range(rounds):
-            p = now(pixels, fits)
-            x = terms(F.col("c"))
-            m, t = [], []
-            for n in "rgb":
-                ok = free(F.col(n)) & free(F.col("c")[n]) & free(F.col(f"ref_{n}"))
-                m += [F.sum(F.when(ok, x[i] * x[j]).otherwise(0.0)) for i in range(10) for j in range(i, 10)]
-                t += [F.sum(F.when(ok, x[i] * F.col(f"ref_{n}")).otherwise(0.0)) for i in range(10)]
-            fit = p.groupBy(*keys).agg(F.array(*m).alias("m"), F.array(*t).alias("t")).mapInPandas(solve, f"scene_id {kinds['scene_id']}, image_id {kinds['image_id']}, fit array<double>")
+            p = now(pixels, fits).select(*keys, *"rgb", *[F.col("c")[n].alias(f"c_{n}") for n in "rgb"], *[f"ref_{n}" for n in "rgb"])
+            fit = p.mapInPandas(equations, f"{image}, sums array<double>").groupBy(*keys).applyInPandas(solve, f"{image}, fit array<double>")
             fits = scratch.written(fit.select(*keys, F.array("fit").alias("fits")) if fits is None else fits.join(fit, keys).select(*keys, F.concat("fits", F.array("fit")).alias("fits")))
         return now(pixels, fits).withColumns({n: F.col("c")[n] for n in "rgb"}).select(*pixels.columns)
 
