@@ -101,7 +101,6 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str
     """
     parts, of = _parts(sentences)
     known = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
-    # Lines without any known sentence's words are dropped before they are normalised.
     clean = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), END), lambda s: F.trim(F.regexp_replace(s, DROPPED, " ")))
     pieces = F.filter(clean, lambda s: s != "")
     # Each piece stands between line ends, so a wrapped sentence has a line end for some of its blanks; "|" sets matches apart.
@@ -109,16 +108,18 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str
     wrapped = "|".join(p.replace(" ", "[ \n]") for p in sorted(parts, key=len, reverse=True))
     cut = F.split(F.regexp_replace("lines", f"\n(?:{NUMBER} )?({wrapped})(?=\n)", "|$1|"), r"\|")
     ids = F.transform(F.col("cut"), lambda s, i: F.when(i % 2 == 1, F.element_at(known, F.replace(s, F.lit("\n"), F.lit(" ")))).when(F.trim(F.replace(s, F.lit("\n"), F.lit(""))) != "", F.lit("")))
-    # "" marks other text; the run string is ",a,b,,c," with a break for each stretch of it.
-    runs = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
+    # A run has one sign for each known sentence and a comma for other text, so a rule is a pattern of single signs, which no long run makes recurse.
+    sign = {i: chr(0xE000 + k) for k, i in enumerate(sorted(set(parts.values())))}
+    signs = F.create_map(*[F.lit(x) for kv in sign.items() for x in kv])
+    runs = F.array_join(F.transform("ids", lambda i: F.when(i == "", ",").otherwise(F.element_at(signs, i))), "")
     steps_of = {rule: [p for s in steps for p in of[s]] for rule, (_, steps) in rules.items()}
-    pattern = {rule: "," + "(?:[^,]+,)*?".join(re.escape(p) + "," for p in steps) for rule, steps in steps_of.items()}
+    pattern = {rule: "[^,]*?".join(sign[p] for p in steps) for rule, steps in steps_of.items()}
     found = {}
     for rule, steps in steps_of.items():
         hit = F.col("runs").rlike(pattern[rule])
         for other, longer in steps_of.items():
             if other != rule and longer[: len(steps)] == steps:
-                hit = hit & F.regexp_replace("runs", pattern[other], ",").rlike(pattern[rule])
+                hit = hit & F.regexp_replace("runs", pattern[other], "").rlike(pattern[rule])
         found[rule] = hit
     matched = F.array_compact(F.array(*[F.when(hit, F.lit(rule)) for rule, hit in found.items()]))
     spdx = F.create_map(*[F.lit(x) for rule, (name, _) in rules.items() for x in (rule, name)])

@@ -11,6 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 MADE = ("size", "source_size", "target", "copies")
+TIE = "mix_tie"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -42,15 +43,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Put the number of words of each text into ``size``; null has none."""
-    return docs.drop(*MADE).withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    """Put the number of words of each text into ``size``; null has none.  ``mix_tie`` is a digest of the row, by which rows of one id keep their order when the text has gone."""
+    own = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant", "interval") and f.name not in (*MADE, TIE)]
+    return docs.drop(*MADE, TIE).withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), TIE: F.xxhash64(*[F.col(f"`{c}`") for c in own])})
 
 
 def mix_sized(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "0") -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` to rows with doc_id, source and size.
 
     Each row of a source expects target / source_size copies.  The rows stand in
-    order of size (ties by a digest of ``doc_id``), so that the running sum passes
+    order of size (ties by a digest of ``doc_id``, then by ``mix_tie``, see ``sized``), so that the running sum passes
     evenly through short and long texts; one offset from a digest of the source
     is added, and a row gets a copy for each integer that the sum crosses in it.
     So copies differ by one at most within a source, and reruns agree.  The
@@ -62,7 +64,7 @@ def mix_sized(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     sized = docs.drop(*MADE[1:])
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     mark = fresh("mix_digest", sized)
-    placed = positions(sized.withColumn(mark, digest), ["source"], ["size", mark], "mix")
+    placed = positions(sized.withColumn(mark, digest), ["source"], ["size", mark, *([TIE] if TIE in sized.columns else [])], "mix")
     of = fresh("of_source", placed)
     totals = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(totals, weights, most).select(F.col("source").alias(of), "source_size", "target")
@@ -72,7 +74,7 @@ def mix_sized(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     def crossed(rows):
         return F.when(F.col("source_size") > 0, F.floor(F.col("target") * rows.cast("double") / F.col("source_size").cast("double") + start)).otherwise(rows)
 
-    return rate.withColumn("copies", (crossed(F.col("position") + 1) - crossed(F.col("position"))).cast("int")).select(*sized.columns, *MADE[1:])
+    return rate.withColumn("copies", (crossed(F.col("position") + 1) - crossed(F.col("position"))).cast("int")).select(*[c for c in sized.columns if c != TIE], *MADE[1:])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -81,7 +83,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Nulls, repeated rows and columns of any name are allowed, as in ``mix_sized``;
     an empty table gives no rows.
     """
-    clear = {c: fresh(f"own_{c}", docs) for c in (*MADE, "position") if c in docs.columns}
+    clear = {c: fresh(f"own_{c}", docs) for c in (*MADE, TIE, "position") if c in docs.columns}
     renamed = docs.withColumnsRenamed(clear)
 
     def make() -> DataFrame:

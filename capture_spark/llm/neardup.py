@@ -36,8 +36,7 @@ def _shingles(texts: pa.Array, size: int) -> tuple[tx.Words, np.ndarray, np.ndar
     if len(short):
         order = np.argsort(owner, kind="stable")
         values, owner = values[order], owner[order]
-    first, last = w.first[:-1], w.first[1:]
-    return w, values, owner, grams.spans(first, last), tx.Rolling(tx.mix(h ^ np.uint64(0x5BD1E995))).spans(first, last)
+    return w, values, owner, tx.sequence_hashes(h, w.first), tx.sequence_hashes(w.hashes(tx.SECOND), w.first, tx.SECOND)
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ LEAF = 256
 FIRST_ROWS = 512
 ROWS = 4096
 BLOCK = 16384
+EXACT = 2.0**26  # norms from which products pass 2**52
 
 
 class CoverTree:
@@ -69,46 +70,59 @@ class CoverTree:
         return [i for i, c in enumerate(self.children) if not c]
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers under 2**31, each exact as int64 if under 2**63: doubles hold those of halves."""
+    upper = [np.floor(v / 65536) for v in (a, b)]
+    lower = [v - 65536 * h for v, h in zip((a, b), upper, strict=True)]
+    whole = lambda x, y: (x @ y.T).astype(np.int64)
+    return (whole(upper[0], upper[1]) << 32) + ((whole(upper[0], lower[1]) + whole(lower[0], upper[1])) << 16) + whole(lower[0], lower[1])
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the best rows for each query, other ids only; unused places are -1.
 
     Node pairs are pruned with  <q, x> <= <Q, X> + rQ |X| + rX |Q| + rQ rX  for
     centres Q, X and covering radii r, against the worst kth score of the
-    queries under the query node; at equal scores the smaller id wins.  Products
-    are exact while vector norms stay under 2**26.
+    queries under the query node; at equal scores the smaller id wins.  Vectors hold
+    whole numbers.  Where norms reach 2**26, doubles can't hold products: these are
+    put together from halves of 16 bits then, as int64, up to 2**62.
     """
-    best_score = np.full((len(queries), top), -np.inf)
+    large = [float(np.sqrt((v * v).sum(axis=1).max(initial=0.0))) for v in (queries, data)]
+    exact = max(large) >= EXACT
+    slack = 2e-6 + 1e-12 * large[0] * large[1]
+    lowest = np.iinfo(np.int64).min if exact else -np.inf
+    best_score = np.full((len(queries), top), lowest)
     best_id = np.full((len(queries), top), np.iinfo(np.int64).max)
     if not len(queries) or not len(data):
-        return np.where(np.isinf(best_score), -1, best_id), best_score
+        return np.where(best_score == lowest, -1, best_id), best_score
     qt, xt = CoverTree(queries, query_ids), CoverTree(data, data_ids)
     sizes = np.array([e - s for s, e in xt.span])
 
     def bound(q: int, nodes: np.ndarray) -> np.ndarray:
-        return xt.centres[nodes] @ qt.centres[q] + qt.radii[q] * xt.norms[nodes] + xt.radii[nodes] * qt.norms[q] + qt.radii[q] * xt.radii[nodes] + 1e-6
+        return xt.centres[nodes] @ qt.centres[q] + qt.radii[q] * xt.norms[nodes] + xt.radii[nodes] * qt.norms[q] + qt.radii[q] * xt.radii[nodes] + slack / 2
 
     def alive(q: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, e = qt.span[q]
         rows = qt.order[s:e]
-        worst = best_score[rows, -1].min()
+        worst = float(best_score[rows, -1].min())
         ub = bound(q, nodes)
         last = best_id[rows, -1].max()
-        keep = (ub > worst + 2e-6) | ((ub >= worst) & (xt.least[nodes] < last))
+        keep = (ub > worst + slack) | ((ub >= worst) & (xt.least[nodes] < last))
         return nodes[keep], ub[keep]
 
     def base(q: int, nodes: np.ndarray) -> None:
         s, e = qt.span[q]
         rows = qt.order[s:e]
         at = np.concatenate([np.arange(*xt.span[n]) for n in nodes])
-        scores = qt.points[s:e] @ xt.points[at].T
-        scores[qt.ids[s:e, None] == xt.ids[None, at]] = -np.inf
+        scores = products(qt.points[s:e], xt.points[at]) if exact else qt.points[s:e] @ xt.points[at].T
+        scores[qt.ids[s:e, None] == xt.ids[None, at]] = lowest
         both = np.concatenate([best_score[rows], scores], 1)
         ids = np.concatenate([best_id[rows], np.broadcast_to(xt.ids[at], scores.shape)], 1)
         kth = np.partition(both, -top, axis=1)[:, -top]
         r, c = np.nonzero(both >= kth[:, None])  # all that tie with the kth, too
         score = both[r, c]
-        ident = np.where(np.isinf(score), np.iinfo(np.int64).max, ids[r, c])
-        by = np.lexsort((ident, -score, r))
+        ident = np.where(score == lowest, np.iinfo(np.int64).max, ids[r, c])
+        by = np.lexsort((ident, ~score if exact else -score, r))
         place = np.arange(len(r)) - np.searchsorted(r, r)
         first = place < top
         best_score[rows[r[first]], place[first]] = score[by][first]
@@ -136,7 +150,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             if len(nodes):
                 base(q, nodes[:take])
             nodes, room = nodes[take:], min(4 * room, ROWS)
-    return np.where(np.isinf(best_score), -1, best_id), best_score
+    return np.where(best_score == lowest, -1, best_id), best_score
 
 
 def top_k(vectors: DataFrame, every: int = 50, top: int = TOP, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
@@ -150,12 +164,16 @@ def top_k(vectors: DataFrame, every: int = 50, top: int = TOP, scale: int = SCAL
     of each data block, so the merge gets top x blocks rows per query.  Rows with
     a null id, a null vector or a null or non-finite component take no part;
     equal rows count once; vectors meet only vectors of their own length; extra
-    columns are ignored.
+    columns are ignored; an empty table gives no rows.  Scores are exact whatever the
+    components; where a squared norm reaches 2**62, so that a long might not hold
+    one, it is an error.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     v = v.filter("vec_id IS NOT NULL AND x IS NOT NULL AND forall(x, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity'))")
-    v = v.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("double")).alias("x")).withColumn("dim", F.size("x")).dropDuplicates(["vec_id", "x"])
-    n = v.count()
+    v = v.select("vec_id", F.transform("x", lambda c: F.when(F.abs(c * scale) < 2.0**53, F.floor(c * scale).cast("double")).otherwise(c * scale)).alias("x")).withColumn("dim", F.size("x")).dropDuplicates(["vec_id", "x"])
+    n, longest = v.agg(F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))).first()
+    if (longest or 0.0) >= 2.0**62:
+        raise ValueError("inner products of these vectors don't fit a long")
     data_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // (every * block)))
     data = v.withColumn("data_block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(data_blocks)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     queries = v.filter(F.col("vec_id") % every == 0).withColumn("query_block", F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(query_blocks)).cast("int"))
@@ -167,7 +185,7 @@ def top_k(vectors: DataFrame, every: int = 50, top: int = TOP, scale: int = SCAL
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         stack = lambda c: np.array(c.tolist(), np.float64).reshape(len(c), -1)
         ids, scores = search(stack(q["x"]), q["vec_id"].to_numpy(), stack(x["x"]), x["vec_id"].to_numpy(), top)
-        found = np.isfinite(scores)
+        found = np.isfinite(scores) & (scores > np.iinfo(np.int64).min)
         return pd.DataFrame({"query_id": np.repeat(q["vec_id"].to_numpy(), found.sum(1)), "vec_id": ids[found], "score": scores[found].astype(np.int64)})
 
     found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long")

@@ -317,7 +317,7 @@ class Encoder:
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(data)).astype(np.int64) if len(start) else start
         top = np.searchsorted(start, at[:-1])  # the first chunk of each text
-        _, where, back = np.unique(tx.Rolling(tx._BYTE[data]).spans(start, end), return_index=True, return_inverse=True)
+        _, where, back = np.unique(tx.span_hashes(data, start, end), return_index=True, return_inverse=True)
         known = self.slot
         met = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
         if new := [c for c in met if c not in known]:

@@ -39,7 +39,6 @@ def _measure(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
     solid = w.solid & ((w.raw & 0xC0) != 0x80)
     symbol = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
     out = {"n_words": w.counts, "word_chars": tx.per_text(solid, w.at), "n_symbols": tx.per_text(symbol[w.raw], w.at)}
-    rolling = w.bytes_rolling()
     salt = tx.mix(np.arange(1, n + 1, dtype=np.uint64))
     chars = np.concatenate([[0], np.cumsum(solid)])
 
@@ -50,14 +49,14 @@ def _measure(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
         line = (w.raw[s] != 10) & (chars[e] > chars[s])
         s, e = s[line], e[line]
     owner = np.searchsorted(w.at, s, "right") - 1
-    key = tx.mix(rolling.spans(s, e) ^ salt[owner])
+    key = tx.mix(tx.span_hashes(w.data, s, e) ^ salt[owner])
     _, first = np.unique(key, return_index=True)
     again = np.ones(len(s), bool)
     again[first] = False
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n)
     out["dup_line_chars"] = np.bincount(owner[again], weights=(chars[e] - chars[s])[again], minlength=n).astype(np.int64)
 
-    hashes = rolling.spans(w.start, w.end)
+    hashes = w.hashes()
     word_chars = chars[w.end] - chars[w.start]
     grams = tx.Rolling(hashes)
     alive = None  # starts of the repeated n-grams of the last length: a longer repeat needs them at both ends

@@ -56,7 +56,7 @@ def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
         for b in tx.slices(batches, "text"):
             w = tx.Words(b.column(1))
             rolling, starts, least, grams = _selected(w, window, gram)
-            other = tx.Rolling(tx.mix(w.hashes() ^ np.uint64(0x5BD1E995)))
+            other = tx.Rolling(w.hashes(tx.SECOND))
             prints = b.column(3)
             flat = prints.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             owner = np.repeat(np.arange(w.n), np.diff(prints.offsets.to_numpy()))

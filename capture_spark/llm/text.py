@@ -22,7 +22,7 @@ SLICE_BYTES = 1 << 20
 
 _Q = 0x9E3779B97F4A7C15
 _U = np.uint64
-_BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+SECOND = 0x5BD1E995  # salt of second hashes
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -48,6 +48,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of stretches of bytes, eight at once, each scrambled with its place; salts give hashes that know nothing of one another."""
+    n = (end - start + 7) >> 3
+    to = np.cumsum(n)
+    place = np.arange(to[-1] if len(to) else 0) - np.repeat(to - n, n)
+    at = np.repeat(start, n) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    left = np.repeat(end, n) - at
+    short = left < 8
+    lanes[short] &= (_U(1) << (left[short].astype(np.uint64) * _U(8))) - _U(1)
+    keys = mix((np.arange(place.max() + 1 if len(place) else 0, dtype=np.uint64) + _U(1)) * _U(_Q) ^ _U(salt))
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(lanes ^ keys[place]) * (keys[place] | _U(1)), out=sums[1:])
+    return mix(sums[to] - sums[to - n] + (end - start).astype(np.uint64) * _U(_Q))
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of consecutive runs of values, which begin at ``first``, each value scrambled with its place in the run."""
+    n = np.diff(first)
+    place = (np.arange(len(values)) - np.repeat(first[:-1], n)).astype(np.uint64)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values ^ mix((place + _U(1)) * _U(_Q) ^ _U(salt))), out=sums[1:])
+    return mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64) * _U(_Q))
+
+
 class Rolling:
     """Hashes of any stretch of a sequence from one running sum."""
 
@@ -83,11 +109,8 @@ class Words:
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(self.n), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return Rolling(_BYTE[self.data]).spans(self.start, self.end)
-
-    def bytes_rolling(self) -> Rolling:
-        return Rolling(_BYTE[self.data])
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.start, self.end, salt)
 
     def windows(self, size: int) -> np.ndarray:
         """First words of the windows of so many words inside one text."""
