@@ -98,50 +98,59 @@ def dedup_points(points: DataFrame) -> DataFrame:
     return points.groupBy("scene_id", *XYZ).agg(F.min("point3d_id").alias("point3d_id"))
 
 
-CROWD = 2048
+CROWD = 2048  # places in a cell at most
+FILL = 4  # places in a cell, as expected
 
 
-def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
+def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """(scene_id, point3d_id, rank, other_id, distance): exact k nearest other points of a scene, ties by id.
 
     Points without finite coordinates take no part.  Points at one place meet
     others once: of a place only its k + 1 smallest ids can be anyone's nearest.
-    Places meet the places of the 27 cells around theirs; what they find is exact
-    within one cell's width.  Cells are quartered until none holds over ``CROWD``
-    places.  A place with fewer than k others that near asks again with cells
-    eight times as wide, until every point of a scene is in reach.
+    Each scene's box is halved along its sides as often as its number of places needs for
+    ``FILL`` of them in a cell (or to cells of ``cell``), and oftener where one holds over
+    ``CROWD``, so a dense scene has small cells and leaves the others theirs.  A cell is
+    one number, and those of the 27 cells around a place follow from it by addition.  What is found is exact within one cell's width; a place
+    with fewer than k others that near asks again with cells four times as wide.
     """
 
     def make(scratch: Scratch) -> DataFrame:
         finite = F.lit(True)
         for c in XYZ:
             finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-        ids = scratch.written(points.filter(finite).select("scene_id", "point3d_id", *[F.col(c).cast("double").alias(c) for c in XYZ]))
+        ids = points.filter(finite).select("scene_id", "point3d_id", *[F.col(c).cast("double").alias(c) for c in XYZ])
         at_place = Window.partitionBy("scene_id", *XYZ).orderBy("point3d_id")
         few = ids.withColumn("place_rank", F.row_number().over(at_place)).filter(F.col("place_rank") <= k + 1)
-        places = scratch.written(few.groupBy("scene_id", *XYZ).agg(F.array_sort(F.collect_list("point3d_id")).alias("others")).withColumn("place", F.monotonically_increasing_id()))
-        widest = places.groupBy("scene_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).agg(F.max(F.greatest(*XYZ))).first()[0] or 0.0
-        size = cell
-        while size > widest / 2**30 and (places.groupBy("scene_id", *[F.floor(F.col(c) / size) for c in XYZ]).count().agg(F.max("count")).first()[0] or 0) > CROWD:
-            size /= 4
-        todo, done = places.select("scene_id", "place", *XYZ), None
+        places = few.groupBy("scene_id", *XYZ).agg(F.array_sort(F.collect_list("point3d_id")).alias("others")).withColumn("place", F.monotonically_increasing_id())
+        places = scratch.written(places)
+        box = places.groupBy("scene_id").agg(F.count("*").alias("n"), *[F.min(c).alias(f"low_{c}") for c in XYZ], F.greatest(*[F.max(c) - F.min(c) for c in XYZ]).alias("side"))
+        wanted = F.ceil(F.log2(F.greatest(F.col("n") / FILL, F.lit(1.0))) / 3) if cell is None else F.ceil(F.log2(F.greatest(F.col("side") / cell, F.lit(1.0))))
+        scenes = scratch.written(box.withColumn("depth", F.when(F.col("side") > 0, F.least(wanted, F.lit(DEEPEST))).otherwise(0).cast("int")))
+        while True:  # deeper where a cell is crowded; one row a scene comes out
+            count = places.join(F.broadcast(scenes), "scene_id").groupBy("scene_id", _cell(0).alias("cell")).count()
+            crowded = count.groupBy("scene_id").agg(F.max("count").alias("most")).filter(F.col("most") > CROWD)
+            deeper = scratch.written(scenes.join(crowded, "scene_id", "left").withColumn("deeper", F.when((F.col("most") > CROWD) & (F.col("depth") < DEEPEST), F.least(F.col("depth") + F.ceil(F.log2(F.col("most") / CROWD) / 3).cast("int") + 1, F.lit(DEEPEST)))))
+            if not deeper.filter("deeper IS NOT NULL").limit(1).count():
+                break
+            scenes = deeper.withColumn("depth", F.coalesce("deeper", "depth")).drop("most", "deeper")
+        todo, done, up = places.select("scene_id", "place", *XYZ), None, 0
         while True:
-            base = places.select("scene_id", "others", *[F.col(c).alias(f"o{c}") for c in XYZ], *[F.floor(F.col(c) / size).alias(f"i{c}") for c in XYZ])
-            near = todo.withColumn("shift", F.explode(F.array(*[F.array(*[F.lit(v) for v in (a, b, c)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])))
-            near = near.select("scene_id", "place", *XYZ, *[(F.floor(F.col(c) / size) + F.col("shift")[i]).alias(f"i{c}") for i, c in enumerate(XYZ)])
+            base = places.join(F.broadcast(scenes), "scene_id").select("scene_id", "others", *[F.col(c).alias(f"o{c}") for c in XYZ], _cell(up).alias("cell"))
+            width = F.col("side") / F.pow(F.lit(2.0), F.greatest(F.col("depth") - up, F.lit(0)).cast("double"))
+            near = todo.join(F.broadcast(scenes), "scene_id").select("scene_id", "place", *XYZ, width.alias("width"), (F.col("depth") <= up).alias("last"), _cell(up).alias("own"), F.explode(F.array(*[F.lit(s) for s in SHIFTS])).alias("shift"))
+            near = near.select("scene_id", "place", *XYZ, "width", "last", (F.col("own") + F.col("shift")).alias("cell"))
             d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("ox")) ** 2))
-            pairs = near.join(base, ["scene_id", "ix", "iy", "iz"]).select("scene_id", "place", d.alias("distance"), F.explode("others").alias("other_id"))
+            pairs = near.join(base, ["scene_id", "cell"]).select("scene_id", "place", "width", "last", d.alias("distance"), F.explode("others").alias("other_id"))
             by = Window.partitionBy("scene_id", "place").orderBy("distance", "other_id")
             ranked = pairs.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1)
-            found = ranked.groupBy("scene_id", "place").agg(F.array_sort(F.collect_list(F.struct("r", "distance", "other_id"))).alias("near"))
-            last = size > widest
-            found = scratch.written(found.withColumn("sure", F.lit(last) | ((F.size("near") > k) & (F.element_at("near", -1)["distance"] <= size))))
+            found = ranked.groupBy("scene_id", "place").agg(F.array_sort(F.collect_list(F.struct("r", "distance", "other_id"))).alias("near"), F.max("width").alias("width"), F.bool_or("last").alias("last"))
+            found = scratch.written(found.withColumn("sure", F.col("last") | ((F.size("near") > k) & (F.element_at("near", -1)["distance"] <= F.col("width")))).drop("width", "last"))
             sure = found.filter("sure").drop("sure")
             done = sure if done is None else done.unionByName(sure)
-            if last:
+            if not found.filter("NOT sure").limit(1).count():
                 break
-            todo = scratch.written(todo.join(sure.select("scene_id", "place"), ["scene_id", "place"], "left_anti"))
-            size *= 8
+            todo = todo.join(found.filter("NOT sure").select("scene_id", "place"), ["scene_id", "place"], "left_semi")
+            up += 2
         # Every point of a place takes the place's list without itself.
         own = ids.join(places.select("scene_id", *XYZ, "place"), ["scene_id", *XYZ]).join(done, ["scene_id", "place"])
         out = own.select("scene_id", "point3d_id", F.posexplode(F.slice(F.filter("near", lambda x: x["other_id"] != F.col("point3d_id")), 1, k)).alias("at", "n"))
@@ -150,7 +159,19 @@ def nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
     return settled(points.sparkSession, "nearest", make)
 
 
-def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> DataFrame:
+DEEPEST = 20  # halvings of a scene's box
+SHIFTS = [a * 2**42 + b * 2**21 + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+
+def _cell(up: int) -> Column:
+    """The number of a place's cell, ``up`` levels above its scene's deepest: 21 bits for each axis, so that the cells around it are ``SHIFTS`` away."""
+    cells = F.pow(F.lit(2.0), F.greatest(F.col("depth") - up, F.lit(0)).cast("double"))
+    side = F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)
+    x, y, z = (F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / side * cells), cells.cast("long") - 1) for c in XYZ)
+    return x * 2**42 + y * 2**21 + z
+
+
+def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float | None = None) -> DataFrame:
     """Points whose mean distance to k others is within the scene's mean and ``ratio`` deviations."""
     mean = nearest(points, k, cell).groupBy("scene_id", "point3d_id").agg(F.avg("distance").alias("d"))
     of = mean.groupBy("scene_id").agg((F.avg("d") + ratio * F.stddev_samp("d")).alias("most"))
@@ -158,7 +179,7 @@ def remove_outliers(points: DataFrame, k: int, ratio: float, cell: float) -> Dat
     return points.join(keep.select("scene_id", "point3d_id"), ["scene_id", "point3d_id"], "left_semi")
 
 
-def estimate_normals(points: DataFrame, k: int, cell: float, view: tuple[float, float, float] | None = None) -> DataFrame:
+def estimate_normals(points: DataFrame, k: int, cell: float | None = None, view: tuple[float, float, float] | None = None) -> DataFrame:
     """(scene_id, point3d_id, nx, ny, nz): the direction of least spread of each point and its k nearest; away from ``view`` if one is given.
 
     Six sums per point give the spread; its eigenvectors come from batches of 3 x 3 matrices.

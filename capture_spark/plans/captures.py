@@ -100,8 +100,8 @@ add("j13_ray_box", "rays", lambda r: rays.ray_box(r, (-5, -5, -5), (5, 5, 5)), "
     "SELECT scene_id, ray_id, CASE WHEN f >= n THEN n ELSE 1e10 END AS near, CASE WHEN f >= n THEN f ELSE 1e10 END AS far FROM (SELECT scene_id, ray_id, greatest(least(x0, x1), least(y0, y1), least(z0, z1), 0) AS n, least(greatest(x0, x1), greatest(y0, y1), greatest(z0, z1), 1e10) AS f FROM (SELECT scene_id, ray_id, " + ", ".join(f"({v}-o{c})*(CASE WHEN d{c} = 0 THEN 1e30::DOUBLE ELSE 1/d{c} END) AS {c}{k}" for c in "xyz" for k, v in ((0, -5), (1, 5))) + " FROM rays))")
 add("j14_ray_sphere", "rays", lambda r: rays.ray_sphere(r, 6.0), "scene_id ray_id", "near far", "SELECT scene_id, ray_id, greatest(-b-sqrt(b*b-c), 0) AS near, greatest(-b+sqrt(b*b-c), 0) AS far FROM (SELECT scene_id, ray_id, ox*dx+oy*dy+oz*dz AS b, ox*ox+oy*oy+oz*oz-36 AS c FROM rays) WHERE b*b-c >= 0")
 KNN = "(SELECT scene_id, point3d_id, other_id, distance, row_number() OVER (PARTITION BY scene_id, point3d_id ORDER BY distance, other_id) AS rank FROM (SELECT a.scene_id, a.point3d_id, b.point3d_id AS other_id, sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)+pow(a.z-b.z, 2)) AS distance FROM points3d a JOIN points3d b ON a.scene_id = b.scene_id AND a.point3d_id <> b.point3d_id))"
-add("j15_nearest", "points3d", lambda p: points.nearest(p, 3, 1.0).groupBy("scene_id", "point3d_id").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")), "scene_id point3d_id n", "mean", f"SELECT scene_id, point3d_id, count(*) AS n, avg(distance) AS mean FROM {KNN} WHERE rank <= 3 GROUP BY scene_id, point3d_id")
-add("a13_remove_outliers", "points3d", lambda p: points.remove_outliers(p, 5, 1.0, 1.0), "scene_id point3d_id", "", f"SELECT scene_id, point3d_id FROM (SELECT scene_id, point3d_id, avg(distance) AS d FROM {KNN} WHERE rank <= 5 GROUP BY scene_id, point3d_id) QUALIFY d <= avg(d) OVER (PARTITION BY scene_id) + stddev_samp(d) OVER (PARTITION BY scene_id)")
+add("j15_nearest", "points3d", lambda p: points.nearest(p, 3).groupBy("scene_id", "point3d_id").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")), "scene_id point3d_id n", "mean", f"SELECT scene_id, point3d_id, count(*) AS n, avg(distance) AS mean FROM {KNN} WHERE rank <= 3 GROUP BY scene_id, point3d_id")
+add("a13_remove_outliers", "points3d", lambda p: points.remove_outliers(p, 5, 1.0), "scene_id point3d_id", "", f"SELECT scene_id, point3d_id FROM (SELECT scene_id, point3d_id, avg(distance) AS d FROM {KNN} WHERE rank <= 5 GROUP BY scene_id, point3d_id) QUALIFY d <= avg(d) OVER (PARTITION BY scene_id) + stddev_samp(d) OVER (PARTITION BY scene_id)")
 add("j18_dynamic_instances", "annotations", lambda a: joins.dynamic_instances(a, 0.98), "instance_id dynamic", "", "SELECT instance_id, bool_or(isnan(speed) OR NOT speed < 0.98) AS dynamic FROM annotations GROUP BY instance_id")
 add("a11_voxel_downsample", "points3d", lambda p: points.voxel_downsample(p, 2.0), "scene_id ix iy iz n", "x y z r g b", "SELECT scene_id, CAST(floor(x/2) AS BIGINT) AS ix, CAST(floor(y/2) AS BIGINT) AS iy, CAST(floor(z/2) AS BIGINT) AS iz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM points3d GROUP BY 1, 2, 3, 4")
 add("a12_dedup_points", "points3d", points.dedup_points, "scene_id point3d_id", "x y z", "SELECT scene_id, min(point3d_id) AS point3d_id, x, y, z FROM points3d GROUP BY scene_id, x, y, z")

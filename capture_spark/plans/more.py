@@ -86,7 +86,7 @@ add("a36_collisions", "points3d", lambda p: points.hash_collisions(points.spatia
     "SELECT level, CAST(sum(n) AS BIGINT) AS cells, count(*) AS buckets, count(*) FILTER (WHERE n > 1) AS shared FROM (SELECT level, bucket, count(*) AS n FROM (SELECT DISTINCT level, ix, iy, iz, xor(xor(ix, iy*2654435761), iz*805459861) & 1023 AS bucket FROM (SELECT level, CAST(floor(x/s) AS BIGINT) AS ix, CAST(floor(y/s) AS BIGINT) AS iy, CAST(floor(z/s) AS BIGINT) AS iz FROM points3d, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS level, unnest([4.0::DOUBLE, 2.0, 1.0]) AS s) l)) GROUP BY 1, 2) GROUP BY level")
 add("a17_refine_box", "points3d", lambda p: points.refine_box(points.voxel_downsample(p, 5.0).select("scene_id", "ix", "iy", "iz", "x", "y", "z", (F.col("ix") - F.col("iy") + 0.5).alias("value")), 0.1), "scene_id", "min_x min_y min_z max_x max_y max_z",
     "WITH v AS (SELECT scene_id, CAST(floor(x/5) AS BIGINT) AS ix, CAST(floor(y/5) AS BIGINT) AS iy, CAST(floor(z/5) AS BIGINT) AS iz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points3d GROUP BY 1, 2, 3, 4) SELECT scene_id, min(x)-0.1 AS min_x, min(y)-0.1 AS min_y, min(z)-0.1 AS min_z, max(x)+0.1 AS max_x, max(y)+0.1 AS max_y, max(z)+0.1 AS max_z FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE b.scene_id = a.scene_id AND abs(a.ix-b.ix)+abs(a.iy-b.iy)+abs(a.iz-b.iz) = 1 AND sign(a.ix-a.iy+0.5)*sign(b.ix-b.iy+0.5) < 0) GROUP BY scene_id")
-only("a14_estimate_normals", "points3d", lambda p: points.estimate_normals(p, 6, 2.0))
+only("a14_estimate_normals", "points3d", lambda p: points.estimate_normals(p, 6))
 add("a15_mesh_points", "points3d pixels", lambda p, q: points.mesh_points(*_mesh(p, q)), "scene_id triangle_id corner x y z r", "",
     "WITH c AS (SELECT p.scene_id, p.point3d_id AS triangle_id, corner, p.point3d_id + corner AS vertex_id, CAST(p.r AS DOUBLE)/255*(corner+1)/4 AS u, CAST(p.g AS DOUBLE)/255 AS v FROM points3d p, (SELECT CAST(unnest(range(3)) AS INTEGER) AS corner) k), t AS (SELECT scene_id, y AS row, x AS col, max(class_id) AS r FROM pixels WHERE image_id = 0 GROUP BY 1, 2, 3), z AS (SELECT scene_id, max(row)+1 AS th, max(col)+1 AS tw FROM t GROUP BY 1) SELECT c.scene_id, c.triangle_id, c.corner, p.x, p.y, p.z, t.r FROM c JOIN z ON z.scene_id = c.scene_id JOIN points3d p ON p.scene_id = c.scene_id AND p.point3d_id = c.vertex_id JOIN t ON t.scene_id = c.scene_id AND t.row = greatest(least(CAST(floor((1-v)*th) AS BIGINT), th-1), 0) AND t.col = greatest(least(CAST(floor(u*tw) AS BIGINT), tw-1), 0)")
 
