@@ -31,9 +31,9 @@ def split_by_names(frames: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def match_summary(scenes: DataFrame) -> DataFrame:
-    """Add the share of initial frames that were matched, and its class."""
-    ratio = F.col("matched") / F.col("initial")
-    grade = F.when(ratio == 1, "all").when(ratio < 0.4, "few").when(ratio < 0.8, "some").otherwise("most")
+    """Add the share of initial frames that were matched, and its class; null both where there were none."""
+    ratio = F.try_divide("matched", "initial")
+    grade = F.when(ratio == 1, "all").when(ratio < 0.4, "few").when(ratio < 0.8, "some").when(ratio.isNotNull(), "most")
     return scenes.withColumns({"ratio": ratio, "grade": grade})
 
 
@@ -53,6 +53,7 @@ def frequency_levels(patches: DataFrame, value: str, least: float, base: float,
 
 
 def splat_shape(splats: DataFrame, most: float) -> DataFrame:
-    """Per scene: mean excess of longest over shortest scale beyond ``most``, and splats beyond it."""
-    ratio = F.greatest("s0", "s1", "s2") / F.least("s0", "s1", "s2")
+    """Per scene: mean excess of longest over shortest scale beyond ``most``, and splats beyond it; a shortest scale of 0 makes an infinite ratio."""
+    longest, shortest = F.greatest("s0", "s1", "s2"), F.least("s0", "s1", "s2")
+    ratio = F.when(shortest == 0, float("inf")).otherwise(F.try_divide(longest, shortest))
     return splats.groupBy("scene_id").agg(F.avg(F.greatest(ratio, F.lit(most)) - most).alias("excess"), F.count_if(ratio > most).alias("outliers"))

@@ -141,12 +141,12 @@ def normal_error(normals: DataFrame) -> DataFrame:
 
 
 def normals_to_world(pixels: DataFrame, images: DataFrame, turn: list[list[float]] | None = None) -> DataFrame:
-    """World normals of pixels whose normal is coded as 0..1 (n0, n1, n2): decoded, normalised, turned by the camera and then by ``turn``."""
+    """World normals of pixels whose normal is coded as 0..1 (n0, n1, n2): decoded, normalised, turned by the camera and then by ``turn``; a code of no direction stays 0."""
     n = [2 * F.col(f"n{k}") - 1 for k in range(3)]
     size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
     r, _ = pose_of(F.col("c2w"))
     p = pixels.join(images.select("scene_id", "image_id", "c2w"), ["scene_id", "image_id"])
-    w = [sum((r[i][k] * n[k] for k in (1, 2)), r[i][0] * n[0]) / size for i in range(3)]
+    w = [F.when(size > 0, F.try_divide(sum((r[i][k] * n[k] for k in (1, 2)), r[i][0] * n[0]), size)).when(size == 0, 0.0) for i in range(3)]
     if turn:
         w = [sum((float(row[k]) * w[k] for k in (1, 2)), float(row[0]) * w[0]) for row in turn]
     return p.select("scene_id", "image_id", "y", "x", *[x.alias(f"w{k}") for k, x in enumerate(w)])

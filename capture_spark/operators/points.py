@@ -44,9 +44,9 @@ def contract(points: DataFrame, order: str = "l2") -> DataFrame:
 
 
 def normalise_to_box(points: DataFrame) -> DataFrame:
-    """Positions within the box of their scene, 0 to 1."""
+    """Positions within the box of their scene, 0 to 1; along an axis in which the scene is flat, 0."""
     box = points.groupBy("scene_id").agg(*[F.min(c).alias(f"lo_{c}") for c in XYZ], *[F.max(c).alias(f"hi_{c}") for c in XYZ])
-    return points.join(box, "scene_id").withColumns({c: (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) for c in XYZ}).select(*points.columns)
+    return points.join(box, "scene_id").withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.col(c) - F.col(f"lo_{c}")) for c in XYZ}).select(*points.columns)
 
 
 SH0 = 0.28209479177387814

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capture_spark.operators.trees import farthest_walk, nearest_walk
 from capture_spark.shared import settled
 
 Vec = list[Column]
@@ -96,9 +97,9 @@ def scene_center(frames: DataFrame) -> DataFrame:
 
 
 def up_to_z(up: Vec) -> list[Vec]:
-    """The rotation that takes a vector to +z (half a turn about x if it is -z)."""
+    """The rotation that takes a vector to +z (half a turn about x if it is -z, none for a vector of no length)."""
     n = F.sqrt(dot(up, up))
-    a = [x / n for x in up]
+    a = [F.coalesce(F.try_divide(x, n), F.lit(z)) for x, z in zip(up, (0.0, 0.0, 1.0), strict=True)]
     flip = a[2] < -1 + 1e-8
     k = F.when(flip, 0.0).otherwise(1 / F.when(flip, 1.0).otherwise(1 + a[2]))
     s = a[0] * a[0] + a[1] * a[1]
@@ -246,12 +247,13 @@ def scene_focus(frames: DataFrame, rounds: int = 10) -> DataFrame:
 def normalised(frames: DataFrame, factor: float = 1.0) -> DataFrame:
     """Frames centred, turned upright and scaled so that no coordinate exceeds ``factor``; with the scene's scale.
 
+    A scene whose cameras are all at one place, or that has one camera, has scale 1.
     Two aggregates per scene; their rows are one per scene and meet the frames by a join on the scene.
     """
     moved = frames.join(orient_up(frames), "scene_id")
     t = matvec([cols(*[f"r{i}{j}" for j in range(3)]) for i in range(3)], [F.col(f"t{c}") - F.col(f"c{c}") for c in "xyz"])
     moved = moved.select(*frames.columns, *[x.alias(f"n{c}") for x, c in zip(t, "xyz", strict=True)])
-    scale = moved.groupBy("scene_id").agg((factor / F.max(F.greatest(*[F.abs(f"n{c}") for c in "xyz"]))).alias("scale"))
+    scale = moved.groupBy("scene_id").agg(F.coalesce(F.try_divide(F.lit(float(factor)), F.max(F.greatest(*[F.abs(f"n{c}") for c in "xyz"]))), F.lit(1.0)).alias("scale"))
     return moved.join(scale, "scene_id").withColumns({f"n{c}": F.col(f"n{c}") * F.col("scale") for c in "xyz"})
 
 
@@ -388,18 +390,19 @@ def subset_with_splits(frames: DataFrame, lists: DataFrame, k: int) -> tuple[Dat
 def order_poses(frames: DataFrame) -> DataFrame:
     """Add ``place``: from the scene's first frame always on to the nearest centre not yet visited (ties to the earlier frame).
 
-    Each step depends on the one before, so a scene's centres (three numbers a frame) are one task.
+    Each step depends on the one before, so a scene's centres (three numbers a frame) are
+    one task, which keeps them in k-d leaves with deletion.  Frames without a finite centre
+    come last, in order.
     """
     schema = frames.select("scene_id", "frame_id").schema
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("frame_id", ignore_index=True)
         p = g[["tx", "ty", "tz"]].to_numpy(float)
-        left, at, place = np.ones(len(g), bool), 0, np.zeros(len(g), np.int64)
-        for k in range(len(g)):
-            place[at], left[at] = k, False
-            if k + 1 < len(g):
-                at = int(np.where(left, ((p - p[at]) ** 2).sum(1), np.inf).argmin())
+        sound = np.isfinite(p).all(axis=1)
+        rows = np.concatenate([np.flatnonzero(sound)[nearest_walk(p[sound])], np.flatnonzero(~sound)])
+        place = np.empty(len(g), np.int64)
+        place[rows] = np.arange(len(g))
         return pd.DataFrame({"scene_id": g["scene_id"], "frame_id": g["frame_id"], "place": place})
 
     found = frames.select("scene_id", "frame_id", "tx", "ty", "tz").groupBy("scene_id").applyInPandas(walk, schema.add("place", "long"))
@@ -410,20 +413,17 @@ def farthest_first(frames: DataFrame, k: int, weight: float = 0.1) -> DataFrame:
     """(scene_id, frame_id, place): k cameras of a scene, each the farthest from those before it.
 
     Distances are between centres and ``weight`` times ``unsampled``, the epochs
-    since a camera was last taken.  A scene's centres are one task.
+    since a camera was last taken.  A scene's centres are one task, which keeps them in
+    k-d leaves and passes over those that a new camera can't come nearer to.  Frames
+    without a finite centre are not taken.
     """
     schema = frames.select("scene_id", "frame_id").schema
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("frame_id", ignore_index=True)
         p = np.column_stack([g[["tx", "ty", "tz"]].to_numpy(float), weight * g["unsampled"].to_numpy(float)])
-        near, taken = np.full(len(g), np.inf), []
-        at = 0
-        for _ in range(min(k, len(g))):
-            taken.append(at)
-            near = np.minimum(near, ((p - p[at]) ** 2).sum(1))
-            near[at] = -1.0
-            at = int(near.argmax())
+        sound = np.flatnonzero(np.isfinite(p).all(axis=1))
+        taken = sound[farthest_walk(p[sound], k)]
         return pd.DataFrame({"scene_id": g["scene_id"].iloc[taken], "frame_id": g["frame_id"].iloc[taken], "place": np.arange(len(taken))})
 
     return frames.select("scene_id", "frame_id", "tx", "ty", "tz", "unsampled").groupBy("scene_id").applyInPandas(pick, schema.add("place", "long"))

@@ -35,9 +35,9 @@ def eval_report(telemetry: DataFrame) -> DataFrame:
 
 
 def render_rates(images: DataFrame) -> DataFrame:
-    """Per run: rays and images per second, as means over images of (width, height, seconds) and their deviation."""
-    rays = F.col("width") * F.col("height") / F.col("seconds")
-    return images.groupBy("run_id").agg(F.avg(rays).alias("rays_per_second"), F.stddev_samp(rays).alias("rays_std"), F.avg(1 / F.col("seconds")).alias("fps"), F.stddev_samp(1 / F.col("seconds")).alias("fps_std"))
+    """Per run: rays and images per second, as means over images of (width, height, seconds) and their deviation; images that took no time don't count."""
+    rays, fps = F.try_divide(F.col("width") * F.col("height"), F.col("seconds")), F.try_divide(F.lit(1.0), F.col("seconds"))
+    return images.groupBy("run_id").agg(F.avg(rays).alias("rays_per_second"), F.stddev_samp(rays).alias("rays_std"), F.avg(fps).alias("fps"), F.stddev_samp(fps).alias("fps_std"))
 
 
 def profile(telemetry: DataFrame) -> DataFrame:

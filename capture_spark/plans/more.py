@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from capture_spark import shared
 from capture_spark.fixtures import view
-from capture_spark.operators import cameras, joins, pixels, points, rays, sampling, scenes, telemetry
+from capture_spark.operators import cameras, hooks, joins, pixels, points, rays, sampling, scenes, telemetry
 from capture_spark.plans.captures import ORACLES, PLACED, POSE, QUERIES, SPLIT, WEIGHTS, add
 from capture_spark.streaming import telemetry as live
 
@@ -88,14 +88,14 @@ add("a17_refine_box", "points3d", lambda p: points.refine_box(points.voxel_downs
     "WITH v AS (SELECT scene_id, CAST(floor(x/5) AS BIGINT) AS ix, CAST(floor(y/5) AS BIGINT) AS iy, CAST(floor(z/5) AS BIGINT) AS iz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points3d GROUP BY 1, 2, 3, 4) SELECT scene_id, min(x)-0.1 AS min_x, min(y)-0.1 AS min_y, min(z)-0.1 AS min_z, max(x)+0.1 AS max_x, max(y)+0.1 AS max_y, max(z)+0.1 AS max_z FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE b.scene_id = a.scene_id AND abs(a.ix-b.ix)+abs(a.iy-b.iy)+abs(a.iz-b.iz) = 1 AND sign(a.ix-a.iy+0.5)*sign(b.ix-b.iy+0.5) < 0) GROUP BY scene_id")
 only("a14_estimate_normals", "points3d", lambda p: points.estimate_normals(p, 6))
 add("a15_mesh_points", "points3d pixels", lambda p, q: points.mesh_points(*_mesh(p, q)), "scene_id triangle_id corner x y z r", "",
-    "WITH c AS (SELECT p.scene_id, p.point3d_id AS triangle_id, corner, p.point3d_id + corner AS vertex_id, CAST(p.r AS DOUBLE)/255*(corner+1)/4 AS u, CAST(p.g AS DOUBLE)/255 AS v FROM points3d p, (SELECT CAST(unnest(range(3)) AS INTEGER) AS corner) k), t AS (SELECT scene_id, y AS row, x AS col, max(class_id) AS r FROM pixels WHERE image_id = 0 GROUP BY 1, 2, 3), z AS (SELECT scene_id, max(row)+1 AS th, max(col)+1 AS tw FROM t GROUP BY 1) SELECT c.scene_id, c.triangle_id, c.corner, p.x, p.y, p.z, t.r FROM c JOIN z ON z.scene_id = c.scene_id JOIN points3d p ON p.scene_id = c.scene_id AND p.point3d_id = c.vertex_id JOIN t ON t.scene_id = c.scene_id AND t.row = greatest(least(CAST(floor((1-v)*th) AS BIGINT), th-1), 0) AND t.col = greatest(least(CAST(floor(u*tw) AS BIGINT), tw-1), 0)")
+    "WITH c AS (SELECT p.scene_id, p.point3d_id AS triangle_id, corner, p.point3d_id + corner AS vertex_id, CAST(p.r AS DOUBLE)/255*(corner+1)/4 AS u, CAST(p.g AS DOUBLE)/255 AS v FROM points3d p, (SELECT CAST(unnest(range(3)) AS INTEGER) AS corner) k), t AS (SELECT scene_id, image_id*10+y AS row, x AS col, max(class_id) AS r FROM pixels GROUP BY 1, 2, 3), z AS (SELECT scene_id, max(row)+1 AS th, max(col)+1 AS tw FROM t GROUP BY 1) SELECT c.scene_id, c.triangle_id, c.corner, p.x, p.y, p.z, t.r FROM c JOIN z ON z.scene_id = c.scene_id JOIN points3d p ON p.scene_id = c.scene_id AND p.point3d_id = c.vertex_id JOIN t ON t.scene_id = c.scene_id AND t.row = greatest(least(CAST(floor((1-v)*th) AS BIGINT), th-1), 0) AND t.col = greatest(least(CAST(floor(u*tw) AS BIGINT), tw-1), 0)")
 
 
 def _mesh(p: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     corners = F.array(*[F.col("point3d_id") + k for k in range(3)])
     uv = F.array(*[F.array(F.col("r") / 255.0 * ((k + 1) / 4), F.col("g") / 255.0) for k in range(3)])
     triangles = p.select("scene_id", F.col("point3d_id").alias("triangle_id"), corners.alias("corners"), uv.alias("uv"))
-    texels = q.filter("image_id = 0").groupBy("scene_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.max("class_id").alias("r"), F.max("class_id").alias("g"), F.max("class_id").alias("b"))
+    texels = q.groupBy("scene_id", (F.col("image_id") * 10 + F.col("y")).alias("row"), F.col("x").alias("col")).agg(F.max("class_id").alias("r"), F.max("class_id").alias("g"), F.max("class_id").alias("b"))
     return triangles, p.select("scene_id", F.col("point3d_id").alias("vertex_id"), "x", "y", "z"), texels
 
 
@@ -260,6 +260,29 @@ add("a25_render_rates", "frames cameras", lambda f, c: telemetry.render_rates(f.
     "SELECT scene_id AS run_id, avg(r) AS rays_per_second, stddev_samp(r) AS rays_std, avg(1/s) AS fps, stddev_samp(1/s) AS fps_std FROM (SELECT scene_id, width*height/(blur_score/100+0.1::DOUBLE) AS r, blur_score/100+0.1::DOUBLE AS s FROM frames JOIN cameras USING (scene_id, camera_id)) GROUP BY 1")
 add("k15_dynamic_budget", "telemetry", lambda t: telemetry.dynamic_budget(t, 250.0, 4096), "run_id size", "",
     "WITH RECURSIVE o AS (SELECT run_id, value, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS k FROM telemetry), f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS k, CAST(4096 AS BIGINT) AS size FROM o UNION ALL SELECT o.run_id, o.k, CAST(least(greatest(floor(f.size*250.0::DOUBLE/greatest(value, 1)), 1), 2147483648) AS BIGINT) FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k+1) SELECT run_id, arg_max(size, k) AS size FROM f GROUP BY run_id")
+# Hooks
+def _lengths(batch):
+    """A hook as a user writes one: lengths of the directions of a batch of rays."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    squares = [pc.multiply(batch.column(c), batch.column(c)) for c in ("dx", "dy", "dz")]
+    return pa.RecordBatch.from_arrays([batch.column("scene_id"), batch.column("ray_id"), pc.sqrt(pc.add(pc.add(squares[0], squares[1]), squares[2]))], names=["scene_id", "ray_id", "length"])
+
+
+def _ray_schema(r: DataFrame) -> str:
+    kinds = dict(r.dtypes)
+    return f"scene_id {kinds['scene_id']}, ray_id {kinds['ray_id']}, length double"
+
+
+def _hook_in_sql(r: DataFrame) -> DataFrame:
+    hooks.register_hook(r.sparkSession, "ray_lengths", _lengths, _ray_schema(r))
+    return r.sparkSession.sql("SELECT * FROM ray_lengths(TABLE({rays}))", rays=r)
+
+
+LENGTHS = "SELECT scene_id, ray_id, sqrt(dx*dx+dy*dy+dz*dz) AS length FROM rays"
+add("u01_ray_hook", "rays", lambda r: hooks.hooked(r, (_lengths, _ray_schema(r))), "scene_id ray_id", "length", LENGTHS)
+add("u01_ray_hook_sql", "rays", _hook_in_sql, "scene_id ray_id", "length", LENGTHS)
 # Samples
 SIZES = "(SELECT scene_id, image_id, CAST(max(x)+1 AS BIGINT) AS width, CAST(max(y)+1 AS BIGINT) AS height FROM pixels GROUP BY 1, 2)"
 
