@@ -322,6 +322,21 @@ def test_scoring_is_the_same_for_any_broadcast(spark, docs):
     assert all(math.isclose(x[2], y[2], rel_tol=1e-9) for x, y in zip(few, all_, strict=True))
 
 
+def test_scoring_is_the_same_for_any_partitions(spark, sf):
+    """Scores are the same to the last bit, however rows and shuffles are dealt."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, o in ((3, {}), (16, {"frequent": 2000}), (7, {"frequent": 2000})):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(sorted((r["doc_id"], r["base_score"], r["score"]) for r in rows(scoring.score(docs.repartition(n), **o))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[1] == got[2]
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-9) and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got[0], got[1], strict=True))
+
+
 def test_spelling_is_a_distribution():
     """Over all bytes at a place, the spelled probabilities add up to one."""
     r = np.random.default_rng(0)
