@@ -19,14 +19,24 @@ from capture_spark.llm.tables import stored
 FURNITURE = frozenset("nav footer aside form script style noscript template button select textarea svg iframe menu dialog head title object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Words that mark furniture wherever they stand in a name.
+STRONG = frozenset(
+    "adsense advert adverts advertisement advertising breadcrumb breadcrumbs commentlist comments contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter pager pagination paywall "
+    "popup promo share sharing sidebar signup sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+)
+# Words that mark furniture in names that hold nothing else but such words and places.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr "
-    "legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup "
-    "social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary alert dialog".split()
+    "ad ads adv banner comment consent copyright disclaimer discussion legal login modal notice notices overlay promoted promotion recommended related replies respond search social complementary alert dialog".split()
+)
+PLACES = frozenset(
+    "area bar block body bottom box button buttons card col column container content contents form global group header home icons inner item items left link links list main mobile module outer panel primary right row secondary "
+    "section site small large slot thread top unit wrap wrapper".split()
 )
-SUBJECTS = frozenset("category tag topic type format status post page article entry section has is no not without with".split())
+DENIALS = frozenset("has is no not without with category tag topic".split())
 STATES = frozenset("enabled disabled open closed active visible on off ready loaded".split())
+COMMENT = frozenset("comment comments reply replies".split())
 ROOT_MARKS = frozenset("articlebody main".split())
+LISTS = frozenset("ul ol li dl dt dd".split())
 # End of fixed values.
 LONG = 8  # a power of two
 FEW = 3  # distinct pages
@@ -34,33 +44,64 @@ OPEN_SHARE, MAIN_SHARE = 0.25, 0.5
 PAGES_PER_SHARD = 128
 CHARS_PER_SHARD = 8 << 20
 BROADCAST_RUNS = 1 << 18
+PROSE_WORDS = 10
 
 
-def _furniture(said: dict[str, str]) -> bool:
-    """Whether a class, id or role names furniture: a name that begins or ends with such a word, and speaks of no subject or state."""
+def _names(said: dict[str, str]) -> Iterator[list[str]]:
+    """The words of each name in class, id and role."""
     for name in f"{said.get('class', '')} {said.get('id', '')} {said.get('role', '')}".split():
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-        if words and not (len(words) > 1 and (words[0] in SUBJECTS or words[-1] in STATES)) and (words[0] in MARKS or words[-1] in MARKS):
+        yield re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def _furniture(said: dict[str, str], inline: bool) -> bool:
+    """Whether a class, id or role names furniture, by all its words: one that always means it, or none that means anything else.
+
+    A name that denies, classifies or tells a state (no-sidebar, tag-menu,
+    search-enabled) names none, nor do weak words on an inline element.
+    """
+    for words in _names(said):
+        if not words or (len(words) > 1 and (words[0] in DENIALS or words[-1] in STATES)):
+            continue
+        if not STRONG.isdisjoint(words):
+            return True
+        if not inline and not MARKS.isdisjoint(words) and all(w in MARKS or w in PLACES for w in words):
             return True
     return False
 
 
 class _Blocks(HTMLParser):
-    """Blocks of visible text in page order, each with whether it lies in the marked main part."""
+    """Blocks of visible text in page order, each with the outermost marked part that it lies in (0: none) and its words outside links.
+
+    Furniture elements that are numbered in ``unclosed`` end where the first
+    block begins in them that is no list.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, unclosed: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
-        self.hidden = self.root = 0
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.hidden = self.root = self.roots = self.links = self.starts = self.prose = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, int, int]] = []
+        self.given, self.unclosed = unclosed, set()
 
     def flush(self) -> None:
         if self.parts:
             line = " ".join("".join(self.parts).split())
             if line:
-                self.blocks.append((line, self.root > 0))
-            self.parts = []
+                self.blocks.append((line, self.roots if self.root else 0, self.prose))
+            self.parts, self.prose = [], 0
+
+    def _leave(self, k: int, closed: bool) -> None:
+        """Take all elements from the kth on off the stack; all, or all but the kth if it is closed, were left open."""
+        for j, (name, away, root, number) in enumerate(self.stack[k:]):
+            if away:
+                self.parts, self.prose = [], 0
+                if not (closed and not j):
+                    self.unclosed.add(number)
+            self.hidden -= away
+            self.root -= root
+            self.links -= name == "a"
+        del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -68,22 +109,32 @@ class _Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
+            if self.given and tag not in LISTS:
+                for k, (_, away, _, number) in enumerate(self.stack):
+                    if away and number in self.given:
+                        self._leave(k, True)
+                        break
         if tag in VOID:
             return
         away = tag in FURNITURE or (tag == "header" and not self.root)
         root = tag in ("article", "main")
         if attrs:
             said = {k: v or "" for k, v in attrs}
-            if tag not in ("body", "html", "article", "main"):  # whose classes speak of what they hold
-                away = away or _furniture(said) or (not self.root and "header" in re.findall("[a-z]+", f"{said.get('class', '')} {said.get('id', '')}".lower()))
+            if tag in ("article", "main"):  # whose classes speak of what they hold, unless it is a comment
+                away = away or any(words and words[0] in COMMENT for words in _names(said))
+            elif tag not in ("body", "html"):
+                away = away or _furniture(said, tag in INLINE) or (not self.root and any("header" in words for words in _names(said)))
             away = away or "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "")
             root = root or said.get("role") == "main" or said.get("itemprop", "").lower() in ROOT_MARKS
         root = root and not away
         if away:
             self.flush()
-        self.stack.append((tag, away, root))
+        self.starts += 1
+        self.stack.append((tag, away, root, self.starts))
         self.hidden += away
+        self.roots += root and not self.root
         self.root += root
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -95,12 +146,7 @@ class _Blocks(HTMLParser):
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
             if name == tag:
-                for _, away, root in self.stack[k:]:
-                    if away:
-                        self.parts = []
-                    self.hidden -= away
-                    self.root -= root
-                del self.stack[k:]
+                self._leave(k, True)
                 return
             if weak and name not in INLINE and name != "p":
                 return
@@ -108,21 +154,38 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
+            if not self.links:
+                self.prose += len(data.split())
 
-    def done(self) -> list[tuple[str, bool]]:
+    def done(self) -> list[tuple[str, int, int]]:
         self.close()
         self.flush()
+        self._leave(0, False)
         return self.blocks
 
 
 def page_blocks(html: str | None) -> list[tuple[str, bool]]:
-    """(text, in the marked main part) of the blocks that a page's text may have: those in the main part where one is marked."""
+    """(text, in the marked main part) of the blocks that a page's text may have.
+
+    Where a page marks main parts, they count alone if they hold as many words
+    of prose (blocks with ``PROSE_WORDS`` words outside links) as what lies
+    outside; otherwise they are cards or the like, and only what lies outside counts.
+    Furniture that is never closed ends before the first block in it that is no list.
+    """
     if not html:
         return []
     parser = _Blocks()
     parser.feed(html)
-    blocks = parser.done()
-    return [x for x in blocks if x[1]] or blocks
+    found = parser.done()
+    if parser.unclosed:
+        again = _Blocks(frozenset(parser.unclosed))
+        again.feed(html)
+        found = again.done()
+    prose = [0, 0]
+    for _, part, words in found:
+        prose[part > 0] += words if words >= PROSE_WORDS else 0
+    inside = any(part for _, part, _ in found) and prose[1] >= prose[0]
+    return [(text, inside) for text, part, _ in found if (part > 0) == inside]
 
 
 def suffix_order(tokens: np.ndarray, depth: int = LONG) -> tuple[np.ndarray, np.ndarray]:

@@ -258,6 +258,25 @@ def test_pages_marks():
     assert ["\n".join(b for b, _ in pages.page_blocks(h)) for h in said] == list(said.values())
 
 
+def test_pages_main_part():
+    """The main part is told by its mass of prose, names by all their words, and furniture left open does not swallow a page."""
+    long, more, card = prose(60, 1), prose(40, 2), prose(12, 3)
+    said = {
+        f'<div class="content"><p>{long}</p></div><article class="card">{card}</article>': long,
+        f'<div class="content"><p>{long}</p></div><div><article class="comment"><p>{more}</p></article></div>': long,
+        f'<article><p>{long}</p><article class="comment-body"><p>{more}</p></article></article><div>{card}</div>': long,
+        f'<main><p>{card}</p></main><ul>{"".join(f"<li><a href=x>{w} and the rest of it all at once over here</a></li>" for w in more.split())}</ul>': card,
+        f'<article><p>{long}</p><div class="post-comments"><p>{more}</p></div><div id="article-comments">{more}</div></article>': long,
+        f'<div class="page-footer">{more}</div><p>{long}</p><div class="entry-nav">{more}</div><div class="col-right-sidebar-area">{more}</div>': long,
+        f'<article><div class="legal-analysis"><p>{long}</p></div><p>A <span class="notice">small</span> thing</p><div class="notice">{more}</div></article>': long + "\nA small thing",
+        f"<nav><ul><li><a href=x>Home</a></li></ul><div><p>{long}</p></div>": long,
+        f'<body><div class="menu"><ul><li>Home</li></ul><h1>Title</h1><p>{long}</p></body>': "Title\n" + long,
+        f"<article><p>{long}</p></article><article><p>{more}</p></article>": long + "\n" + more,
+        "<nav>": "",
+    }
+    assert ["\n".join(b for b, _ in pages.page_blocks(h)) for h in said] == list(said.values())
+
+
 def test_pages_given(spark, sf):
     import re
 
