@@ -75,10 +75,18 @@ def image_pyramid(pixels: DataFrame, levels: int) -> DataFrame:
     return p.groupBy("scene_id", "image_id", "level", F.floor(F.col("y") / side).alias("py"), F.floor(F.col("x") / side).alias("px")).agg(F.avg("gt").alias("value"))
 
 
-def normalise_depth(pixels: DataFrame) -> DataFrame:
+def normalise_depth(pixels: DataFrame, near: float | None = None, far: float | None = None, accumulation: str | None = None) -> DataFrame:
+    """Depth from 0 at ``near`` to 1 at ``far`` (by default the least and largest of the image), and its bin of 256.
+
+    With a column of accumulations, what a ray doesn't meet is white: values are blended with 1.
+    """
     by = Window.partitionBy("scene_id", "image_id")
-    d, lo, hi = F.col("depth_pred"), F.min("depth_pred").over(by), F.max("depth_pred").over(by)
+    d = F.col("depth_pred")
+    lo = F.min(d).over(by) if near is None else F.lit(float(near))
+    hi = F.max(d).over(by) if far is None else F.lit(float(far))
     v = F.least(F.greatest((d - lo) / (hi - lo + 1e-10), F.lit(0.0)), F.lit(1.0))
+    if accumulation:
+        v = v * F.col(accumulation) + (1 - F.col(accumulation))
     return pixels.select("scene_id", "image_id", "y", "x", v.alias("value")).withColumn("bin", F.floor(F.col("value") * 255))
 
 

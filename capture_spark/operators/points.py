@@ -43,9 +43,13 @@ def contract(points: DataFrame, order: str = "l2") -> DataFrame:
     return points.withColumns({c: F.col(c) * k for c in XYZ})
 
 
-def normalise_to_box(points: DataFrame) -> DataFrame:
-    """Positions within the box of their scene, 0 to 1; along an axis in which the scene is flat, 0."""
-    box = points.groupBy("scene_id").agg(*[F.min(c).alias(f"lo_{c}") for c in XYZ], *[F.max(c).alias(f"hi_{c}") for c in XYZ])
+def normalise_to_box(points: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Positions within the box of their scene, 0 to 1; along an axis in which the box is flat, the distance from it.
+
+    ``boxes`` has (scene_id, min_x ... max_z), one row per scene; without it, a scene's box is that of its
+    points.  Points outside a given box lie outside 0 to 1; those of scenes without a box go.
+    """
+    box = boxes.select("scene_id", *[F.col(f"{n}_{c}").alias(f"{to}_{c}") for c in XYZ for n, to in (("min", "lo"), ("max", "hi"))]) if boxes is not None else points.groupBy("scene_id").agg(*[F.min(c).alias(f"lo_{c}") for c in XYZ], *[F.max(c).alias(f"hi_{c}") for c in XYZ])
     return points.join(box, "scene_id").withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.col(c) - F.col(f"lo_{c}")) for c in XYZ}).select(*points.columns)
 
 
@@ -56,6 +60,12 @@ def splat_colors(points: DataFrame) -> DataFrame:
     return points.withColumns({f"f_dc_{i}": (F.col(c) / 255.0 - 0.5) / SH0 for i, c in enumerate("rgb")}).withColumn("opacity", F.log(F.lit(0.1) / (1 - F.lit(0.1))))
 
 
+def splat_rgb(splats: DataFrame) -> DataFrame:
+    """Colours as bytes, held in 0 to 255, and ``alpha``, of splats: the way back from ``splat_colors`` for export."""
+    byte = {c: F.greatest(F.least(F.floor((F.col(f"f_dc_{i}") * SH0 + 0.5) * 255 + 0.5), F.lit(255)), F.lit(0)).cast("long") for i, c in enumerate("rgb")}
+    return splats.withColumns(byte | {"alpha": 1 / (1 + F.exp(-F.col("opacity")))})
+
+
 def splat_counts(splats: DataFrame, columns: tuple[str, ...], least_opacity: float = -5.5373) -> DataFrame:
     """Per scene: splats, those that ``clean_splats`` keeps, those with an attribute that is not finite, and the faint ones of the rest."""
     bad = F.lit(False)

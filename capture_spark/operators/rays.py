@@ -163,6 +163,15 @@ def resample_pdf(samples: DataFrame, n: int, padding: float = 0.01) -> DataFrame
     return w.select("scene_id", "ray_id", "k", (F.col("t_start") + F.col("delta") * (F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("t"))
 
 
+def merged_bins(samples: DataFrame, n: int, padding: float = 0.01) -> DataFrame:
+    """(scene_id, ray_id, sample_idx, t_start, t_end): a ray's intervals cut again at n places spread as its weights."""
+    ends = samples.groupBy("scene_id", "ray_id").agg(F.max(F.col("t_start") + F.col("delta")).alias("t"))
+    edges = samples.select("scene_id", "ray_id", F.col("t_start").alias("t")).unionByName(ends).unionByName(resample_pdf(samples, n, padding).drop("k"))
+    by = Window.partitionBy("scene_id", "ray_id").orderBy("t")
+    cut = edges.select("scene_id", "ray_id", (F.row_number().over(by) - 1).alias("sample_idx"), F.col("t").alias("t_start"), F.lead("t").over(by).alias("t_end"))
+    return cut.filter("t_end IS NOT NULL")
+
+
 def ray_box(rays: DataFrame, low: tuple, high: tuple) -> DataFrame:
     """Near and far of the slab test, clamped to 0 and 1e10; 1e10 for both where the box is missed."""
     inverse = lambda d: F.when(F.col(d) == 0, F.lit(1e30)).otherwise(1 / F.when(F.col(d) == 0, F.lit(1.0)).otherwise(F.col(d)))
@@ -192,3 +201,13 @@ def pixels_to_rays(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     dx, dy = (F.col("x") + 0.5 - F.col("cx")) / F.col("fx"), -(F.col("y") + 0.5 - F.col("cy")) / F.col("fy")
     n = F.sqrt(dx * dx + dy * dy + 1)
     return p.select("scene_id", "image_id", "y", "x", (dx / n).alias("dx"), (dy / n).alias("dy"), (-1 / n).alias("dz"), n.alias("norm"))
+
+
+def depth_to_distance(pixels: DataFrame, cameras: DataFrame, depth: str = "depth_gt") -> DataFrame:
+    """Pixels with ``distance``, the length along their ray of a depth along the optical axis."""
+    return pixels.join(pixels_to_rays(pixels, cameras), ["scene_id", "image_id", "y", "x"]).withColumn("distance", F.col(depth) * F.col("norm"))
+
+
+def distance_to_depth(pixels: DataFrame, cameras: DataFrame, distance: str = "distance") -> DataFrame:
+    """Pixels with ``depth``: a length along a ray times the cosine of the ray's angle to the optical axis."""
+    return pixels.join(pixels_to_rays(pixels, cameras).select("scene_id", "image_id", "y", "x", F.col("dz").alias("_dz")), ["scene_id", "image_id", "y", "x"]).withColumn("depth", -F.col(distance) * F.col("_dz")).drop("_dz")

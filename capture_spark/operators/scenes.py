@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,11 +87,11 @@ def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> list[Vec]
 def sfm_to_c2w(images: DataFrame, keep_world: bool = False) -> DataFrame:
     """World-to-camera (qvec, tvec) to ``c2w``; unless ``keep_world``, world axes become z-up."""
     q, t = [F.element_at("qvec", i) for i in range(1, 5)], [F.element_at("tvec", i) for i in range(1, 4)]
-    p = to_camera_convention(invert(pose(quaternion_rotation(*q), t)))
+    back = transposed(quaternion_rotation(*q))
+    rows = [[x, -y, -z, -dot([x, y, z], t)] for x, y, z in back]  # by entries: nested arrays of them are too much for the optimizer
     if not keep_world:
-        r, t = pose_of(p)
-        p = pose([r[0], r[2], [-x for x in r[1]]], [t[0], t[2], -t[1]])
-    return images.withColumn("c2w", p)
+        rows = [rows[0], rows[2], [-x for x in rows[1]]]
+    return images.withColumn("c2w", F.array(*[x for row in rows for x in row]))
 
 
 def scene_center(frames: DataFrame) -> DataFrame:
@@ -330,6 +332,12 @@ def scene_box(frames: DataFrame, factor: float = 1.0) -> DataFrame:
     return frames.groupBy("scene_id").agg(*[(F.min(f"t{c}") * factor).alias(f"min_{c}") for c in "xyz"], *[(F.max(f"t{c}") * factor).alias(f"max_{c}") for c in "xyz"])
 
 
+def recentred_box(boxes: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Boxes moved to have their middle at the origin, and scaled."""
+    half = {c: (F.col(f"max_{c}") - F.col(f"min_{c}")) / 2 * factor for c in "xyz"}
+    return boxes.withColumns({f"min_{c}": -h for c, h in half.items()} | {f"max_{c}": h for c, h in half.items()})
+
+
 def placed(frames: DataFrame) -> DataFrame:
     """Add ``idx``, the place in file order within the scene, and ``n``, the scene's frames."""
     by = Window.partitionBy("scene_id")
@@ -489,6 +497,41 @@ def spiral_path(frames: DataFrame, steps: int, radius: float, turns: float, rate
     return s.select("scene_id", "step", (F.col("at.tx") + radius * F.cos(angle)).alias("x"), (F.col("at.ty") - radius * F.sin(angle)).alias("y"), (F.col("at.tz") - radius * F.sin(angle * rate)).alias("z"))
 
 
+def cross(a: Vec, b: Vec) -> Vec:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def spiral_poses(frames: DataFrame, cameras: DataFrame, steps: int, radii: tuple[float, float, float], turns: float, rate: float) -> DataFrame:
+    """(scene_id, step, c2w, fx, fy, cx, cy, time): cameras on a spiral in the axes of each scene's first camera.
+
+    Each looks away from the point one focal length (the smaller of fx and fy) behind
+    the first camera, with that camera's backward axis as up; where up and line
+    of sight agree, its own right axis stays.  All have its intrinsics, and times
+    go from 0 to 1.  A scene without frames, or whose first camera is unknown, has no path.
+    """
+    first = frames.groupBy("scene_id").agg(F.min_by(F.struct("camera_id", "c2w"), "frame_id").alias("at")).select("scene_id", "at.camera_id", "at.c2w")
+    s = first.join(cameras.select("scene_id", "camera_id", "fx", "fy", "cx", "cy"), ["scene_id", "camera_id"])
+    s = s.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    angle = F.col("step") * (2 * math.pi * turns / steps)
+    centre = [x * r for x, r in zip((F.cos(angle), -F.sin(angle), -F.sin(angle * rate)), radii, strict=True)]
+    s = s.withColumns(dict(zip(("_x", "_y", "_z"), centre, strict=True)))
+    at = cols("_x", "_y", "_z")
+    r, _ = pose_of(F.col("c2w"))
+    up = [row[2] for row in r]
+
+    def unit(v: Vec, otherwise: tuple[float, float, float]) -> Vec:
+        n = F.sqrt(dot(v, v))
+        return [F.when(n > 1e-12, x / F.when(n > 1e-12, n).otherwise(1.0)).otherwise(o) for x, o in zip(v, otherwise, strict=True)]
+
+    back = unit([at[0], at[1], at[2] + F.least("fx", "fy")], (0.0, 0.0, 1.0))
+    s = s.withColumns({f"_b{k}": x for k, x in enumerate(back)})
+    back = cols("_b0", "_b1", "_b2")
+    s = s.withColumns({f"_r{k}": x for k, x in enumerate(unit(cross(up, back), (1.0, 0.0, 0.0)))})
+    right = cols("_r0", "_r1", "_r2")
+    local = pose(transposed([right, cross(back, right), back]), at)
+    return s.select("scene_id", "step", compose(F.col("c2w"), local).alias("c2w"), "fx", "fy", "cx", "cy", (F.col("step") / float(max(steps - 1, 1))).alias("time"))
+
+
 def quaternion(r: list[Vec]) -> Vec:
     """The unit quaternion (w, x, y, z) of rotation rows, by the largest of its four parts."""
     t = r[0][0] + r[1][1] + r[2][2]

@@ -74,7 +74,7 @@ for _o, _n in (("l2", "sqrt(x*x+y*y+z*z)"), ("linf", "greatest(abs(x), abs(y), a
     add(f"p10_contract_{_o}", "points3d", lambda p, o=_o: points.contract(p, o), "scene_id point3d_id", "x y z", f"SELECT scene_id, point3d_id, x*k AS x, y*k AS y, z*k AS z FROM (SELECT *, CASE WHEN {_n} < 1 THEN 1 ELSE (2-1/{_n})/{_n} END AS k FROM points3d)")
 add("p11_normalise_to_box", "points3d", points.normalise_to_box, "scene_id point3d_id", "x y z", "SELECT scene_id, point3d_id, " + ", ".join(f"({c}-min({c}) OVER w)/(max({c}) OVER w-min({c}) OVER w) AS {c}" for c in "xyz") + " FROM points3d WINDOW w AS (PARTITION BY scene_id)")
 add("p12_splat_colors", "points3d", points.splat_colors, "scene_id point3d_id", "f_dc_0 f_dc_1 f_dc_2 opacity", "SELECT scene_id, point3d_id, " + ", ".join(f"({c}/255.0::DOUBLE-0.5)/0.28209479177387814::DOUBLE AS f_dc_{i}" for i, c in enumerate("rgb")) + ", ln(0.1::DOUBLE/0.9::DOUBLE) AS opacity FROM points3d")
-add("p14_depth_to_distance", "pixels cameras", lambda p, c: p.join(rays.pixels_to_rays(p, c), ["scene_id", "image_id", "y", "x"]).withColumn("distance", F.col("depth_gt") * F.col("norm")), "scene_id image_id y x", "distance",
+add("p14_depth_to_distance", "pixels cameras", rays.depth_to_distance, "scene_id image_id y x", "distance",
     "SELECT scene_id, image_id, y, x, depth_gt*sqrt(pow((x+0.5::DOUBLE-cx)/fx, 2)+pow((y+0.5::DOUBLE-cy)/fy, 2)+1) AS distance FROM pixels JOIN cameras USING (scene_id, camera_id)")
 add("p17_image_pyramid", "pixels", lambda p: pixels.image_pyramid(p, 3), "scene_id image_id level py px", "value", "SELECT scene_id, image_id, level, CAST(floor(y/pow(2, level)) AS BIGINT) AS py, CAST(floor(x/pow(2, level)) AS BIGINT) AS px, avg(gt) AS value FROM pixels, (SELECT CAST(unnest(range(3)) AS INTEGER) AS level) l GROUP BY ALL")
 add("p19_normalise_depth", "pixels", pixels.normalise_depth, "scene_id image_id y x bin", "value", "SELECT *, CAST(floor(value*255) AS BIGINT) AS bin FROM (SELECT scene_id, image_id, y, x, least(greatest((depth_pred-min(depth_pred) OVER w)/(max(depth_pred) OVER w-min(depth_pred) OVER w+1e-10::DOUBLE), 0), 1) AS value FROM pixels WINDOW w AS (PARTITION BY scene_id, image_id))")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capture_spark.plans import files, listings, more
+from capture_spark.plans import files, listings, more, paths
 from capture_spark.plans.captures import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "files", "listings", "more"]
+__all__ = ["ORACLES", "QUERIES", "files", "listings", "more", "paths"]

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark import cloudpickle
 
-from capture_spark.operators import hooks, listings, pixels, points, scenes, telemetry, trees
+from capture_spark.operators import hooks, listings, pixels, points, rays, scenes, telemetry, trees
 
 @pytest.fixture(autouse=True, scope="module")
 def by_value():
@@ -125,3 +125,72 @@ def test_nearest_in_scenes_of_unlike_density(spark):
         want |= {(s, k, n + 1): j for n, (_, j) in enumerate(others[:4])}
     got = {(x["scene_id"], x["point3d_id"], x["rank"]): x["other_id"] for x in points.nearest(df, 4).collect()}
     assert got == want
+
+
+CAMERA = "scene_id long, camera_id long, fx double, fy double, cx double, cy double"
+POSED = "scene_id long, frame_id long, camera_id long, c2w array<double>"
+UPRIGHT = [1.0, 0.0, 0.0, 5.0, 0.0, 1.0, 0.0, 6.0, 0.0, 0.0, 1.0, 7.0]
+
+
+def test_spiral_poses(spark):
+    """Against cross products in NumPy; up along the line of sight keeps the right axis; scenes without a known camera have no path."""
+    cameras = spark.createDataFrame([(0, 1, 300.0, 200.0, 4.0, 5.0), (1, 1, 9.0, 9.0, 1.0, 1.0)], CAMERA)
+    tilted = [0.0, -1.0, 0.0, 1.0, 0.6, 0.0, 0.8, 2.0, -0.8, 0.0, 0.6, 3.0]
+    frames = spark.createDataFrame([(0, 3, 1, tilted), (0, 8, 1, UPRIGHT), (1, 0, 1, UPRIGHT), (2, 0, 1, UPRIGHT)], POSED)
+    got = {(r["scene_id"], r["step"]): r for r in scenes.spiral_poses(frames, cameras, 5, (0.5, 0.4, 0.3), 2.0, 0.5).collect()}
+    assert len(got) == 10 and {s for s, _ in got} == {0, 1}
+    base = np.vstack([np.array(tilted).reshape(3, 4), [0, 0, 0, 1]])
+    for k in range(5):
+        a = 2 * math.pi * 2 * k / 5
+        centre = np.array([0.5 * math.cos(a), -0.4 * math.sin(a), -0.3 * math.sin(a / 2)])
+        back = centre + [0, 0, 200.0]
+        back /= np.linalg.norm(back)
+        right = np.cross(base[:3, 2], back)
+        right /= np.linalg.norm(right)
+        local = np.vstack([np.stack([right, np.cross(back, right), back, centre], 1), [0, 0, 0, 1]])
+        r = got[0, k]
+        assert np.allclose(np.array(r["c2w"]).reshape(3, 4), (base @ local)[:3]) and r["fx"] == 300 and r["time"] == k / 4
+        axes = np.array(r["c2w"]).reshape(3, 4)[:, :3]
+        assert np.allclose(axes.T @ axes, np.eye(3))
+    still = scenes.spiral_poses(frames, cameras, 1, (0.0, 0.0, 0.0), 1.0, 0.5).collect()
+    assert len(still) == 2 and all(None not in r["c2w"] and r["time"] == 0 for r in still)
+    assert scenes.spiral_poses(frames.limit(0), cameras, 5, (1.0, 1.0, 1.0), 2.0, 0.5).collect() == []
+
+
+def test_given_boxes(spark):
+    boxes = spark.createDataFrame([(0, 0.0, 1.0, 2.0, 4.0, 1.0, 6.0)], "scene_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    cloud = spark.createDataFrame([(0, 1.0, 3.0, 7.0), (1, 0.0, 0.0, 0.0)], "scene_id long, x double, y double, z double")
+    assert list(map(tuple, points.normalise_to_box(cloud, boxes).collect())) == [(0, 0.25, 2.0, 1.25)]
+    assert tuple(scenes.recentred_box(boxes, 2.0).first()) == (0, -4.0, 0.0, -4.0, 4.0, 0.0, 4.0)
+
+
+def test_colours_and_depths_there_and_back(spark):
+    some = spark.createDataFrame([(k, 255 - k, k // 2) for k in range(256)], "r int, g int, b int")
+    back = points.splat_rgb(points.splat_colors(some).withColumnsRenamed({c: f"old_{c}" for c in "rgb"})).collect()
+    assert len(back) == 256 and all((r["r"], r["g"], r["b"]) == (r["old_r"], r["old_g"], r["old_b"]) and abs(r["alpha"] - 0.1) < 1e-12 for r in back)
+    loud = spark.createDataFrame([(9.0, -9.0, 0.0, 0.0)], "f_dc_0 double, f_dc_1 double, f_dc_2 double, opacity double")
+    assert tuple(points.splat_rgb(loud).select("r", "g", "b", "alpha").first()) == (255, 0, 128, 0.5)
+    cameras = spark.createDataFrame([(0, 0, 3.0, 4.0, 2.0, 2.0)], CAMERA)
+    pixels_ = spark.createDataFrame([(0, 0, 0, y, x, 1.0 + x + y) for y in range(4) for x in range(4)], "scene_id long, image_id long, camera_id long, y long, x long, depth_gt double")
+    far = rays.depth_to_distance(pixels_, cameras).select(*pixels_.columns, "distance")
+    near = rays.distance_to_depth(far, cameras).collect()
+    assert len(near) == 16 and all(abs(r["depth"] - r["depth_gt"]) < 1e-12 and r["distance"] > r["depth"] for r in near)
+
+
+def test_blended_depth(spark):
+    some = spark.createDataFrame([(0, 0, 0, k, d, a) for k, (d, a) in enumerate([(0.0, 1.0), (4.0, 0.5), (99.0, 0.0), (None, 1.0)])], "scene_id long, image_id long, y long, x long, depth_pred double, acc double")
+    got = [r["value"] for r in pixels.normalise_depth(some, 2.0, 6.0, "acc").orderBy("x").collect()]
+    assert got[0] == 0 and abs(got[1] - 0.75) < 1e-9 and got[2] == 1
+
+
+def test_merged_bins(spark):
+    """Intervals of a ray meet end to end, keep its edges, and are one more for each new place."""
+    some = spark.createDataFrame([(0, r, k, k * 0.5, 0.5, float(r * (k == 2))) for r in range(3) for k in range(4)], "scene_id long, ray_id long, sample_idx long, t_start double, delta double, density double")
+    by_ray = {}
+    for r in rays.merged_bins(some, 5).orderBy("ray_id", "sample_idx").collect():
+        by_ray.setdefault(r["ray_id"], []).append((r["sample_idx"], r["t_start"], r["t_end"]))
+    for r, cut in by_ray.items():
+        assert [k for k, _, _ in cut] == list(range(9)) and cut[0][1] == 0 and cut[-1][2] == 2
+        assert all(a[2] == b[1] for a, b in zip(cut, cut[1:])) and {0, 0.5, 1.0, 1.5} <= {a for _, a, _ in cut}
+    assert sum(1 <= a < 1.5 for _, a, _ in by_ray[2]) > sum(1 <= a < 1.5 for _, a, _ in by_ray[0])
+    assert len(by_ray) == 3 and rays.merged_bins(some.limit(0), 5).collect() == []
