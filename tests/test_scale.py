@@ -191,3 +191,45 @@ def test_color_rounds_by_numpy(spark):
                 put.append(np.linalg.lstsq(a[ok], ref[ok, c], rcond=None)[0])
             now = np.clip(a @ np.array(put).T, 0, 1)
         assert np.allclose([got[i, k] for k in range(60)], now, atol=1e-6)
+
+
+def test_box_spans_of_all_ways_behind_the_camera(spark):
+    """The outline holds the rounded place of every way from a corner in sight to one that isn't, as the SQL twin has it."""
+    r = random.Random(5)
+    boxes, images, want = [], [], {}
+    for k in range(300):
+        m, t = turned(r), [r.uniform(-1, 1) for _ in range(3)]
+        centre, size, yaw = [r.uniform(-2, 2) for _ in range(3)], [r.uniform(0.5, 4) for _ in range(3)], r.uniform(-3, 3)
+        boxes.append((0, k, k, *centre, *size, yaw))
+        images.append((0, k, flat(m, t), 8.0, 8.0, 5.0, 5.0, k, 10, 10))
+        corners = []
+        for a, b, c in np.ndindex(2, 2, 2):
+            dx, dy = (a - 0.5) * size[0], (b - 0.5) * size[1]
+            p = [centre[0] + math.cos(yaw) * dx - math.sin(yaw) * dy - t[0], centre[1] + math.sin(yaw) * dx + math.cos(yaw) * dy - t[1], centre[2] + (c - 0.5) * size[2] - t[2]]
+            x, y, z = m.T @ p
+            corners.append((x, y, -z))
+        ahead, behind = [p for p in corners if p[2] > 0.01], [p for p in corners if p[2] <= 0.01]
+        ends = ahead + [(*[p[i] + (q[i] - p[i]) * (p[2] - 0.01) / (p[2] - q[2]) for i in (0, 1)], 0.01) for p in ahead for q in behind]
+        want[k] = hull_pixels([(round(8 * x / d + 5), round(5 - 8 * y / d)) for x, y, d in ends], 10, 10) if ends else set()
+    got = {k: set() for k in want}
+    for s in joins.box_spans(spark.createDataFrame(boxes, BOX), spark.createDataFrame(images, IMAGE)).collect():
+        got[s["box_id"]] |= {(x, s["y"]) for x in range(s["x0"], s["x1"] + 1)}
+    assert got == want and sum(map(len, want.values())) > 500
+
+
+def test_boxes_out_of_view_are_left_out_before_corners(spark):
+    """Pairs go by the planes of the view; none that the image sees is lost."""
+    r = random.Random(9)
+    boxes = [(0, 0, k, *[r.uniform(-9, 9) for _ in range(3)], *[r.uniform(0.1, 2) for _ in range(3)], r.uniform(-3, 3)) for k in range(300)]
+    images = [(0, k, flat(turned(r), [r.uniform(-9, 9) for _ in range(3)]), 500.0, 510.0, 320.0, 240.0, 0, 643, 481) for k in range(8)]
+    pairs = joins.boxes_near_view(spark.createDataFrame(boxes, BOX), spark.createDataFrame(images, IMAGE))
+    met = {(p["image_id"], p["box_id"]) for p in pairs.collect()}
+    seen = set()
+    for _, i, c2w, *_ in images:
+        m = np.array(c2w).reshape(3, 4)
+        for _, _, k, *v in boxes:
+            ends = np.array([np.array(v[:3]) + [math.cos(v[6]) * a * v[3] - math.sin(v[6]) * b * v[4], math.sin(v[6]) * a * v[3] + math.cos(v[6]) * b * v[4], c * v[5]] - m[:, 3] for a in (-0.5, 0.5) for b in (-0.5, 0.5) for c in (-0.5, 0.5)]) @ m[:, :3]
+            ahead = ends[ends[:, 2] < -0.01]
+            if any(0 < 320 - 500 * x / z < 643 and 0 < 240 + 510 * y / z < 481 for x, y, z in ahead):
+                seen.add((i, k))
+    assert seen <= met and len(seen) > 50 and len(met) < 0.3 * len(boxes) * len(images)
