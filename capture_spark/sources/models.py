@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ SIDECAR = ".ranges"
 _COUNT, _CAMERA, _IMAGE = "<Q", "<iiQQ", "<I7dI"
 _CAMERA_SIZE, _IMAGE_SIZE = struct.calcsize(_CAMERA), struct.calcsize(_IMAGE)
 _POINT = np.dtype([("point3d_id", "<u8"), ("xyz", "<f8", 3), ("rgb", "u1", 3), ("error", "<f8"), ("track", "<u8")])
+_STEP = np.dtype([("image_id", "<i4"), ("point2d_idx", "<i4")])
 _MARK = np.dtype([("u", "<f8"), ("v", "<f8"), ("point3d_id", "<i8")])
 
 
@@ -97,6 +101,20 @@ def ranges(path: str, kind: str, size: int = RANGE) -> Iterator[tuple[int, int,
             yield start, at, records
 
 
+def joined(cuts: Iterable[tuple[int, int]], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges put together with those that follow them at once, up to ``size`` bytes or one longer range."""
+    held = None
+    for start, end in cuts:
+        if held and held[1] == start and end - held[0] <= size:
+            held = held[0], end
+        else:
+            if held:
+                yield held
+            held = start, end
+    if held:
+        yield held
+
+
 def records(path: str, kind: str, start: int, end: int) -> Iterator[pd.DataFrame]:
     """The rows of a range."""
     where, at_path = place(path)
@@ -127,22 +145,24 @@ def records(path: str, kind: str, start: int, end: int) -> Iterator[pd.DataFrame
             out.append((scene, h[0], list(h[1:5]), list(h[5:8]), h[8], name))
         yield pd.DataFrame(out, columns=["scene_id", "image_id", "qvec", "tvec", "camera_id", "name"])
     else:
-        for at in starts:
-            end_of_name = data.index(b"\0", at + _IMAGE_SIZE)
-            n = struct.unpack_from(_COUNT, data, end_of_name + 1)[0]
-            r = np.frombuffer(data, _MARK, n, end_of_name + 9)
-            yield pd.DataFrame({"scene_id": scene, "image_id": struct.unpack_from(_IMAGE, data, at)[0], "point2d_idx": np.arange(n), **{c: r[c] for c in _MARK.names}})
+        ends = [data.index(b"\0", at + _IMAGE_SIZE) for at in starts]
+        counts = [struct.unpack_from(_COUNT, data, at + 1)[0] for at in ends]
+        r = np.concatenate([np.frombuffer(data, _MARK, n, at + 9) for n, at in zip(counts, ends, strict=True)])
+        images, n = np.array([struct.unpack_from("<I", data, at)[0] for at in starts], np.int64), np.array(counts)
+        yield pd.DataFrame({"scene_id": scene, "image_id": np.repeat(images, n), "point2d_idx": np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n), **{c: r[c] for c in _MARK.names}})
 
 
 def read_model_table(spark: SparkSession, path: str, kind: str, size: int = RANGE) -> DataFrame:
     """The ``kind`` table of all model files that ``path`` names, by ranges of ``size`` bytes.
 
-    A file's ranges are found by one task; they are then dealt over as many tasks as
-    the files have ranges, so one large file is read by many.
+    A file's ranges are found by one task; they are then dealt over the cluster, so
+    one large file is read by many tasks.  Neighbours go to one task, up to
+    ``RANGE`` bytes of a file, and are read together: small ranges cost no task each.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     whole = files.agg(F.sum("length")).first()[0] or 0
     parallel = spark.sparkContext.defaultParallelism
+    together = max(min(RANGE, whole // (4 * parallel)), size)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -151,12 +171,15 @@ def read_model_table(spark: SparkSession, path: str, kind: str, size: int = RANG
                 yield pd.DataFrame({"path": name, "start": [x[0] for x in found], "end": [x[1] for x in found]}, columns=["path", "start", "end"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, start, end in b.itertuples(index=False):
+        rows = (row for b in batches for row in b[["path", "start", "end"]].itertuples(index=False, name=None))
+        for name, own in groupby(rows, lambda row: row[0]):
+            for start, end in joined(row[1:] for row in own):
                 yield from records(name, kind, start, end)
 
     cuts = files.select("path").repartition(parallel, "path").mapInPandas(cut, "path string, start long, end long")
-    return cuts.repartition(int(max(parallel, min(whole // size + 1, 100_000))), "path", "start").mapInPandas(read, SCHEMAS[kind])
+    tasks = int(max(parallel, min(whole // together + 1, 100_000)))
+    dealt = cuts.withColumn("part", F.floor(F.col("start") / together)).repartition(tasks, "path", "part").sortWithinPartitions("path", "start")
+    return dealt.mapInPandas(read, SCHEMAS[kind])
 
 
 def read_colmap_points_bin(spark: SparkSession, path: str) -> DataFrame:
@@ -202,16 +225,22 @@ def write_colmap_bin(cameras: DataFrame, images: DataFrame, points: DataFrame, o
     seen = observations.groupBy("scene_id", "image_id").agg(F.array_sort(F.collect_list(F.struct("point2d_idx", "u", "v", "point3d_id"))).alias("marks"))
     track = observations.filter("point3d_id <> -1").groupBy("scene_id", "point3d_id").agg(F.array_sort(F.collect_list(F.struct("image_id", "point2d_idx"))).alias("track"))
 
-    def camera(r) -> bytes:
-        return struct.pack(_CAMERA, r.camera_id, numbers[r.model], r.width, r.height) + struct.pack(f"<{len(r.params)}d", *r.params)
+    def camera(b: pa.RecordBatch) -> list[bytes]:
+        rows = zip(*[b.column(c).to_pylist() for c in ("camera_id", "model", "width", "height", "params")], strict=True)
+        return [struct.pack(_CAMERA, i, numbers[model], width, height) + struct.pack(f"<{len(p)}d", *p) for i, model, width, height, p in rows]
 
-    def image(r) -> bytes:
-        marks = [] if r.marks is None else r.marks
-        return struct.pack(_IMAGE, r.image_id, *r.qvec, *r.tvec, r.camera_id) + r.name.encode() + b"\0" + struct.pack(_COUNT, len(marks)) + b"".join(struct.pack("<ddq", x["u"], x["v"], x["point3d_id"]) for x in marks)
+    def image(b: pa.RecordBatch) -> list[bytes]:
+        rows = zip(*[b.column(c).to_pylist() for c in ("image_id", "qvec", "tvec", "camera_id", "name")], _lists(b.column("marks"), _MARK), strict=True)
+        return [struct.pack(_IMAGE, i, *q, *t, cam) + name.encode() + b"\0" + struct.pack(_COUNT, len(own) // _MARK.itemsize) + own for i, q, t, cam, name, own in rows]
 
-    def point(r) -> bytes:
-        steps = [] if r.track is None else r.track
-        return struct.pack("<QdddBBBdQ", r.point3d_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(steps)) + b"".join(struct.pack("<ii", x["image_id"], x["point2d_idx"]) for x in steps)
+    def point(b: pa.RecordBatch) -> list[bytes]:
+        head = np.zeros(b.num_rows, _POINT)
+        own = _lists(b.column("track"), _STEP)
+        of = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+        head["point3d_id"], head["error"], head["track"] = of("point3d_id"), of("error"), [len(x) // _STEP.itemsize for x in own]
+        head["xyz"], head["rgb"] = np.column_stack([of(c) for c in "xyz"]), np.column_stack([of(c) for c in "rgb"])
+        data, n = head.tobytes(), _POINT.itemsize
+        return [data[k * n : k * n + n] + x for k, x in enumerate(own)]
 
     tables = (
         ("cameras.bin", cameras.select("scene_id", "camera_id", "model", "width", "height", "params"), "camera_id", camera),
@@ -221,8 +250,23 @@ def write_colmap_bin(cameras: DataFrame, images: DataFrame, points: DataFrame, o
     for name, rows, key, packed in tables:
         n = rows.groupBy("scene_id").agg(F.count("*").alias("n_records"))
 
-        def parts(scene: str, own: Iterator, packed=packed) -> Iterator[bytes]:
+        def run(batches: Iterator[pa.RecordBatch], key: str = key, packed=packed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("scene_id"), b.column(key), pa.array(packed(b), pa.binary())], names=["scene_id", key, "record"])
+
+        def parts(scene: str, own: Iterator) -> Iterator[bytes]:
             for k, r in enumerate(own):
-                yield (b"" if k else struct.pack(_COUNT, r.n_records)) + packed(r)
+                yield (b"" if k else struct.pack(_COUNT, r.n_records)) + r.record
+
+        done = rows.mapInArrow(run, rows.select("scene_id", key, F.lit(b"").alias("record")).schema)
+        write_files(done.join(F.broadcast(n), "scene_id"), path, name, parts, [key])
+
 
-        write_files(rows.join(n, "scene_id"), path, name, parts, [key])
+def _lists(column: pa.Array, kind: np.dtype) -> list[bytes]:
+    """The records of each row's list of structs; a null list has none."""
+    flat = column.flatten()
+    data = np.zeros(len(flat), kind)
+    for c in kind.names:
+        data[c] = flat.field(c).to_numpy(zero_copy_only=False)
+    whole, ends = data.tobytes(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)) * kind.itemsize
+    return [whole[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]

@@ -28,6 +28,7 @@ from capture_spark.sources import models
 GROUP = "capture_spark.formats"
 VARIABLE = "CAPTURE_SPARK_FORMATS"
 TASK = 32 << 20  # bytes of small files in a task
+SPREAD = 128  # partitions that the files of a model make, if they have as many ranges
 # The intrinsics of a frame.
 NUMBERS = ("fl_x", "fl_y", "cx", "cy", "w", "h", "k1", "k2", "k3", "k4", "p1", "p2")
 
@@ -41,11 +42,10 @@ class Files(InputPartition):
 
 @dataclass
 class Range(InputPartition):
-    """Records of one file."""
+    """Whole ranges of records of one file, in order."""
 
     path: str
-    start: int
-    end: int
+    cuts: list[tuple[int, int]]
 
 
 def scene_files(root: str, name: str, scenes: list[str] | None) -> list[tuple[str, int]]:
@@ -189,8 +189,10 @@ class FramesWriter(DataSourceArrowWriter):
 class ModelSource(CaptureSource):
     """``capture_model``: a table of binary structure-from-motion models, by the option ``table`` (cameras, images, observations or points).
 
-    Where ``models.write_ranges`` has listed a file's ranges, each is a partition;
-    any other file is one, read range by range.
+    Where ``models.write_ranges`` has listed a file's ranges, they are dealt over partitions,
+    neighbours together: at least ``SPREAD`` partitions of all files if they have as many
+    ranges, and ``TASK`` bytes in one at most, but for a longer range.  Any other file is
+    one, read range by range.
     """
 
     @classmethod
@@ -216,18 +218,30 @@ class ModelReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
+        most = min(TASK, sum(size for _, size in self.files) // SPREAD)
         for path, _ in self.files:
             cuts = models.planned(path)
-            out += [Files([path])] if cuts is None else [Range(path, start, end) for start, end, _ in cuts]
+            out += [Files([path])] if cuts is None else [Range(path, own) for own in _dealt(cuts, most)]
         return out or [Files([])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        parts = [(partition.path, partition.start, partition.end)] if isinstance(partition, Range) else [(p, s, e) for p in partition.paths for s, e, _ in models.ranges(p, self.table)]
-        for path, start, end in parts:
-            for rows in models.records(path, self.table, start, end):
-                yield pa.RecordBatch.from_pandas(rows[self.schema.fieldNames()], schema=to_arrow_schema(self.schema), preserve_index=False)
+        parts = [(partition.path, partition.cuts)] if isinstance(partition, Range) else [(p, [(s, e) for s, e, _ in models.ranges(p, self.table)]) for p in partition.paths]
+        for path, cuts in parts:
+            for start, end in models.joined(cuts):
+                for rows in models.records(path, self.table, start, end):
+                    yield pa.RecordBatch.from_pandas(rows[self.schema.fieldNames()], schema=to_arrow_schema(self.schema), preserve_index=False)
+
+
+def _dealt(cuts: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Neighbouring ranges up to ``most`` bytes together, or one longer range."""
+    out: list[list[tuple[int, int]]] = []
+    for start, end, _ in cuts:
+        if not out or end - out[-1][0][0] > most:
+            out.append([])
+        out[-1].append((start, end))
+    return out
 
 
 BUILT_IN: tuple[type[DataSource], ...] = (FramesSource, ModelSource)

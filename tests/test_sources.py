@@ -150,3 +150,20 @@ def test_formats_by_variable(monkeypatch):
     monkeypatch.setenv(plugins.VARIABLE, f"counted={__name__}:Counted,, other={__name__}:Counted")
     with pytest.warns(UserWarning, match="calls itself counted"):
         assert plugins.found() == {"counted": Counted}
+
+
+def test_small_ranges_share_tasks(spark, tables, tmp_path):
+    """Ranges are read by as many tasks as there are bytes for, not by one task each, and neighbours at once."""
+    c, i, _, o = tables
+    many = spark.range(40000).selectExpr("CAST(id % 2 AS STRING) AS scene_id", "id AS point3d_id", "id * 0.5D AS x", "0.0D AS y", "1.0D AS z", "1 AS r", "2 AS g", "3 AS b", "0.25D AS error")
+    models.write_colmap_bin(c, i, many, o, str(tmp_path))
+    got = models.read_model_table(spark, f"{tmp_path}/*/points3D.bin", "points", 512)
+    assert got.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
+    want = {(str(k % 2), k, k * 0.5) for k in range(40000)}
+    assert {(r["scene_id"], r["point3d_id"], r["x"]) for r in got.collect()} == want
+    models.write_ranges(spark, str(tmp_path), 512)
+    plugins.register(spark)
+    again = spark.read.format("capture_model").option("table", "points").load(str(tmp_path))
+    assert 2 < again.rdd.getNumPartitions() <= 2 * plugins.SPREAD
+    assert {(r["scene_id"], r["point3d_id"], r["x"]) for r in again.collect()} == want
+    assert list(models.joined([(0, 4), (4, 8), (9, 12), (12, 30), (30, 31)], 8)) == [(0, 8), (9, 12), (12, 30), (30, 31)]
