@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capture_spark import shared
-from capture_spark.operators import joins, pixels, points, rays, sampling, telemetry
+from capture_spark.operators import cameras, joins, pixels, points, rays, sampling, telemetry
 
 
 def turned(r):
@@ -233,3 +233,17 @@ def test_boxes_out_of_view_are_left_out_before_corners(spark):
             if any(0 < 320 - 500 * x / z < 643 and 0 < 240 + 510 * y / z < 481 for x, y, z in ahead):
                 seen.add((i, k))
     assert seen <= met and len(seen) > 50 and len(met) < 0.3 * len(boxes) * len(images)
+
+
+def test_lens_is_taken_out_once_a_pixel(spark):
+    """Rays of a lens as by ``undistort``; the plan names the Newton steps once, not wherever a place is used."""
+    lens = {"k1": 0.05, "k2": -0.01, "k3": 0.002, "k4": -0.001, "p1": 0.001, "p2": -0.002}
+    c = spark.createDataFrame([(0, 0, flat(np.eye(3), [0.0, 0.0, 0.0]), 8.0, 9.0, 5.0, 4.0)], VIEW).withColumns({**{k: F.lit(v) for k, v in lens.items()}, "camera_type": F.lit("perspective")})
+    px = spark.createDataFrame([(0, 0, y, x) for y in range(9) for x in range(11)], "scene_id long, image_id long, y long, x long")
+    rays_ = cameras.camera_rays(px, c, distorted=True)
+    plan = rays_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 0 and plan.count("_undistorted(") == 1
+    want = px.withColumn("p", cameras.undistort((F.col("x") + 0.5 - 5) / 8, (F.col("y") + 0.5 - 4) / 9, {k: F.lit(v) for k, v in lens.items()}))
+    want = {(r["y"], r["x"]): r["p"] for r in want.collect()}
+    got = {(r["y"], r["x"]): (r["dx"] / -r["dz"], -r["dy"] / -r["dz"]) for r in rays_.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
