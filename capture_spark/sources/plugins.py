@@ -8,11 +8,13 @@ A format is a ``DataSource`` class.  Packages name theirs in the entry point gro
 
 from __future__ import annotations
 
+import codecs
 import importlib
 import json
 import os
 import uuid
 import warnings
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from importlib.metadata import entry_points
@@ -106,13 +108,84 @@ class FramesReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
             where, at = models.place(path)
+            names, given, has, poses, top = [], array("d"), bytearray(), array("d"), {}
             with where.open_input_stream(at) as f:
-                meta = json.loads(f.read())
-            scene = at.split("/")[-2]
-            for pos, frame in enumerate(sorted(meta["frames"], key=lambda x: x["file_path"])):
-                numbers = [meta.get(c, frame.get(c)) for c in NUMBERS]
-                matrix = [float(x) for row in frame["transform_matrix"][:3] for x in row]
-                yield (scene, pos, frame["file_path"], meta.get("camera_model", "OPENCV"), *[None if x is None else float(x) for x in numbers], matrix)
+                for key, value in _members(f):
+                    if key != "frames":
+                        top[key] = value
+                        continue
+                    names.append(value["file_path"])
+                    has.extend(value.get(c) is not None for c in NUMBERS)
+                    given.extend(float(value.get(c) or 0.0) for c in NUMBERS)
+                    poses.extend(float(x) for row in value["transform_matrix"][:3] for x in row)
+            scene, n = at.split("/")[-2], len(NUMBERS)
+            for pos, k in enumerate(sorted(range(len(names)), key=names.__getitem__)):
+                numbers = [top[c] if c in top else given[k * n + j] if has[k * n + j] else None for j, c in enumerate(NUMBERS)]
+                yield (scene, pos, names[k], top.get("camera_model", "OPENCV"), *[None if x is None else float(x) for x in numbers], poses[12 * k : 12 * k + 12].tolist())
+
+
+def _members(f, size: int = 1 << 16) -> Iterator[tuple[str, object]]:
+    """(key, value) of the members of a JSON object, each frame as a member of its own, so that a file is never one value."""
+    decoder, utf8 = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8")()
+    text, at, done = "", 0, False
+
+    def more() -> None:
+        nonlocal text, at, done
+        got = f.read(max(size, len(text) - at))  # as much again, so a long value is not tried too often
+        done = not got
+        text, at = text[at:] + utf8.decode(got, done), 0
+
+    def sign() -> str:
+        """The next sign that is no blank, which is left there."""
+        nonlocal at
+        while True:
+            while at < len(text) and text[at] in " \t\r\n":
+                at += 1
+            if at < len(text) or done:
+                return text[at : at + 1]
+            more()
+
+    def take(signs: str) -> str:
+        nonlocal at
+        got = sign()
+        if not got or got not in signs:
+            raise ValueError(f"expected one of {signs} in the file, found {got!r}")
+        at += 1
+        return got
+
+    def value():
+        nonlocal at
+        sign()
+        while True:
+            try:
+                made, end = decoder.raw_decode(text, at)
+                if end < len(text) or done:  # a number may go on
+                    at = end
+                    return made
+            except json.JSONDecodeError:
+                if done:
+                    raise
+            more()
+
+    take("{")
+    if sign() == "}":
+        return
+    while True:
+        key = value()
+        take(":")
+        if key == "frames":
+            take("[")
+            if sign() == "]":
+                take("]")
+            else:
+                while True:
+                    yield key, value()
+                    if take(",]") == "]":
+                        break
+        else:
+            yield key, value()
+        if take(",}") == "}":
+            return
 
 
 @dataclass

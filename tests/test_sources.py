@@ -167,3 +167,28 @@ def test_small_ranges_share_tasks(spark, tables, tmp_path):
     assert 2 < again.rdd.getNumPartitions() <= 2 * plugins.SPREAD
     assert {(r["scene_id"], r["point3d_id"], r["x"]) for r in again.collect()} == want
     assert list(models.joined([(0, 4), (4, 8), (9, 12), (12, 30), (30, 31)], 8)) == [(0, 8), (9, 12), (12, 30), (30, 31)]
+
+
+def test_frames_are_read_one_by_one(tmp_path, monkeypatch):
+    """A file's frames are never one value: members in any order, long and short reads, signs of many bytes cut anywhere."""
+    frames = [{"file_path": f"ü{k % 7}/{k:04d}.png", "fl_x": k / 3, "k1": None, "transform_matrix": [[float(k), 0, 1e-3, -2], [0, 1, 0, 5], [0, 0, 1, 6], [0, 0, 0, 1]]} for k in range(500)]
+    want = sorted(f["file_path"] for f in frames)
+    most = []
+    real = json.JSONDecoder.raw_decode
+    monkeypatch.setattr(json.JSONDecoder, "raw_decode", lambda self, text, at=0: (most.append(len(text)), real(self, text, at))[1])
+    for name, data in {"a": {"w": 640, "frames": frames, "h": 1.5}, "b": {"frames": frames, "camera_model": "X", "more": {"frames": [1]}, "w": 12}}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "transforms.json").write_text(json.dumps(data, ensure_ascii=False, indent=1), encoding="utf-8")
+        for size in (1, 1 << 16):
+            most.clear()
+            with open(tmp_path / name / "transforms.json", "rb") as f:
+                got = list(plugins._members(f, size))
+            assert [v for k, v in got if k == "frames"] == frames and {k: v for k, v in got if k != "frames"} == {k: v for k, v in data.items() if k != "frames"}
+            assert max(most) < 3 * max(size, 600)
+        rows_ = list(plugins.FramesReader([]).read(plugins.Files([str(tmp_path / name / "transforms.json")])))
+        assert [r[2] for r in rows_] == want and [r[1] for r in rows_] == list(range(500))
+        first = min(frames, key=lambda x: x["file_path"])
+        assert rows_[0][4] == first["fl_x"] and rows_[0][10] is None and rows_[0][8] == data["w"] and rows_[0][-1][:4] == first["transform_matrix"][0]
+    (tmp_path / "a" / "transforms.json").write_text('{"frames": [{"file_path": "x"')
+    with pytest.raises(ValueError):
+        list(plugins.FramesReader([]).read(plugins.Files([str(tmp_path / "a" / "transforms.json")])))
