@@ -3,9 +3,8 @@
 import random
 
 import numpy as np
-import pytest
 
-from capture_spark.operators import points
+from capture_spark.operators import points, trees
 from test_scale import VIEW, flat, turned
 
 
@@ -23,3 +22,17 @@ def test_voxel_hits_do_not_depend_on_parts(spark, monkeypatch):
     monkeypatch.setattr(points, "VIEWS", 2)
     parts = sorted(points.voxel_hits(c, v, d, 0.5).collect(), key=str)
     assert whole == parts and len(whole) > 20 and any(x["r"] is None for x in whole)
+
+
+def test_walk_takes_rows_of_one_place_together(monkeypatch):
+    r = np.random.default_rng(2)
+    places = r.integers(-3, 3, (400, 3)).astype(float)
+    left, at, want = set(range(1, 400)), 0, [0]
+    while left:
+        at = min(left, key=lambda k: (((places[k] - places[at]) ** 2).sum(), k))
+        left.remove(at)
+        want.append(at)
+    steps = []
+    monkeypatch.setattr(trees.Leaves, "bounds", lambda self, place, found=trees.Leaves.bounds: steps.append(1) or found(self, place))
+    assert trees.nearest_walk(places).tolist() == want
+    assert len(steps) < len(np.unique(places, axis=0))
