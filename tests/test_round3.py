@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from capture_spark.operators import points, trees
+from capture_spark.streaming import telemetry as live
 from test_scale import VIEW, flat, turned
 
 
@@ -36,3 +37,23 @@ def test_walk_takes_rows_of_one_place_together(monkeypatch):
     monkeypatch.setattr(trees.Leaves, "bounds", lambda self, place, found=trees.Leaves.bounds: steps.append(1) or found(self, place))
     assert trees.nearest_walk(places).tolist() == want
     assert len(steps) < len(np.unique(places, axis=0))
+
+
+def test_moving_average_of_many_series_in_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 2)
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice(["a", "b", None]), k, r.choice([None, r.uniform(-1, 1), r.uniform(-1, 1)])) for k in range(300)]
+    for k in range(3):
+        part = rows[100 * k : 100 * k + 100]
+        spark.createDataFrame(part, "run_id long, name string, event_id long, value double").selectExpr("*", "timestamp_seconds(event_id) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = live.ingest(spark, f"{tmp_path}/in", "run_id long, name string, event_id long, value double, ts timestamp", 1)
+    live.drain(live.moving_average(stream, 4), "append", f"{tmp_path}/log", lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out"))
+    want, seen = {}, {}
+    for run, name, k, value in rows:
+        last = seen.setdefault((run, name), [])
+        last.append(value)
+        real = [x for x in last[-4:] if x is not None]
+        want[run, name, k] = sum(reversed(real)) / len(real) if real else None
+    got = {(x["run_id"], x["name"], x["event_id"]): x["avg"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got.keys() == want.keys() and any(x is None for x in want.values())
+    assert all(got[k] is x is None or abs(got[k] - x) < 1e-12 for k, x in want.items())
