@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from capture_spark.operators import points, trees
+from capture_spark.operators import pixels, points, trees
 from capture_spark.streaming import telemetry as live
 from test_scale import VIEW, flat, turned
 
@@ -57,3 +57,23 @@ def test_moving_average_of_many_series_in_a_state(spark, tmp_path, monkeypatch):
     got = {(x["run_id"], x["name"], x["event_id"]): x["avg"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got.keys() == want.keys() and any(x is None for x in want.values())
     assert all(got[k] is x is None or abs(got[k] - x) < 1e-12 for k, x in want.items())
+
+
+def test_color_correct_of_images_in_many_batches(spark):
+    r = random.Random(5)
+    rows = [(s, i, y, x, *[r.random() for _ in range(6)]) for s, i in ((0, 0), (0, 1), (1, 0), (None, 0)) for y in range(8) for x in range(8)]
+    r.shuffle(rows)
+    rows.append((1, 0, 9, 9, float("nan"), 0.5, 0.5, 0.5, 0.5, 0.5))
+    p = spark.createDataFrame(rows, "scene_id long, image_id long, y long, x long, r double, g double, b double, ref_r double, ref_g double, ref_b double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    results = []
+    try:
+        for size in ("3", "10000"):
+            spark.conf.set(key, size)
+            results.append({(x["scene_id"], x["image_id"], x["y"], x["x"]): x for x in pixels.color_correct(p, 2).collect()})
+    finally:
+        spark.conf.set(key, before)
+    few, many = results
+    assert few.keys() == many.keys() and len(few) == 193
+    assert all(abs(few[k][c] - many[k][c]) < 1e-6 for k in few if k[2] < 9 for c in "rgb")
