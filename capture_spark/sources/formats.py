@@ -320,7 +320,8 @@ def read_eyeful(spark: SparkSession, root: str, width: int, height: int, extensi
 def read_phototourism(spark: SparkSession, root: str) -> DataFrame:
     """Frames of binary models of photo collections: each camera with the image of the same id, pinhole cameras only."""
     cameras, images, _, _ = read_colmap_bin(spark, root)
-    p = cameras.filter("model = 'PINHOLE'").withColumnRenamed("camera_id", "image_id").join(images.drop("camera_id"), ["scene_id", "image_id"])
+    # Both tables are read from a short list of ranges, whose size Spark takes for theirs: without the hint it sends every camera to all executors by way of the driver.
+    p = cameras.filter("model = 'PINHOLE'").withColumnRenamed("camera_id", "image_id").hint("merge").join(images.drop("camera_id"), ["scene_id", "image_id"])
     q, t = [F.get("qvec", F.lit(i)) for i in range(4)], [F.get("tvec", F.lit(i)) for i in range(3)]
     return p.select("scene_id", "image_id", F.col("name").alias("file_path"), *[F.get("params", F.lit(i)).alias(c) for i, c in enumerate(("fx", "fy", "cx", "cy"))], "width", "height", to_camera_convention(invert(pose(quaternion_rotation(*q), t))).alias("c2w"))
 
