@@ -240,20 +240,45 @@ def n_best(chunk: str, v: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the best paths of the chunks met, ``CACHED`` of them at most between batches."""
+    """Encodes batches of texts; keeps the best paths of the chunks met, ``CACHED`` of them at most between batches.
+
+    A worker lives on after its task, so what is kept is packed: chunks are found
+    by a sorted array of hashes and compared by their bytes, and the paths found
+    from the end are one string of bytes for each chunk.
+    """
 
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n = v, n
-        self.searched: dict[bytes, list] = {}
+        self.searched: dict[bytes, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.said, self.said_ends = bytearray(), array("q", [0])
         self.ids, self.ends, self.best, self.loss = array("i"), array("q", [0]), array("d"), array("d")
 
-    def _add(self, new: list[bytes]) -> None:
-        """Put the best paths of new chunks into slots."""
+    def _known(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slots of chunks, by hash and bytes; -1 for those not kept."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        ends = np.frombuffer(self.said_ends, np.int64)
+        slot = self.slots[at].astype(np.int64)
+        size = end - start
+        who = np.flatnonzero((self.hashes[at] == hashes) & (ends[slot + 1] - ends[slot] == size))
+        size, slot = size[who], slot[who]
+        upto = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(upto, size)
+        same = np.frombuffer(self.said, np.uint8)[np.repeat(ends[slot], size) + step] == data[np.repeat(start[who], size) + step]
+        equal = np.logical_and.reduceat(same, upto) if len(who) else np.zeros(0, bool)
+        out[who[equal]] = slot[equal]
+        return out
+
+    def _add(self, new: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Put the best paths of new chunks into slots; of chunks with one hash the first is found again."""
         said = [c.decode() for c in new]
+        slots = np.full(len(new), -1, np.int64)
         fit = [k for k, c in enumerate(said) if len(c) <= SHORT]
         for start in range(0, len(fit), TOGETHER):
             short = fit[start : start + TOGETHER]
@@ -267,30 +292,43 @@ class Encoder:
             self.loss.frombytes((best - second)[keep].tobytes())
             first = len(self.best)
             self.best.frombytes(best[keep].tobytes())
-            for j, k in enumerate(np.array(short)[keep].tolist()):
-                self.slot[new[k]] = first + j
-        for raw, text in zip(new, said, strict=True):
-            if raw not in self.slot:  # long, or with characters that have no piece
-                chunk = matched(text)
-                best, second, cuts = forward(chunk, self.v)
-                self.ids.extend(self.v.ids(text, chunk, cuts))
-                self.ends.append(len(self.ids))
-                self.loss.append(best[-1] - second)
-                self.slot[raw] = len(self.best)
-                self.best.append(best[-1])
+            slots[np.array(short)[keep]] = first + np.arange(int(keep.sum()))
+        for k in np.flatnonzero(slots < 0).tolist():  # long, or with characters that have no piece
+            chunk = matched(said[k])
+            best, second, cuts = forward(chunk, self.v)
+            self.ids.extend(self.v.ids(said[k], chunk, cuts))
+            self.ends.append(len(self.ids))
+            self.loss.append(best[-1] - second)
+            slots[k] = len(self.best)
+            self.best.append(best[-1])
+        by = np.argsort(slots).tolist()
+        for k in by:
+            self.said += new[k]
+            self.said_ends.append(len(self.said))
+        every = np.concatenate([self.hashes, hashes])
+        _, first = np.unique(every, return_index=True)
+        self.slots = np.concatenate([self.slots, slots.astype(np.int32)])[first]
+        self.hashes = every[first]
+        return slots
 
     def _paths(self, raw: bytes) -> list[tuple[float, np.ndarray]]:
         """(loss, ids) of the n best paths of a chunk."""
-        got = self.searched.get(raw)
-        if got is None:
-            said = raw.decode()
-            chunk = matched(said)
-            found = n_best(chunk, self.v, self.n)
-            got = [(max(found[0][0] - s, 0.0), np.array(self.v.ids(said, chunk, cuts), np.int32)) for s, cuts in found]
-            if len(raw) <= 64:
-                if len(self.searched) >= CACHED // 8:
-                    self.searched.clear()
-                self.searched[raw] = got
+        packed = self.searched.get(raw)
+        if packed is not None:
+            rows = packed[0]
+            losses, sizes = np.frombuffer(packed, np.float64, rows, 8), np.frombuffer(packed, np.int32, rows, 8 + 8 * rows)
+            ids = np.frombuffer(packed, np.int32, offset=8 + 12 * rows)
+            ends = np.cumsum(sizes).tolist()
+            return [(loss, ids[end - size : end]) for loss, size, end in zip(losses.tolist(), sizes.tolist(), ends, strict=True)]
+        said = raw.decode()
+        chunk = matched(said)
+        found = n_best(chunk, self.v, self.n)
+        got = [(max(found[0][0] - s, 0.0), np.array(self.v.ids(said, chunk, cuts), np.int32)) for s, cuts in found]
+        if len(raw) <= 64 and len(got) < 256:
+            if len(self.searched) >= CACHED // 8:
+                self.searched.clear()
+            sizes = np.array([len(x) for _, x in got], np.int32)
+            self.searched[raw] = len(got).to_bytes(8, "little") + np.array([x for x, _ in got]).tobytes() + sizes.tobytes() + b"".join(x.tobytes() for _, x in got)
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[int], list[int], list[list[float]], list[list[bool]], pa.Array]:
@@ -301,7 +339,7 @@ class Encoder:
         chunks of least loss at most, so only these are searched from their end.
         """
         n = self.n
-        if len(self.slot) >= CACHED or len(self.ids) >= 16 * CACHED:
+        if len(self.best) >= CACHED or max(len(self.ids), len(self.said)) >= 16 * CACHED:
             self._clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         full = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
@@ -317,12 +355,12 @@ class Encoder:
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(data)).astype(np.int64) if len(start) else start
         top = np.searchsorted(start, at[:-1])  # the first chunk of each text
-        _, where, back = np.unique(tx.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        known = self.slot
-        met = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-        if new := [c for c in met if c not in known]:
-            self._add(new)
-        slots = np.array([known[c] for c in met], np.int64)[back] if met else np.zeros(0, np.int64)
+        hashes, where, back = np.unique(tx.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        found = self._known(hashes, data, start[where], end[where])
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._add([raw[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)], hashes[new])
+        slots = found[back]
         ids, ends = np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32), np.frombuffer(self.ends, np.int64)
         sizes = ends[slots + 1] - ends[slots]
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -412,7 +450,7 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "t
     types = {"paths": "array<array<int>>", "best_scores": "array<double>", "round_trips": "array<boolean>"}
     schema = source.withColumns({**{c: F.lit(None).cast(t) for c, t in types.items()}, "decoded": F.lit("")}).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = of_worker(data, n)
         for b in tx.slices(batches, text, SLICE):
             ids, path_ends, row_ends, scores, trips, decoded = encoder.encode(b.column(b.schema.get_field_index(text)))
@@ -420,6 +458,10 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "t
             nested = pa.ListArray.from_arrays(pa.array([0, *row_ends], pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns, nested, pa.array(scores, pa.list_(pa.float64())), pa.array(trips, pa.list_(pa.bool_())), decoded], names=schema.fieldNames())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from slices(batches)
+        tx.give_back()
+
     return source.mapInArrow(run, schema).withColumn("ids", F.col("paths")[0])
 
 

@@ -250,3 +250,31 @@ def test_languages_held_out_accuracy(spark, sf):
     assert len(got) == len(langs) and len(out) > 20
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in out]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_kept_chunks_are_packed_and_compared_by_bytes():
+    import random
+    import tracemalloc
+
+    from capture_spark.llm import pieces
+    from capture_spark.llm import text as tx
+
+    with open(pieces.MODEL, "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    r = random.Random(4)
+    words = list(dict.fromkeys("".join(r.choices("abcdefghij", k=r.randint(4, 9))) for _ in range(40_000)))
+    tracemalloc.start()
+    kept = pieces.Encoder(v, 3)
+    for k in range(0, len(words), 10_000):
+        kept.encode(pa.array([" ".join(words[k : k + 10_000])]))
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(kept.best) >= len(words) and size < 120 * len(words)
+    again = kept.encode(pa.array([" ".join(words[::7])]))
+    fresh = pieces.Encoder(v, 3).encode(pa.array([" ".join(words[::7])]))
+    assert again[0].tolist() == fresh[0].tolist() and again[1:5] == fresh[1:5]
+    one = pieces.Encoder(v, 3)
+    one.encode(pa.array(["alpha"]))
+    data = np.frombuffer(b" gamma", np.uint8)
+    one.hashes = tx.span_hashes(data, np.array([0]), np.array([6]))  # a hash that two chunks share
+    assert one.encode(pa.array(["gamma"]))[0].tolist() == pieces.Encoder(v, 3).encode(pa.array(["gamma"]))[0].tolist()
