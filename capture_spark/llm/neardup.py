@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from capture_spark.llm import text as tx
 from capture_spark.llm.graphs import components
-from capture_spark.llm.tables import fresh, settled, stored
+from capture_spark.llm.tables import fresh, measured_broadcasts, settled, stored
 
 SHINGLE = 4
 PERCENT = 80
@@ -163,7 +163,8 @@ def near_duplicates(
         out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_low")).otherwise(F.col("doc_id")))
         return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
-    return settled(docs.sparkSession, "near-duplicates", make)
+    with measured_broadcasts(docs.sparkSession):
+        return settled(docs.sparkSession, "near-duplicates", make)
 
 
 def _classes(docs: DataFrame, row: str | None, size: int, percent: int, coordinates: int, matches: int, shared: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +314,8 @@ def deduplicated(
         stay = classes.select("component_first").union(table.filter("n_shingles = 0").select("row")).withColumnRenamed("component_first", of).distinct()
         return numbered.join(stay, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
 
-    return settled(docs.sparkSession, "deduplicated", make)
+    with measured_broadcasts(docs.sparkSession):
+        return settled(docs.sparkSession, "deduplicated", make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
