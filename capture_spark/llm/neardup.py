@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ COORDINATES = 64
 MATCHES = 35
 SHARED = 5
 CROWD = 64
+COMMON = 1 << 16  # posts that come last in every node's order, at most
+SAMPLED = 1 << 16  # nodes that common posts are told by
+WANTED = 1 << 24  # bits that tell which texts are read again
 BLOCK = 512
 COLUMNS = 4096
 
@@ -94,6 +98,42 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _common(nodes: DataFrame, coordinates: int, crowd: int) -> np.ndarray:
+    """The commonest posts, the rarest of them first, as some ``SAMPLED`` nodes have them.
+
+    They only set an order, so that neither the sample nor the limit changes which
+    pairs are found, but how many others are tried.
+    """
+    n = nodes.count()
+    share = min(1.0, SAMPLED / max(n, 1))
+    some = nodes if share == 1 else nodes.filter(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    posts = some.select(F.explode(F.transform("sig", lambda v, k: v.cast("long") * coordinates + k)).alias("pair"))
+    counts = posts.groupBy("pair").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, round(crowd * share / 2)))
+    return counts.orderBy(F.col("n").desc(), "pair").limit(COMMON).select("pair").toArrow().column("pair").to_numpy()[::-1].copy()
+
+
+def _posts(nodes: DataFrame, coordinates: int, prefix: int, crowd: int) -> DataFrame:
+    """(node, pair): the first ``prefix`` posts of each node, common ones last."""
+    common = _common(nodes, coordinates, crowd)
+    places = np.argsort(common)
+    shared = nodes.sparkSession.sparkContext.broadcast((common[places], places + 1))
+    shift = 31 + coordinates.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = shared.value
+        for b in batches:
+            pairs = b.column(1).flatten().to_numpy().astype(np.int64).reshape(-1, coordinates) * coordinates + np.arange(coordinates)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, pairs), len(common) - 1)
+                pairs += np.where(common[at] == pairs, places[at], 0) << shift
+            if prefix < coordinates:
+                pairs = np.partition(pairs, prefix - 1, axis=1)[:, :prefix]
+            pairs &= (1 << shift) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), pairs.shape[1])), pa.array(pairs.ravel())], names=["node", "pair"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node long, pair long")
+
+
 def _matched(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough and whose set sizes allow a link."""
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
@@ -135,10 +175,12 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Texts with the same word sequence are one node.  Each node posts under pairs
-    of coordinate and minimum.  With the pairs of every node in one fixed order,
+    of coordinate and minimum.  With the pairs of every node in one order,
     two nodes that agree in ``matches`` of ``coordinates`` share ``shared`` of
     their first coordinates - matches + shared, so only that prefix is posted,
-    and a node with fewer of its posts in lists of two or more is skipped.  At
+    and a node with fewer of its posts in lists of two or more is skipped.  The
+    order has common pairs last, the commonest at its end: a passage that many
+    texts have makes no long list, unless little else is in them.  At
     the default figures two sets of Jaccard similarity 0.8 miss the threshold of
     matches once in a million pairs.
 
@@ -147,8 +189,8 @@ def near_duplicates(
     collisions are counted on the whole signatures, and pairs at the threshold
     are confirmed on full shingle sets.  Then only nodes outside the component
     of that node are tried against the list: pair by pair in lists of under
-    ``crowd`` nodes, and by blocks of nodes in longer ones, where a task compares
-    the full sets of two blocks and returns no more links than join them up.
+    ``crowd`` nodes, and by blocks of nodes of like size in longer ones, where a task
+    compares the full sets of two blocks and returns no more links than join them up.
 
     A null or blank text is linked with nothing, not even its like.  Rows
     without an id take the component of a row with an id and an equal or near
@@ -177,9 +219,7 @@ def _classes(docs: DataFrame, row: str | None, size: int, percent: int, coordina
     full = table.filter("n_shingles > 0")
     nodes = full.groupBy("seq").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("key").alias("key"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key", "row")).alias("first"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    prefix = coordinates - matches + shared
-    pairs = F.array_sort(F.transform("sig", lambda v, k: v.cast("long") * coordinates + k))
-    posts = nodes.select("node", F.explode(F.slice(pairs, 1, prefix)).alias("pair"))
+    posts = _posts(nodes, coordinates, coordinates - matches + shared, crowd)
     lists = posts.groupBy("pair").agg(F.count("*").alias("length")).filter("length > 1")
     live = stored(posts.join(lists, "pair").select("node", "pair"), "posts")
     able = live.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select("node")
@@ -236,18 +276,22 @@ def _block_links(crowded: DataFrame, texts: DataFrame, percent: int, size: int)
     """Links between nodes outside a main component and nodes of its lists.
 
     (a, b) rows that connect what the links of each pair of blocks connect.
+    Blocks hold nodes of one band of set sizes; sizes of linked nodes differ by a
+    band at most.
     """
-    ys = crowded.select("main", "node").distinct()
-    xs = crowded.filter("comp <> main").select("main", "node").distinct()
-    counts = ys.groupBy("main").agg(F.count("*").alias("ny")).join(xs.groupBy("main").agg(F.count("*").alias("nx")), "main")
-    counts = counts.select("main", F.ceil(F.col("nx") / BLOCK).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK).cast("int").alias("by"))
+    band = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
+    ys = crowded.select("main", "node", band.alias("y_band")).distinct()
+    xs = crowded.filter("comp <> main").select("main", "node", band.alias("x_band")).distinct()
+    counts = xs.groupBy("main", "x_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("bx")).withColumn("y_band", F.explode(F.array(*[F.col("x_band") + k for k in (-1, 0, 1)])))
+    counts = counts.join(ys.groupBy("main", "y_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("by")), ["main", "y_band"])
     sets = _sets(texts.join(ys.select("node").distinct(), "node", "left_semi").select("node", "text"), size)
     sets = stored(sets, "crowd-sets")
+    keys = ["main", "x_band", "y_band", "xb", "yb"]
 
-    def dealt(rows: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
-        rows = rows.join(counts, "main").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
+    def dealt(rows: DataFrame, band: str, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        rows = rows.join(counts, ["main", band]).withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
         rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-        return rows.join(sets, "node").select(*[F.col(c).alias(c) for c in ("main", "xb", "yb", "node", "shingles")])
+        return rows.join(sets, "node").select(*[F.col(c).alias(c) for c in (*keys, "node", "shingles")])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         nodes = np.concatenate([x["node"].to_numpy(np.int64), y["node"].to_numpy(np.int64)])
@@ -283,16 +327,26 @@ def _block_links(crowded: DataFrame, texts: DataFrame, percent: int, size: int)
         found = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
         return found[found["a"] != found["b"]]
 
-    keys = ["main", "xb", "yb"]
-    x, y = dealt(xs, "xb", "yb", "bx", "by"), dealt(ys, "yb", "xb", "by", "bx")
+    x, y = dealt(xs, "x_band", "xb", "yb", "bx", "by"), dealt(ys, "y_band", "yb", "xb", "by", "bx")
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes; copies of a text meet before they move."""
-    needed = nodes.select("node", F.col("key").alias("of_key")).join(wanted, "node", "left_semi")
+    """(node, text) of the wanted nodes.
+
+    ``WANTED`` bits, a broadcast of fixed size, keep most other texts from moving;
+    those they let pass find no node.
+    """
+    needed = stored(nodes.select("node", F.col("key").alias("of_key")).join(wanted, "node", "left_semi"), "needed")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED)) + 1
+    bits = needed.select(F.bitmap_bucket_number(place("of_key")).alias("of_bucket"), F.bitmap_bit_position(place("of_key")).alias("bit"))
+    bits = bits.repartition("of_bucket").groupBy("of_bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     body = F.coalesce("text", F.lit(""))
-    found = docs.select(body.alias("text"), F.unhex(F.md5(body)).alias("key")).join(needed, F.col("key") == F.col("of_key"))
+    found = docs.select(body.alias("text"), F.unhex(F.md5(body)).alias("key"))
+    found = found.withColumns({"bucket": F.bitmap_bucket_number(place("key")), "at": F.bitmap_bit_position(place("key")).cast("int")})
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = found.join(F.broadcast(bits), F.col("bucket") == F.col("of_bucket")).filter(F.getbit(byte, F.col("at") % 8) == 1).select("text", "key")
+    found = found.join(needed, F.col("key") == F.col("of_key"))
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
