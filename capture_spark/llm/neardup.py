@@ -364,8 +364,12 @@ def deduplicated(
 
     def make() -> DataFrame:
         numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-        table, classes = _classes(numbered, row, size, percent, coordinates, matches, shared, crowd)
-        stay = classes.select("component_first").union(table.filter("n_shingles = 0").select("row")).withColumnRenamed("component_first", of).distinct()
+
+        def first() -> DataFrame:
+            table, classes = _classes(numbered, row, size, percent, coordinates, matches, shared, crowd)
+            return classes.select("component_first").union(table.filter("n_shingles = 0").select("row")).withColumnRenamed("component_first", of).distinct()
+
+        stay = settled(docs.sparkSession, "stay", first)  # what it took is gone before whole rows move
         return numbered.join(stay, F.col(row) == F.col(of), "left_semi").select(*docs.columns)
 
     with measured_broadcasts(docs.sparkSession):
